@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from feedloom.llm import secret_scan, source_mix
+from feedloom.llm import fingerprint, secret_scan, source_mix
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op7_source_mix": source_mix.op7_source_mix,
+    "op8_fingerprint": fingerprint.op8_fingerprint,
 }
 
 ORACLES: dict[str, str] = {}
