@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feedloom.llm import bpe, fingerprint, language, quality, secret_scan, source_mix
+from feedloom.llm import bpe, fingerprint, language, line_dedup, quality, secret_scan, source_mix
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_quality": quality.op6_quality,
     "op7_source_mix": source_mix.op7_source_mix,
     "op8_fingerprint": fingerprint.op8_fingerprint,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}
