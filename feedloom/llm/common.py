@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,36 @@ def id_fold(column: str, folds: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % F.lit(folds)
 
 
+#: Bits of a map of marked keys: 4 MB, whatever the number of keys. A fuller map lets more rows through and loses none.
+BITMAP_BITS = 1 << 25
+
+
+def bitmap_of(keys: DataFrame, key: str = "key", bits: int = BITMAP_BITS) -> np.ndarray:
+    """One bit per 64-bit key, by the key's low bits: at most bits / 64 rows reach the driver."""
+    cells = keys.select(F.shiftright(F.col(key).bitwiseAND(F.lit(bits - 1)), 6).alias("cell"), F.expr(f"shiftleft(1L, cast({key} & 63 as int))").alias("bit"))
+    got = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(bits // 64, dtype=np.int64)
+    out[got["cell"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64)
+    return out.view(np.uint64)
+
+
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    spot = keys & np.uint64(len(bitmap) * 64 - 1)
+    return ((bitmap[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1)) == 1
+
+
+def marked_rows(df: DataFrame, key: str, bitmap: np.ndarray) -> DataFrame:
+    """Rows whose 64-bit key may be in the bitmap; no marked row is lost."""
+    at = df.columns.index(key)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.filter(pa.array(in_bitmap(bitmap, keys)))
+
+    return df.mapInArrow(rows, df.schema)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every vertex of the undirected edges; component is the smallest id reachable.
 

@@ -27,12 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import saved
+from feedloom.llm.common import BITMAP_BITS, bitmap_of, in_bitmap, saved
 from feedloom.llm.hashing import BASES, Powers, Sequence, WordHashes, mix, signed
 
 EXACT_WORDS, NEAR_WORDS = 5, 10
-#: Bits of the map of shared keys: 4 MB.
-BITMAP_BITS = 1 << 25
 #: Suspected lines a task holds before it hands them on.
 HELD_LINES = 20_000
 
@@ -87,16 +85,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _suspects(bitmap: np.ndarray):
     """(doc, tie, text) -> h1, h2, doc, tie, line, words: lines that have a marked key."""
-    bits = np.uint64(len(bitmap) * 64 - 1)
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Lines()
         for batch in batches:
             out = []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 at, _, own, shared = reader.read(text)
-                spot = shared & bits
-                marked = (((bitmap[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1)) == 1) & (shared != 0)
+                marked = in_bitmap(bitmap, shared) & (shared != 0)
                 hits = np.flatnonzero(marked.any(axis=1))
                 if len(hits):
                     lines = text.split("\n")
@@ -150,16 +145,6 @@ def _verify(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([within_one_edit(x.encode().split(), y.encode().split()) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """One bit per key, by the key's low bits: at most bits / 64 rows reach the driver."""
-    spot = F.col("key").bitwiseAND(F.lit(bits - 1))
-    cells = keys.select(F.shiftright(spot, 6).alias("cell"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit"))
-    got = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(bits // 64, dtype=np.int64)
-    out[got["cell"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64)
-    return out.view(np.uint64)
-
-
 def _sources(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.select(F.col(id_col).alias("doc"), F.xxhash64(body).alias("tie"), body.alias("text"))
@@ -177,7 +162,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", b
     lines = saved(source.mapInArrow(_scan, f"doc {id_type}, tie long, line int, h1 long, h2 long, keys array<long>"), "lines")
 
     shared = lines.select(F.explode("keys").alias("key"), "h1", "h2").groupBy("key").agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b"))
-    bitmap = _bitmap(shared.where("a <> b"), bits)
+    bitmap = bitmap_of(shared.where("a <> b"), "key", bits)
     suspects = source.mapInArrow(_suspects(bitmap), f"h1 long, h2 long, doc {id_type}, tie long, line int, body string")
     suspects = saved(suspects.groupBy("h1", "h2").agg(F.min(_place()).alias("place"), F.first("body").alias("body")), "suspects")
 

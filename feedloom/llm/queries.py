@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from feedloom.llm import bpe, fingerprint, language, line_dedup, quality, secret_scan, source_mix
+from feedloom.llm import bpe, fingerprint, language, line_dedup, ngram_join, quality, secret_scan, source_mix
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_language": language.op2_language,
     "op3_bpe": bpe.op3_bpe,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op6_quality": quality.op6_quality,
     "op7_source_mix": source_mix.op7_source_mix,
     "op8_fingerprint": fingerprint.op8_fingerprint,
