@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from feedloom.llm import bpe, fingerprint, language, line_dedup, ngram_join, quality, secret_scan, source_mix
+from feedloom.llm import bpe, embedding_dedup, fingerprint, language, line_dedup, ngram_join, quality, secret_scan, source_mix, url_filter
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_language": language.op2_language,
     "op3_bpe": bpe.op3_bpe,
     "op4_ngram_join": ngram_join.op4_ngram_join,
+    "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
     "op6_quality": quality.op6_quality,
     "op7_source_mix": source_mix.op7_source_mix,
     "op8_fingerprint": fingerprint.op8_fingerprint,
+    "op9_url_filter": url_filter.op9_url_filter,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
