@@ -220,6 +220,11 @@ def _digest(places: list[int], table: WordTable) -> tuple[int, str, str]:
     return n, hashlib.sha256(numbers.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()
 
 
+def ids_and_digest(places: list[int], table: WordTable) -> tuple[list[int], str]:
+    decoded = " ".join(map(table.decoded.__getitem__, places))
+    return [i for p in places for i in table.ids[p]], hashlib.sha256(decoded.encode("utf-8")).hexdigest()
+
+
 def _ids(places: list[int], table: WordTable) -> tuple[list[int]]:
     return ([i for p in places for i in table.ids[p]],)
 
