@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from feedloom.functions import filters, text, times
+from feedloom.operators import lifecycle, reports
+from feedloom.plans.tables import table
+from feedloom.plans.views import view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -12,5 +18,375 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def ts(literal: str) -> Column:
+    return F.lit(literal).cast("timestamp")
+
+
+EVENTS_NOW, ORDERS_NOW = "2024-01-31 00:00:00", "1998-06-01 00:00:00"
+PROFILE = filters.Profile(
+    cities=("NATION_1", "NATION_2"), countries=("NATION_3",), remote=("remote",), reject=("nation_9",), reject_regions=("NATION_7", "NATION_8"),
+    title_deny=("^red", "gear$"), never_silence=("src1",), noise_slugs={"supplier-7": "staffing"}, slug_fragments=("-1",), name_patterns=("00003",),
+)
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function (view getter, table getter) -> DataFrame, and its oracle over the same views."""
+
+    def register(build):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return build(lambda v: view(spark, sf_dir, v), lambda t: table(spark, sf_dir, t))
+
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLES[name] = with_views(sql)
+        return build
+
+    return register
+
+
+# Reports
+
+
+@query("g1_status_counts", "SELECT coalesce(status, '(unset)') AS status, count(*) AS n FROM v_companies GROUP BY 1")
+def _(v, t):
+    return reports.status_counts(v("v_companies"))
+
+
+@query("g2_strategy_counts", "SELECT parsing_strategy, count(*) AS total, count(last_success_at) AS reachable, count(*) FILTER (postings_matched_total > 0) AS ever_matched FROM v_companies GROUP BY 1")
+def _(v, t):
+    return reports.strategy_counts(v("v_companies"))
+
+
+@query("g3_provider_counts", "SELECT provider, count(*) AS total, count(last_success_at) AS reachable, count(*) FILTER (postings_seen_total > 0) AS had_jobs FROM v_companies WHERE status = 'active' GROUP BY 1")
+def _(v, t):
+    return reports.provider_counts(v("v_companies"))
+
+
+@query("g4_health_scalars", """SELECT count(*) AS total, count(*) FILTER (postings_seen_total > 0) AS ever_saw, count(*) FILTER (postings_matched_total > 0) AS productive,
+    count(*) FILTER (last_success_at IS NOT NULL AND postings_seen_total = 0) AS reachable_zero, count(*) FILTER (last_fetched_at IS NOT NULL AND last_success_at IS NULL) AS never_succeeded,
+    count(*) FILTER (last_fetched_at IS NULL) AS never_fetched, count(*) FILTER (url_suspect) AS suspect, count(*) FILTER (consecutive_failures >= 3) AS failing FROM v_companies""")
+def _(v, t):
+    return reports.health_scalars(v("v_companies"))
+
+
+@query("g5_removed_recently", f"SELECT profile_id, count(*) AS removed FROM v_postings WHERE removed_at >= TIMESTAMP '{ORDERS_NOW}' - INTERVAL 7 DAY GROUP BY 1")
+def _(v, t):
+    return reports.removed_recently(v("v_postings"), ts(ORDERS_NOW))
+
+
+@query("g6_tallies", "SELECT coalesce(location, '(unset)') AS value, count(*) AS n FROM v_postings GROUP BY 1")
+def _(v, t):
+    return reports.tallies(v("v_postings"), "location")
+
+
+@query("g7_board_counters", f"""SELECT provider, company_slug, profile_id, count(*) FILTER (discovered_at >= TIMESTAMP '{ORDERS_NOW}') AS inserted,
+    count(*) FILTER (notified_at >= TIMESTAMP '{ORDERS_NOW}' AND removed_at IS NOT NULL) AS removed_notified FROM v_postings GROUP BY 1, 2, 3""")
+def _(v, t):
+    return reports.board_counters(v("v_postings"), ts(ORDERS_NOW))
+
+
+@query("g8_run_summary", """SELECT profile_id AS run_id, count(*) AS seen, count(*) FILTER (drop_stage IS NULL) AS green, count(*) FILTER (drop_stage = 'yellow') AS yellow, 0::BIGINT AS duplicate, 0::BIGINT AS denied
+    FROM v_postings GROUP BY 1""")
+def _(v, t):
+    return reports.run_summary(v("v_postings").select(F.col("profile_id").alias("run_id"), F.coalesce("drop_stage", F.lit("green")).alias("decision")))
+
+
+@query("g9_aggregator_guard", """WITH n AS (SELECT provider, company_slug, lower(job_title) AS low, min({'external_id': external_id, 'company_name': job_title}) AS f FROM v_postings GROUP BY 1, 2, 3)
+    SELECT provider, company_slug, count(*) AS companies, array_to_string(list_transform(list_slice(list_sort(list(f)), 1, 3), x -> x.company_name), '; ') AS sample FROM n GROUP BY 1, 2 HAVING count(*) > 10""")
+def _(v, t):
+    found = reports.aggregator_warnings(v("v_postings").withColumn("company_name", F.col("job_title")))
+    return found.withColumn("sample", F.array_join("sample", "; "))
+
+
+@query("g10_issue_list")
+def _(v, t):
+    failed = v("v_board_runs").where("status = 'error'").select(F.col("company_slug").alias("slug"), "provider").distinct()
+    return reports.issue_list(failed.withColumnRenamed("provider", "reason"))
+
+
+@query("g11_progress", """SELECT provider, count(*) FILTER (s) AS scanned, count(*) AS total, CAST(floor(count(*) FILTER (s) * 100 / count(*)) AS BIGINT) AS percent
+    FROM (SELECT provider, last_success_at IS NOT NULL AS s FROM v_companies) GROUP BY 1""")
+def _(v, t):
+    c = v("v_companies")
+    return reports.progress(c.where("last_success_at IS NOT NULL"), c)
+
+
+@query("g12_last_drafted", "SELECT recruiter_email, profile_id, max(drafted_at) AS last_drafted_at FROM v_outreach GROUP BY 1, 2")
+def _(v, t):
+    return reports.last_drafted(v("v_outreach"))
+
+
+@query("g17_verify_counts", "SELECT status, count(*) AS n FROM v_outreach GROUP BY 1")
+def _(v, t):
+    return reports.verify_counts(v("v_outreach"))
+
+
+@query("e6_usage_rollup", """SELECT model, count(*) AS calls, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(cached_tokens) AS BIGINT) AS cached_tokens,
+    CAST(floor(sum(cached_tokens) * 100 / sum(prompt_tokens)) AS BIGINT) AS cached_pct, count(*) >= 50 AND floor(sum(cached_tokens) * 100 / sum(prompt_tokens)) < 50 AS low_hit FROM v_usage GROUP BY 1""")
+def _(v, t):
+    return reports.usage_rollup(v("v_usage"))
+
+
+_RUNS = "SELECT *, row_number() OVER (PARTITION BY provider, company_slug, profile_id ORDER BY run_at DESC, run_id DESC) AS rn FROM v_board_runs"
+
+
+@query("h1_board_churn", f"SELECT provider, company_slug, CAST(sum(added + removed) AS BIGINT) AS churn FROM ({_RUNS}) WHERE rn <= 5 GROUP BY 1, 2 ORDER BY churn DESC, provider, company_slug LIMIT 10")
+def _(v, t):
+    return reports.board_churn(v("v_board_runs"))
+
+
+@query("h2_retain_runs", f"SELECT run_id, company_slug, added, removed FROM ({_RUNS}) WHERE rn <= 60")
+def _(v, t):
+    return reports.retain_runs(v("v_board_runs")).select("run_id", "company_slug", "added", "removed")
+
+
+@query("h3_recent_runs", f"SELECT run_id, company_slug FROM ({_RUNS}) WHERE rn <= 5")
+def _(v, t):
+    return reports.retain_runs(v("v_board_runs"), 5).select("run_id", "company_slug")
+
+
+@query("h4_went_quiet", "SELECT provider, slug, zero_yield_streak, postings_seen_total FROM v_companies WHERE status = 'active' AND zero_yield_streak >= 1 AND postings_seen_total > 0")
+def _(v, t):
+    return reports.went_quiet(v("v_companies"), 1)
+
+
+@query("h7_run_duplicates", """SELECT external_id, profile_id, CASE WHEN hot AND row_number() OVER (PARTITION BY key, hot ORDER BY company_slug, external_id, profile_id) > 1 THEN 'duplicate' ELSE d END AS decision
+    FROM (SELECT *, lower(job_title) AS key, coalesce(drop_stage, 'green') AS d, coalesce(drop_stage, 'green') IN ('green', 'yellow') AS hot FROM v_postings)""")
+def _(v, t):
+    p = v("v_postings").select(F.concat_ws("|", "external_id", "profile_id").alias("x"), "external_id", "profile_id", F.col("company_slug").alias("company_name"), F.lower("job_title").alias("notify_key"), F.coalesce("drop_stage", F.lit("green")).alias("decision"))
+    return reports.mark_run_duplicates(p).select("external_id", "profile_id", "decision")
+
+
+@query("h8_interleave", """SELECT event_id, provider, row_number() OVER (PARTITION BY provider ORDER BY event_id) AS turn, min(event_id) OVER (PARTITION BY provider) AS group_first
+    FROM (SELECT run_id AS event_id, provider FROM v_board_runs)""")
+def _(v, t):
+    return reports.interleave(v("v_board_runs").select(F.col("run_id").alias("event_id"), "provider"), "provider", "event_id")
+
+
+@query("h10_take_batch", "SELECT email, company FROM v_recruiters ORDER BY email LIMIT 100")
+def _(v, t):
+    return reports.take_batch(v("v_recruiters"), ["email"])[0].select("email", "company")
+
+
+@query("d9_fetchable", f"""SELECT provider, slug FROM v_companies WHERE status = 'active' OR (status = 'dormant' AND (last_fetched_at IS NULL OR last_fetched_at <= TIMESTAMP '{EVENTS_NOW}' - INTERVAL 7 DAY))""")
+def _(v, t):
+    return reports.fetchable_companies(v("v_companies"), ts(EVENTS_NOW)).select("provider", "slug")
+
+
+@query("b27_diagnose_boards", """SELECT source AS provider, lang AS company_slug, count(*) AS n, count(*) FILTER (length(text) = 0) AS empty_jd, count(*) FILTER (length(text) > 0 AND length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) < 300) AS thin_jd
+    FROM documents GROUP BY 1, 2""")
+def _(v, t):
+    d = t("documents").select(F.col("source").alias("provider"), F.col("lang").alias("company_slug"), F.col("doc_id").cast("string").alias("external_id"), F.lit("x").alias("job_title"), F.lit("y").alias("location"), F.col("text").alias("jd_text"))
+    return reports.diagnose_boards(d).select("provider", "company_slug", "n", "empty_jd", "thin_jd")
+
+
+# Joins
+
+
+@query("f1_notified_with_company", f"""SELECT p.provider, external_id, coalesce(c.name, p.company_slug) AS company, job_title, job_url, location, llm_confidence, CASE WHEN drop_stage = 'yellow' THEN 'yellow' ELSE 'green' END AS severity
+    FROM v_postings p LEFT JOIN v_companies c ON c.provider = p.provider AND c.slug = p.company_slug WHERE notified_at >= TIMESTAMP '{ORDERS_NOW}' AND profile_id = 'p0' AND removed_at IS NULL""")
+def _(v, t):
+    return reports.notified_with_company(v("v_postings"), v("v_companies"), ts(ORDERS_NOW), "p0")
+
+
+_KEYS = f"""SELECT DISTINCT lower(c.name) || '|' || lower(job_title) || '|' || coalesce(lower(location), '') AS notify_key
+    FROM v_postings p LEFT JOIN v_companies c ON c.provider = p.provider AND c.slug = p.company_slug WHERE notified_at >= TIMESTAMP '{ORDERS_NOW}' - INTERVAL 180 DAY AND profile_id = 'p0'"""
+
+
+@query("f2_prior_notify_keys", _KEYS)
+def _(v, t):
+    return reports.prior_notify_keys(v("v_postings"), v("v_companies"), ts(ORDERS_NOW), "p0")
+
+
+@query("f3_new_roles", f"""SELECT external_id, profile_id FROM v_postings p JOIN v_companies c ON c.provider = p.provider AND c.slug = p.company_slug
+    WHERE lower(c.name) || '|' || lower(job_title) || '|' || coalesce(lower(location), '') NOT IN ({_KEYS})""")
+def _(v, t):
+    c = v("v_companies")
+    keys = reports.prior_notify_keys(v("v_postings"), c, ts(ORDERS_NOW), "p0")
+    named = v("v_postings").join(c.select("provider", F.col("slug").alias("company_slug"), "name"), ["provider", "company_slug"])
+    listing = named.withColumn("notify_key", text.notify_key(F.col("name"), F.col("job_title"), F.col("location")))
+    return reports.split_prior_duplicates(listing, keys)[1].select("external_id", "profile_id")
+
+
+_T0, _T1 = "substr(external_id, -1) IN ('1', '2', '3')", "substr(external_id, -1) NOT IN ('1', '0')"
+
+
+@query("f4_known_state", f"""SELECT b.external_id, b.profile_id, a.external_id IS NOT NULL AS known, a.drop_stage AS known_stage FROM (SELECT * FROM v_postings WHERE {_T1}) b
+    LEFT JOIN (SELECT * FROM v_postings WHERE {_T0}) a USING (provider, external_id, profile_id)""")
+def _(v, t):
+    p = v("v_postings")
+    return reports.with_known_state(p.where(_T1), p.where(_T0)).select("external_id", "profile_id", "known", "known_stage")
+
+
+# Incremental state
+
+
+@query("i1_insert_new", f"""SELECT external_id, profile_id, discovered_at FROM v_postings WHERE {_T0} UNION ALL
+    SELECT external_id, profile_id, TIMESTAMP '{ORDERS_NOW}' FROM v_postings WHERE {_T1} AND NOT ({_T0})""")
+def _(v, t):
+    p = v("v_postings")
+    return lifecycle.insert_new(p.where(_T0), p.where(_T1), ts(ORDERS_NOW)).select("external_id", "profile_id", "discovered_at")
+
+
+@query("i2_mark_seen", f"""SELECT external_id, profile_id, CASE WHEN {_T1} THEN TIMESTAMP '{ORDERS_NOW}' ELSE last_seen_at END AS last_seen_at, CASE WHEN {_T1} THEN NULL ELSE removed_at END AS removed_at FROM v_postings WHERE {_T0}""")
+def _(v, t):
+    p = v("v_postings")
+    return lifecycle.mark_seen(p.where(_T0), p.where(_T1), ts(ORDERS_NOW)).select("external_id", "profile_id", "last_seen_at", "removed_at")
+
+
+@query("i3_mark_removed", f"""SELECT external_id, profile_id, CASE WHEN removed_at IS NULL AND provider < 'nation_2' AND last_seen_at < TIMESTAMP '{ORDERS_NOW}' THEN TIMESTAMP '{ORDERS_NOW}' ELSE removed_at END AS removed_at FROM v_postings""")
+def _(v, t):
+    p = v("v_postings")
+    ok = p.where("provider < 'nation_2'").select(*lifecycle.BOARD).distinct().withColumn("fetch_started_at", ts(ORDERS_NOW))
+    return lifecycle.mark_removed(p, ok, ts(ORDERS_NOW)).select("external_id", "profile_id", "removed_at")
+
+
+@query("i4_board_diff", f"""SELECT provider, company_slug, profile_id, count(*) FILTER (NOT o) AS added, count(*) FILTER (NOT n) AS removed, count(*) FILTER (o AND n) AS unchanged
+    FROM (SELECT *, {_T0} AS o, {_T1} AS n FROM v_postings) WHERE o OR n GROUP BY 1, 2, 3""")
+def _(v, t):
+    p = v("v_postings")
+    return lifecycle.board_diff(p.where(_T0), p.where(_T1))
+
+
+@query("i5_claim_rechecks", f"""SELECT external_id, profile_id, TIMESTAMP '{ORDERS_NOW}' AS jd_checked_at FROM v_postings
+    WHERE (drop_stage = 'no-jd' AND discovered_at < TIMESTAMP '{ORDERS_NOW}' - INTERVAL 7 DAY) OR (drop_stage = 'gate-error' AND discovered_at < TIMESTAMP '{ORDERS_NOW}' - INTERVAL 60 MINUTE)""")
+def _(v, t):
+    p = v("v_postings")
+    return lifecycle.claim_rechecks(p, p, ts(ORDERS_NOW)).select("external_id", "profile_id", "jd_checked_at")
+
+
+@query("i8_apply_outcomes", """SELECT provider, slug, CASE WHEN k = 0 THEN 0 WHEN k = 1 THEN consecutive_failures + 1 ELSE consecutive_failures END AS consecutive_failures,
+    CASE WHEN k = 0 AND seen > 0 THEN 0 WHEN k = 0 THEN zero_yield_streak + 1 ELSE zero_yield_streak END AS zero_yield_streak, postings_seen_total + CASE WHEN k = 0 THEN seen ELSE 0 END AS postings_seen_total,
+    CASE WHEN k = 0 AND seen > 0 AND status = 'dormant' THEN 'active' WHEN k = 1 AND consecutive_failures + 1 >= 5 AND status = 'active' THEN 'broken' ELSE status END AS status
+    FROM (SELECT *, postings_seen_total % 4 AS k, consecutive_failures AS seen FROM v_companies)""")
+def _(v, t):
+    c = v("v_companies")
+    k = F.col("postings_seen_total") % 4
+    outcomes = c.where(k < 3).select("provider", "slug", F.when(k == 0, F.col("consecutive_failures")).alias("seen"), F.when(k > 0, "boom").alias("error"), (k == 2).alias("transport_fault"))
+    return lifecycle.apply_outcomes(c, outcomes, ts(EVENTS_NOW)).select("provider", "slug", "consecutive_failures", "zero_yield_streak", "postings_seen_total", "status")
+
+
+@query("i9_dormancy", "SELECT slug, CASE WHEN status = 'active' AND parsing_strategy <> 'api' AND zero_yield_streak >= 1 THEN 'dormant' ELSE status END AS status FROM v_companies")
+def _(v, t):
+    return lifecycle.apply_dormancy(v("v_companies"), 1).select("slug", "status")
+
+
+@query("i10_bump_matched", """SELECT slug, postings_matched_total + coalesce(n, 0) AS postings_matched_total FROM v_companies c
+    LEFT JOIN (SELECT provider, company_slug, count(*) AS n FROM v_postings WHERE coalesce(drop_stage, 'green') IN ('green', 'yellow') GROUP BY 1, 2) p ON p.provider = c.provider AND p.company_slug = c.slug""")
+def _(v, t):
+    return lifecycle.bump_matched(v("v_companies"), v("v_postings").withColumn("decision", F.coalesce("drop_stage", F.lit("green")))).select("slug", "postings_matched_total")
+
+
+@query("i12_recruiter_status", "SELECT email, CASE WHEN status = 'bounced' THEN status WHEN c_custkey % 2 = 0 THEN 'verified' ELSE status END AS status FROM v_recruiters")
+def _(v, t):
+    r = v("v_recruiters")
+    return lifecycle.set_recruiter_status(r, r.where("c_custkey % 2 = 0").select("email", F.lit("verified").alias("new_status"))).select("email", "status")
+
+
+# Filters and verdicts
+
+
+@query("d1_check_location", """SELECT external_id, profile_id, reason IN ('remote-accept', 'in-region-remote', 'in-region') AS accept, reason FROM (SELECT external_id, profile_id, CASE WHEN location IS NULL THEN 'no-location'
+    WHEN lower(location) LIKE '%nation_9%' THEN 'geo-rejected' WHEN regexp_matches(lower(location), '\\b(nation_7|nation_8)\\b') THEN 'geo-rejected' WHEN lower(location) LIKE '%remote%' THEN 'remote-accept'
+    WHEN regexp_matches(lower(location), '\\b(nation_1|nation_2|nation_3)\\b') THEN CASE WHEN is_remote THEN 'in-region-remote' ELSE 'in-region' END ELSE 'out-of-region' END AS reason FROM v_postings)""")
+def _(v, t):
+    return v("v_postings").select("external_id", "profile_id", filters.check_location(F.col("location"), F.col("is_remote"), PROFILE).alias("x")).select("external_id", "profile_id", "x.*")
+
+
+@query("d4_check_title", """SELECT external_id, profile_id, reason IS NOT NULL AS skip, reason FROM (SELECT external_id, profile_id, CASE WHEN regexp_matches(trim(job_title), '^red') THEN '^red' WHEN regexp_matches(trim(job_title), 'gear$') THEN 'gear$' END AS reason FROM v_postings)""")
+def _(v, t):
+    return v("v_postings").select("external_id", "profile_id", filters.check_title(F.col("job_title"), PROFILE.title_deny).alias("x")).select("external_id", "profile_id", "x.*")
+
+
+@query("d5_denied_company", """SELECT slug, CASE WHEN slug = 'supplier-7' THEN 'noise:staffing' WHEN slug LIKE '%-1%' THEN 'services-slug:-1' WHEN name LIKE '%00003%' THEN 'services-name:00003' END AS deny_reason FROM v_companies""")
+def _(v, t):
+    return filters.denied_company(v("v_companies"), PROFILE).select("slug", "deny_reason")
+
+
+@query("d6_junk_jd", """SELECT doc_id, trim(text) <> '' AND NOT regexp_matches(text, '[a-zA-Z0-9]') AS junk FROM documents""")
+def _(v, t):
+    return t("documents").select("doc_id", filters.is_junk_jd(F.col("text")).alias("junk"))
+
+
+@query("d7_stated_years", """SELECT id, CASE WHEN id % 7 = 4 AND o_custkey % 30 BETWEEN 1 AND 25 THEN CAST(o_custkey % 30 AS INT) WHEN id % 7 = 5 THEN 3 END AS years FROM v_texts WHERE id % 7 IN (3, 4, 6)""")
+def _(v, t):
+    return v("v_texts").where("id % 7 IN (3, 4, 6)").select("id", filters.stated_yoe_min(F.col("body")).alias("years"))
+
+
+@query("d8_salary", """SELECT id, CASE id % 7 WHEN 0 THEN 1000.0 * (50 + o_custkey % 90) WHEN 1 THEN 2080.0 * (10 + o_custkey % 50) WHEN 2 THEN 100000.0 * (5 + o_custkey % 20) END::DOUBLE AS annual_min,
+    CASE id % 7 WHEN 0 THEN 1000.0 * (70 + o_custkey % 90) WHEN 1 THEN 2080.0 * (10 + o_custkey % 50) WHEN 2 THEN 100000.0 * (26 + o_custkey % 9) END::DOUBLE AS annual_max,
+    CASE id % 7 WHEN 0 THEN 'USD' WHEN 1 THEN 'USD' WHEN 2 THEN 'INR' END AS currency, CASE id % 7 WHEN 0 THEN 'year' WHEN 1 THEN 'hour' WHEN 2 THEN 'year' END AS period FROM v_texts""")
+def _(v, t):
+    return v("v_texts").select("id", filters.extract_salary(F.col("body")).alias("s")).select("id", "s.annual_min", "s.annual_max", "s.currency", "s.period")
+
+
+@query("e4_verdict", """SELECT doc_id, CASE WHEN deal_breaker_severity = 'hard' THEN 'silent' WHEN match_score < 0.65 THEN CASE WHEN regexp_matches(job_title, 'src1') AND NOT coalesce(yoe_min >= 6, false) THEN 'yellow' ELSE 'silent' END
+    WHEN yoe_min >= 6 THEN 'silent' WHEN deal_breaker_severity = 'soft' THEN 'yellow' WHEN yoe_min IS NULL AND yoe_max IS NULL THEN 'yellow' WHEN yoe_min > 4.5 THEN 'yellow' WHEN yoe_max < 4.5 THEN 'yellow'
+    WHEN match_score >= 0.8 THEN 'green' ELSE 'yellow' END AS severity FROM v_gate""")
+def _(v, t):
+    return v("v_gate").select("doc_id", filters.classify_verdict(PROFILE)["severity"].alias("severity"))
+
+
+# Scalar functions
+
+
+@query("c1_html_to_text")
+def _(v, t):
+    return t("pages").select("page_id", text.html_to_text(F.col("html")).alias("body"))
+
+
+@query("c3_collapse_ws", "SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS body FROM documents")
+def _(v, t):
+    return t("documents").select("doc_id", F.md5(text.collapse_ws(F.col("text"))).alias("body"))
+
+
+@query("c5_is_remote", "SELECT external_id, profile_id, coalesce(regexp_matches(lower(location), '\\bremote\\b'), false) AS remote FROM v_postings")
+def _(v, t):
+    return v("v_postings").select("external_id", "profile_id", text.is_remote(F.col("location")).alias("remote"))
+
+
+@query("c10_slugs", "SELECT s_suppkey, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, 'custom::' || trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '-') AS key FROM supplier")
+def _(v, t):
+    none = F.lit(None).cast("string")
+    return t("supplier").select("s_suppkey", text.kebab_case(F.col("s_name")).alias("slug"), text.registry_key(none, none, F.col("s_name")).alias("key"))
+
+
+@query("c13_company_name", "SELECT email, regexp_replace(trim(regexp_replace(regexp_replace(lower(company), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '( (pvt|ltd|inc))+$', '') AS company_norm FROM v_recruiters")
+def _(v, t):
+    return v("v_recruiters").select("email", text.normalize_company_name(F.col("company")).alias("company_norm"))
+
+
+@query("c14_domain_label", "SELECT email, split_part(split_part(email, '@', 2), '.', 1) AS label FROM v_recruiters")
+def _(v, t):
+    return v("v_recruiters").select("email", text.domain_label(F.col("email")).alias("label"))
+
+
+@query("c16_notify_key", "SELECT external_id, profile_id, company_slug || '|' || lower(job_title) || '|' || coalesce(lower(location), '') AS notify_key FROM v_postings")
+def _(v, t):
+    return v("v_postings").select("external_id", "profile_id", text.notify_key(F.col("company_slug"), F.col("job_title"), F.col("location")).alias("notify_key"))
+
+
+@query("c18_template", "SELECT email, 'Hi ' || company || ', about ' || lower(c_mktsegment) || '.' AS body FROM v_recruiters")
+def _(v, t):
+    body = text.compile_template("Hi {{company}}, about {{role}}.", company=F.col("company"), role=F.lower("c_mktsegment"))
+    return v("v_recruiters").select("email", body.alias("body"))
+
+
+@query("c19_ist_date", "SELECT event_id, CAST(ts + INTERVAL 330 MINUTE AS DATE) AS day FROM events")
+def _(v, t):
+    return t("events").select("event_id", times.ist_date(F.col("ts")).alias("day"))
+
+
+@query("c7_parse_relative", f"SELECT event_id, TIMESTAMP '{EVENTS_NOW}' - to_days(CAST(event_id % 40 * CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 7 ELSE 30 END AS INT)) AS at FROM events")
+def _(v, t):
+    said = F.concat(F.lit("Posted "), (F.col("event_id") % 40).cast("string"), F.element_at(F.array(F.lit("+ days ago"), F.lit(" weeks ago"), F.lit(" Months Ago")), (F.col("event_id") % 3).cast("int") + 1))
+    return t("events").select("event_id", times.parse_relative(said, ts(EVENTS_NOW)).alias("at"))
+
+
+@query("c21_url_path_text", "SELECT page_id, lower(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[-_/.+]', ' ', 'g')) AS words FROM pages")
+def _(v, t):
+    return t("pages").select("page_id", text.url_path_text(F.col("url")).alias("words"))
+
+
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return QUERIES["f1_notified_with_company"](spark, sf_dir)
