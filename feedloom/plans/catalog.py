@@ -92,7 +92,7 @@ def _(v, t):
 
 
 @query("g9_aggregator_guard", """WITH n AS (SELECT provider, company_slug, lower(job_title) AS low, min({'external_id': external_id, 'company_name': job_title}) AS f FROM v_postings GROUP BY 1, 2, 3)
-    SELECT provider, company_slug, count(*) AS companies, array_to_string(list_transform(list_slice(list_sort(list(f)), 1, 3), x -> x.company_name), '; ') AS sample FROM n GROUP BY 1, 2 HAVING count(*) > 10""")
+    SELECT provider, company_slug, count(*) AS companies, array_to_string(list_transform(list_slice(list_sort(list(f)), 1, 3), lambda x: x.company_name), '; ') AS sample FROM n GROUP BY 1, 2 HAVING count(*) > 10""")
 def _(v, t):
     found = reports.aggregator_warnings(v("v_postings").withColumn("company_name", F.col("job_title")))
     return found.withColumn("sample", F.array_join("sample", "; "))
