@@ -7,7 +7,6 @@ import xxhash
 
 #: Odd multipliers of the two sequence hashes (modulo 2**64).
 BASES = (0x9E3779B97F4A7C15 | 3, 0xC2B2AE3D27D4EB4F)
-_MASK = (1 << 64) - 1
 
 
 class WordHashes(dict):
@@ -63,5 +62,22 @@ class Sequence:
         return (self.sums[b] - self.sums[a]) * self.down[a]
 
 
+class ByteWords:
+    """Hashes of the words (runs other than space and 0x09-0x0D) of a byte string, from prefix sums over its bytes."""
+
+    def __init__(self) -> None:
+        self.powers = Powers(BASES[1])
+        self.space = np.zeros(256, dtype=np.int8)
+        self.space[[9, 10, 11, 12, 13, 32]] = 1
+
+    def of(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and first byte of each word."""
+        codes = np.frombuffer(data, dtype=np.uint8)
+        edge = np.diff(self.space[codes], prepend=np.int8(1), append=np.int8(1))
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        whole = Sequence(codes.astype(np.uint64) + np.uint64(1), self.powers)
+        return mix(whole.stretch(starts, ends) + ((ends - starts).astype(np.uint64) << np.uint64(48))), starts
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

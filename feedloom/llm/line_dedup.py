@@ -1,6 +1,6 @@
 """Line dedup by deletion neighbourhoods over words.
 
-A line is its words (runs without white space). Lines of EXACT_WORDS words or more that repeat, and lines of NEAR_WORDS
+A line is its words (runs other than space and 0x09-0x0D). Lines of EXACT_WORDS words or more that repeat, and lines of NEAR_WORDS
 words or more within one word's edit (a word inserted, deleted or replaced) of a line that stands earlier, are removed;
 the earliest stays. Earlier means a smaller doc_id (null first), then the text's hash, then the line's number; rows of
 equal id and text count as one document. Shorter and blank lines always stay.
@@ -28,92 +28,106 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import BITMAP_BITS, bitmap_of, in_bitmap, saved
-from feedloom.llm.hashing import BASES, Powers, Sequence, WordHashes, mix, signed
+from feedloom.llm.hashing import BASES, ByteWords, Powers, Sequence, mix, signed
 
 EXACT_WORDS, NEAR_WORDS = 5, 10
-#: Suspected lines a task holds before it hands them on.
-HELD_LINES = 20_000
+#: Characters of text that are hashed in one go.
+GROUP_CHARS = 200_000
 
 
 class _Lines:
-    """Hashes of a text's lines."""
+    """Hashes of many texts' lines at once."""
 
     def __init__(self) -> None:
-        self.words, self.powers = WordHashes(), [Powers(b) for b in BASES]
-
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Number, words, both hashes and four keys of each line that counts; keys are 0 where a line is short."""
-        lines = [line.encode("utf-8", "surrogatepass").split() for line in text.split("\n")]
-        sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+        self.words, self.powers = ByteWords(), [Powers(b) for b in BASES]
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, number, both hashes and four keys of each line that counts; keys are 0 where a line is short."""
+        data = [t.encode("utf-8", "surrogatepass") for t in texts]
+        many = np.array([d.count(b"\n") + 1 for d in data])
+        whole = b"\n".join(data)
+        values, starts = self.words.of(whole)
+        breaks = np.flatnonzero(np.frombuffer(whole, dtype=np.uint8) == 10)
+        sizes = np.bincount(np.searchsorted(breaks, starts), minlength=many.sum())
         ends = np.cumsum(sizes)
-        values = self.words.of([w for line in lines for w in line])
         at = np.flatnonzero(sizes >= EXACT_WORDS)
         n, b = sizes[at], ends[at]
         a = b - n
         first, second = (Sequence(values, p) for p in self.powers)
         length = n.astype(np.uint64)
-        ids = np.stack([mix(first.stretch(a, b) + length), mix(second.stretch(a, b) ^ (length << np.uint64(32)))], axis=1) if len(at) else np.zeros((0, 2), np.uint64)
+        ids = np.stack([mix(first.stretch(a, b) + length), mix(second.stretch(a, b) ^ (length << np.uint64(32)))], axis=1)
         keys = []
         for size in (n, n + 1):
             half = (size - 1) // 2
             for side, (x, y) in enumerate(((a, a + half), (b - half, b))):
                 keys.append(mix(second.stretch(x, y) + mix((size * 2 + side).astype(np.uint64))))
-        shared = np.where((n >= NEAR_WORDS)[:, None], np.stack(keys, axis=1), np.uint64(0)) if len(at) else np.zeros((0, 4), np.uint64)
-        return at, n, ids, shared
+        shared = np.where((n >= NEAR_WORDS)[:, None], np.stack(keys, axis=1), np.uint64(0))
+        owner = np.repeat(np.arange(len(texts)), many)[at]
+        return owner, at - (np.cumsum(many) - many)[owner], ids, shared
+
+
+def _groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Stretches of texts of about GROUP_CHARS characters, with where they start."""
+    start = total = 0
+    for i, text in enumerate(texts):
+        total += len(text)
+        if total >= GROUP_CHARS:
+            yield start, texts[start : i + 1]
+            start, total = i + 1, 0
+    if start < len(texts):
+        yield start, texts[start:]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, tie, text) -> doc, tie, line, h1, h2, keys."""
     reader = _Lines()
     for batch in batches:
-        rows, numbers, ids, keys = [], [], [], []
-        for i, text in enumerate(batch.column(2).to_pylist()):
-            at, _, own, shared = reader.read(text)
-            rows.append(np.full(len(at), i)), numbers.append(at), ids.append(own), keys.append(shared)
-        if not rows:
-            continue
-        who = pa.array(np.concatenate(rows))
-        both, four = np.concatenate(ids), np.concatenate(keys)
-        near = four[:, 0] != 0
-        spread = np.concatenate([[0], np.cumsum(np.where(near, 4, 0))]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(spread), pa.array(signed(np.ascontiguousarray(four[near]).ravel())))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(who), batch.column(1).take(who), pa.array(np.concatenate(numbers).astype(np.int32)), pa.array(signed(np.ascontiguousarray(both[:, 0]))), pa.array(signed(np.ascontiguousarray(both[:, 1]))), lists],
-            names=["doc", "tie", "line", "h1", "h2", "keys"],
-        )
-
-
-def _suspects(bitmap: np.ndarray):
-    """(doc, tie, text) -> h1, h2, doc, tie, line, words: lines that have a marked key."""
+        for start, texts in _groups(batch.column(2).to_pylist()):
+            owner, number, ids, four = reader.read(texts)
+            who = pa.array(owner + start)
+            near = four[:, 0] != 0
+            spread = np.concatenate([[0], np.cumsum(np.where(near, 4, 0))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(spread), pa.array(signed(np.ascontiguousarray(four[near]).ravel())))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(who), batch.column(1).take(who), pa.array(number.astype(np.int32)), pa.array(signed(np.ascontiguousarray(ids[:, 0]))), pa.array(signed(np.ascontiguousarray(ids[:, 1]))), lists],
+                names=["doc", "tie", "line", "h1", "h2", "keys"],
+            )
+
+
+def _suspects(keys: np.ndarray, ties: np.ndarray):
+    """(doc, tie, text) -> h1, h2, doc, tie, line, body: lines that have a marked key, of marked texts."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Lines()
         for batch in batches:
-            out = []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                at, _, own, shared = reader.read(text)
-                marked = in_bitmap(bitmap, shared) & (shared != 0)
-                hits = np.flatnonzero(marked.any(axis=1))
-                if len(hits):
-                    lines = text.split("\n")
-                    out += [(i, int(at[k]), own[k, 0], own[k, 1], lines[at[k]]) for k in hits]
-            for a in range(0, len(out), HELD_LINES):
-                part = out[a : a + HELD_LINES]
-                who = pa.array([x[0] for x in part])
+            batch = batch.filter(pa.array(in_bitmap(ties, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))))
+            for start, texts in _groups(batch.column(2).to_pylist()):
+                owner, number, ids, shared = reader.read(texts)
+                hits = np.flatnonzero((in_bitmap(keys, shared) & (shared != 0)).any(axis=1))
+                who = pa.array(owner[hits] + start)
+                bodies = [texts[i].split("\n")[k] for i, k in zip(owner[hits].tolist(), number[hits].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(np.array([x[2] for x in part], np.uint64))), pa.array(signed(np.array([x[3] for x in part], np.uint64))), batch.column(0).take(who), batch.column(1).take(who), pa.array([x[1] for x in part], pa.int32()), pa.array([x[4] for x in part], pa.string())],
+                    [pa.array(signed(np.ascontiguousarray(ids[hits, 0]))), pa.array(signed(np.ascontiguousarray(ids[hits, 1]))), batch.column(0).take(who), batch.column(1).take(who), pa.array(number[hits].astype(np.int32)), pa.array(bodies, pa.string())],
                     names=["h1", "h2", "doc", "tie", "line", "body"],
                 )
 
     return rows
 
 
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h1, h2, body) -> h1, h2, kind, key: the deletion neighbourhood of a line. Kinds: s, replaced; d, one word fewer; f, the line."""
-    words, powers = WordHashes(), Powers(BASES[0])
+def _variants(marked: np.ndarray | None = None):
+    """(h1, h2, body) -> h1, h2, kind, key: the deletion neighbourhood of a line, or what of it is marked.
+
+    Kinds: 0, a word may be replaced; 1, one word fewer; 2, the line itself.
+    """
+    return lambda batches: _neighbours(batches, marked)
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch], marked: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    words, powers = ByteWords(), Powers(BASES[0])
     for batch in batches:
         keys, kinds, rows = [], [], []
         for i, body in enumerate(batch.column(2).to_pylist()):
-            values = words.of(body.encode("utf-8", "surrogatepass").split())
+            values, _ = words.of(body.encode("utf-8", "surrogatepass"))
             n = len(values)
             line = Sequence(values, powers)
             place = np.arange(n)
@@ -123,7 +137,11 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append(np.full(2 * n + 1, i))
         if not rows:
             continue
-        who, key, kind = pa.array(np.concatenate(rows)), np.concatenate(keys), np.concatenate(kinds)
+        who, key, kind = np.concatenate(rows), np.concatenate(keys), np.concatenate(kinds)
+        if marked is not None:
+            keep = in_bitmap(marked, key)
+            who, key, kind = who[keep], key[keep], kind[keep]
+        who = pa.array(who)
         for a in range(0, len(key), 50_000):
             part = who.slice(a, 50_000)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(part), batch.column(1).take(part), pa.array(kind[a : a + 50_000]), pa.array(signed(key[a : a + 50_000]))], names=["h1", "h2", "kind", "key"])
@@ -155,25 +173,37 @@ def _place() -> Column:
     return F.struct(F.col("doc").isNotNull().alias("known"), F.col("doc"), F.col("tie"), F.col("line"))
 
 
+def _met_by_two(keys: DataFrame) -> DataFrame:
+    """Keys (key, h1) that two lines or more have."""
+    return keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
+
+
+def _with_marked_key(bitmap: np.ndarray):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            four = batch.column(5).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 4)
+            yield batch.filter(pa.array(in_bitmap(bitmap, four).any(axis=1)))
+
+    return rows
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int = BITMAP_BITS) -> DataFrame:
     """doc, tie, line, first_doc for each line to remove; first_doc is the document of the line it repeats."""
     id_type = docs.schema[id_col].dataType.simpleString()
     source = _sources(docs, id_col, text)
     lines = saved(source.mapInArrow(_scan, f"doc {id_type}, tie long, line int, h1 long, h2 long, keys array<long>"), "lines")
 
-    shared = lines.select(F.explode("keys").alias("key"), "h1", "h2").groupBy("key").agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b"))
-    bitmap = bitmap_of(shared.where("a <> b"), "key", bits)
-    suspects = source.mapInArrow(_suspects(bitmap), f"h1 long, h2 long, doc {id_type}, tie long, line int, body string")
+    shared = _met_by_two(lines.select(F.explode("keys").alias("key"), "h1"))
+    keys = bitmap_of(shared, "key", bits)
+    marked = lines.where(F.size("keys") > 0).mapInArrow(_with_marked_key(keys), lines.schema)
+    places = marked.groupBy("h1", "h2").agg(F.min(_place()).alias("place")).select(F.col("place.tie").alias("key")).distinct()
+    suspects = source.mapInArrow(_suspects(keys, bitmap_of(places, "key", bits)), f"h1 long, h2 long, doc {id_type}, tie long, line int, body string")
     suspects = saved(suspects.groupBy("h1", "h2").agg(F.min(_place()).alias("place"), F.first("body").alias("body")), "suspects")
 
-    spread = suspects.select("h1", "h2", "body").mapInArrow(_variants, "h1 long, h2 long, kind tinyint, key long")
     one = F.struct("place", "h1", "h2")
-    # A line's place is joined to its variants only under keys that two lines share.
-    held = spread.groupBy("key").agg(
-        F.min(F.when(F.col("kind") == 0, F.struct("h1", "h2"))).alias("s1"), F.max(F.when(F.col("kind") == 0, F.struct("h1", "h2"))).alias("s2"),
-        F.max(F.when(F.col("kind") == 1, 1)).alias("d"), F.max(F.when(F.col("kind") == 2, 1)).alias("f"),
-    ).where("s1 <> s2 OR (d = 1 AND f = 1)").select("key")
-    met = saved(spread.join(held, "key").join(suspects.select("h1", "h2", "place"), ["h1", "h2"]), "met")
+    bodies, neighbours = suspects.select("h1", "h2", "body"), "h1 long, h2 long, kind tinyint, key long"
+    held = bitmap_of(_met_by_two(bodies.mapInArrow(_variants(), neighbours).select("key", "h1")), "key", bits)
+    met = saved(bodies.mapInArrow(_variants(held), neighbours).join(suspects.select("h1", "h2", "place"), ["h1", "h2"]), "met")
     least = met.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, one)).alias(c) for k, c in ((0, "s"), (1, "d"), (2, "f"))])
     partner = F.when(F.col("kind") == 0, F.col("s")).when(F.col("kind") == 1, F.col("f")).otherwise(F.col("d"))
     pairs = met.join(least, "key").withColumn("partner", partner).where("partner.place < place")
