@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from feedloom.functions import text
-from feedloom.operators import decide, normalise, outreach, reports
+from feedloom.operators import decide, normalise, outreach, reports, urls
 from feedloom.plans.catalog import EVENTS_NOW, ORDERS_NOW, PROFILE, QUERIES, ORACLES, query, ts
 from feedloom.plans.tables import table
 from feedloom.streaming import feed
@@ -228,3 +228,20 @@ QUERIES["i23_stream_dedup"] = _run_dedup
 ORACLES["i23_stream_dedup"] = "SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) AS notify_key FROM events"
 
 __all__ = ["EVENTS_NOW", "ORACLES", "QUERIES"]
+
+
+# Urls
+
+
+@query("b15_resolve_job_urls", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'greenhouse' WHEN page_id % 3 = 1 THEN 'ashby' END AS provider, CASE WHEN page_id % 3 < 2 THEN 'acme' END AS slug_hint, CASE WHEN page_id % 3 < 2 THEN 'j' || CAST(page_id AS VARCHAR) END AS external_id FROM pages")
+def _(v, t):
+    number = F.concat(F.lit("j"), F.col("page_id").cast("string"))
+    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://boards.greenhouse.io/acme/jobs/"), number)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://jobs.ashbyhq.com/acme/"), number)).otherwise(F.col("url"))
+    return urls.resolve_job_urls(t("pages").select("page_id", url.alias("url")), "url").select("page_id", "provider", "slug_hint", "external_id")
+
+
+@query("f8_find_postings", "SELECT external_id, profile_id FROM v_postings WHERE profile_id = 'p0'")
+def _(v, t):
+    p = v("v_postings")
+    asked = p.where("profile_id = 'p0'").select(F.concat("job_url", F.lit("?utm=1")).alias("url")).distinct()
+    return urls.find_postings(urls.resolve_job_urls(asked, "url"), p, "p0").select("external_id", F.lit("p0").alias("profile_id"))

@@ -119,3 +119,39 @@ def test_catalog_names():
     from feedloom.plans import catalog
 
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
+
+
+def test_job_urls(spark):
+    from feedloom.operators import urls
+
+    uuid = "0f8fad5b-d9cb-469f-a165-70867728950e"
+    cases = {
+        "https://boards.greenhouse.io/acme/jobs/123?x=1": ("greenhouse", "acme", "123"),
+        f"https://jobs.lever.co/acme/{uuid}/apply": ("lever", "acme", uuid),
+        "https://jobs.lever.co/acme/123": (None, None, None),
+        "https://jobs.smartrecruiters.com/Acme/744-analyst": ("smartrecruiters", "Acme", "744"),
+        "https://acme.wd1.myworkdayjobs.com/en/site/job/Pune/Analyst_R12": ("workday", "acme", "Analyst_R12"),
+        "https://acme.wd1.myworkdayjobs.com/en": ("workday", "acme", None),
+        "https://acme.bamboohr.com/careers/list": (None, None, None),
+        "https://www.acme.example/careers?gh_jid=9": ("greenhouse", None, "9"),
+        "https://jobs.acme.example/job/Analyst/987-en_US/": (None, "jobs.acme.example", "987"),
+        "nonsense": (None, None, None),
+    }
+    df = spark.createDataFrame([(u,) for u in cases], "url string")
+    resolved = urls.resolve_job_urls(df, "url")
+    assert {r["url"]: (r["provider"], r["slug_hint"], r["external_id"]) for r in resolved.collect()} == cases
+    companies = spark.createDataFrame([("greenhouse", "acme", "Acme", "https://careers.acme.example/x"), ("sf", "a2", "Acme 2", "https://x.jobs.acme.example/")], "provider string, slug string, name string, careers_url string")
+    found = {(r["url"][:25], r["slug"]) for r in urls.find_companies(resolved, companies).collect()}
+    assert found == {("https://boards.greenhouse", "acme"), ("https://jobs.acme.example", "a2")}
+    postings = spark.createDataFrame([("greenhouse", "123", "u", "https://z/1"), ("sf", "5", "u", "https://jobs.acme.example/job/Analyst/987-en_US/more")], "provider string, external_id string, profile_id string, job_url string")
+    assert sorted(r["external_id"] for r in urls.find_postings(resolved, postings, "u").collect()) == ["123", "5"]
+
+
+def test_html_boards(spark):
+    from feedloom.operators.html_boards import HtmlBoard, normalize_html
+
+    html = '<ul class="jobs"><li data-id="7"><h3>Role: Analyst</h3><a href="/j/7">go</a><span class="loc">Pune<br></span></li><li><h3>Role: Lead</h3><a href="x/8?y=1">go</a></li><li><h3>General application</h3></li></ul><ul><li><h3>no</h3></li></ul>'
+    pages = spark.createDataFrame([("p", "s", 1, "https://a.example/c/list", html), ("p", "s", 2, "https://a.example/c/list", html)], "provider string, slug string, page int, url string, html string")
+    board = HtmlBoard("ul.jobs li", "h3", "a@href", ".loc", "India", "^General", r"Role: (.*)", "data-id")
+    got = sorted(tuple(r)[2:6] for r in normalize_html(pages, board).collect())
+    assert got == [("7", "Analyst", "https://a.example/j/7", "Pune"), ("c/x/8", "Lead", "https://a.example/c/x/8?y=1", "India")]
