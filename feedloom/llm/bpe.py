@@ -1,15 +1,15 @@
 """BPE encoding and decoding over a table of distinct words.
 
-Each task splits its texts into words and closes a block when the block's vocabulary reaches BLOCK_WORDS words. A block
-gives one row per distinct word (block, place, word) and one row per text with the places of its words. The word rows of
-all blocks meet by word, where each distinct word is encoded once; the ids go back to the blocks by (block, place), and
-every text's ids follow from its places. Decoding joins ids to the vocabulary's pieces. A block is named by a hash of its
-vocabulary, so a recomputed task names its blocks alike, and texts whose block has no ids raise an error.
-
-Splitting agrees with the tokenizer file: special tokens are found in the raw text; what stands between is normalised and
-split by the file's pattern. Texts of code points below U+0300 are split by one compiled pattern; all others by the
-library's own normaliser and splitter. Null and empty texts have no ids. Repeated rows and repeated or null ids give a row
-each; an empty table gives an empty result.
+Each task splits its texts into words and closes a block when the block's vocabulary reaches BLOCK_WORDS words. A block gives one row per distinct word (block, place, word) and one row per text with the places of its words. The
+word rows of all blocks meet by word, where each distinct word is encoded once; the ids go back to the blocks by (block,
+place), and every text's ids follow from its places. Decoding joins ids to the vocabulary's pieces. A block is named by a
+hash of its vocabulary, so a recomputed task names its blocks alike, and texts whose block has no ids raise an error.
+
+No token of the tokenizer file reaches across white space, so texts are cut there first. Pieces of code points below U+0300
+are then lower-cased and split by the file's pattern, which is what its normaliser and splitter do to them; other pieces,
+and those that may hold a special token, are words as they stand. Either way the file's own tokenizer encodes the words.
+Null and empty texts have no ids. Repeated rows and repeated or null ids give a row each; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,13 @@ from pyspark.sql import functions as F
 #: Distinct words of a block at most (one text may go beyond it).
 BLOCK_WORDS = 400_000
 
-# The word pattern of the tokenizer file, and the white space below U+0300.
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\x09-\x0d\x20\x85\xa0\p{L}\p{N}]+"
+#: Texts with other code points are not lower-cased here; composing could change what lower case is.
+_BEYOND = re.compile("[^\x00-\u02ff]")
+#: White space to str.split() but not to the tokenizer file.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_PIECES = re.compile("[^\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+# The word pattern of the tokenizer file, for text without white space.
+_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+"
 
 
 def tokenizer_file(path: str | None = None) -> str:
@@ -45,46 +51,33 @@ def tokenizer_file(path: str | None = None) -> str:
         return f.read()
 
 
-def splitter(spec: str) -> Callable[[str], list[str]]:
-    """text -> normalised words; special tokens come out as themselves."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_str(spec)
-    words = regex.compile(WORD, regex.V1)
-    beyond = re.compile("[^\x00-\u02ff]")
-    specials = [t["content"] for t in json.loads(spec)["added_tokens"]]
-    special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
+class WordSplitter:
+    """Text -> words."""
 
-    def plain(text: str) -> list[str]:
-        if not beyond.search(text):
-            return words.findall(text.lower())
-        normal = tokenizer.normalizer.normalize_str(text)
-        return [normal[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+    def __init__(self) -> None:
+        self.pattern = regex.compile(_WORD, regex.V1)
 
-    def split(text: str) -> list[str]:
-        if special is None or "<|" not in text or not special.search(text):
-            return plain(text)
-        out: list[str] = []
-        for i, part in enumerate(special.split(text)):
-            out += [part] if i % 2 else plain(part)
-        return out
+    def pieces(self, text: str) -> tuple[list[str], bool]:
+        """The pieces, and whether they are to be split further."""
+        plain = "<|" not in text and not _BEYOND.search(text)
+        if plain:
+            text = text.lower()
+        return _PIECES.findall(text) if _SEPARATORS.search(text) else text.split(), plain
 
-    return split
+    def __call__(self, text: str) -> list[str]:
+        pieces, plain = self.pieces(text)
+        return [w for p in pieces for w in self.pattern.findall(p)] if plain else pieces
 
 
 def word_encoder(spec: str) -> Callable[[list[str]], list[list[int]]]:
-    """Words as split -> ids; nothing is normalised again."""
+    """Words -> ids."""
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    parsed = json.loads(spec)
-    special = {t["content"]: [t["id"]] for t in parsed["added_tokens"]}
-    bare = Tokenizer.from_str(json.dumps(parsed | {"normalizer": None, "added_tokens": []}))
-
-    def encode(words: list[str]) -> list[list[int]]:
-        return [special.get(w) or e.ids for w, e in zip(words, bare.encode_batch_fast(words, add_special_tokens=False), strict=True)]
-
-    return encode
+    tokenizer = Tokenizer.from_str(spec)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
 def pieces_of(spec: str) -> list[str]:
@@ -96,11 +89,31 @@ def pieces_of(spec: str) -> list[str]:
     return out
 
 
+def id_type_of(spec: str) -> str:
+    """Two bytes hold the ids of a vocabulary of this size, or four."""
+    return "<u2" if len(pieces_of(spec)) <= 1 << 16 else "<u4"
+
+
 class _Places(dict):
+    """Places of words in a block, by first sight, and of the words of each piece."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.of_piece: dict[str, tuple[int, ...]] = {}
+
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
         return n
 
+    def read(self, text: str, split: WordSplitter) -> np.ndarray:
+        pieces, plain = split.pieces(text)
+        if not plain:
+            return np.fromiter(map(self.__getitem__, pieces), dtype=np.uint32, count=len(pieces))
+        known = self.of_piece
+        for p in set(pieces).difference(known):
+            known[p] = tuple([self[w] for w in split.pattern.findall(p)])
+        return np.array(list(chain.from_iterable(map(known.__getitem__, pieces))), dtype=np.uint32)
+
 
 def _pack(places: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
     """Byte planes, so that the high bytes, mostly zero, squeeze well."""
@@ -112,20 +125,19 @@ def _unpack(packed: bytes, expand: zstandard.ZstdDecompressor) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], spec: str, block_words: int) -> Iterator[tuple[str, list[str], list[tuple[object, bytes]]]]:
+def _blocks(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[tuple[int, list[str], list[tuple[object, bytes]]]]:
     """(name, words in order of place, (id, packed places) per text) of each block."""
-    split, squeeze = splitter(spec), zstandard.ZstdCompressor(level=1)
+    split, squeeze = WordSplitter(), zstandard.ZstdCompressor(level=3)
     places, texts = _Places(), []
 
-    def closed() -> tuple[str, list[str], list[tuple[object, bytes]]]:
+    def closed() -> tuple[int, list[str], list[tuple[object, bytes]]]:
         words = list(places)
-        return hashlib.blake2b("\n".join(words).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest(), words, texts
+        name = hashlib.blake2b("\n".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        return int.from_bytes(name, "little", signed=True), words, texts
 
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = split(text or "")
-            at = np.fromiter(map(places.__getitem__, words), dtype=np.uint32, count=len(words))
-            texts.append((key, _pack(at, squeeze)))
+            texts.append((key, _pack(places.read(text or "", split), squeeze)))
             if len(places) >= block_words:
                 yield closed()
                 places, texts = _Places(), []
@@ -133,31 +145,31 @@ def _blocks(batches: Iterator[pa.RecordBatch], spec: str, block_words: int) -> I
         yield closed()
 
 
-def block_words(docs: DataFrame, spec: str, id_col: str = "doc_id", text: str = "text", size: int = BLOCK_WORDS) -> DataFrame:
+def block_words(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = BLOCK_WORDS) -> DataFrame:
     """block, place, word: one row per distinct word of each block."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, words, _ in _blocks(batches, spec, size):
+        for block, words, _ in _blocks(batches, size):
             for a in range(0, len(words), 20_000):
                 part = words[a : a + 20_000]
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(part), pa.string()), "place": pa.array(range(a, a + len(part)), pa.int32()), "word": pa.array(part, pa.string())})
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(part), pa.int64()), "place": pa.array(range(a, a + len(part)), pa.int32()), "word": pa.array(part, pa.string())})
 
-    return docs.select(id_col, text).mapInArrow(rows, "block string, place int, word string")
+    return docs.select(id_col, text).mapInArrow(rows, "block long, place int, word string")
 
 
-def block_texts(docs: DataFrame, spec: str, id_col: str = "doc_id", text: str = "text", size: int = BLOCK_WORDS) -> DataFrame:
+def block_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = BLOCK_WORDS) -> DataFrame:
     """block, id, places: one row per text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, texts in _blocks(batches, spec, size):
+        for block, _, texts in _blocks(batches, size):
             for a in range(0, len(texts), 2000):
                 part = texts[a : a + 2000]
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(part), pa.string()), "id": pa.array([k for k, _ in part], id_type), "places": pa.array([p for _, p in part], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(part), pa.int64()), "id": pa.array([k for k, _ in part], id_type), "places": pa.array([p for _, p in part], pa.binary())})
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(docs.schema[id_col].dataType)
-    return docs.select(id_col, text).mapInArrow(rows, f"block string, id {docs.schema[id_col].dataType.simpleString()}, places binary")
+    return docs.select(id_col, text).mapInArrow(rows, f"block long, id {docs.schema[id_col].dataType.simpleString()}, places binary")
 
 
 def encode_words(words: DataFrame, spec: str) -> DataFrame:
@@ -165,17 +177,18 @@ def encode_words(words: DataFrame, spec: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(spec)
+        kind = id_type_of(spec)
         for batch in batches:
             runs = pc.dictionary_encode(batch.column("word"))
-            ids = pa.array([np.array(i, dtype="<u4").tobytes() for i in encode(runs.dictionary.to_pylist())], pa.binary())
+            ids = pa.array([np.array(i, dtype=kind).tobytes() for i in encode(runs.dictionary.to_pylist())], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("place"), pc.take(ids, runs.indices)], names=["block", "place", "ids"])
 
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(rows, "block string, place int, ids binary")
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(rows, "block long, place int, ids binary")
 
 
 def assemble(texts: DataFrame, ids: DataFrame, spec: str, build: Callable, columns: str) -> DataFrame:
     """Joins ids back by (block, place). build(id, places, table) -> a result row; table has the ids and pieces by place."""
-    pieces = pieces_of(spec)
+    pieces, kind = [p.encode("utf-8") for p in pieces_of(spec)], id_type_of(spec)
     schema = f"id {texts.schema['id'].dataType.simpleString()}, {columns}"
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -187,7 +200,7 @@ def assemble(texts: DataFrame, ids: DataFrame, spec: str, build: Callable, colum
         size = (pc.max(right.column("place")).as_py() + 1) if right.num_rows else 0
         table = WordTable(size)
         for at, packed in zip(right.column("place").to_pylist(), right.column("ids").to_pylist(), strict=True):
-            table.put(at, np.frombuffer(packed, dtype="<u4").tolist(), pieces)
+            table.put(at, np.frombuffer(packed, dtype=kind).tolist(), pieces)
         out = []
         for key, packed in zip(left.column("id").to_pylist(), left.column("places").to_pylist(), strict=True):
             places = _unpack(packed, expand)
@@ -200,29 +213,37 @@ def assemble(texts: DataFrame, ids: DataFrame, spec: str, build: Callable, colum
 
 
 class WordTable:
-    """By place: a word's number of ids, its ids as decimal text, its decoded pieces."""
+    """By place: a word's ids, the ids as decimal text, and its decoded pieces."""
 
     def __init__(self, size: int):
         self.ids: list[list[int]] = [[]] * size
-        self.numbers: list[str] = [""] * size
-        self.decoded: list[str] = [""] * size
+        self.numbers: list[bytes] = [b""] * size
+        self.decoded: list[bytes] = [b""] * size
+        self.silent = False
 
-    def put(self, at: int, ids: list[int], pieces: list[str]) -> None:
+    def put(self, at: int, ids: list[int], pieces: list[bytes]) -> None:
         self.ids[at] = ids
-        self.numbers[at] = " ".join(map(str, ids))
-        self.decoded[at] = " ".join([pieces[i] for i in ids])
+        self.numbers[at] = b" ".join([b"%d" % i for i in ids]) if len(ids) > 1 else b"%d" % ids[0] if ids else b""
+        self.decoded[at] = b" ".join([pieces[i] for i in ids])
+        self.silent |= not ids
+
+    def spoken(self, places: list[int]) -> list[int]:
+        """Places of words that have ids."""
+        return [p for p in places if self.ids[p]] if self.silent else places
 
 
 def _digest(places: list[int], table: WordTable) -> tuple[int, str, str]:
-    n = sum(map(len, map(table.ids.__getitem__, places)))
-    numbers = " ".join(map(table.numbers.__getitem__, places))
-    decoded = " ".join(map(table.decoded.__getitem__, places))
-    return n, hashlib.sha256(numbers.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()
+    places = table.spoken(places)
+    numbers = b" ".join(map(table.numbers.__getitem__, places))
+    decoded = b" ".join(map(table.decoded.__getitem__, places))
+    n = numbers.count(b" ") + 1 if places else 0
+    return n, hashlib.sha256(numbers).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 def ids_and_digest(places: list[int], table: WordTable) -> tuple[list[int], str]:
-    decoded = " ".join(map(table.decoded.__getitem__, places))
-    return [i for p in places for i in table.ids[p]], hashlib.sha256(decoded.encode("utf-8")).hexdigest()
+    places = table.spoken(places)
+    decoded = b" ".join(map(table.decoded.__getitem__, places))
+    return [i for p in places for i in table.ids[p]], hashlib.sha256(decoded).hexdigest()
 
 
 def _ids(places: list[int], table: WordTable) -> tuple[list[int]]:
@@ -231,8 +252,8 @@ def _ids(places: list[int], table: WordTable) -> tuple[list[int]]:
 
 def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text: str = "text", build: Callable = _ids, columns: str = "ids array<int>") -> DataFrame:
     """The id column and, by default, ids; build and columns may ask for other results of a text's words."""
-    words = block_words(docs, spec, id_col, text)
-    found = assemble(block_texts(docs, spec, id_col, text), encode_words(words, spec), spec, build, columns)
+    words = block_words(docs, id_col, text)
+    found = assemble(block_texts(docs, id_col, text), encode_words(words, spec), spec, build, columns)
     return found.withColumnRenamed("id", id_col)
 
 
