@@ -94,7 +94,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
         both = left.union(left.select("b", "a"))
         nearest = both.groupBy("a").agg(F.min(rank("b")).alias("n"))
-        step = saved(nearest.select(F.col("a").alias("v"), F.least("n", rank("a"))["id"].alias("p")), "step")
+        step = nearest.select(F.col("a").alias("v"), F.least("n", rank("a"))["id"].alias("p"))
         further = step.select(F.col("v").alias("p"), F.col("p").alias("pp"))
         point = saved(step.join(further, "p", "left").select("v", F.coalesce("pp", "p").alias("p")), "point")
         redrawn = (

@@ -3,29 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
 #: Odd multipliers of the two sequence hashes (modulo 2**64).
 BASES = (0x9E3779B97F4A7C15 | 3, 0xC2B2AE3D27D4EB4F)
 
 
-class WordHashes(dict):
-    """64-bit hashes of byte strings, each word hashed once until `limit` words are held."""
-
-    def __init__(self, limit: int = 300_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads all bits of 64-bit values."""
     x = x ^ (x >> np.uint64(30))

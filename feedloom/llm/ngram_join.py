@@ -13,9 +13,12 @@ each partner of its size or larger meets it in at least one of them (pigeonhole)
 3. Each class spends its cover where the counts say it is cheapest; keys that nobody else has cost nothing, and a class
    that can pay with those alone has no partner. Only keys that were paid for go on. A class that cannot buy enough cover
    (next to impossible by the choice of segments) is compared with its whole band.
-4. Within a key, members are verified against a leader, links are joined to components, and whatever still lies in
-   different components goes on with other leaders, twice as many each round, until nothing is open. So a large group of
-   near copies costs a few comparisons per member, not all pairs, and no link between different components is missed.
+4. Within a key, members are verified against one leader and links are joined to components, so a large group of near
+   copies costs a comparison per member, not all pairs.
+5. Keys that still hold several components are finished in blocks: members outside the key's largest component against
+   all its members. A tile of two blocks compares counts of n-grams by hash (a lower bound of the difference of two sets)
+   and returns only pairs of different components that may still be linked; these are verified. No link between different
+   components is missed.
 
 Words are runs other than space and 0x09-0x0D after lower-casing A-Z. Fewer words than the n-gram's length make one n-gram;
 none, or a null text, make none, and such documents link with nothing. Rows that repeat an id are one vertex; rows without
@@ -25,7 +28,6 @@ an id link with nothing and get no component; an empty table gives an empty resu
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,11 +37,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import bitmap_of, connected_components, in_bitmap, marked_rows, saved
-from feedloom.llm.hashing import BASES, Powers, Sequence, WordHashes, mix, signed
+from feedloom.llm.hashing import BASES, ByteWords, Powers, Sequence, mix, signed
 
 WIDTH, PERCENT = 4, 85
 #: Deletion neighbourhoods cover all segments of bands up to this size, and this many segments of larger ones.
 SMALL_SETS, DELETION_SEGMENTS = 64, 2
+#: Counts of n-grams kept per set, one byte each.
+COUNTS = 128
+#: Rows of a block, and rows that a task handles together.
+BLOCK_ROWS, GROUP_ROWS = 512, 4096
 
 
 def most_differences(size: int, percent: int) -> int:
@@ -47,7 +53,6 @@ def most_differences(size: int, percent: int) -> int:
     return size * (100 - percent) // percent
 
 
-@lru_cache(maxsize=None)
 def band_of(size: int, percent: int) -> int:
     """Bands start at the smallest size that allows a difference and grow by half; -1 below."""
     low = -(-percent // (100 - percent)) if percent < 100 else 1 << 62
@@ -63,9 +68,17 @@ def band_end(low: int) -> int:
     return max(low + 1, -(-low * 3 // 2))
 
 
-@lru_cache(maxsize=None)
+_BANDS: dict[tuple[int, int], tuple[int, int, np.ndarray, int, np.ndarray]] = {}
+
+
 def band(k: int, percent: int) -> tuple[int, int, np.ndarray, int, np.ndarray]:
     """Its end, segments, their borders in hash space, segments with deletions, and a salt per segment."""
+    if (k, percent) not in _BANDS:
+        _BANDS[k, percent] = _band(k, percent)
+    return _BANDS[k, percent]
+
+
+def _band(k: int, percent: int) -> tuple[int, int, np.ndarray, int, np.ndarray]:
     low = -(-percent // (100 - percent))
     for _ in range(k):
         low = band_end(low)
@@ -80,15 +93,15 @@ class Shingler:
     """A text's set of word n-grams as sorted distinct 64-bit hashes."""
 
     def __init__(self, width: int = WIDTH):
-        self.width, self.words, self.powers = width, WordHashes(), Powers(BASES[0])
+        self.width, self.words, self.powers = width, ByteWords(), Powers(BASES[0])
 
     def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
+        words, _ = self.words.of((text or "").encode("utf-8", "surrogatepass").lower())
+        if not len(words):
             return np.zeros(0, np.uint64)
         n = min(self.width, len(words))
         starts = np.arange(len(words) - n + 1)
-        return np.unique(mix(Sequence(self.words.of(words), self.powers).stretch(starts, starts + n) + np.uint64(n)))
+        return np.unique(mix(Sequence(words, self.powers).stretch(starts, starts + n) + np.uint64(n)))
 
 
 def _segments(grams: np.ndarray, k: int, percent: int):
@@ -111,7 +124,7 @@ def _cover(grams: np.ndarray, percent: int) -> tuple[int, int]:
 
 
 def _sets(width: int, percent: int):
-    """(id, text) -> id, size, d1, d2 (the set's hash), cover, need."""
+    """(id, text) -> id, size, d1, d2 (the set's hash), cover, need, counts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -120,11 +133,12 @@ def _sets(width: int, percent: int):
             for text in batch.column(1).to_pylist():
                 grams = shingler.of(text)
                 d = xxhash.xxh3_128_intdigest(grams.tobytes())
-                out.append((len(grams), d >> 64, d & ((1 << 64) - 1), *_cover(grams, percent)))
-            size, d1, d2, cover, need = zip(*out, strict=True) if out else ([],) * 5
+                counts = np.minimum(np.bincount((grams >> np.uint64(20)).astype(np.int64) % COUNTS, minlength=COUNTS), 255).astype(np.uint8)
+                out.append((len(grams), d >> 64, d & ((1 << 64) - 1), *_cover(grams, percent), counts.tobytes()))
+            size, d1, d2, cover, need, counts = zip(*out, strict=True) if out else ([],) * 6
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(signed(np.array(d1, np.uint64))), pa.array(signed(np.array(d2, np.uint64))), pa.array(cover, pa.int32()), pa.array(need, pa.int32())],
-                names=["id", "size", "d1", "d2", "cover", "need"],
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(signed(np.array(d1, np.uint64))), pa.array(signed(np.array(d2, np.uint64))), pa.array(cover, pa.int32()), pa.array(need, pa.int32()), pa.array(counts, pa.binary())],
+                names=["id", "size", "d1", "d2", "cover", "need", "counts"],
             )
 
     return rows
@@ -202,6 +216,55 @@ def _linked(width: int, percent: int):
     return F.pandas_udf(check, "boolean")
 
 
+def _may_link(percent: int):
+    """Whether counts of two sets leave room for a link: saturated bytes only make the bound weaker."""
+
+    def check(a: pd.Series, b: pd.Series, total: pd.Series) -> pd.Series:
+        x = np.frombuffer(b"".join(a), np.uint8).reshape(-1, COUNTS).astype(np.int16)
+        y = np.frombuffer(b"".join(b), np.uint8).reshape(-1, COUNTS).astype(np.int16)
+        return pd.Series(np.abs(x - y).sum(axis=1, dtype=np.int64) * (100 + percent) <= total.to_numpy() * (100 - percent))
+
+    return F.pandas_udf(check, "boolean")
+
+
+def _tiles(percent: int, id_type: pa.DataType):
+    """Rows of several tiles -> pairs a, b of different components that may be linked."""
+
+    def of(x: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+        out = []
+        for a in range(0, len(left), 64):
+            rows = left[a : a + 64]
+            small = np.minimum(x["size"][rows][:, None], x["size"][right][None])
+            total = x["size"][rows][:, None] + x["size"][right][None]
+            fit = (x["home"][rows][:, None] != x["home"][right][None]) & (small * 100 >= (total - small) * percent) & (x["probe"][rows][:, None] | x["probe"][right][None])
+            p, q = np.nonzero(fit)
+            if len(p):
+                apart = np.abs(x["counts"][rows[p]] - x["counts"][right[q]]).sum(axis=1, dtype=np.int64)
+                keep = apart * (100 + percent) <= total[p, q] * (100 - percent)
+                out += zip(rows[p[keep]].tolist(), right[q[keep]].tolist(), strict=True)
+        return out
+
+    def solve(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_pylist()
+        _, home = np.unique(np.array([str(c) for c in table.column("component").to_pylist()]), return_inverse=True)
+        x = {
+            "home": home,
+            "size": table.column("size").to_numpy().astype(np.int64),
+            "probe": table.column("probe").to_numpy(zero_copy_only=False).astype(bool),
+            "counts": np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, COUNTS).astype(np.int16),
+        }
+        side = table.column("side").to_numpy()
+        _, tile = np.unique(table.column("tile").to_numpy(), return_inverse=True)
+        order = np.argsort(tile, kind="stable")
+        found = set()
+        for rows in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1):
+            for i, j in of(x, rows[side[rows] == 0], rows[side[rows] == 1]):
+                found.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pa.table({"a": pa.array([a for a, _ in found], id_type), "b": pa.array([b for _, b in found], id_type)})
+
+    return solve
+
+
 class _Join:
     def __init__(self, docs: DataFrame, id_col: str, text: str, width: int, percent: int):
         self.width, self.percent = width, percent
@@ -210,7 +273,7 @@ class _Join:
 
     def classes(self) -> tuple[DataFrame, DataFrame]:
         """id, size, d1, d2, cover, need of each row; d1, d2, rep of each class."""
-        sets = saved(self.docs.select("id", "text").mapInArrow(_sets(self.width, self.percent), f"id {self.id_type}, size long, d1 long, d2 long, cover int, need int"), "sets")
+        sets = saved(self.docs.select("id", "text").mapInArrow(_sets(self.width, self.percent), f"id {self.id_type}, size long, d1 long, d2 long, cover int, need int, counts binary"), "sets")
         return sets, sets.where("size > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
 
     def keys(self, leaders: np.ndarray, shared: np.ndarray | None = None) -> DataFrame:
@@ -258,45 +321,63 @@ class _Join:
         return every.join(flags, ["key", "id"], "left").select("key", "id", "size", F.coalesce("probe", F.lit(False)).alias("probe"))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs a (leader), b, those that are linked; texts are fetched for the pairs' ids only."""
+        """Of pairs a, b those that are linked; texts are fetched for the pairs' ids only."""
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
         texts = marked_rows(self.docs, "mark", bitmap_of(ids.select(F.xxhash64("id").alias("key")).distinct())).dropDuplicates(["id"])
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         return both.where(_linked(self.width, self.percent)("ta", "tb")).select("a", "b")
 
-    def components(self, rows: DataFrame) -> DataFrame:
+    def components(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
         """id, component of the linked classes."""
         rows = saved(rows, "members")
         spark = rows.sparkSession
-        links = spark.createDataFrame([], f"a {self.id_type}, b {self.id_type}")
-        found = spark.createDataFrame([], f"id {self.id_type}, component {self.id_type}")
-        tried, turn = links, 0
-        while True:
-            placed = rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("probe").alias("p")).where("x <> y AND p").select("key")
-            placed = saved(placed.join(open_keys, "key"), "open")
-            if placed.isEmpty():
-                return found
-            slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2**turn))
-            leader = F.min(F.struct("id", "size", "probe", "component")).alias("leader")
-            leaders = saved(placed.groupBy("key", slot.alias("slot")).agg(leader).select("key", "leader"), "leaders")
-            near = (F.least("size", "leader.size") * 100 >= F.greatest("size", "leader.size") * self.percent) & (F.col("probe") | F.col("leader.probe"))
-            pairs = placed.join(leaders, "key").where((F.col("component") != F.col("leader.component")) & near)
-            pairs = pairs.select(F.least("leader.id", "id").alias("a"), F.greatest("leader.id", "id").alias("b")).distinct()
-            pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-            # First one pair per member; the rest only where that left members apart.
-            first = saved(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-            links = saved(links.union(self.verify(first)), "links")
-            found = saved(connected_components(links), "found")
-            side = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))  # noqa: E731,B023
-            rest = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-            rest = saved(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
-            if not rest.isEmpty():
-                links = saved(links.union(self.verify(rest)), "links")
-                found = saved(connected_components(links), "found")
-            tried = saved(tried.union(pairs), "tried")
-            rows = placed.drop("component").join(leaders.select("key", F.col("leader.id").alias("id")), ["key", "id"], "left_anti")
-            turn += 1
+        none = spark.createDataFrame([], f"a {self.id_type}, b {self.id_type}")
+        known = sets.join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+        known = saved(known.select("id", F.col("size").alias("n"), "counts"), "known")
+        side = lambda c: known.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"c_{c}"))
+
+        leaders = rows.groupBy("key").agg(F.min(F.struct("id", "size", "probe")).alias("leader"), F.max("probe").alias("p")).where("p")
+        near = (F.least("size", "leader.size") * 100 >= F.greatest("size", "leader.size") * self.percent) & (F.col("probe") | F.col("leader.probe"))
+        pairs = rows.join(leaders, "key").where((F.col("id") != F.col("leader.id")) & near)
+        pairs = pairs.select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct()
+        room = pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link(self.percent)("c_a", "c_b", F.col("n_a") + F.col("n_b")))
+        pairs = saved(room.select("a", "b"), "pairs")
+        # First one pair per member; the rest only where that left members apart.
+        first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        links, found = self.joined(none, spark.createDataFrame([], f"id {self.id_type}, component {self.id_type}"), self.verify(saved(first, "first")))
+        of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+        rest = pairs.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        links, found = self.joined(links, found, self.verify(saved(rest, "rest")))
+        tiles = saved(self.open_tiles(rows, found, known).join(pairs, ["a", "b"], "left_anti"), "tiles")
+        return self.joined(links, found, self.verify(tiles))[1]
+
+    def open_tiles(self, rows: DataFrame, found: DataFrame, known: DataFrame) -> DataFrame:
+        """Pairs a, b under one key, of different components, that may be linked."""
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        placed = rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        per_home = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.max("probe").alias("p"))
+        keys = per_home.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max("p").alias("p")).where("p AND all > most")
+        blocks = lambda n: F.ceil(n / F.lit(BLOCK_ROWS)).cast("int")
+        keys = keys.select("key", "major", blocks(F.col("all") - F.col("most")).alias("minors"), blocks(F.col("all")).alias("alls"))
+        placed = saved(placed.join(keys, "key"), "open")
+        own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        cut = ["key", "id", "size", "probe", "component"]
+        left = placed.where("component <> major").select(*cut, own("minors").alias("m"), every("alls").alias("e")).withColumn("side", F.lit(0))
+        right = placed.select(*cut, own("alls").alias("e"), every("minors").alias("m")).select(*cut, "m", "e").withColumn("side", F.lit(1))
+        sides = saved(left.unionByName(right).join(known.select("id", "counts"), "id").withColumn("tile", F.xxhash64("key", "m", "e")), "sides")
+        groups = max(1, sides.count() // GROUP_ROWS)
+        out = sides.withColumn("pack", F.pmod("tile", F.lit(groups))).groupBy("pack").applyInArrow(_tiles(self.percent, to_arrow_type(self.docs.schema["id"].dataType)), f"a {self.id_type}, b {self.id_type}")
+        return out.distinct()
+
+    def joined(self, links: DataFrame, found: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+        new = saved(new, "new")
+        if new.isEmpty():
+            return links, found
+        links = links.union(new)
+        return links, saved(connected_components(links), "found")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -304,10 +385,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     join = _Join(docs, id_col, text, width, percent)
     sets, classes = join.classes()
     classes = saved(classes, "classes")
-    found = join.components(join.members(sets, classes))
+    found = join.components(join.members(sets, classes), sets)
     named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     out = sets.join(named, ["d1", "d2"], "left").select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    lost = docs.where(F.col(id_col).isNull()).select(F.col(id_col), F.col(text).alias("text")).mapInArrow(_sets(width, percent), f"id {join.id_type}, size long, d1 long, d2 long, cover int, need int")
+    lost = docs.where(F.col(id_col).isNull()).select(F.col(id_col), F.col(text).alias("text")).mapInArrow(_sets(width, percent), f"id {join.id_type}, size long, d1 long, d2 long, cover int, need int, counts binary")
     return out.unionByName(lost.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.col("id").alias("component_id")))
 
 
