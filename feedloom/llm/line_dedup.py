@@ -1,17 +1,19 @@
-"""Line dedup by deletion neighbourhoods over words.
+"""Line dedup by deletion neighbourhoods over words and characters.
 
-A line is its words (runs other than space and 0x09-0x0D). Lines of EXACT_WORDS words or more that repeat, and lines of NEAR_WORDS
-words or more within one word's edit (a word inserted, deleted or replaced) of a line that stands earlier, are removed;
-the earliest stays. Earlier means a smaller doc_id (null first), then the text's hash, then the line's number; rows of
-equal id and text count as one document. Shorter and blank lines always stay.
+A line is its words (runs other than space and 0x09-0x0D). Lines that repeat, and lines within one unit's edit (one inserted,
+deleted or replaced) of a line that stands earlier, are removed; the earliest stays. The edit is a tenth of the longer of
+the two lines at most: a word where that one has NEAR_WORDS words or more; else, with `characters`, a character (of the
+words with one space between) where it has NEAR_CHARS or more; below that only repeats count. Without `characters` near
+lines are sought among those of NEAR_WORDS words or more alone. Earlier means a smaller doc_id (null first), then the
+text's hash, then the line's number; rows of equal id and text count as one document. Blank lines always stay.
 
-1. Every line gives a 128-bit hash, and hashes of its first and last half for each of two lengths. One edit spares a half,
+1. Every line gives a 128-bit hash, and hashes of its first and last half (in each unit it may be near in) for two lengths. One edit spares a half,
    so a line can only be near another one if it shares such a key with a different line. Keys are counted with map-side
    combining; those that different lines share are marked in a bitmap of fixed size (collisions only add work).
 2. Lines with a marked key, once each, emit their deletion variants as hashed keys: (rest, length, place) meets lines that
-   differ in that word, (rest, length) meets the line that equals the rest. Whatever meets under one key lies within the
+   differ in that unit, (rest, length) meets the line that equals the rest. Whatever meets under one key lies within the
    bound, so the earliest line of a key is all that the others need: no pairs within a group.
-3. The earliest partner of each line is verified by its words.
+3. The earliest partner of each line is verified by its words or characters.
 4. Line numbers to remove are collected per document and joined to the texts.
 
 Null and empty texts stay as they are; an empty table gives an empty result; other columns are carried along.
@@ -24,25 +26,47 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import BITMAP_BITS, bitmap_of, in_bitmap, saved
 from feedloom.llm.hashing import BASES, ByteWords, Powers, Sequence, mix, signed
 
-EXACT_WORDS, NEAR_WORDS = 5, 10
+EXACT_WORDS, NEAR_WORDS, NEAR_CHARS = 1, 10, 10
+#: Keeps the keys of characters apart from those of words.
+CHARS = np.uint64(0xD6E8FEB86659FD93)
 #: Characters of text that are hashed in one go.
 GROUP_CHARS = 200_000
 
 
+def _spaced(line: bytes) -> str:
+    """The words of a line with one space between."""
+    return b" ".join(line.split()).decode("utf-8", "surrogatepass")
+
+
+def _char_values(text: str) -> np.ndarray:
+    return mix(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(1))
+
+
+def _halves(line: Sequence, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Hashes of the first and last half of the stretches, as the longer and as the shorter of a pair; 0 for pairs below `least`."""
+    keys = []
+    for size in (b - a, b - a + 1):
+        half = np.maximum(size - 1, 0) // 2
+        for side, (x, y) in enumerate(((a, a + half), (b - half, b))):
+            keys.append(np.where(size >= least, mix(line.stretch(x, y) + mix((size * 2 + side).astype(np.uint64))), np.uint64(0)))
+    return np.stack(keys, axis=1)
+
+
 class _Lines:
     """Hashes of many texts' lines at once."""
 
-    def __init__(self) -> None:
-        self.words, self.powers = ByteWords(), [Powers(b) for b in BASES]
+    def __init__(self, characters: bool) -> None:
+        self.words, self.powers, self.characters = ByteWords(), [Powers(b) for b in BASES], characters
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Text, number, both hashes and four keys of each line that counts; keys are 0 where a line is short."""
+        """Text, number, both hashes and keys of each line that counts; keys are 0 where a line is short."""
         data = [t.encode("utf-8", "surrogatepass") for t in texts]
         many = np.array([d.count(b"\n") + 1 for d in data])
         whole = b"\n".join(data)
@@ -56,15 +80,24 @@ class _Lines:
         first, second = (Sequence(values, p) for p in self.powers)
         length = n.astype(np.uint64)
         ids = np.stack([mix(first.stretch(a, b) + length), mix(second.stretch(a, b) ^ (length << np.uint64(32)))], axis=1)
-        keys = []
-        for size in (n, n + 1):
-            half = (size - 1) // 2
-            for side, (x, y) in enumerate(((a, a + half), (b - half, b))):
-                keys.append(mix(second.stretch(x, y) + mix((size * 2 + side).astype(np.uint64))))
-        shared = np.where((n >= NEAR_WORDS)[:, None], np.stack(keys, axis=1), np.uint64(0))
+        shared = _halves(second, a, b, NEAR_WORDS)
+        if self.characters:
+            shared = np.concatenate([shared, self._of_characters(whole, at, n)], axis=1)
+        else:
+            shared[n < NEAR_WORDS] = 0
         owner = np.repeat(np.arange(len(texts)), many)[at]
         return owner, at - (np.cumsum(many) - many)[owner], ids, shared
 
+    def _of_characters(self, whole: bytes, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        keys, few = np.zeros((len(at), 4), np.uint64), np.flatnonzero(n < NEAR_WORDS)
+        if len(few):
+            lines = whole.split(b"\n")
+            bodies = [_spaced(lines[i]) for i in at[few].tolist()]
+            ends = np.cumsum([len(x) for x in bodies])
+            found = _halves(Sequence(_char_values("".join(bodies)), self.powers[1]), np.concatenate([[0], ends[:-1]]), ends, NEAR_CHARS)
+            keys[few] = np.where(found != 0, mix(found ^ CHARS), np.uint64(0))
+        return keys
+
 
 def _groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
     """Stretches of texts of about GROUP_CHARS characters, with where they start."""
@@ -78,27 +111,30 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         yield start, texts[start:]
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(characters: bool):
     """(doc, tie, text) -> doc, tie, line, h1, h2, keys."""
-    reader = _Lines()
-    for batch in batches:
-        for start, texts in _groups(batch.column(2).to_pylist()):
-            owner, number, ids, four = reader.read(texts)
-            who = pa.array(owner + start)
-            near = four[:, 0] != 0
-            spread = np.concatenate([[0], np.cumsum(np.where(near, 4, 0))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(spread), pa.array(signed(np.ascontiguousarray(four[near]).ravel())))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(who), batch.column(1).take(who), pa.array(number.astype(np.int32)), pa.array(signed(np.ascontiguousarray(ids[:, 0]))), pa.array(signed(np.ascontiguousarray(ids[:, 1]))), lists],
-                names=["doc", "tie", "line", "h1", "h2", "keys"],
-            )
-
-
-def _suspects(keys: np.ndarray, ties: np.ndarray):
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Lines(characters)
+        for batch in batches:
+            for start, texts in _groups(batch.column(2).to_pylist()):
+                owner, number, ids, shared = reader.read(texts)
+                who = pa.array(owner + start)
+                spread = np.concatenate([[0], np.cumsum((shared != 0).sum(axis=1))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(spread), pa.array(signed(shared[shared != 0])))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(who), batch.column(1).take(who), pa.array(number.astype(np.int32)), pa.array(signed(np.ascontiguousarray(ids[:, 0]))), pa.array(signed(np.ascontiguousarray(ids[:, 1]))), lists],
+                    names=["doc", "tie", "line", "h1", "h2", "keys"],
+                )
+
+    return rows
+
+
+def _suspects(keys: np.ndarray, ties: np.ndarray, characters: bool):
     """(doc, tie, text) -> h1, h2, doc, tie, line, body: lines that have a marked key, of marked texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Lines()
+        reader = _Lines(characters)
         for batch in batches:
             batch = batch.filter(pa.array(in_bitmap(ties, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))))
             for start, texts in _groups(batch.column(2).to_pylist()):
@@ -114,40 +150,62 @@ def _suspects(keys: np.ndarray, ties: np.ndarray):
     return rows
 
 
-def _variants(marked: np.ndarray | None = None):
+def _variants(characters: bool, marked: np.ndarray | None = None):
     """(h1, h2, body) -> h1, h2, kind, key: the deletion neighbourhood of a line, or what of it is marked.
 
-    Kinds: 0, a word may be replaced; 1, one word fewer; 2, the line itself.
+    Kinds: 0, a unit may be replaced; 1, one unit fewer; 2, the line itself.
     """
-    return lambda batches: _neighbours(batches, marked)
+    return lambda batches: _neighbours(batches, characters, marked)
+
+
+def _deletions(values: np.ndarray, powers: Powers, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and kinds of a line by its units, for pairs of which the longer has `least` units or more."""
+    n = len(values)
+    line = Sequence(values, powers)
+    itself = mix(line.sums[n:] + (np.uint64(n) << np.uint64(20)))
+    if n < least:
+        few = itself[: int(n + 1 >= least)]
+        return few, np.full(len(few), 2, np.int8)
+    rest = line.sums[:n] + (line.sums[n] - line.sums[1:]) * line.down[1]
+    replaced = mix(mix(rest + np.uint64(n)) + np.arange(n).astype(np.uint64) + np.uint64(1))
+    return np.concatenate([replaced, mix(rest + (np.uint64(n - 1) << np.uint64(20))), itself]), np.repeat(np.array([0, 1, 2], np.int8), [n, n, 1])
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch], marked: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _neighbours(batches: Iterator[pa.RecordBatch], characters: bool, marked: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     words, powers = ByteWords(), Powers(BASES[0])
     for batch in batches:
-        keys, kinds, rows = [], [], []
+        keys, kinds, rows, total = [], [], [], 0
         for i, body in enumerate(batch.column(2).to_pylist()):
-            values, _ = words.of(body.encode("utf-8", "surrogatepass"))
-            n = len(values)
-            line = Sequence(values, powers)
-            place = np.arange(n)
-            rest = line.sums[:n] + (line.sums[n] - line.sums[1:]) * line.down[1]
-            keys.append(np.concatenate([mix(mix(rest + np.uint64(n)) + place.astype(np.uint64) + np.uint64(1)), mix(rest + (np.uint64(n - 1) << np.uint64(20))), mix(line.sums[n:] + (np.uint64(n) << np.uint64(20)))]))
-            kinds.append(np.repeat(np.array([0, 1, 2], np.int8), [n, n, 1]))
-            rows.append(np.full(2 * n + 1, i))
-        if not rows:
-            continue
-        who, key, kind = np.concatenate(rows), np.concatenate(keys), np.concatenate(kinds)
-        if marked is not None:
-            keep = in_bitmap(marked, key)
-            who, key, kind = who[keep], key[keep], kind[keep]
-        who = pa.array(who)
-        for a in range(0, len(key), 50_000):
-            part = who.slice(a, 50_000)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(part), batch.column(1).take(part), pa.array(kind[a : a + 50_000]), pa.array(signed(key[a : a + 50_000]))], names=["h1", "h2", "kind", "key"])
-
-
-def within_one_edit(a: list[str], b: list[str]) -> bool:
+            data = body.encode("utf-8", "surrogatepass")
+            values, _ = words.of(data)
+            found = [_deletions(values, powers, NEAR_WORDS)]
+            if characters and len(values) < NEAR_WORDS:
+                key, kind = _deletions(_char_values(_spaced(data)), powers, NEAR_CHARS)
+                found.append((mix(key ^ CHARS), kind))
+            for key, kind in found:
+                keys.append(key)
+                kinds.append(kind)
+                rows.append(np.full(len(key), i))
+                total += len(key)
+            if total >= 500_000:
+                yield from _told(batch, rows, keys, kinds, marked)
+                keys, kinds, rows, total = [], [], [], 0
+        if rows:
+            yield from _told(batch, rows, keys, kinds, marked)
+
+
+def _told(batch: pa.RecordBatch, rows: list[np.ndarray], keys: list[np.ndarray], kinds: list[np.ndarray], marked: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    who, key, kind = np.concatenate(rows), np.concatenate(keys), np.concatenate(kinds)
+    if marked is not None:
+        keep = in_bitmap(marked, key)
+        who, key, kind = who[keep], key[keep], kind[keep]
+    who = pa.array(who)
+    for a in range(0, len(key), 50_000):
+        part = who.slice(a, 50_000)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(part), batch.column(1).take(part), pa.array(kind[a : a + 50_000]), pa.array(signed(key[a : a + 50_000]))], names=["h1", "h2", "kind", "key"])
+
+
+def within_one_edit(a: list | str, b: list | str) -> bool:
     if abs(len(a) - len(b)) > 1:
         return False
     i = 0
@@ -159,8 +217,17 @@ def within_one_edit(a: list[str], b: list[str]) -> bool:
     return max(len(a), len(b)) - i - j <= 1
 
 
+def near_lines(a: str, b: str) -> bool:
+    """Whether one edit leads from a to b: of a word where the longer has NEAR_WORDS words, else of a character."""
+    x, y = (t.encode("utf-8", "surrogatepass") for t in (a, b))
+    if max(len(x.split()), len(y.split())) >= NEAR_WORDS:
+        return within_one_edit(x.split(), y.split())
+    p, q = _spaced(x), _spaced(y)
+    return max(len(p), len(q)) >= NEAR_CHARS and within_one_edit(p, q)
+
+
 def _verify(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([within_one_edit(x.encode().split(), y.encode().split()) for x, y in zip(a, b, strict=True)], dtype=bool)
+    return pd.Series([near_lines(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
 def _sources(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -181,29 +248,30 @@ def _met_by_two(keys: DataFrame) -> DataFrame:
 def _with_marked_key(bitmap: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            four = batch.column(5).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 4)
-            yield batch.filter(pa.array(in_bitmap(bitmap, four).any(axis=1)))
+            keys = batch.column(5).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(5)).to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array(np.bincount(owner[in_bitmap(bitmap, keys)], minlength=batch.num_rows) > 0))
 
     return rows
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int = BITMAP_BITS) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int = BITMAP_BITS, characters: bool = False) -> DataFrame:
     """doc, tie, line, first_doc for each line to remove; first_doc is the document of the line it repeats."""
     id_type = docs.schema[id_col].dataType.simpleString()
     source = _sources(docs, id_col, text)
-    lines = saved(source.mapInArrow(_scan, f"doc {id_type}, tie long, line int, h1 long, h2 long, keys array<long>"), "lines")
+    lines = saved(source.mapInArrow(_scan(characters), f"doc {id_type}, tie long, line int, h1 long, h2 long, keys array<long>"), "lines")
 
     shared = _met_by_two(lines.select(F.explode("keys").alias("key"), "h1"))
     keys = bitmap_of(shared, "key", bits)
     marked = lines.where(F.size("keys") > 0).mapInArrow(_with_marked_key(keys), lines.schema)
     places = marked.groupBy("h1", "h2").agg(F.min(_place()).alias("place")).select(F.col("place.tie").alias("key")).distinct()
-    suspects = source.mapInArrow(_suspects(keys, bitmap_of(places, "key", bits)), f"h1 long, h2 long, doc {id_type}, tie long, line int, body string")
+    suspects = source.mapInArrow(_suspects(keys, bitmap_of(places, "key", bits), characters), f"h1 long, h2 long, doc {id_type}, tie long, line int, body string")
     suspects = saved(suspects.groupBy("h1", "h2").agg(F.min(_place()).alias("place"), F.first("body").alias("body")), "suspects")
 
     one = F.struct("place", "h1", "h2")
     bodies, neighbours = suspects.select("h1", "h2", "body"), "h1 long, h2 long, kind tinyint, key long"
-    held = bitmap_of(_met_by_two(bodies.mapInArrow(_variants(), neighbours).select("key", "h1")), "key", bits)
-    met = saved(bodies.mapInArrow(_variants(held), neighbours).join(suspects.select("h1", "h2", "place"), ["h1", "h2"]), "met")
+    held = bitmap_of(_met_by_two(bodies.mapInArrow(_variants(characters), neighbours).select("key", "h1")), "key", bits)
+    met = saved(bodies.mapInArrow(_variants(characters, held), neighbours).join(suspects.select("h1", "h2", "place"), ["h1", "h2"]), "met")
     least = met.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, one)).alias(c) for k, c in ((0, "s"), (1, "d"), (2, "f"))])
     partner = F.when(F.col("kind") == 0, F.col("s")).when(F.col("kind") == 1, F.col("f")).otherwise(F.col("d"))
     pairs = met.join(least, "key").withColumn("partner", partner).where("partner.place < place")
@@ -220,9 +288,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", b
     return gone.select("doc", "tie", "line", F.when(F.col("near").isNotNull(), F.col("near_doc")).otherwise(F.col("first.doc")).alias("first_doc"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int = BITMAP_BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int = BITMAP_BITS, characters: bool = False) -> DataFrame:
     """docs with the text cleaned, n_lines, n_removed (long) and first_docs (the documents that hold what was removed)."""
-    gone = removed_lines(docs, id_col, text, bits)
+    gone = removed_lines(docs, id_col, text, bits, characters)
     per_doc = gone.groupBy("doc", "tie").agg(F.collect_set("line").alias("__gone"), F.array_sort(F.collect_set("first_doc")).alias("first_docs"))
     keyed = docs.withColumn("__tie", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     joined = keyed.join(per_doc, (keyed["__tie"] == per_doc["tie"]) & keyed[id_col].eqNullSafe(per_doc["doc"]), "left").drop("doc", "tie")
@@ -237,4 +305,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bit
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs)
+    return dedup_lines(docs, characters=True)
