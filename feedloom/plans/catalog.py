@@ -313,6 +313,12 @@ def _(v, t):
     return v("v_texts").where("id % 7 IN (3, 4, 6)").select("id", filters.stated_yoe_min(F.col("body")).alias("years"))
 
 
+# Ages stand beside the years of practice where id % 7 = 5: none counts.
+@query("d7_stated_years_whole", """SELECT id, CASE WHEN id % 7 = 4 AND o_custkey % 30 BETWEEN 1 AND 25 THEN CAST(o_custkey % 30 AS INT) END AS years FROM v_texts""")
+def _(v, t):
+    return v("v_texts").select("id", filters.stated_yoe_min(F.col("body")).alias("years"))
+
+
 @query("d8_salary", """SELECT id, CASE id % 7 WHEN 0 THEN 1000.0 * (50 + o_custkey % 90) WHEN 1 THEN 2080.0 * (10 + o_custkey % 50) WHEN 2 THEN 100000.0 * (5 + o_custkey % 20) END::DOUBLE AS annual_min,
     CASE id % 7 WHEN 0 THEN 1000.0 * (70 + o_custkey % 90) WHEN 1 THEN 2080.0 * (10 + o_custkey % 50) WHEN 2 THEN 100000.0 * (26 + o_custkey % 9) END::DOUBLE AS annual_max,
     CASE id % 7 WHEN 0 THEN 'USD' WHEN 1 THEN 'USD' WHEN 2 THEN 'INR' END AS currency, CASE id % 7 WHEN 0 THEN 'year' WHEN 1 THEN 'hour' WHEN 2 THEN 'year' END AS period FROM v_texts""")

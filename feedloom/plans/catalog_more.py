@@ -25,9 +25,9 @@ def _people(v):
     return r.select("email", "status", text.normalize_company_name(F.col("company")).alias("company_norm"), F.array().cast("array<string>").alias("alt_names_norm"), "c_custkey", "c_mktsegment")
 
 
-def _matches(v):
+def _matches(v, own="c_custkey % 10 = 0"):
     p = _people(v)
-    groups = p.where("c_custkey % 10 = 0").select("company_norm").union(p.select(F.lower("c_mktsegment"))).distinct()
+    groups = p.where(own).select("company_norm").union(p.select(F.lower("c_mktsegment"))).distinct()
     return outreach.match_contacts(groups, p)
 
 
@@ -40,11 +40,11 @@ _LAST = "last AS (SELECT 'c' || CAST(o_custkey AS VARCHAR) || '@' || lower(c_mkt
 _STATE = f"{_MATCH}, {_LAST}, states AS (SELECT m.*, last_drafted_at, CASE WHEN status = 'bounced' THEN 'bounced_contact' WHEN last_drafted_at > TIMESTAMP '{ORDERS_NOW}' - INTERVAL 30 DAY THEN 'cooldown' ELSE 'eligible' END AS state FROM matches m LEFT JOIN last USING (email))"
 
 
-def _states(v, t):
+def _states(v, t, own="c_custkey % 10 = 0"):
     drafts = t("orders").where("o_orderkey % 5 = 0").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
     email = F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("@"), F.lower("c_mktsegment"), F.lit(".example.com"))
     last = drafts.groupBy(email.alias("recruiter_email")).agg(F.max("o_orderdate").alias("last_drafted_at"))
-    return outreach.split_cooldown(_matches(v), last, ts(ORDERS_NOW))
+    return outreach.split_cooldown(_matches(v, own), last, ts(ORDERS_NOW))
 
 
 @query("i16_split_cooldown", f"WITH {_STATE} SELECT company_norm, email, state FROM states")
@@ -63,6 +63,34 @@ def _(v, t):
     return outreach.undrafted_reason(_states(v, t))
 
 
+# The same four with the own names of all recruiters.
+
+
+def _whole(sql):
+    return sql.replace(" WHERE c_custkey % 10 = 0", "")
+
+
+@query("f5_match_contacts_whole", _whole(f"WITH {_MATCH} SELECT * FROM matches"))
+def _(v, t):
+    return _matches(v, "true")
+
+
+@query("i16_split_cooldown_whole", _whole(f"WITH {_STATE} SELECT company_norm, email, state FROM states"))
+def _(v, t):
+    return _states(v, t, "true").select("company_norm", "email", "state")
+
+
+@query("h5_rank_contacts_whole", _whole(f"""WITH {_STATE} SELECT company_norm, email, row_number() OVER (PARTITION BY company_norm ORDER BY CASE WHEN status = 'verified' THEN 0 ELSE 1 END, last_drafted_at ASC NULLS FIRST, email) AS rank
+    FROM states WHERE state = 'eligible'"""))
+def _(v, t):
+    return outreach.rank_contacts(_states(v, t, "true").where("state = 'eligible'")).select("company_norm", "email", "rank")
+
+
+@query("g15_undrafted_reason_whole", _whole(f"""WITH {_STATE} SELECT company_norm, CASE WHEN bool_or(state = 'cooldown') THEN 'cooldown' ELSE 'bounced_contact' END AS reason FROM states GROUP BY 1 HAVING NOT bool_or(state = 'eligible')"""))
+def _(v, t):
+    return outreach.undrafted_reason(_states(v, t, "true"))
+
+
 @query("g13_group_by_company", f"""SELECT job_title AS company_norm, count(*) AS roles, min(external_id) AS first_id FROM v_postings WHERE profile_id = 'p0' GROUP BY 1""")
 def _(v, t):
     p = v("v_postings").where("profile_id = 'p0'").select(F.col("job_title").alias("company"), F.col("external_id").alias("job_title"), "job_url", F.lit("green").alias("severity"), "llm_confidence", F.col("external_id").alias("pos"))
@@ -78,15 +106,27 @@ def _mail(t):
     return t("events").select(F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message_id"), kind.alias("folder"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("address"), F.col("ts").alias("internal_date"), F.col("props").alias("snippet"))
 
 
-@query("f9_correlate_mail", f"""WITH {_OUT}, s AS (SELECT id, max(ts) AS found_sent_at, arg_max('m' || CAST(event_id AS VARCHAR), ts) AS found_message_id FROM out JOIN events ON recruiter_email = 'u' || CAST(user_id AS VARCHAR) AND event_type = 'purchase' AND ts > drafted_at GROUP BY 1),
+_MAIL = f"""WITH {_OUT}, s AS (SELECT id, max(ts) AS found_sent_at, arg_max('m' || CAST(event_id AS VARCHAR), ts) AS found_message_id FROM out JOIN events ON recruiter_email = 'u' || CAST(user_id AS VARCHAR) AND event_type = 'purchase' AND ts > drafted_at GROUP BY 1),
     b AS (SELECT id, min(ts) AS bounced_at FROM out JOIN events ON recruiter_email = 'u' || CAST(user_id AS VARCHAR) AND event_type = 'error' AND ts > sent_at GROUP BY 1)
-    SELECT id, found_sent_at, found_message_id, bounced_at FROM out LEFT JOIN s USING (id) LEFT JOIN b USING (id)""")
-def _(v, t):
+    SELECT id, found_sent_at, found_message_id, bounced_at FROM out LEFT JOIN s USING (id) LEFT JOIN b USING (id)"""
+
+
+def _correlated(t, drafts):
     day = lambda first: F.expr(f"timestamp'{first}' + make_interval(0, 0, 0, cast(o_orderkey % 30 as int))")
-    rows = t("orders").where("o_orderkey % 4 < 2").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("u"), (F.col("o_custkey") % 150).cast("string")).alias("recruiter_email"), day("2024-01-01").alias("drafted_at"), F.when(F.col("o_orderkey") % 2 == 0, day("2024-01-02")).alias("sent_at"))
+    rows = drafts.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("u"), (F.col("o_custkey") % 150).cast("string")).alias("recruiter_email"), day("2024-01-01").alias("drafted_at"), F.when(F.col("o_orderkey") % 2 == 0, day("2024-01-02")).alias("sent_at"))
     return outreach.correlate_mail(rows, _mail(t)).select("id", "found_sent_at", "found_message_id", "bounced_at")
 
 
+@query("f9_correlate_mail", _MAIL)
+def _(v, t):
+    return _correlated(t, t("orders").where("o_orderkey % 4 < 2"))
+
+
+@query("f9_correlate_mail_whole", _MAIL.replace(" WHERE o_orderkey % 4 < 2", ""))
+def _(v, t):
+    return _correlated(t, t("orders"))
+
+
 @query("h11_latest_message", "SELECT 'u' || CAST(user_id AS VARCHAR) AS address, arg_max('m' || CAST(event_id AS VARCHAR), ts) AS message_id, max(ts) AS internal_date FROM events GROUP BY 1")
 def _(v, t):
     return outreach.latest_message(_mail(t))
