@@ -214,7 +214,27 @@ def _(v, t):
 
 @query("b21_challenge", "SELECT page_id, CAST(NULL AS VARCHAR) AS evidence FROM pages WHERE lower(html) NOT LIKE '%captcha%' AND lower(html) NOT LIKE '%just a moment...%'")
 def _(v, t):
-    return t("pages").where("lower(html) NOT LIKE '%captcha%' AND lower(html) NOT LIKE '%just a moment...%'").select("page_id", normalise.challenge_evidence(F.col("html")).alias("evidence"))
+    return t("pages").select("page_id", normalise.challenge_evidence(F.col("html"), alone=False).alias("evidence"))
+
+
+# Pages built from page_id: each strong mark, each pair, the first halves of pairs alone, and no mark; with the evidence due.
+CHALLENGE_PAGES = (
+    ("Request unsuccessful. INCAPSULA incident ID: 7-9", '"INCAPSULA incident ID"'), ('<body class="cf-browser-verification">', '"cf-browser-verification"'), ('<script src="/cdn-cgi/challenge-platform/h.js">', '"/cdn-cgi/challenge-platform"'),
+    ("Checking your browser before accessing a.example", '"Checking your browser before accessing"'), ("Sorry, you have been blocked", '"Sorry, you have been blocked"'), ("Verifying you are human.", '"Verifying you are human"'),
+    ("Please enable JS and disable any ad blocker", '"Please enable JS and disable any ad blocker"'), ("https://token.awswaf.com/captcha.js", '"awswaf"'), ("Generated by cloudfront (CloudFront)", '"Generated by cloudfront"'),
+    ("<title>Attention Required! | Cloudflare</title>", '"Attention Required!" + "Cloudflare"'), ("Access Denied: you don’t have permission to access this", '"Access Denied" + "you don’t have permission to access"'), ("akamai, Reference #18.2", '"Reference #" + "akamai"'),
+    ("Just a moment... Ray ID 5", '"Just a moment..." + "Ray ID"'), ("Incident ID: 5. Access Denied", '"Incident ID:" + "Access Denied"'), ("Request unsuccessful, support ID 5", '"Request unsuccessful" + "support ID"'),
+    ("AWS WAF: captcha", '"AWS WAF" + "captcha"'), ("The request could not be satisfied. CloudFront", '"The request could not be satisfied" + "CloudFront"'),
+    ("Just a moment...", None), ("Access Denied", None), ("captcha", None), ("Careers at Acme", None),
+)
+_DUE = " ".join(f"WHEN {i} THEN '{due}'" for i, (_, due) in enumerate(CHALLENGE_PAGES) if due)
+
+
+@query("b21_challenge_pages", f"SELECT page_id, CASE page_id % {len(CHALLENGE_PAGES)} {_DUE} END AS evidence FROM pages")
+def _(v, t):
+    bodies = F.array(*[F.lit(body) for body, _ in CHALLENGE_PAGES])
+    built = F.concat(F.lit("<html>\n"), F.get(bodies, (F.col("page_id") % len(CHALLENGE_PAGES)).cast("int")), F.lit("\n</html>"))
+    return t("pages").select("page_id", normalise.challenge_evidence(built, alone=False).alias("evidence"))
 
 
 # Gate and funnel
