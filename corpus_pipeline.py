@@ -32,12 +32,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id; documents without words or without an id stay."""
-    found = ngram_join.jaccard_components(docs, width=SHINGLE, percent=PERCENT)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    known, unnamed = kept.where("doc_id IS NOT NULL"), kept.where("doc_id IS NULL")
-    return known.dropDuplicates(["doc_id"]).unionByName(unnamed)
+    """Of each group of near duplicates the document of the smallest id; documents without words or without an id stay.
+
+    Id and text together are the document: the join runs over hashes of texts, so texts that share an id stand on their own.
+    """
+    keyed = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    known, unnamed = keyed.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    found = ngram_join.jaccard_components(known.select("__text", "text"), "__text", width=SHINGLE, percent=PERCENT)
+    least = known.where(~wordless).groupBy("__text").agg(F.min("doc_id").alias("doc_id"))
+    placed = least.join(found.select("__text", "component_id").distinct(), "__text")
+    first = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "__text")).alias("first")).select("first.*")
+    kept = known.where(~wordless).join(first, ["doc_id", "__text"], "left_semi").unionByName(known.where(wordless))
+    return kept.dropDuplicates(["doc_id", "__text"]).select(*docs.columns).unionByName(unnamed)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
