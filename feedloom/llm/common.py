@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; where that is unset (tests), one of our own."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Where it is unset a local session (tests) gets a folder of its own; a cluster must name one."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="feedloom-")
         context.setCheckpointDir(root)
     return root.rstrip("/")
@@ -30,7 +32,62 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what saved() wrote, once nothing reads it any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def set_aside(df: DataFrame, results: Iterable[str]) -> DataFrame:
+    """df with the columns that bear the name of a result renamed: `_in` is put behind such a name until it is free.
+
+    Names that start with two underscores are the operators' own: a table that has such a column is refused.
+    """
+    taken = {c.lower() for c in df.columns}
+    if own := sorted(c for c in taken if c.startswith("__")):
+        raise ValueError(f"columns that start with two underscores are reserved: {own}")
+    names, results = [], {r.lower() for r in results}
+    for c in df.columns:
+        name = c
+        while name.lower() in results or (name != c and name.lower() in taken):
+            name += "_in"
+        taken.add(name.lower())
+        names.append(name)
+    return df.toDF(*names)
+
+
+#: Rows of one key that go to one task of a join, and how many keys at most are dealt to several tasks.
+KEY_ROWS, HOT_KEYS = 50_000, 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], how: str = "inner", counts: DataFrame | None = None, rows: int = KEY_ROWS, sized: DataFrame | None = None) -> DataFrame:
+    """left joined with right, which has one row per key: keys that many rows of left share are dealt to several tasks.
+
+    left must be saved, or sized be a saved table with as many rows of each key. The keys of more than a thousandth of its rows are HOT_KEYS at most, so their table may be broadcast; their
+    row of right is repeated once per task. `by` deals the rows of a key. counts: (key, __rows), where the caller has them.
+    """
+    sized = left if sized is None else sized
+    n = sized.count()
+    limit = max(rows, n // HOT_KEYS)
+    if n <= limit:
+        return left.join(right, on, how)
+    if counts is None:
+        counts = sized.groupBy(*on).agg(F.count("*").alias("__rows"))
+    hot = saved(counts.where(F.col("__rows") > limit).select(*on, F.ceil(F.col("__rows") / F.lit(limit)).cast("int").alias("__parts")), "hot")
+    if hot.isEmpty():
+        return left.join(right, on, how)
+    salt = F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(*by), F.col("__parts"))).otherwise(0).cast("int")
+    dealt = left.join(F.broadcast(hot), on, "left").withColumn("__salt", salt).drop("__parts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))
+    repeated = right.join(F.broadcast(hot), on, "left").withColumn("__salt", copies).drop("__parts")
+    return dealt.join(repeated, [*on, "__salt"], how).drop("__salt")
 
 
 def text_or_empty(column: str = "text") -> Column:
@@ -42,16 +99,18 @@ def id_fold(column: str, folds: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % F.lit(folds)
 
 
-#: Bits of a map of marked keys: 4 MB, whatever the number of keys. A fuller map lets more rows through and loses none.
-BITMAP_BITS = 1 << 25
+#: Bits of a map of marked keys: eight per key between these bounds (32 MB). A fuller map lets more rows through and loses none.
+LEAST_BITS, MOST_BITS = 1 << 22, 1 << 28
 
 
-def bitmap_of(keys: DataFrame, key: str = "key", bits: int = BITMAP_BITS) -> np.ndarray:
-    """One bit per 64-bit key, by the key's low bits: at most bits / 64 rows reach the driver."""
+def bitmap_of(keys: DataFrame, key: str = "key", bits: int | None = None) -> np.ndarray:
+    """One bit per 64-bit key of a saved table, by the key's low bits: at most bits / 64 rows reach the driver."""
+    if bits is None:
+        bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * keys.count()).bit_length()))
     cells = keys.select(F.shiftright(F.col(key).bitwiseAND(F.lit(bits - 1)), 6).alias("cell"), F.expr(f"shiftleft(1L, cast({key} & 63 as int))").alias("bit"))
-    got = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas()
+    got = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(bits // 64, dtype=np.int64)
-    out[got["cell"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64)
+    out[got.column("cell").to_numpy().astype(np.int64)] = got.column("bits").to_numpy()
     return out.view(np.uint64)
 
 
@@ -78,34 +137,39 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Local contraction: each vertex points to the vertex of lowest priority among its neighbours and itself, the pointers
     are followed once more, edges are redrawn between what they point at, and the vertices' pointers are composed. Odd
     rounds take the id as priority (stars collapse at once), even ones a hash (chains shrink by a constant factor). Each
-    round is joins and map-side combined minima over the remaining edges, so a hub's rows are never gathered in one task.
+    round is map-side combined minima and joins over the remaining edges; a hub's edges are dealt to several tasks.
     Loops and repeated edges are fine; null ends are dropped; no edges give no rows.
     """
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     left = saved(edges.distinct(), "edges")
     ends = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     labels = saved(ends.select("id", F.col("id").alias("root")), "labels")
-    left, turn = left.where("a <> b"), 0
-    while not left.isEmpty():
+    turn = 0
+    while True:
+        proper = left.where("a <> b")
+        if proper.isEmpty():
+            break
         priority = F.lit(0) if turn % 2 == 0 else None
 
         def rank(c: str, priority=priority, turn=turn) -> Column:
             return F.struct((F.xxhash64(c, F.lit(turn)) if priority is None else priority).alias("k"), F.col(c).alias("id"))
 
-        both = left.union(left.select("b", "a"))
-        nearest = both.groupBy("a").agg(F.min(rank("b")).alias("n"))
-        step = nearest.select(F.col("a").alias("v"), F.least("n", rank("a"))["id"].alias("p"))
+        both = proper.union(proper.select("b", "a"))
+        nearest = both.groupBy("a").agg(F.min(rank("b")).alias("n"), F.count("*").alias("degree"))
+        step = saved(nearest.select(F.col("a").alias("v"), F.least("n", rank("a"))["id"].alias("p"), "degree"), "step")
         further = step.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        point = saved(step.join(further, "p", "left").select("v", F.coalesce("pp", "p").alias("p")), "point")
-        redrawn = (
-            left.join(point.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a")
-            .join(point.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
-            .where("pa <> pb")
-            .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
-        )
-        left = saved(redrawn.distinct(), "edges")
-        moved = labels.join(point.select(F.col("v").alias("root"), "p"), "root", "left")
-        labels = saved(moved.select("id", F.coalesce("p", "root").alias("root")), "labels")
+        followed = spread_join(step, further, ["p"], ["v"], "left")
+        point = saved(followed.select("v", F.coalesce("pp", "p").alias("p"), "degree"), "point")
+        of_a, of_b = (point.select(F.col("v").alias(c), F.col("p").alias(f"p{c}")) for c in "ab")
+        degrees = lambda c: point.select(F.col("v").alias(c), F.col("degree").alias("__rows"))
+        half = saved(spread_join(proper, of_a, ["a"], ["b"], counts=degrees("a")), "half")
+        redrawn = spread_join(half, of_b, ["b"], ["a"], counts=degrees("b")).where("pa <> pb")
+        redrawn = saved(redrawn.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        moved = spread_join(labels, point.select(F.col("v").alias("root"), "p"), ["root"], ["id"], "left")
+        moved = saved(moved.select("id", F.coalesce("p", "root").alias("root")), "labels")
+        discard(left, labels, step, half, point)
+        left, labels = redrawn, moved
         turn += 1
+    discard(left)
     smallest = labels.groupBy("root").agg(F.min("id").alias("component"))
-    return labels.join(smallest, "root").select("id", "component")
+    return spread_join(labels, smallest, ["root"], ["id"]).select("id", "component")

@@ -16,7 +16,11 @@ text's hash, then the line's number; rows of equal id and text count as one docu
 3. The earliest partner of each line is verified by its words or characters.
 4. Line numbers to remove are collected per document and joined to the texts.
 
-Null and empty texts stay as they are; an empty table gives an empty result; other columns are carried along.
+A line goes where an earlier one is near, also where that one goes itself: what is near is a property of two lines alone, so
+that the result does not hang on an order of removals; first_docs names the document of the earlier line.
+
+Null and empty texts stay as they are; a text of one very long line is compared like any other; rows of equal id and text
+are cleaned alike; an empty table gives an empty result; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -30,12 +34,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import BITMAP_BITS, bitmap_of, in_bitmap, saved
+from feedloom.llm.common import bitmap_of, in_bitmap, saved, set_aside, spread_join
 from feedloom.llm.hashing import BASES, ByteWords, Powers, Sequence, mix, signed
 
 EXACT_WORDS, NEAR_WORDS, NEAR_CHARS = 1, 10, 10
 #: Keeps the keys of characters apart from those of words.
 CHARS = np.uint64(0xD6E8FEB86659FD93)
+#: Rows of one line that go to one task.
+COMMON_ROWS = 4096
 #: Characters of text that are hashed in one go.
 GROUP_CHARS = 200_000
 
@@ -255,22 +261,22 @@ def _with_marked_key(bitmap: np.ndarray):
     return rows
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int = BITMAP_BITS, characters: bool = False) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int | None = None, characters: bool = False) -> DataFrame:
     """doc, tie, line, first_doc for each line to remove; first_doc is the document of the line it repeats."""
     id_type = docs.schema[id_col].dataType.simpleString()
     source = _sources(docs, id_col, text)
     lines = saved(source.mapInArrow(_scan(characters), f"doc {id_type}, tie long, line int, h1 long, h2 long, keys array<long>"), "lines")
 
     shared = _met_by_two(lines.select(F.explode("keys").alias("key"), "h1"))
-    keys = bitmap_of(shared, "key", bits)
+    keys = bitmap_of(saved(shared, "shared"), "key", bits)
     marked = lines.where(F.size("keys") > 0).mapInArrow(_with_marked_key(keys), lines.schema)
-    places = marked.groupBy("h1", "h2").agg(F.min(_place()).alias("place")).select(F.col("place.tie").alias("key")).distinct()
+    places = saved(marked.groupBy("h1", "h2").agg(F.min(_place()).alias("place")).select(F.col("place.tie").alias("key")).distinct(), "places")
     suspects = source.mapInArrow(_suspects(keys, bitmap_of(places, "key", bits), characters), f"h1 long, h2 long, doc {id_type}, tie long, line int, body string")
     suspects = saved(suspects.groupBy("h1", "h2").agg(F.min(_place()).alias("place"), F.first("body").alias("body")), "suspects")
 
     one = F.struct("place", "h1", "h2")
     bodies, neighbours = suspects.select("h1", "h2", "body"), "h1 long, h2 long, kind tinyint, key long"
-    held = bitmap_of(_met_by_two(bodies.mapInArrow(_variants(characters), neighbours).select("key", "h1")), "key", bits)
+    held = bitmap_of(saved(_met_by_two(bodies.mapInArrow(_variants(characters), neighbours).select("key", "h1")), "held"), "key", bits)
     met = saved(bodies.mapInArrow(_variants(characters, held), neighbours).join(suspects.select("h1", "h2", "place"), ["h1", "h2"]), "met")
     least = met.groupBy("key").agg(*[F.min(F.when(F.col("kind") == k, one)).alias(c) for k, c in ((0, "s"), (1, "d"), (2, "f"))])
     partner = F.when(F.col("kind") == 0, F.col("s")).when(F.col("kind") == 1, F.col("f")).otherwise(F.col("d"))
@@ -282,25 +288,36 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", b
 
     firsts = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
     status = firsts.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 OR near")
-    hit = lines.drop("keys").join(status, ["h1", "h2"])
+    status = saved(status, "status")
+    # Lines that very many rows share are dealt to several tasks.
+    hit = spread_join(lines.drop("keys"), status, ["h1", "h2"], ["doc", "tie", "line"], counts=status.select("h1", "h2", F.col("n").alias("__rows")), rows=COMMON_ROWS)
     here = _place()
     gone = hit.where(F.col("near").isNotNull() | (here > F.col("first")))
     return gone.select("doc", "tie", "line", F.when(F.col("near").isNotNull(), F.col("near_doc")).otherwise(F.col("first.doc")).alias("first_doc"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int = BITMAP_BITS, characters: bool = False) -> DataFrame:
-    """docs with the text cleaned, n_lines, n_removed (long) and first_docs (the documents that hold what was removed)."""
+RESULTS = ("n_lines", "n_removed", "first_docs")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bits: int | None = None, characters: bool = False) -> DataFrame:
+    """docs with the text cleaned, n_lines, n_removed (long) and first_docs (the documents that hold what was removed).
+
+    Columns of docs that bear the name of a result get `_in` behind it.
+    """
+    docs = set_aside(docs, RESULTS)
     gone = removed_lines(docs, id_col, text, bits, characters)
-    per_doc = gone.groupBy("doc", "tie").agg(F.collect_set("line").alias("__gone"), F.array_sort(F.collect_set("first_doc")).alias("first_docs"))
-    keyed = docs.withColumn("__tie", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = keyed.join(per_doc, (keyed["__tie"] == per_doc["tie"]) & keyed[id_col].eqNullSafe(per_doc["doc"]), "left").drop("doc", "tie")
+    per_doc = gone.groupBy(F.col("doc").alias("__doc"), F.col("tie").alias("__tie")).agg(F.collect_set("line").alias("__gone"), F.array_sort(F.collect_set("first_doc")).alias("__firsts"))
+    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    joined = keyed.join(per_doc, (F.col("__key") == F.col("__tie")) & F.col(id_col).eqNullSafe(F.col("__doc")), "left")
     split = joined.withColumn("__lines", F.split(F.col(text), "\n", -1))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     split = split.withColumn("__stay", F.when(F.col("__gone").isNotNull(), stay))
     clean = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform("__stay", lambda i: F.get(F.col("__lines"), i)), "\n"))
     lines = F.when(F.col(text).isNull() | (F.col(text) == ""), F.lit(0)).otherwise(F.size("__lines")).cast("long")
-    out = split.withColumn("n_lines", lines).withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long")).withColumn("__clean", clean)
-    return out.select(*[F.col("__clean").alias(c) if c == text else F.col(c) for c in docs.columns], "n_lines", "n_removed", F.coalesce("first_docs", F.array().cast(per_doc.schema["first_docs"].dataType)).alias("first_docs"))
+    # The text is replaced last: other columns are found from it.
+    out = split.withColumn("__n", lines).withColumn("__clean", clean)
+    firsts = F.coalesce("__firsts", F.array().cast(per_doc.schema["__firsts"].dataType))
+    return out.select(*[F.col("__clean").alias(c) if c == text else F.col(c) for c in docs.columns], F.col("__n").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), firsts.alias("first_docs"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

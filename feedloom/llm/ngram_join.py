@@ -6,7 +6,8 @@ so the H(r)+1 differences that would be needed to break a link cannot touch ever
 cover on segments, one unit for "this segment is equal" and a second one for "this segment is equal up to one deletion",
 each partner of its size or larger meets it in at least one of them (pigeonhole).
 
-1. Documents of equal sets form a class; its smallest id stands for it.
+1. The sets of all rows are found once and kept as sorted hashes. Rows of equal sets form a class; classes are the vertices,
+   so rows that share an id keep sets of their own, and are only brought together when components are named.
 2. Classes emit a hashed key per segment, in their own band and in the band below where smaller partners may be, and in a
    few segments of each band (in all of them, for small sets) also the keys of the segment with one n-gram left out. Keys
    are counted with map-side combining.
@@ -21,8 +22,9 @@ each partner of its size or larger meets it in at least one of them (pigeonhole)
    components is missed.
 
 Words are runs other than space and 0x09-0x0D after lower-casing A-Z. Fewer words than the n-gram's length make one n-gram;
-none, or a null text, make none, and such documents link with nothing. Rows that repeat an id are one vertex; rows without
-an id link with nothing and get no component; an empty table gives an empty result.
+none, or a null text, make none, and such documents link with nothing. Rows that repeat an id are one document of several
+texts: it links by each of them, and all its rows get one component. Rows without an id link with nothing and get no
+component; an empty table gives an empty result; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import bitmap_of, connected_components, in_bitmap, marked_rows, saved
+from feedloom.llm.common import bitmap_of, connected_components, in_bitmap, marked_rows, saved, spread_join
 from feedloom.llm.hashing import BASES, ByteWords, Powers, Sequence, mix, signed
 
 WIDTH, PERCENT = 4, 85
@@ -45,7 +47,9 @@ SMALL_SETS, DELETION_SEGMENTS = 64, 2
 #: Counts of n-grams kept per set, one byte each.
 COUNTS = 128
 #: Rows of a block, and rows that a task handles together.
-BLOCK_ROWS, GROUP_ROWS = 512, 4096
+BLOCK_ROWS, GROUP_ROWS = 1024, 8192
+#: Bytes of sets that a task hands over at a time.
+BATCH_BYTES = 8 << 20
 
 
 def most_differences(size: int, percent: int) -> int:
@@ -124,30 +128,37 @@ def _cover(grams: np.ndarray, percent: int) -> tuple[int, int]:
 
 
 def _sets(width: int, percent: int):
-    """(id, text) -> id, size, d1, d2 (the set's hash), cover, need, counts."""
+    """(id, text) -> id, size, v (the set's hash), cover, need, counts, grams (sorted hashes)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                grams = shingler.of(text)
-                d = xxhash.xxh3_128_intdigest(grams.tobytes())
+            out, start, held = [], 0, 0
+            for i, text in enumerate(batch.column(1)):
+                grams = shingler.of(text.as_py())
                 counts = np.minimum(np.bincount((grams >> np.uint64(20)).astype(np.int64) % COUNTS, minlength=COUNTS), 255).astype(np.uint8)
-                out.append((len(grams), d >> 64, d & ((1 << 64) - 1), *_cover(grams, percent), counts.tobytes()))
-            size, d1, d2, cover, need, counts = zip(*out, strict=True) if out else ([],) * 6
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(signed(np.array(d1, np.uint64))), pa.array(signed(np.array(d2, np.uint64))), pa.array(cover, pa.int32()), pa.array(need, pa.int32()), pa.array(counts, pa.binary())],
-                names=["id", "size", "d1", "d2", "cover", "need", "counts"],
-            )
+                out.append((len(grams), xxhash.xxh3_128_digest(grams.tobytes()), *_cover(grams, percent), counts.tobytes(), grams.tobytes()))
+                held += 8 * len(grams) + COUNTS
+                if held >= BATCH_BYTES:
+                    yield pack(batch.column(0).slice(start, len(out)), out)
+                    out, start, held = [], i + 1, 0
+            if out:
+                yield pack(batch.column(0).slice(start, len(out)), out)
+
+    def pack(ids: pa.Array, out: list[tuple]) -> pa.RecordBatch:
+        size, v, cover, need, counts, grams = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array(size, pa.int64()), pa.array(v, pa.binary()), pa.array(cover, pa.int32()), pa.array(need, pa.int32()), pa.array(counts, pa.binary()), pa.array(grams, pa.binary())],
+            names=["id", "size", "v", "cover", "need", "counts", "grams"],
+        )
 
     return rows
 
 
-def _keys(width: int, percent: int, leaders: np.ndarray, shared: np.ndarray | None):
-    """(id, text, mark) -> key, id, size, segment, kind, own. Kinds: 0 a segment, 1 one with deletions, 2 a deletion.
+def _keys(percent: int, leaders: np.ndarray, shared: np.ndarray | None):
+    """(mark, v, grams) -> key, kind, and with `shared` also v, size, segment, own. Kinds: 0 a segment, 1 one with deletions, 2 a deletion.
 
-    leaders: bitmap of the ids that stand for their class; shared: bitmap of the keys asked for, None for all.
+    leaders: bitmap of the rows that stand for their class; shared: bitmap of the keys asked for, None for all.
     """
 
     def of(grams: np.ndarray, k: int):
@@ -165,14 +176,13 @@ def _keys(width: int, percent: int, leaders: np.ndarray, shared: np.ndarray | No
         return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
         held: list[tuple] = []
         for batch in batches:
-            stands = in_bitmap(leaders, batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64))
-            texts = batch.column(1)
+            stands = in_bitmap(leaders, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            sets = batch.column(2)
             waiting = 0
             for i in np.flatnonzero(stands):
-                grams = shingler.of(texts[int(i)].as_py())
+                grams = np.frombuffer(sets[int(i)].as_buffer(), np.uint64)
                 k = band_of(len(grams), percent)
                 if k < 0:
                     continue
@@ -180,12 +190,13 @@ def _keys(width: int, percent: int, leaders: np.ndarray, shared: np.ndarray | No
                 bands = [k] + [k - 1] * (k > 0 and (band(k - 1, percent)[0] - 1) * 100 >= percent * len(grams))
                 for b in bands:
                     key, segment, kind = of(grams, b)
-                    if shared is not None:
+                    if shared is None:
+                        held.append((key, kind))
+                    else:
                         keep = in_bitmap(shared, key)
-                        key, segment, kind = key[keep], segment[keep], kind[keep]
-                    n = len(key)
-                    held.append((key, np.full(n, i), np.full(n, len(grams)), segment, kind, np.full(n, b == k)))
-                    waiting += n
+                        n = int(keep.sum())
+                        held.append((key[keep], kind[keep], np.full(n, i), np.full(n, len(grams)), segment[keep], np.full(n, b == k)))
+                    waiting += len(held[-1][0])
                 if waiting > 200_000:
                     yield flush(batch, held)
                     waiting = 0
@@ -193,22 +204,22 @@ def _keys(width: int, percent: int, leaders: np.ndarray, shared: np.ndarray | No
                 yield flush(batch, held)
 
     def flush(batch: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
-        key, who, size, segment, kind, own = (np.concatenate(x) for x in zip(*held, strict=True))
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
         held.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(signed(key)), batch.column(0).take(pa.array(who)), pa.array(size.astype(np.int32)), pa.array(segment.astype(np.int32)), pa.array(kind), pa.array(own)],
-            names=["key", "id", "size", "segment", "kind", "own"],
-        )
+        out = {"key": pa.array(signed(columns[0])), "kind": pa.array(columns[1])}
+        if shared is not None:
+            _, _, who, size, segment, own = columns
+            out |= {"v": batch.column(1).take(pa.array(who)), "size": pa.array(size.astype(np.int32)), "segment": pa.array(segment.astype(np.int32)), "own": pa.array(own)}
+        return pa.RecordBatch.from_pydict(out)
 
     return rows
 
 
-def _linked(width: int, percent: int):
+def _linked(percent: int):
     def check(a: pd.Series, b: pd.Series) -> pd.Series:
-        shingler = Shingler(width)
         out = []
         for x, y in zip(a, b, strict=True):
-            p, q = shingler.of(x), shingler.of(y)
+            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             common = len(np.intersect1d(p, q, assume_unique=True))
             out.append(common > 0 and 100 * common >= percent * (len(p) + len(q) - common))
         return pd.Series(out, dtype=bool)
@@ -227,7 +238,7 @@ def _may_link(percent: int):
     return F.pandas_udf(check, "boolean")
 
 
-def _tiles(percent: int, id_type: pa.DataType):
+def _tiles(percent: int):
     """Rows of several tiles -> pairs a, b of different components that may be linked."""
 
     def of(x: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
@@ -260,33 +271,38 @@ def _tiles(percent: int, id_type: pa.DataType):
         for rows in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1):
             for i, j in of(x, rows[side[rows] == 0], rows[side[rows] == 1]):
                 found.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
-        return pa.table({"a": pa.array([a for a, _ in found], id_type), "b": pa.array([b for _, b in found], id_type)})
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return solve
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, id_col: str, text: str, width: int, percent: int):
-        self.width, self.percent = width, percent
-        self.id_type = docs.schema[id_col].dataType.simpleString()
-        self.docs = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(id_col).alias("mark")).where("id IS NOT NULL")
+    """The classes of a table and what links them. In its tables `id` is the number of a class."""
 
-    def classes(self) -> tuple[DataFrame, DataFrame]:
-        """id, size, d1, d2, cover, need of each row; d1, d2, rep of each class."""
-        sets = saved(self.docs.select("id", "text").mapInArrow(_sets(self.width, self.percent), f"id {self.id_type}, size long, d1 long, d2 long, cover int, need int, counts binary"), "sets")
-        return sets, sets.where("size > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
+    def __init__(self, docs: DataFrame, id_col: str, text: str, width: int, percent: int):
+        self.percent = percent
+        id_type = docs.schema[id_col].dataType.simpleString()
+        sets = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(_sets(width, percent), f"id {id_type}, size long, v binary, cover int, need int, counts binary, grams binary")
+        #: One row per row of docs; `row` is a number of its own.
+        self.sets = saved(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
+        of = self.sets.where("size > 0 AND id IS NOT NULL").groupBy("v", "size", "cover", "need").agg(F.min("row").alias("lead"))
+        #: One row per class, with the row that stands for it.
+        self.classes = saved(of.select(F.monotonically_increasing_id().alias("id"), "*"), "classes")
 
     def keys(self, leaders: np.ndarray, shared: np.ndarray | None = None) -> DataFrame:
-        return self.docs.mapInArrow(_keys(self.width, self.percent, leaders, shared), f"key long, id {self.id_type}, size int, segment int, kind tinyint, own boolean")
+        more = "" if shared is None else ", v binary, size int, segment int, own boolean"
+        sets = self.sets.where("need > 0 AND id IS NOT NULL").select(F.xxhash64("row").alias("mark"), "v", "grams")
+        return sets.mapInArrow(_keys(self.percent, leaders, shared), f"key long, kind tinyint{more}")
 
-    def members(self, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    def members(self) -> DataFrame:
         """key, id, size, probe: the rows of the keys that some class has paid for."""
-        leaders = bitmap_of(classes.select(F.xxhash64("rep").alias("key")))
+        leaders = bitmap_of(self.classes.select(F.xxhash64("lead").alias("key")))
         exact, near = F.count(F.when(F.col("kind") < 2, 1)), F.count(F.when(F.col("kind") == 2, 1))
         counts = self.keys(leaders).groupBy("key").agg(exact.alias("exact"), near.alias("near"))
         counts = saved(counts.where("exact + near > 1"), "counts")
-        met = self.keys(leaders, bitmap_of(counts)).join(counts, "key")
-        met = saved(met, "met")
+        # Rows that the bitmap lets through beside the leaders repeat their class's keys.
+        shared = saved(self.keys(leaders, bitmap_of(counts)).distinct().join(self.classes.select("v", "id"), "v").drop("v"), "shared")
+        met = saved(spread_join(shared, counts, ["key"], ["id"], counts=counts.select("key", (F.col("exact") + F.col("near")).alias("__rows"))), "met")
 
         one = F.max(F.when(F.col("kind") < 2, F.col("exact") - 1).otherwise(0))
         two = F.sum(F.when(F.col("kind") == 2, F.col("exact")).when(F.col("kind") == 1, F.col("near")).otherwise(0))
@@ -294,19 +310,19 @@ class _Join:
         items = price.select("id", "segment", F.explode(F.array(F.struct(F.lit(1).alias("unit"), F.col("one").alias("cost")), F.struct(F.lit(2).alias("unit"), F.when(F.col("deep") == 1, F.greatest("one", "two")).otherwise(0).alias("cost")))).alias("x"))
         items = items.select("id", "segment", "x.*").where("cost > 0")
         ranked = items.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("cost", "unit", "segment"))).withColumn("paid", F.count("*").over(Window.partitionBy("id")))
-        needs = sets.where("need > 0").groupBy("id").agg(F.max("cover").alias("cover"), F.max("need").alias("need"))
-        bought = ranked.join(needs, "id").where("rank <= need - (cover - paid)")
+        bought = ranked.join(self.classes.where("need > 0").select("id", "cover", "need"), "id").where("rank <= need - (cover - paid)")
         bought = bought.groupBy("id", "segment").agg(F.max("unit").alias("unit"))
         probes = met.where("own").join(bought, ["id", "segment"]).where("kind < 2 OR unit = 2").select("key", "id").distinct()
         probes = saved(probes, "probes")
-        open_keys = probes.select("key").distinct()
-        rows = met.select("key", "id", "size").distinct().join(open_keys, "key").join(probes.withColumn("probe", F.lit(True)), ["key", "id"], "left")
+        paid = probes.groupBy("key").agg(F.lit(True).alias("paid"))
+        narrow = met.select("key", "id", "size")
+        rows = saved(spread_join(narrow, paid, ["key"], ["id"]).drop("paid").distinct(), "paid").join(probes.withColumn("probe", F.lit(True)), ["key", "id"], "left")
         rows = rows.select("key", "id", "size", F.coalesce("probe", F.lit(False)).alias("probe"))
-        return rows.unionByName(self.uncovered(sets, classes))
+        return rows.unionByName(self.uncovered())
 
-    def uncovered(self, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    def uncovered(self) -> DataFrame:
         """Classes whose set fills too few segments for the cover they need: they meet all of their band and the next."""
-        own = sets.where("need > 0").join(classes, ["d1", "d2"]).where("id = rep")
+        own = self.classes.where("need > 0")
         edges = [-(-self.percent // (100 - self.percent))]
         while edges[-1] < 1 << 31:
             edges.append(band_end(edges[-1]))
@@ -320,48 +336,48 @@ class _Join:
         every = all_of.unionByName(short).distinct()
         return every.join(flags, ["key", "id"], "left").select("key", "id", "size", F.coalesce("probe", F.lit(False)).alias("probe"))
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs a, b those that are linked; texts are fetched for the pairs' ids only."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-        texts = marked_rows(self.docs, "mark", bitmap_of(ids.select(F.xxhash64("id").alias("key")).distinct())).dropDuplicates(["id"])
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-        return both.where(_linked(self.width, self.percent)("ta", "tb")).select("a", "b")
+    def verify(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """Of saved pairs a, b those that are linked."""
+        side = lambda c: known.select(F.col("id").alias(c), F.col("grams").alias(f"g{c}"))
+        both = spread_join(spread_join(pairs, side("a"), ["a"], ["b"], sized=pairs), side("b"), ["b"], ["a"], sized=pairs)
+        return both.where(_linked(self.percent)("ga", "gb")).select("a", "b")
 
-    def components(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
+    def components(self, rows: DataFrame) -> DataFrame:
         """id, component of the linked classes."""
         rows = saved(rows, "members")
         spark = rows.sparkSession
-        none = spark.createDataFrame([], f"a {self.id_type}, b {self.id_type}")
-        known = sets.join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-        known = saved(known.select("id", F.col("size").alias("n"), "counts"), "known")
+        none = spark.createDataFrame([], "a long, b long")
+        wanted = saved(self.classes.join(rows.select("id").distinct(), "id", "left_semi").select("id", F.col("lead").alias("row")), "wanted")
+        sets = self.sets.select("row", F.col("size").alias("n"), "counts", "grams", F.xxhash64("row").alias("mark"))
+        marked = marked_rows(sets, "mark", bitmap_of(wanted.select(F.xxhash64("row").alias("key")))).drop("mark")
+        known = saved(marked.join(wanted, "row").drop("row"), "known")
         side = lambda c: known.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"c_{c}"))
 
         leaders = rows.groupBy("key").agg(F.min(F.struct("id", "size", "probe")).alias("leader"), F.max("probe").alias("p")).where("p")
         near = (F.least("size", "leader.size") * 100 >= F.greatest("size", "leader.size") * self.percent) & (F.col("probe") | F.col("leader.probe"))
-        pairs = rows.join(leaders, "key").where((F.col("id") != F.col("leader.id")) & near)
-        pairs = pairs.select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct()
-        room = pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link(self.percent)("c_a", "c_b", F.col("n_a") + F.col("n_b")))
+        pairs = spread_join(rows, leaders, ["key"], ["id"]).where((F.col("id") != F.col("leader.id")) & near)
+        pairs = saved(pairs.select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct(), "candidates")
+        room = spread_join(spread_join(pairs, side("a"), ["a"], ["b"], sized=pairs), side("b"), ["b"], ["a"], sized=pairs).where(_may_link(self.percent)("c_a", "c_b", F.col("n_a") + F.col("n_b")))
         pairs = saved(room.select("a", "b"), "pairs")
         # First one pair per member; the rest only where that left members apart.
-        first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        links, found = self.joined(none, spark.createDataFrame([], f"id {self.id_type}, component {self.id_type}"), self.verify(saved(first, "first")))
+        first = saved(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+        links, found = self.joined(none, spark.createDataFrame([], "id long, component long"), self.verify(first, known))
         of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-        rest = pairs.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        links, found = self.joined(links, found, self.verify(saved(rest, "rest")))
+        rest = pairs.join(first, ["a", "b"], "left_anti")
+        rest = spread_join(spread_join(rest, of("a"), ["a"], ["b"], "left", sized=pairs), of("b"), ["b"], ["a"], "left", sized=pairs)
+        rest = saved(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
+        links, found = self.joined(links, found, self.verify(rest, known))
         tiles = saved(self.open_tiles(rows, found, known).join(pairs, ["a", "b"], "left_anti"), "tiles")
-        return self.joined(links, found, self.verify(tiles))[1]
+        return self.joined(links, found, self.verify(tiles, known))[1]
 
     def open_tiles(self, rows: DataFrame, found: DataFrame, known: DataFrame) -> DataFrame:
         """Pairs a, b under one key, of different components, that may be linked."""
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        placed = rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = saved(rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
         per_home = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.max("probe").alias("p"))
         keys = per_home.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max("p").alias("p")).where("p AND all > most")
         blocks = lambda n: F.ceil(n / F.lit(BLOCK_ROWS)).cast("int")
-        keys = keys.select("key", "major", blocks(F.col("all") - F.col("most")).alias("minors"), blocks(F.col("all")).alias("alls"))
-        placed = saved(placed.join(keys, "key"), "open")
+        keys = saved(keys.select("key", "major", blocks(F.col("all") - F.col("most")).alias("minors"), blocks(F.col("all")).alias("alls")), "keys")
+        placed = saved(spread_join(placed, keys, ["key"], ["id"], counts=placed.groupBy("key").agg(F.count("*").alias("__rows"))), "open")
         own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         cut = ["key", "id", "size", "probe", "component"]
@@ -369,7 +385,7 @@ class _Join:
         right = placed.select(*cut, own("alls").alias("e"), every("minors").alias("m")).select(*cut, "m", "e").withColumn("side", F.lit(1))
         sides = saved(left.unionByName(right).join(known.select("id", "counts"), "id").withColumn("tile", F.xxhash64("key", "m", "e")), "sides")
         groups = max(1, sides.count() // GROUP_ROWS)
-        out = sides.withColumn("pack", F.pmod("tile", F.lit(groups))).groupBy("pack").applyInArrow(_tiles(self.percent, to_arrow_type(self.docs.schema["id"].dataType)), f"a {self.id_type}, b {self.id_type}")
+        out = sides.withColumn("pack", F.pmod("tile", F.lit(groups))).groupBy("pack").applyInArrow(_tiles(self.percent), "a long, b long")
         return out.distinct()
 
     def joined(self, links: DataFrame, found: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -381,15 +397,22 @@ class _Join:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """id, n_shingles (long), component_id: the smallest id reachable by links, itself included."""
+    """id, n_shingles (long), component_id: the smallest id reachable by links, itself included; a row per row of docs."""
     join = _Join(docs, id_col, text, width, percent)
-    sets, classes = join.classes()
-    classes = saved(classes, "classes")
-    found = join.components(join.members(sets, classes), sets)
-    named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    out = sets.join(named, ["d1", "d2"], "left").select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    lost = docs.where(F.col(id_col).isNull()).select(F.col(id_col), F.col(text).alias("text")).mapInArrow(_sets(width, percent), f"id {join.id_type}, size long, d1 long, d2 long, cover int, need int, counts binary")
-    return out.unionByName(lost.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.col("id").alias("component_id")))
+    found = join.components(join.members()).withColumnRenamed("component", "c")
+    named = saved(join.classes.join(found, "id", "left").select("v", F.coalesce("c", "id").alias("c")), "named")
+    rows = saved(spread_join(join.sets.select("id", "size", "v", "row"), named, ["v"], ["row"], "left").select("id", "size", F.when(F.col("id").isNotNull(), F.col("c")).alias("c")), "rows")
+    # Components that meet in an id of several texts are one; its rows without words belong to it.
+    several = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("b"), (F.count("c") < F.count("*")).alias("blank")).where("a <> b OR (blank AND a IS NOT NULL)")
+    several = saved(several, "several")
+    if not several.isEmpty():
+        shared = rows.where("c IS NOT NULL").join(several.select("id", F.col("a").alias("to")), "id")
+        joint = connected_components(shared.select(F.col("c").alias("a"), F.col("to").alias("b")).distinct()).withColumnRenamed("id", "c")
+        rows = saved(spread_join(rows, several.select("id", F.col("a").alias("own")), ["id"], ["size"], "left").select("id", "size", F.coalesce("c", "own").alias("c")), "owned")
+        rows = saved(spread_join(rows, joint, ["c"], ["id"], "left").select("id", "size", F.coalesce("component", "c").alias("c")), "joint")
+    least = rows.where("c IS NOT NULL").groupBy("c").agg(F.min("id").alias("least"))
+    out = spread_join(rows, least, ["c"], ["id"], "left")
+    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
