@@ -1,15 +1,17 @@
 """BPE encoding and decoding over a table of distinct words.
 
-Each task splits its texts into words and closes a block when the block's vocabulary reaches BLOCK_WORDS words. A block gives one row per distinct word (block, place, word) and one row per text with the places of its words. The
-word rows of all blocks meet by word, where each distinct word is encoded once; the ids go back to the blocks by (block,
-place), and every text's ids follow from its places. Decoding joins ids to the vocabulary's pieces. A block is named by a
-hash of its vocabulary, so a recomputed task names its blocks alike, and texts whose block has no ids raise an error.
+Each task splits its texts into words and closes a block when the block's vocabulary reaches BLOCK_WORDS words, or its texts
+BLOCK_TEXTS or BLOCK_BYTES. A block gives one row per distinct word (block, place, word) and one row per text with the places
+of its words. The word rows of all blocks meet by word, where each distinct word is encoded once; its ids are joined to the
+vocabulary's pieces, one row per id, which decodes it; ids and decoded words go back to the blocks by (block, place), and
+every text's ids and decoded text follow from its places. A block is named by its partition, its number there and its
+vocabulary, so a recomputed task names its blocks alike, no two blocks meet, and texts whose block has no ids raise an error.
 
 No token of the tokenizer file reaches across white space, so texts are cut there first. Pieces of code points below U+0300
 are then lower-cased and split by the file's pattern, which is what its normaliser and splitter do to them; other pieces,
 and those that may hold a special token, are words as they stand. Either way the file's own tokenizer encodes the words.
 Null and empty texts have no ids. Repeated rows and repeated or null ids give a row each; an empty table gives an empty
-result.
+result; columns other than id and text are not read, so no name can clash.
 """
 
 from __future__ import annotations
@@ -26,11 +28,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Distinct words of a block at most (one text may go beyond it).
 BLOCK_WORDS = 400_000
+#: Texts of a block at most, and bytes of their packed places (one text may go beyond them).
+BLOCK_TEXTS, BLOCK_BYTES = 50_000, 32 << 20
+#: Word rows that are encoded, and sent back, at a time.
+CHUNK_WORDS = 100_000
 
 #: Texts with other code points are not lower-cased here; composing could change what lower case is.
 _BEYOND = re.compile("[^\x00-\u02ff]")
@@ -89,6 +96,12 @@ def pieces_of(spec: str) -> list[str]:
     return out
 
 
+def piece_table(spark: SparkSession, spec: str) -> DataFrame:
+    """id, piece: a row per entry of the vocabulary."""
+    pieces = pieces_of(spec)
+    return spark.createDataFrame(pa.table({"id": pa.array(range(len(pieces)), pa.int32()), "piece": pa.array(pieces, pa.string())}))
+
+
 def id_type_of(spec: str) -> str:
     """Two bytes hold the ids of a vocabulary of this size, or four."""
     return "<u2" if len(pieces_of(spec)) <= 1 << 16 else "<u4"
@@ -128,19 +141,23 @@ def _unpack(packed: bytes, expand: zstandard.ZstdDecompressor) -> np.ndarray:
 def _blocks(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[tuple[int, list[str], list[tuple[object, bytes]]]]:
     """(name, words in order of place, (id, packed places) per text) of each block."""
     split, squeeze = WordSplitter(), zstandard.ZstdCompressor(level=3)
-    places, texts = _Places(), []
+    places, texts, held, number = _Places(), [], 0, 0
+    task = TaskContext.get()
+    partition = task.partitionId() if task else 0
 
     def closed() -> tuple[int, list[str], list[tuple[object, bytes]]]:
         words = list(places)
-        name = hashlib.blake2b("\n".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        name = hashlib.blake2b(f"{partition} {number}\n".encode() + "\n".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest()
         return int.from_bytes(name, "little", signed=True), words, texts
 
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            texts.append((key, _pack(places.read(text or "", split), squeeze)))
-            if len(places) >= block_words:
+            packed = _pack(places.read(text or "", split), squeeze)
+            texts.append((key, packed))
+            held += len(packed)
+            if len(places) >= block_words or len(texts) >= BLOCK_TEXTS or held >= BLOCK_BYTES:
                 yield closed()
-                places, texts = _Places(), []
+                places, texts, held, number = _Places(), [], 0, number + 1
     if texts:
         yield closed()
 
@@ -173,22 +190,100 @@ def block_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", siz
 
 
 def encode_words(words: DataFrame, spec: str) -> DataFrame:
-    """block, place, ids: rows of one word meet in one task, in order, so that it is encoded once."""
+    """block, part: packed places, ids and decoded words of blocks.
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(spec)
-        kind = id_type_of(spec)
+    Rows of one word meet in one task, in order. A task takes CHUNK_WORDS rows at a time: each distinct word of a chunk is encoded
+    once and gives a row per id, which a broadcast join (the vocabulary's size is the bound) gives its piece. The rows keep
+    their order through that join, so the pieces of a word are put together in the same task.
+    """
+    kind = id_type_of(spec)
+    pieces = F.broadcast(piece_table(words.sparkSession, spec))
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, squeeze, chunk = word_encoder(spec), zstandard.ZstdCompressor(level=1), 0
         for batch in batches:
             runs = pc.dictionary_encode(batch.column("word"))
-            ids = pa.array([np.array(i, dtype=kind).tobytes() for i in encode(runs.dictionary.to_pylist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("place"), pc.take(ids, runs.indices)], names=["block", "place", "ids"])
-
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(rows, "block long, place int, ids binary")
-
-
-def assemble(texts: DataFrame, ids: DataFrame, spec: str, build: Callable, columns: str) -> DataFrame:
-    """Joins ids back by (block, place). build(id, places, table) -> a result row; table has the ids and pieces by place."""
-    pieces, kind = [p.encode("utf-8") for p in pieces_of(spec)], id_type_of(spec)
+            ids = encode(runs.dictionary.to_pylist())
+            sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+            block, place, word = (batch.column("block").to_numpy(), batch.column("place").to_numpy(), runs.indices.to_numpy())
+            # The first row of a chunk says where its words belong; it has no id.
+            head = squeeze.compress(b"".join((np.array([len(block), len(sizes)], np.int64).tobytes(), block.astype(np.int64).tobytes(), place.astype(np.int32).tobytes(), word.astype(np.int32).tobytes(), sizes.tobytes())))
+            for a in range(0, max(1, len(flat)), 50_000):
+                part, first = flat[a : a + 50_000], a == 0
+                n = len(part) + first
+                at = np.arange(a, a + len(part), dtype=np.int32)
+                yield pa.RecordBatch.from_pydict({
+                    "chunk": pa.array(np.full(n, chunk, np.int32)),
+                    "at": pa.array(np.concatenate([[-1], at]).astype(np.int32) if first else at),
+                    "id": pa.concat_arrays([pa.array([None] * first, pa.int32()), pa.array(part)]),
+                    "head": pa.array([head] * first + [None] * len(part), pa.binary()),
+                })
+            chunk += 1
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze, expand = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        held, head, due = [], None, 0
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("at").to_numpy() == -1).tolist()
+            cuts = sorted({0, *starts, batch.num_rows})
+            for a, b in zip(cuts, cuts[1:]):
+                if a in starts:
+                    head = expand.decompress(batch.column("head")[a].as_py())
+                    n, m = np.frombuffer(head, np.int64, 2).tolist()
+                    due = int(np.frombuffer(head, np.int32, m, 16 + 16 * n).sum())
+                    held, a = [], a + 1
+                if head is None:
+                    continue
+                part = batch.slice(a, b - a)
+                if part.num_rows and part.column("at")[0].as_py() != sum(x.num_rows for x in held):
+                    raise ValueError("rows of a chunk are out of order")
+                held.append(part)
+                if sum(x.num_rows for x in held) == due:
+                    yield from parts_of(head, pa.Table.from_batches(held), squeeze)
+                    held, head = [], None
+        if head is not None:
+            raise ValueError("a chunk lacks rows")
+
+    def parts_of(head: bytes, rows: pa.Table, squeeze: zstandard.ZstdCompressor) -> Iterator[pa.RecordBatch]:
+        n, m = np.frombuffer(head, np.int64, 2).tolist()
+        block, place = np.frombuffer(head, np.int64, n, 16), np.frombuffer(head, np.int32, n, 16 + 8 * n)
+        word, sizes = np.frombuffer(head, np.int32, n, 16 + 12 * n), np.frombuffer(head, np.int32, m, 16 + 16 * n)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        ids, spoken = rows.column("id").to_numpy().astype(kind), rows.column("piece").combine_chunks()
+        decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), spoken), " ")
+        order = np.argsort(block, kind="stable")
+        names, counts = [], []
+        for rows_of in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+            mine = word[rows_of]
+            own = np.concatenate([ids[ends[w] : ends[w + 1]] for w in mine.tolist()]) if len(mine) else ids[:0]
+            texts = decoded.take(pa.array(mine)).cast(pa.binary())
+            body = b"".join((np.array([len(mine), len(own)], np.int64).tobytes(), place[rows_of].tobytes(), sizes[mine].tobytes(), pc.binary_length(texts).to_numpy().astype(np.int32).tobytes(), own.tobytes(), b"".join(texts.to_pylist())))
+            names.append(int(block[rows_of[0]]))
+            counts.append(squeeze.compress(body))
+        yield pa.RecordBatch.from_pydict({"block": pa.array(names, pa.int64()), "part": pa.array(counts, pa.binary())})
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for a in range(0, batch.num_rows, CHUNK_WORDS):
+                part = batch.slice(a, CHUNK_WORDS)
+                held.append(part)
+                n += part.num_rows
+                if n >= CHUNK_WORDS:
+                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    held, n = [], 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    met = words.repartition("word").sortWithinPartitions("word")
+    spread = met.mapInArrow(lambda batches: encoded(chunks(batches)), "chunk int, at int, id int, head binary")
+    return spread.join(pieces, "id", "left").select("at", "id", "head", "piece").mapInArrow(gathered, "block long, part binary")
+
+
+def assemble(texts: DataFrame, words: DataFrame, spec: str, build: Callable, columns: str) -> DataFrame:
+    """Joins encoded words back by (block, place). build(places, table) -> a result row; table has ids and decoded words by place."""
+    kind = id_type_of(spec)
     schema = f"id {texts.schema['id'].dataType.simpleString()}, {columns}"
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -197,11 +292,10 @@ def assemble(texts: DataFrame, ids: DataFrame, spec: str, build: Callable, colum
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         expand = zstandard.ZstdDecompressor()
-        size = (pc.max(right.column("place")).as_py() + 1) if right.num_rows else 0
-        table = WordTable(size)
-        for at, packed in zip(right.column("place").to_pylist(), right.column("ids").to_pylist(), strict=True):
-            table.put(at, np.frombuffer(packed, dtype=kind).tolist(), pieces)
-        out = []
+        table = WordTable(kind)
+        for part in right.column("part").to_pylist():
+            table.put(expand.decompress(part))
+        size, out = len(table.ids), []
         for key, packed in zip(left.column("id").to_pylist(), left.column("places").to_pylist(), strict=True):
             places = _unpack(packed, expand)
             if len(places) and int(places.max()) >= size:
@@ -209,23 +303,38 @@ def assemble(texts: DataFrame, ids: DataFrame, spec: str, build: Callable, colum
             out.append((key, *build(places.tolist(), table)))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)] if out else [pa.array([], f.type) for f in target], schema=target)
 
-    return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(join, schema)
+    return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(join, schema)
 
 
 class WordTable:
-    """By place: a word's ids, the ids as decimal text, and its decoded pieces."""
+    """By place: a word's ids, the ids as decimal text, and the word decoded."""
 
-    def __init__(self, size: int):
-        self.ids: list[list[int]] = [[]] * size
-        self.numbers: list[bytes] = [b""] * size
-        self.decoded: list[bytes] = [b""] * size
+    def __init__(self, kind: str):
+        self.kind = kind
+        self.ids: list[list[int]] = []
+        self.numbers: list[bytes] = []
+        self.decoded: list[bytes] = []
         self.silent = False
 
-    def put(self, at: int, ids: list[int], pieces: list[bytes]) -> None:
-        self.ids[at] = ids
-        self.numbers[at] = b" ".join([b"%d" % i for i in ids]) if len(ids) > 1 else b"%d" % ids[0] if ids else b""
-        self.decoded[at] = b" ".join([pieces[i] for i in ids])
-        self.silent |= not ids
+    def put(self, part: bytes) -> None:
+        n, m = np.frombuffer(part, np.int64, 2).tolist()
+        places, sizes, lengths = np.frombuffer(part, np.int32, 3 * n, 16).reshape(3, n).tolist()
+        at = 16 + 12 * n
+        ids = np.frombuffer(part, self.kind, m, at).tolist()
+        at += m * np.dtype(self.kind).itemsize
+        if n and max(places) >= len(self.ids):
+            more = max(places) + 1 - len(self.ids)
+            self.ids += [[]] * more
+            self.numbers += [b""] * more
+            self.decoded += [b""] * more
+        a = 0
+        for place, size, length in zip(places, sizes, lengths, strict=True):
+            own = ids[a : a + size]
+            self.ids[place] = own
+            self.numbers[place] = b" ".join([b"%d" % i for i in own]) if size > 1 else b"%d" % own[0] if size else b""
+            self.decoded[place] = part[at : at + length]
+            self.silent |= not size
+            a, at = a + size, at + length
 
     def spoken(self, places: list[int]) -> list[int]:
         """Places of words that have ids."""
@@ -259,8 +368,7 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text: str = "text
 
 def decode(encoded: DataFrame, spec: str, id_col: str = "doc_id", ids: str = "ids") -> DataFrame:
     """The id column (unique) and decoded, by a join of ids to pieces; the vocabulary's size bounds what is broadcast."""
-    spark = encoded.sparkSession
-    pieces = spark.createDataFrame(list(enumerate(pieces_of(spec))), "__id int, piece string")
+    pieces = piece_table(encoded.sparkSession, spec).withColumnRenamed("id", "__id")
     spread = encoded.select(id_col, F.posexplode_outer(ids).alias("__at", "__id")).join(F.broadcast(pieces), "__id", "left")
     joined = spread.groupBy(id_col).agg(F.array_sort(F.collect_list(F.when(F.col("__at").isNotNull(), F.struct("__at", "piece")))).alias("x"))
     return joined.select(id_col, F.array_join(F.col("x.piece"), " ").alias("decoded"))
