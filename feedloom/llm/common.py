@@ -67,14 +67,14 @@ def set_aside(df: DataFrame, results: Iterable[str]) -> DataFrame:
 KEY_ROWS, HOT_KEYS = 50_000, 1000
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], how: str = "inner", counts: DataFrame | None = None, rows: int = KEY_ROWS, sized: DataFrame | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], how: str = "inner", counts: DataFrame | None = None, rows: int = KEY_ROWS, sized: DataFrame | None = None, total: int | None = None) -> DataFrame:
     """left joined with right, which has one row per key: keys that many rows of left share are dealt to several tasks.
 
-    left must be saved, or sized be a saved table with as many rows of each key. The keys of more than a thousandth of its rows are HOT_KEYS at most, so their table may be broadcast; their
+    left must be saved, or sized be a saved table with as many rows of each key, or counts and total be given. The keys of more than a thousandth of its rows are HOT_KEYS at most, so their table may be broadcast; their
     row of right is repeated once per task. `by` deals the rows of a key. counts: (key, __rows), where the caller has them.
     """
     sized = left if sized is None else sized
-    n = sized.count()
+    n = sized.count() if total is None else total
     limit = max(rows, n // HOT_KEYS)
     if n <= limit:
         return left.join(right, on, how)
