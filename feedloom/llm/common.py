@@ -173,3 +173,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     discard(left)
     smallest = labels.groupBy("root").agg(F.min("id").alias("component"))
     return spread_join(labels, smallest, ["root"], ["id"]).select("id", "component")
+
+
+def one_per_id(rows: DataFrame) -> DataFrame:
+    """rows (saved: id, c and others) with the components c that meet in one id made one; rows of such an id without c get it."""
+    several = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("b"), (F.count("c") < F.count("*")).alias("blank"))
+    several = saved(several.where("a <> b OR (blank AND a IS NOT NULL)"), "several")
+    if several.isEmpty():
+        return rows
+    shared = rows.where("c IS NOT NULL").join(several.select("id", F.col("a").alias("to")), "id")
+    joint = connected_components(shared.select(F.col("c").alias("a"), F.col("to").alias("b")).distinct()).withColumnRenamed("id", "c")
+    others = [x for x in rows.columns if x != "c"]
+    owned = saved(spread_join(rows, several.select("id", F.col("a").alias("own")), ["id"], others, "left").select(*others, F.coalesce("c", "own").alias("c")), "owned")
+    return saved(spread_join(owned, joint, ["c"], others, "left").select(*others, F.coalesce("component", "c").alias("c")), "joint")

@@ -137,13 +137,13 @@ def with_next(df: DataFrame, columns: list[str], id_col: str = "doc_id", derive=
     weight = sum((F.coalesce(F.octet_length(c.cast("string")), F.lit(0)) for c in hashed), F.lit(0))
     placed = ordered_buckets(df, id_col, tie, weight, bucket_bytes).withColumn("__tie", tie)
     spot = F.struct(F.col(id_col).isNotNull().alias("has"), F.col(id_col).alias("id"), F.col("__tie").alias("tie"))
-    firsts = placed.groupBy("__bucket").agg(F.min(spot).alias("first"))
+    firsts = placed.groupBy("__bucket").agg(F.min(spot).alias("__first"))
     # One row per bucket: about BUCKETS + CELLS at most, so one window over them and their broadcast are bounded.
     order = Window.partitionBy(F.lit(0)).orderBy("__bucket")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ahead = firsts.select(F.coalesce(F.lag("__bucket").over(order), F.last("__bucket").over(whole)).alias("__to"), "first")
-    mine = F.coalesce(F.col(id_col) == F.col("first.id"), F.col(id_col).isNull() & F.col("first.id").isNull()) & (F.col("__tie") == F.col("first.tie"))
-    guests = placed.join(F.broadcast(ahead), mine, "inner").withColumn("__bucket", F.col("__to")).drop("__to", "first")
+    ahead = firsts.select(F.coalesce(F.lag("__bucket").over(order), F.last("__bucket").over(whole)).alias("__to"), "__first")
+    mine = F.coalesce(F.col(id_col) == F.col("__first.id"), F.col(id_col).isNull() & F.col("__first.id").isNull()) & (F.col("__tie") == F.col("__first.tie"))
+    guests = placed.join(F.broadcast(ahead), mine, "inner").withColumn("__bucket", F.col("__to")).drop("__to", "__first")
     rows = placed.withColumn("__guest", F.lit(0)).unionByName(guests.withColumn("__guest", F.lit(1)))
     rows = derive(rows.repartition("__bucket"))
     follow = Window.partitionBy("__bucket").orderBy("__guest", F.col(id_col).asc_nulls_first(), "__tie")

@@ -3,11 +3,13 @@
 Text is cut into windows of WINDOW bytes (the last one padded with zeros). Bytes are embedded; filters of several widths
 slide over a window; each filter's largest response over the window, rectified, feeds a softmax over the languages. A
 text's scores are the mean of its windows' probabilities, each weighted by its bytes; all windows of the whole text count.
-The network is trained in numpy on a bounded sample, Sample.texts labelled texts per language at most (documented, by the
-hash of the id), of which Sample.windows windows each reach the driver.
+The network is trained in numpy on a bounded sample: about Sample.texts labelled texts per language, twice as many over all
+languages at most (documented, by the hash of the id), of which Sample.windows windows each reach the driver. Languages are
+the LANGUAGES most frequent labels at most.
 
 Texts that are null or hold no letter get `und` and score 0. Without labelled rows every text gets `und`. Ties go to the
-first language by name. Repeated rows are predicted alike; other columns are carried along.
+first language by name. Repeated rows are predicted alike, rows without an id like all others (they are not learnt from); an
+empty table gives an empty result; other columns are carried along, and get `_in` behind their name where a result has it.
 """
 
 from __future__ import annotations
@@ -20,12 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import id_fold
+from feedloom.llm.common import id_fold, set_aside
 
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 6, (2, 3, 4), 8
 HELD, FOLDS = 2, 4
 #: Windows run through the network at a time.
 BLOCK = 512
+LANGUAGES = 500
 
 
 @dataclass(frozen=True)
@@ -119,14 +122,16 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: int
 def train(docs: DataFrame, sample: Sample = Sample(), held: int = HELD, folds: int = FOLDS) -> Network | None:
     """Train on texts with a language outside the held fold of the id."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (id_fold("doc_id", folds) != held))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return None
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, sample.texts / n))) for k, n in sorted(sizes.items())])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(sample.seed)), F.lit(1_000_000)) / 1_000_000
-    chosen = known.where(draw < share).select("doc_id", "lang", "text")
+    chosen = known.where(draw < share)
     spots = [F.floor(F.pmod(F.xxhash64("doc_id", F.lit(sample.seed + 1 + i)), F.greatest(F.char_length("text") - WINDOW + 1, F.lit(1)))).cast("int") + 1 for i in range(sample.windows)]
     cut = chosen.select("doc_id", "lang", F.array_distinct(F.array(*[F.substring(F.col("text"), s, F.lit(WINDOW)) for s in spots])).alias("cuts"))
+    # The draw keeps about sample.texts ids of a language, but any number of rows of one id.
+    cut = cut.distinct().orderBy(F.xxhash64("doc_id", "lang", F.lit(sample.seed)), "doc_id", "lang", "cuts").limit(2 * sample.texts * len(sizes))
     got = sorted((r["doc_id"], r["lang"], c) for r in cut.collect() for c in r["cuts"])
     languages = sorted(sizes)
     data = np.stack([windows_of(c.encode("utf-8", "replace")[:WINDOW])[0] for _, _, c in got])
@@ -135,8 +140,10 @@ def train(docs: DataFrame, sample: Sample = Sample(), held: int = HELD, folds: i
 
 def identified(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
     """docs with lang_pred and score."""
+    docs = set_aside(docs, ("lang_pred", "score"))
     if net is None:
         return docs.withColumn("lang_pred", F.lit("und")).withColumn("score", F.lit(0.0))
+
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -188,4 +195,4 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     net = train(docs.select("doc_id", "text", "lang"))
     found = identified(docs.select("doc_id", "text"), net)
-    return found.select("doc_id", (id_fold("doc_id", FOLDS) == HELD).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(id_fold("doc_id", FOLDS) == HELD, F.lit(False)).alias("held_out"), "lang_pred", "score")

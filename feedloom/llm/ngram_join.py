@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import bitmap_of, connected_components, in_bitmap, marked_rows, saved, spread_join
+from feedloom.llm.common import bitmap_of, connected_components, in_bitmap, marked_rows, one_per_id, saved, spread_join
 from feedloom.llm.hashing import BASES, ByteWords, Powers, Sequence, mix, signed
 
 WIDTH, PERCENT = 4, 85
@@ -402,14 +402,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     found = join.components(join.members()).withColumnRenamed("component", "c")
     named = saved(join.classes.join(found, "id", "left").select("v", F.coalesce("c", "id").alias("c")), "named")
     rows = saved(spread_join(join.sets.select("id", "size", "v", "row"), named, ["v"], ["row"], "left").select("id", "size", F.when(F.col("id").isNotNull(), F.col("c")).alias("c")), "rows")
-    # Components that meet in an id of several texts are one; its rows without words belong to it.
-    several = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("c").alias("a"), F.max("c").alias("b"), (F.count("c") < F.count("*")).alias("blank")).where("a <> b OR (blank AND a IS NOT NULL)")
-    several = saved(several, "several")
-    if not several.isEmpty():
-        shared = rows.where("c IS NOT NULL").join(several.select("id", F.col("a").alias("to")), "id")
-        joint = connected_components(shared.select(F.col("c").alias("a"), F.col("to").alias("b")).distinct()).withColumnRenamed("id", "c")
-        rows = saved(spread_join(rows, several.select("id", F.col("a").alias("own")), ["id"], ["size"], "left").select("id", "size", F.coalesce("c", "own").alias("c")), "owned")
-        rows = saved(spread_join(rows, joint, ["c"], ["id"], "left").select("id", "size", F.coalesce("component", "c").alias("c")), "joint")
+    # An id of several texts ties their components, and its rows without words belong there.
+    rows = one_per_id(rows)
     least = rows.where("c IS NOT NULL").groupBy("c").agg(F.min("id").alias("least"))
     out = spread_join(rows, least, ["c"], ["id"], "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))

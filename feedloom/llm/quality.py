@@ -6,10 +6,12 @@ of how often the two classes have it (smoothed counts), the scaled vector is div
 model with hinge loss is fitted by dual coordinate descent. Margins become scores from 0 to 1 by a logistic curve fitted to
 the margins of texts that the model for the other half of the sample was fitted on.
 
-The fit uses a bounded sample, Sample.rows labelled texts at most (documented, by the hash of the id); only their feature
-ids reach the driver. Scoring covers every text whole. Null and empty texts have no features and get the score of the bias
+The fit uses a bounded sample, Sample.rows labelled texts and Sample.codes feature ids at most (documented, by the hash of the
+id); only these feature ids reach the driver. An id with contradicting labels is not learnt from; where an id has several texts
+each is a text of its label. Scoring covers every text whole. Null and empty texts have no features and get the score of the bias
 alone. Without labelled rows, or with one class only, every score is the share of label 1 (0.5 without rows). Repeated rows
-are scored alike; other columns are carried along.
+are scored alike, rows without an id like all others; an empty table gives an empty result; other columns are carried along,
+and get `_in` behind their name where a result has it.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import id_fold
+from feedloom.llm.common import id_fold, saved, set_aside
 
 BITS = 18
 THRESHOLD = 0.3
@@ -38,6 +40,7 @@ class Sample:
     """Bound of the sample that the classifier is fitted on."""
 
     rows: int = 3000
+    codes: int = 30_000_000
     seed: int = 7
 
 
@@ -152,24 +155,34 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7, cost: float =
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = batch.to_pydict()
-        found = [np.unique(feature_codes(t)).astype(np.int32) for t in columns["text"]]
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(columns["doc_id"], pa.int64()), "quality": pa.array(columns["quality"], pa.int32()), "codes": pa.array([f.tobytes() for f in found], pa.binary())})
+        found = [np.unique(feature_codes(t)).astype(np.int32).tobytes() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("quality"), pa.array([len(f) // 4 for f in found], pa.int32()), pa.array(found, pa.binary())], names=["draw", "quality", "n", "codes"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), folds: int = FOLDS) -> Model:
     """Fit on labelled documents outside fold 0 of the id."""
-    known = labels.where(F.col("quality").isin(0, 1) & (id_fold("doc_id", folds) != 0)).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    known = labels.where(F.col("quality").isin(0, 1) & (id_fold("doc_id", folds) != 0)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").alias("most"))
+    draw = F.xxhash64("doc_id", F.lit(sample.seed))
     # sample.rows ids at most: small enough to broadcast whatever the size of the corpus.
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(sample.seed)), "doc_id", "quality").limit(sample.rows).dropDuplicates(["doc_id"])
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = texts.mapInArrow(_features, "doc_id long, quality int, codes binary").toPandas()
-    got = got.sort_values(["doc_id", "codes"]).drop_duplicates(["doc_id", "codes"])
+    chosen = known.where("quality = most").orderBy(draw, "doc_id").limit(sample.rows).drop("most")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text", F.lit(sample.seed)).alias("draw"), "quality", "text")
+    # An id may have any number of texts.
+    texts = texts.dropDuplicates(["draw", "quality"]).orderBy("draw", "quality").limit(sample.rows)
+    found = saved(texts.mapInArrow(_features, "draw long, quality int, n int, codes binary"), "features")
+    total, last = 0, None
+    for r in found.select("draw", "n").orderBy("draw").collect():
+        total += r["n"]
+        if total > sample.codes:
+            break
+        last = r["draw"]
+    got = found.where(F.col("draw") <= last).toPandas().sort_values(["draw", "quality"]) if last is not None else found.limit(0).toPandas()
     return fit([np.frombuffer(c, dtype=np.int32) for c in got["codes"]], got["quality"].to_numpy(), sample.seed)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with score and predicted."""
+    docs = set_aside(docs, ("score", "predicted"))
+
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.array([model.margin(t) for t in texts], dtype=float)))
@@ -180,4 +193,4 @@ def scored(docs: DataFrame, model: Model, text: str = "text", threshold: float =
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored(docs, model).select("doc_id", (id_fold("doc_id", FOLDS) == 0).alias("held_out"), "score", "predicted")
+    return scored(docs, model).select("doc_id", F.coalesce(id_fold("doc_id", FOLDS) == 0, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -7,7 +7,8 @@ of it is DataFrame expressions.
 
 Positions count code points, ends exclusive. A rule's matches are leftmost and do not overlap; a match whose value is
 too short is dropped after matching, so that it still uses up its text. Null texts count as empty, null ids are ids of
-their own, repeated rows give repeated result rows, an empty table gives an empty result, other columns are carried along.
+their own, repeated rows give repeated result rows, an empty table gives an empty result. Other columns are carried along, and
+get `_in` behind their name where a result (blob, found) has it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.llm.common import scratch_path, text_or_empty
+from feedloom.llm.common import scratch_path, set_aside, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -32,14 +33,18 @@ class Rule:
     version: int = 1
     #: A literal that every match holds, where there is one: a cheap test before the pattern runs.
     needs: str | None = None
+    base: bool = True
 
 
-# The three base patterns.
+# The three base patterns, and the well-known shapes that the method adds.
 RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, needs="AKIA"),
     # Runs are maximal, so asking for the length in the pattern finds the same ones as dropping short runs.
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, needs="PRIVATE KEY-----", base=False),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, needs="gh", base=False),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, needs="eyJ", base=False),
 )
 
 #: gap: code points since the end of the match before (or the text's start); size: of the match; keep: long enough.
@@ -103,20 +108,24 @@ class BlobLedger:
 
 def join_paths(versions: DataFrame, findings: DataFrame, text: str = "text") -> DataFrame:
     """Each version's row without its text, with blob and found: an array of (start, rank, kind, end) in order, empty if none."""
-    by_blob = findings.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("hits"))
-    paths = versions.withColumn("__blob", blob_of(text_or_empty(text))).drop(text)
-    joined = paths.join(by_blob, paths["__blob"] == by_blob["blob"], "left").drop("blob").withColumnRenamed("__blob", "blob")
-    return joined.withColumn("found", F.coalesce("hits", F.array().cast(by_blob.schema["hits"].dataType))).drop("hits")
+    by_blob = findings.groupBy(F.col("blob").alias("__blob")).agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("__hits"))
+    paths = set_aside(versions, ("blob", "found"))
+    carried = [c for c in paths.columns if c != text]
+    joined = paths.withColumn("__blob", blob_of(text_or_empty(text))).drop(text).join(by_blob, "__blob", "left")
+    return joined.select(*carried, F.col("__blob").alias("blob"), F.coalesce("__hits", F.array().cast(by_blob.schema["__hits"].dataType)).alias("found"))
 
 
 def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, a count per kind, and all spans as text with their hash."""
+    """doc_id, a count per base kind, all spans as text, and the hash of the base kinds' spans."""
     def count_of(kind: str) -> Column:
         return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [count_of(r.kind) for r in rules]
-    spans = F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return found.select("doc_id", *counts, F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+    def joined(rows: Column) -> Column:
+        return F.array_join(F.transform(rows, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    base = [r.kind for r in rules if r.base]
+    own = F.filter("found", lambda x: x["kind"].isin(base))
+    return found.select("doc_id", *map(count_of, base), F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,11 @@ slots a source has had its share of them to within less than one block. Weights
 schedule of one period is a small table, and every period repeats it, so a document's slot and its position follow from
 its rank within its source alone. When a source has no more blocks its slots stay empty and the others keep their order.
 
-Every document is placed exactly once. Documents without a source are a source of their own; repeated ids tie and are
-ordered by the id; null ids are ordered as empty text; an empty table gives an empty result; other columns are carried.
+Every document is placed exactly once. Documents without a source are a source of their own. Rows that share an id are ordered
+by the hash of all their columns, as are rows without an id, so a task that runs again places them alike; rows equal in every
+column may stand for each other. An empty table gives an empty result; other columns are carried along, and get `_in` behind
+their name where a result has it. At most SOURCES sources may be mixed: more are refused, as the schedule holds a count per
+slot and source.
 """
 
 from __future__ import annotations
@@ -17,11 +20,16 @@ import heapq
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from feedloom.llm.common import set_aside
 
 PERIOD = 1000
 BLOCK_ROWS = 64
 #: Rows per ranking bucket at least, and how many buckets there are at most.
 BUCKET_ROWS, BUCKETS = 256, 50_000
+SOURCES = 500
+RESULTS = ("mix_source_rank", "mix_block", "mix_slot", "mix_position")
 
 
 def whole_shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -71,11 +79,13 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
     weights: target weight by source; sources not named get the least weight named. None: temper() of the sources' sizes.
     The number of sources is taken to be small (their names and sizes reach the driver); documents are not collected.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, set_aside(docs, RESULTS)
     keyed = docs.withColumn("__source", _source_key(source))
-    counts = {r["__source"]: r["n"] for r in keyed.groupBy("__source").agg(F.count("*").alias("n")).collect()}
+    counts = {r["__source"]: r["n"] for r in keyed.groupBy("__source").agg(F.count("*").alias("n")).limit(SOURCES + 1).collect()}
+    if len(counts) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
     if not counts:
-        return docs.select("*", *[F.lit(0).cast("long").alias(c) for c in ("mix_source_rank", "mix_block", "mix_slot", "mix_position")])
+        return docs.select("*", *[F.lit(0).cast("long").alias(c) for c in RESULTS])
     if weights is None:
         target = temper(counts)
     else:
@@ -93,12 +103,14 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
     plan = spark.createDataFrame(rows, "__source string, __turn int, __at long, __before array<long>")
     of_source = spark.createDataFrame([(k, shares[k], max(1, -(-counts[k] // max(BUCKET_ROWS, sum(counts.values()) // BUCKETS)))) for k in names], "__source string, __share long, __buckets long")
 
-    tie = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    placed = keyed.join(F.broadcast(of_source), "__source").withColumn("__hash", F.sha2(tie, 256))
+    hashable = [F.col(f.name) for f in docs.schema if not isinstance(f.dataType, T.MapType)]
+    tie = F.xxhash64(*hashable)
+    named = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), tie.cast("string"))
+    placed = keyed.join(F.broadcast(of_source), "__source").withColumn("__hash", F.sha2(named, 256)).withColumn("__tie", tie)
     placed = placed.withColumn("__bucket", F.floor(F.conv(F.substring("__hash", 1, 8), 16, 10).cast("long") * F.col("__buckets") / F.lit(2**32)))
     sizes = placed.groupBy("__source", "__bucket").agg(F.count("*").alias("n"))
     before = sizes.select("__source", "__bucket", (F.sum("n").over(Window.partitionBy("__source").orderBy("__bucket")) - F.col("n")).alias("__first"))
-    inside = Window.partitionBy("__source", "__bucket").orderBy("__hash", tie)
+    inside = Window.partitionBy("__source", "__bucket").orderBy("__hash", "__tie")
     ranked = placed.withColumn("__rank", F.row_number().over(inside)).join(before, ["__source", "__bucket"])
 
     total = F.array(*[F.lit(counts[n]).cast("long") for n in names])
@@ -114,7 +126,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
         lambda acc, x: acc + x,
     )
     out = slotted.withColumn("mix_slot", slot).withColumn("mix_position", ahead + F.col("mix_source_rank") % block_rows)
-    return out.select(*docs.columns, "mix_source_rank", "mix_block", "mix_slot", "mix_position")
+    return out.select(*docs.columns, *RESULTS)
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
