@@ -1,6 +1,9 @@
 """From raw documents to token ids: five stages over whole tables, each written as Parquet before the next one reads it.
 
-All stages but the last return the columns of documents. Every stage works on all that the one before it kept.
+All stages but the last return the columns of documents. Every stage works on all that the one before it kept. Null and empty
+texts pass the first stage by the classifier's score of no features, the second and third as they are; rows may repeat, share
+or lack an id, and carry further columns of any name but those that start with two underscores, which are refused; an empty
+table stays empty.
 """
 
 from __future__ import annotations
@@ -17,10 +20,15 @@ from feedloom.llm.common import saved
 SHINGLE, PERCENT = 5, 80
 
 
+def _carried(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, which an operator carries along first and in order, under their own names."""
+    return found.select(*found.columns[: len(docs.columns)]).toDF(*docs.columns)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts, fitted on the labels of the same data set."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, model).where("predicted = 1").select(*docs.columns)
+    return _carried(quality.scored(docs, model).where("predicted = 1"), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +36,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     cleaned = line_dedup.dedup_lines(docs, characters=True)
     left = cleaned.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", n_chars).select(*docs.columns)
+    return _carried(left.withColumn("n_chars", n_chars), docs)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +58,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix: by position over the part files, and within each."""
     placed = source_mix.mix(docs)
-    return placed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    return _carried(placed.repartitionByRange("mix_position").sortWithinPartitions("mix_position"), docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +79,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("BPE encoding and decoding", encode_tokens),
 ]
 
-#: A fitted classifier, an EDF schedule and BPE merges are beyond SQL; tests hold the stages against brute force instead.
+#: A fitted classifier, an EDF schedule and BPE merges are beyond SQL; tests/llm hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
