@@ -31,7 +31,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    # Small row groups keep what a task buffers small, also where rows are long.
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
@@ -64,7 +65,7 @@ def set_aside(df: DataFrame, results: Iterable[str]) -> DataFrame:
 
 
 #: Rows of one key that go to one task of a join, and how many keys at most are dealt to several tasks.
-KEY_ROWS, HOT_KEYS = 50_000, 1000
+KEY_ROWS, HOT_KEYS = 2000, 1000
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], how: str = "inner", counts: DataFrame | None = None, rows: int = KEY_ROWS, sized: DataFrame | None = None, total: int | None = None) -> DataFrame:

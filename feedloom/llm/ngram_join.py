@@ -18,8 +18,8 @@ each partner of its size or larger meets it in at least one of them (pigeonhole)
    copies costs a comparison per member, not all pairs.
 5. Keys that still hold several components are finished in blocks: members outside the key's largest component against
    all its members. A tile of two blocks compares counts of n-grams by hash (a lower bound of the difference of two sets)
-   and returns only pairs of different components that may still be linked; these are verified. No link between different
-   components is missed.
+   and returns only pairs of different components that may still be linked: first the closest one of each row, and once
+   these are verified and joined, all that are left. No link between different components is missed.
 
 Words are runs other than space and 0x09-0x0D after lower-casing A-Z. Fewer words than the n-gram's length make one n-gram;
 none, or a null text, make none, and such documents link with nothing. Rows that repeat an id are one document of several
@@ -238,8 +238,8 @@ def _may_link(percent: int):
     return F.pandas_udf(check, "boolean")
 
 
-def _tiles(percent: int):
-    """Rows of several tiles -> pairs a, b of different components that may be linked."""
+def _tiles(percent: int, nearest: bool):
+    """Rows of several tiles -> pairs a, b of different components that may be linked; nearest: for each row the closest one only."""
 
     def of(x: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
         out = []
@@ -251,7 +251,10 @@ def _tiles(percent: int):
             p, q = np.nonzero(fit)
             if len(p):
                 apart = np.abs(x["counts"][rows[p]] - x["counts"][right[q]]).sum(axis=1, dtype=np.int64)
-                keep = apart * (100 + percent) <= total[p, q] * (100 - percent)
+                keep = np.flatnonzero(apart * (100 + percent) <= total[p, q] * (100 - percent))
+                if nearest and len(keep):
+                    keep = keep[np.lexsort((apart[keep], p[keep]))]
+                    keep = keep[np.unique(p[keep], return_index=True)[1]]
                 out += zip(rows[p[keep]].tolist(), right[q[keep]].tolist(), strict=True)
         return out
 
@@ -285,9 +288,9 @@ class _Join:
         sets = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(_sets(width, percent), f"id {id_type}, size long, v binary, cover int, need int, counts binary, grams binary")
         #: One row per row of docs; `row` is a number of its own.
         self.sets = saved(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
-        of = self.sets.where("size > 0 AND id IS NOT NULL").groupBy("v", "size", "cover", "need").agg(F.min("row").alias("lead"))
-        #: One row per class, with the row that stands for it.
-        self.classes = saved(of.select(F.monotonically_increasing_id().alias("id"), "*"), "classes")
+        of = self.sets.where("size > 0 AND id IS NOT NULL").groupBy("v", "size", "cover", "need").agg(F.min("row").alias("lead"), F.min("id").alias("rep"))
+        #: One row per class, with the row that stands for it; numbers rise with the classes' smallest ids.
+        self.classes = saved(of.repartitionByRange("rep").sortWithinPartitions("rep", "v").select(F.monotonically_increasing_id().alias("id"), *of.columns[:-1]), "classes")
 
     def keys(self, leaders: np.ndarray, shared: np.ndarray | None = None) -> DataFrame:
         more = "" if shared is None else ", v binary, size int, segment int, own boolean"
@@ -367,10 +370,17 @@ class _Join:
         rest = spread_join(spread_join(rest, of("a"), ["a"], ["b"], "left", sized=pairs), of("b"), ["b"], ["a"], "left", sized=pairs)
         rest = saved(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
         links, found = self.joined(links, found, self.verify(rest, known))
-        tiles = saved(self.open_tiles(rows, found, known).join(pairs, ["a", "b"], "left_anti"), "tiles")
-        return self.joined(links, found, self.verify(tiles, known))[1]
-
-    def open_tiles(self, rows: DataFrame, found: DataFrame, known: DataFrame) -> DataFrame:
+        # What a leader left apart joins by the closest of its key first, so that few pairs are left for the last step, all of them.
+        tried = pairs
+        for nearest in (True, False):
+            tiles = saved(self.open_tiles(rows, found, known, nearest).join(tried, ["a", "b"], "left_anti"), "tiles")
+            if tiles.isEmpty():
+                continue
+            links, found = self.joined(links, found, self.verify(tiles, known))
+            tried = tried.union(tiles)
+        return found
+
+    def open_tiles(self, rows: DataFrame, found: DataFrame, known: DataFrame, nearest: bool) -> DataFrame:
         """Pairs a, b under one key, of different components, that may be linked."""
         placed = saved(rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
         per_home = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.max("probe").alias("p"))
@@ -385,7 +395,7 @@ class _Join:
         right = placed.select(*cut, own("alls").alias("e"), every("minors").alias("m")).select(*cut, "m", "e").withColumn("side", F.lit(1))
         sides = saved(left.unionByName(right).join(known.select("id", "counts"), "id").withColumn("tile", F.xxhash64("key", "m", "e")), "sides")
         groups = max(1, sides.count() // GROUP_ROWS)
-        out = sides.withColumn("pack", F.pmod("tile", F.lit(groups))).groupBy("pack").applyInArrow(_tiles(self.percent), "a long, b long")
+        out = sides.withColumn("pack", F.pmod("tile", F.lit(groups))).groupBy("pack").applyInArrow(_tiles(self.percent, nearest), "a long, b long")
         return out.distinct()
 
     def joined(self, links: DataFrame, found: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
