@@ -32,6 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.llm.common import saved
+
 #: Distinct words of a block at most (one text may go beyond it).
 BLOCK_WORDS = 400_000
 #: Texts of a block at most, and bytes of their packed places (one text may go beyond them).
@@ -130,7 +132,7 @@ class _Places(dict):
 
 def _pack(places: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
     """Byte planes, so that the high bytes, mostly zero, squeeze well."""
-    return squeeze.compress(np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    return squeeze.compress(_planes(places))
 
 
 def _unpack(packed: bytes, expand: zstandard.ZstdDecompressor) -> np.ndarray:
@@ -192,93 +194,100 @@ def block_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", siz
 def encode_words(words: DataFrame, spec: str) -> DataFrame:
     """block, part: packed places, ids and decoded words of blocks.
 
-    Rows of one word meet in one task, in order. A task takes CHUNK_WORDS rows at a time: each distinct word of a chunk is encoded
-    once and gives a row per id, which a broadcast join (the vocabulary's size is the bound) gives its piece. The rows keep
-    their order through that join, so the pieces of a word are put together in the same task.
+    Rows of one word meet in one task, in order. A task takes CHUNK_WORDS rows at a time: each distinct word of a chunk is
+    encoded once, and the chunk, one row, is written to the shared folder. Its ids become a row each and are joined to their
+    pieces (broadcast: the vocabulary's size is the bound); the rows keep their order through that join, so the pieces of a
+    word are put together in the same task.
     """
     kind = id_type_of(spec)
     pieces = F.broadcast(piece_table(words.sparkSession, spec))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, squeeze, chunk = word_encoder(spec), zstandard.ZstdCompressor(level=1), 0
-        for batch in batches:
+        encode, squeeze = word_encoder(spec), zstandard.ZstdCompressor(level=3)
+        for batch in _chunks(batches):
             runs = pc.dictionary_encode(batch.column("word"))
             ids = encode(runs.dictionary.to_pylist())
             sizes = np.fromiter(map(len, ids), np.int32, len(ids))
             flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
             block, place, word = (batch.column("block").to_numpy(), batch.column("place").to_numpy(), runs.indices.to_numpy())
-            # The first row of a chunk says where its words belong; it has no id.
-            head = squeeze.compress(b"".join((np.array([len(block), len(sizes)], np.int64).tobytes(), block.astype(np.int64).tobytes(), place.astype(np.int32).tobytes(), word.astype(np.int32).tobytes(), sizes.tobytes())))
-            for a in range(0, max(1, len(flat)), 50_000):
-                part, first = flat[a : a + 50_000], a == 0
-                n = len(part) + first
-                at = np.arange(a, a + len(part), dtype=np.int32)
-                yield pa.RecordBatch.from_pydict({
-                    "chunk": pa.array(np.full(n, chunk, np.int32)),
-                    "at": pa.array(np.concatenate([[-1], at]).astype(np.int32) if first else at),
-                    "id": pa.concat_arrays([pa.array([None] * first, pa.int32()), pa.array(part)]),
-                    "head": pa.array([head] * first + [None] * len(part), pa.binary()),
-                })
-            chunk += 1
+            names, owner = np.unique(block, return_inverse=True)
+            # Where the chunk's words belong; numbers of blocks and places in byte planes, which squeeze well.
+            head = squeeze.compress(b"".join((np.array([len(block), len(sizes), len(names)], np.int64).tobytes(), names.astype(np.int64).tobytes(), _planes(owner), _planes(place), word.astype(np.int32).tobytes(), sizes.tobytes())))
+            yield pa.RecordBatch.from_pydict({"head": pa.array([head], pa.binary()), "ids": pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))})
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze, expand = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
-        held, head, due = [], None, 0
+        held, have, chunk = [], 0, None
         for batch in batches:
-            starts = np.flatnonzero(batch.column("at").to_numpy() == -1).tolist()
+            starts = set(np.flatnonzero(batch.column("at").to_numpy() == -1).tolist())
             cuts = sorted({0, *starts, batch.num_rows})
             for a, b in zip(cuts, cuts[1:]):
                 if a in starts:
-                    head = expand.decompress(batch.column("head")[a].as_py())
-                    n, m = np.frombuffer(head, np.int64, 2).tolist()
-                    due = int(np.frombuffer(head, np.int32, m, 16 + 16 * n).sum())
-                    held, a = [], a + 1
-                if head is None:
-                    continue
+                    chunk, held, have, a = _Chunk(expand.decompress(batch.column("head")[a].as_py())), [], 0, a + 1
                 part = batch.slice(a, b - a)
-                if part.num_rows and part.column("at")[0].as_py() != sum(x.num_rows for x in held):
+                if part.num_rows and (chunk is None or part.column("at")[0].as_py() != have):
                     raise ValueError("rows of a chunk are out of order")
                 held.append(part)
-                if sum(x.num_rows for x in held) == due:
-                    yield from parts_of(head, pa.Table.from_batches(held), squeeze)
-                    held, head = [], None
-        if head is not None:
+                have += part.num_rows
+                if have == chunk.due:
+                    yield chunk.parts(pa.Table.from_batches(held), kind, squeeze)
+                    held, chunk = [], None
+        if chunk is not None:
             raise ValueError("a chunk lacks rows")
 
-    def parts_of(head: bytes, rows: pa.Table, squeeze: zstandard.ZstdCompressor) -> Iterator[pa.RecordBatch]:
-        n, m = np.frombuffer(head, np.int64, 2).tolist()
-        block, place = np.frombuffer(head, np.int64, n, 16), np.frombuffer(head, np.int32, n, 16 + 8 * n)
-        word, sizes = np.frombuffer(head, np.int32, n, 16 + 12 * n), np.frombuffer(head, np.int32, m, 16 + 16 * n)
-        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    met = words.repartition("word").sortWithinPartitions("word")
+    chunks = saved(met.mapInArrow(encoded, "head binary, ids array<int>"), "encoded")
+    none = lambda t: F.lit(None).cast(t)
+    first = F.array(F.struct(F.lit(-1).alias("at"), none("int").alias("id"), F.col("head")))
+    spread = chunks.select(F.inline(F.concat(first, F.transform("ids", lambda x, i: F.struct(i.alias("at"), x.alias("id"), none("binary").alias("head"))))))
+    return spread.join(pieces, "id", "left").select("at", "id", "head", "piece").mapInArrow(gathered, "block long, part binary")
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of CHUNK_WORDS rows and more."""
+    held, n = [], 0
+    for batch in batches:
+        for a in range(0, batch.num_rows, CHUNK_WORDS):
+            part = batch.slice(a, CHUNK_WORDS)
+            held.append(part)
+            n += part.num_rows
+            if n >= CHUNK_WORDS:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+class _Chunk:
+    """What the head of a chunk says: per row its block, place and distinct word, and per distinct word how many ids it has."""
+
+    def __init__(self, head: bytes):
+        n, m, k = np.frombuffer(head, np.int64, 3).tolist()
+        names, at = np.frombuffer(head, np.int64, k, 24), 24 + 8 * k
+        numbers = lambda at: np.ascontiguousarray(np.frombuffer(head, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel()
+        self.block, self.place = names[numbers(at)], numbers(at + 4 * n).astype(np.int32)
+        self.word, self.sizes = np.frombuffer(head, np.int32, n, at + 8 * n), np.frombuffer(head, np.int32, m, at + 12 * n)
+        self.due = int(self.sizes.sum())
+
+    def parts(self, rows: pa.Table, kind: str, squeeze: zstandard.ZstdCompressor) -> pa.RecordBatch:
+        """block, part: a row per block with its places, ids and decoded words."""
+        ends = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int32)
         ids, spoken = rows.column("id").to_numpy().astype(kind), rows.column("piece").combine_chunks()
         decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), spoken), " ")
-        order = np.argsort(block, kind="stable")
-        names, counts = [], []
-        for rows_of in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-            mine = word[rows_of]
-            own = np.concatenate([ids[ends[w] : ends[w + 1]] for w in mine.tolist()]) if len(mine) else ids[:0]
+        order = np.argsort(self.block, kind="stable")
+        names, packed = [], []
+        for of in np.split(order, np.flatnonzero(np.diff(self.block[order])) + 1):
+            mine = self.word[of]
+            own = np.concatenate([ids[ends[w] : ends[w + 1]] for w in mine.tolist()])
             texts = decoded.take(pa.array(mine)).cast(pa.binary())
-            body = b"".join((np.array([len(mine), len(own)], np.int64).tobytes(), place[rows_of].tobytes(), sizes[mine].tobytes(), pc.binary_length(texts).to_numpy().astype(np.int32).tobytes(), own.tobytes(), b"".join(texts.to_pylist())))
-            names.append(int(block[rows_of[0]]))
-            counts.append(squeeze.compress(body))
-        yield pa.RecordBatch.from_pydict({"block": pa.array(names, pa.int64()), "part": pa.array(counts, pa.binary())})
-
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            for a in range(0, batch.num_rows, CHUNK_WORDS):
-                part = batch.slice(a, CHUNK_WORDS)
-                held.append(part)
-                n += part.num_rows
-                if n >= CHUNK_WORDS:
-                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                    held, n = [], 0
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    met = words.repartition("word").sortWithinPartitions("word")
-    spread = met.mapInArrow(lambda batches: encoded(chunks(batches)), "chunk int, at int, id int, head binary")
-    return spread.join(pieces, "id", "left").select("at", "id", "head", "piece").mapInArrow(gathered, "block long, part binary")
+            body = b"".join((np.array([len(mine), len(own)], np.int64).tobytes(), self.place[of].tobytes(), self.sizes[mine].tobytes(), pc.binary_length(texts).to_numpy().astype(np.int32).tobytes(), own.tobytes(), b"".join(texts.to_pylist())))
+            names.append(int(self.block[of[0]]))
+            packed.append(squeeze.compress(body))
+        return pa.RecordBatch.from_pydict({"block": pa.array(names, pa.int64()), "part": pa.array(packed, pa.binary())})
 
 
 def assemble(texts: DataFrame, words: DataFrame, spec: str, build: Callable, columns: str) -> DataFrame:
@@ -301,6 +310,7 @@ def assemble(texts: DataFrame, words: DataFrame, spec: str, build: Callable, col
             if len(places) and int(places.max()) >= size:
                 raise ValueError("a block of texts has no ids: the input gave other rows when it was read again")
             out.append((key, *build(places.tolist(), table)))
+        del table
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)] if out else [pa.array([], f.type) for f in target], schema=target)
 
     return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(join, schema)
