@@ -200,6 +200,16 @@ def title_from_url(url: Column) -> Column:
     return F.when(words == "", F.lit("(position)")).otherwise(F.substring(F.initcap(words), 1, 140))
 
 
+def title_from_sitemap_url(url: Column) -> Column:
+    """A title from the path's last segment but one (its only one), words in upper case first; `Untitled role` without one."""
+    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.when(url.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), F.lit("")).otherwise(url))
+    segments = F.filter(F.split(path, "/"), lambda x: x != "")
+    chosen = F.coalesce(F.get(segments, F.when(F.size(segments) >= 2, F.size(segments) - 2).otherwise(0)), F.lit(""))
+    words = F.filter(F.split(F.coalesce(F.try_url_decode(F.replace(chosen, F.lit("+"), F.lit("%2B"))), chosen), "[-_]+"), lambda x: x != "")
+    named = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), " ")
+    return F.when(F.size(words) == 0, F.lit("Untitled role")).otherwise(named)
+
+
 def normalize_lines(c: Column) -> Column:
     """Line ends, spaces at line ends, at most one blank line."""
     s = F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), r"[ \t]+(?=\n|\z)", "")

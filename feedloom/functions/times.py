@@ -52,13 +52,22 @@ FORMATS = (
     (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
     (r"^\d{8}$", "yyyyMMdd"),
+    (r"^\d{1,2}-[A-Z][a-z]{2}-\d{4}$", "d-MMM-yyyy"),
 )
+# The one format that a vendor's dates have; those of other vendors go by shape.
+VENDOR_FORMATS = {"moglix": 0, "redbus": 1, "zappyhire": 2, "sfcsb": 3, "bmw": 5, "brassring": 6}
 
 
-def parse_vendor_date(c: Column) -> Column:
-    """A date in one of the known shapes, else ISO; null where it is neither."""
-    tried = [F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(form))) for shape, form in FORMATS]
-    return F.coalesce(*tried, F.try_to_timestamp(c))
+def parse_vendor_date(c: Column, vendor: str | None = None) -> Column:
+    """A date in the vendor's format, or by its shape, else ISO; null where it is neither. A time without a zone is UTC.
+
+    Vendors with a format of their own take no other, except that brassring's falls back to ISO.
+    """
+    text = F.btrim(c)
+    tried = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(form))) for shape, form in FORMATS]
+    if vendor in VENDOR_FORMATS and vendor != "brassring":
+        return tried[VENDOR_FORMATS[vendor]]
+    return F.coalesce(*tried, F.try_to_timestamp(text))
 
 
 def ist_date(ts: Column) -> Column:

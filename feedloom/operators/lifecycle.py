@@ -68,7 +68,8 @@ def board_diff(before: DataFrame, listing: DataFrame, outcomes: DataFrame | None
     )
     if outcomes is None:
         return counts
-    joined = counts.join(outcomes.select(*BOARD, "error"), BOARD, "full")
+    # A board of several outcomes failed if any of them did.
+    joined = counts.join(outcomes.groupBy(*BOARD).agg(F.max("error").alias("error")), BOARD, "full")
     failed = F.col("error").isNotNull()
     zero = [F.when(failed, 0).otherwise(F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in ("added", "removed", "unchanged")]
     return joined.select(*BOARD, F.when(failed, "error").otherwise("ok").alias("status"), *zero, F.substring("error", 1, 300).alias("error"))
@@ -88,9 +89,10 @@ RESULTS = ["llm_relevant", "llm_reason", "llm_confidence", "yoe_min", "yoe_max",
 
 
 def write_results(postings: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Result columns of decided postings replaced, null where a decision has none."""
+    """Result columns of decided postings replaced, null where a decision has none; of a key's decisions the latest run's counts."""
     have = [c for c in RESULTS if c in postings.columns]
-    news = decisions.select(*PK, *[(F.col(c) if c in decisions.columns else F.lit(None)).alias(f"__{c}") for c in have], F.lit(True).alias("__decided"))
+    order = [c for c in ("run_id", *have) if c in decisions.columns] or PK
+    news = first_per_key(decisions, PK, *[F.col(c).desc_nulls_last() for c in order]).select(*PK, *[(F.col(c) if c in decisions.columns else F.lit(None)).alias(f"__{c}") for c in have], F.lit(True).alias("__decided"))
     joined = postings.join(news, PK, "left")
     return joined.withColumns({c: F.when(F.col("__decided"), F.col(f"__{c}")).otherwise(F.col(c)) for c in have}).select(*postings.columns)
 
@@ -117,8 +119,12 @@ def upsert_companies(companies: DataFrame, registry: DataFrame, trustworthy: boo
 
 
 def apply_outcomes(companies: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
-    """I8: health from outcomes (provider, slug, seen, error, transport_fault); a transport fault changes nothing."""
-    joined = companies.join(outcomes.select(*COMPANY, "seen", "error", "transport_fault"), COMPANY, "left")
+    """I8: health from outcomes (provider, slug, seen, error, transport_fault); a transport fault changes nothing.
+
+    Of a board's outcomes one counts: a success before a failure, the one that saw most (resolve_outcomes() settles passes).
+    """
+    once = first_per_key(outcomes, COMPANY, F.col("error").asc_nulls_first(), F.col("seen").desc_nulls_last(), F.col("transport_fault").desc_nulls_last())
+    joined = companies.join(once.select(*COMPANY, "seen", "error", "transport_fault"), COMPANY, "left")
     done = F.col("seen").isNotNull() & F.col("error").isNull()
     failed = F.col("error").isNotNull() & ~F.coalesce("transport_fault", F.lit(False))
     some = done & (F.col("seen") > 0)
@@ -173,8 +179,10 @@ def upsert_recruiters(recruiters: DataFrame, contacts: DataFrame) -> DataFrame:
 
 
 def set_recruiter_status(recruiters: DataFrame, changes: DataFrame) -> DataFrame:
-    """Changes (email, new_status), the last per email; a bounced contact stays so."""
-    joined = recruiters.join(changes.select("email", "new_status"), "email", "left")
+    """Changes (email, new_status, and `at` where their order counts), the last per email; a bounced contact stays so."""
+    order = [F.col("at").desc_nulls_last()] if "at" in changes.columns else []
+    news = first_per_key(changes.withColumn("email", F.lower("email")), ["email"], *order, F.col("new_status") != "bounced", "new_status")
+    joined = recruiters.join(news.select("email", "new_status"), "email", "left")
     return joined.withColumn("status", F.when(F.col("status") == "bounced", F.col("status")).otherwise(F.coalesce("new_status", "status"))).select(*recruiters.columns)
 
 
@@ -184,10 +192,33 @@ def upsert_link_cache(cache: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def log_run(runs: DataFrame, summary: DataFrame) -> DataFrame:
-    """One more run, numbered after the last."""
+    """The runs of a summary (a row each), numbered after the last by their start."""
     top = runs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
-    numbered = summary.withColumn("__i", F.row_number().over(Window.orderBy("started_at")))
-    return runs.unionByName(numbered.join(F.broadcast(top)).withColumn("id", F.col("__top") + F.col("__i")).drop("__top", "__i"), allowMissingColumns=True)
+    numbered = with_position(summary, ["started_at"], "__i").join(F.broadcast(top)).withColumn("id", F.col("__top") + F.col("__i") + 1).drop("__top", "__i")
+    return runs.unionByName(numbered, allowMissingColumns=True)
+
+
+def with_position(df: DataFrame, order: list[str], name: str, buckets: int = 256) -> DataFrame:
+    """df with its position from 0 in the order of columns; rows equal in all of them are numbered by their other columns.
+
+    Rows are ranked within buckets of the first column (quantiles, numbers and times) or its first characters (text), and a
+    bucket starts where those before it end, so no task ranks the whole table.
+    """
+    first = F.col(order[0])
+    rest = [c for c in df.columns if c not in order and df.schema[c].dataType.typeName() not in ("map", "variant")]
+    kind = df.schema[order[0]].dataType.typeName()
+    if kind == "string":
+        bucket = F.substring(F.coalesce(first, F.lit("")), 1, 12)
+    else:
+        number = F.unix_date(first).cast("double") if kind == "date" else (first.cast("timestamp") if kind.startswith("timestamp") else first).cast("double")
+        cuts = df.agg(F.percentile_approx(number, [i / buckets for i in range(1, buckets)], buckets * 10).alias("q")).first()["q"] or []
+        bucket = F.size(F.filter(F.lit(sorted(set(cuts))) if cuts else F.array().cast("array<double>"), lambda e: e <= number))
+    placed = df.withColumn("__bucket", bucket)
+    sizes = placed.groupBy("__bucket").agg(F.count("*").alias("__n"))
+    # As many rows as there are buckets.
+    before = sizes.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__before"))
+    inside = Window.partitionBy("__bucket").orderBy(*order, *rest)
+    return placed.withColumn("__rank", F.row_number().over(inside)).join(F.broadcast(before), "__bucket").withColumn(name, F.col("__before") + F.col("__rank") - 1).drop("__bucket", "__rank", "__before")
 
 
 def resolve_outcomes(outcomes: DataFrame) -> DataFrame:

@@ -60,9 +60,14 @@ def undrafted_reason(matches: DataFrame) -> DataFrame:
     return flags.where("NOT __ok").select("company_norm", F.when(F.col("__cool"), "cooldown").otherwise("bounced_contact").alias("reason"))
 
 
+def draftable(postings: DataFrame, severities: tuple[str, ...] = ("green", "yellow")) -> DataFrame:
+    """Postings whose severity calls for a draft."""
+    return postings.where(F.col("severity").isin(*severities))
+
+
 def plan_outreach(postings: DataFrame, recruiters: DataFrame, last_drafted: DataFrame, template: str, now: Column, severities: tuple[str, ...] = ("green", "yellow")) -> tuple[DataFrame, DataFrame]:
     """(drafts: one per contact, with the message; undrafted: a row per role with a reason)."""
-    groups = group_by_company(postings.where(F.col("severity").isin(*severities)))
+    groups = group_by_company(draftable(postings, severities))
     matches = split_cooldown(match_contacts(groups, recruiters), last_drafted, now)
     ranked = rank_contacts(matches.where("state = 'eligible'")).join(groups, "company_norm")
     plan = one_draft_per_contact(ranked)
@@ -79,13 +84,21 @@ def latest_message(mail: DataFrame) -> DataFrame:
 
 
 def correlate_mail(outreach: DataFrame, mailbox: DataFrame) -> DataFrame:
-    """per outreach row the latest message sent to its address after it was drafted, and the first bounce after it was sent."""
-    sent = mailbox.where("folder = 'sent'").select(F.col("address").alias("recruiter_email"), F.col("internal_date").alias("at"), "message_id")
-    bounce = mailbox.where("folder = 'bounce'").select(F.col("address").alias("recruiter_email"), F.col("internal_date").alias("at"), "snippet")
-    key = outreach.select("id", "recruiter_email", "drafted_at", "sent_at")
-    last = key.join(sent, "recruiter_email").where("at > drafted_at").groupBy("id").agg(F.max("at").alias("found_sent_at"), F.max_by("message_id", "at").alias("found_message_id"))
-    first = key.join(bounce, "recruiter_email").where("at > sent_at").groupBy("id").agg(F.min("at").alias("bounced_at"), F.min_by("snippet", "at").alias("snippet"))
-    return outreach.join(last, "id", "left").join(first, "id", "left")
+    """per outreach row the latest message sent to its address after it was drafted, and the first bounce after it was sent.
+
+    The latest of all messages to an address is the latest after any time before it, so one row per address answers the
+    first question. The first bounce after a time is found by a running minimum over bounces and sendings of an address, so
+    no row meets every message of its address.
+    """
+    last = mailbox.where("folder = 'sent'").groupBy(F.col("address").alias("__to")).agg(F.max("internal_date").alias("__at"), F.max_by("message_id", "internal_date").alias("__message"))
+    hit = F.col("__at") > F.col("drafted_at")
+    found = outreach.join(last, F.col("recruiter_email") == F.col("__to"), "left").withColumns({"found_sent_at": F.when(hit, F.col("__at")), "found_message_id": F.when(hit, F.col("__message"))}).drop("__to", "__at", "__message")
+    bounce = mailbox.where("folder = 'bounce'").select(F.col("address").alias("to"), F.col("internal_date").alias("at"), F.lit(None).cast(outreach.schema["id"].dataType).alias("id"), F.struct(F.col("internal_date").alias("at"), "snippet").alias("b"))
+    asked = outreach.where("sent_at IS NOT NULL").select(F.col("recruiter_email").alias("to"), F.col("sent_at").alias("at"), "id", F.lit(None).cast(bounce.schema["b"].dataType).alias("b"))
+    # Later rows first; of one time the sendings come before the bounces, which are not after them.
+    ahead = Window.partitionBy("to").orderBy(F.col("at").desc(), F.col("id").isNull().cast("int")).rowsBetween(Window.unboundedPreceding, -1)
+    first = bounce.unionByName(asked).withColumn("n", F.min("b").over(ahead)).where("id IS NOT NULL").select("id", F.col("n.at").alias("bounced_at"), F.col("n.snippet").alias("snippet"))
+    return found.join(first, "id", "left")
 
 
 def advance_outreach(outreach: DataFrame, mailbox: DataFrame, drafts_gone: DataFrame, now: Column, recheck_days: int = 14, verify_hours: int = 24) -> DataFrame:
@@ -122,10 +135,14 @@ def discarded_roles(outreach: DataFrame) -> DataFrame:
     )
 
 
+def lookup_contacts(rows: DataFrame, recruiters: DataFrame, existing: DataFrame) -> DataFrame:
+    """the contacts that rows (recruiter_email) are about, each once, without those of the existing list."""
+    return rows.select(F.lower("recruiter_email").alias("email")).distinct().join(recruiters, "email").join(existing.select("email"), "email", "left_anti")
+
+
 def promote_contacts(verified: DataFrame, recruiters: DataFrame, existing: DataFrame) -> DataFrame:
-    """Contacts of newly verified rows that came from raw files and are not in the existing list."""
-    people = recruiters.where("source = 'raw-csv' AND status = 'verified'")
-    return verified.select(F.lower("recruiter_email").alias("email")).distinct().join(people, "email").join(existing.select("email"), "email", "left_anti")
+    """Contacts of newly verified rows that came from raw files and are not in the existing list."""
+    return lookup_contacts(verified, recruiters.where("source = 'raw-csv' AND status = 'verified'"), existing)
 
 
 def read_contacts(raw: DataFrame, manual: DataFrame) -> DataFrame:
@@ -146,7 +163,8 @@ def campaign_pool(contacts: DataFrame, records: DataFrame, profile_id: str) -> D
 
 def deliverable(pool: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Pool with deliverable, false where the domain has no verdict."""
-    known = verdicts.select("domain", "ok")
+    # Where a domain has several verdicts one good one is enough.
+    known = verdicts.groupBy(F.lower("domain").alias("domain")).agg(F.bool_or("ok").alias("ok"))
     return pool.withColumn("domain", F.lower(F.regexp_extract("email", "@([^@]+)$", 1))).join(known, "domain", "left").withColumn("deliverable", F.coalesce("ok", F.lit(False))).drop("ok")
 
 
@@ -157,6 +175,12 @@ def sweep_bounces(records: DataFrame, mailbox: DataFrame, now: Column, days: int
     return records.join(bounce, "email", "left").withColumn("status", F.when(hit, "bounced").otherwise(F.col("status"))).select(*records.columns)
 
 
+def append_records(records: DataFrame, pool: DataFrame, profile_id: str, batch: int, now: Column) -> DataFrame:
+    """Records with one more batch: a drafted row per address of the pool."""
+    new = pool.select("email").distinct().withColumns({"profile_id": F.lit(profile_id), "batch": F.lit(batch).cast("long"), "status": F.lit("drafted"), "at": now})
+    return records.unionByName(new, allowMissingColumns=True)
+
+
 def project_drafts(outreach: DataFrame) -> DataFrame:
     """A10: drafts as a flat table: roles as lines, the top role's severity and score."""
     lines = F.array_join(F.transform("roles", lambda r: F.concat(r["title"], F.lit(" — "), r["jobUrl"])), "\n")

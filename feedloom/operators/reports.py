@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import collapse_ws, notify_key
-from feedloom.operators.lifecycle import first_per_key
+from feedloom.operators.lifecycle import first_per_key, with_position
 
 
 def notified_with_company(postings: DataFrame, companies: DataFrame, since: Column, profile_id: str) -> DataFrame:
@@ -90,23 +90,43 @@ def run_summary(decisions: DataFrame, outcomes: tuple[str, ...] = ("green", "yel
 def aggregator_warnings(listing: DataFrame, threshold: int = 10) -> DataFrame:
     """Boards that list many companies, with the first three names."""
     names = listing.where(F.trim("company_name") != "").groupBy("provider", "company_slug", F.lower("company_name").alias("low")).agg(F.min(F.struct("external_id", "company_name")).alias("first"))
-    boards = names.groupBy("provider", "company_slug").agg(F.count("*").alias("companies"), F.array_sort(F.collect_list("first")).alias("names"))
-    return boards.where(F.col("companies") > threshold).select("provider", "company_slug", "companies", F.transform(F.slice("names", 1, 3), lambda x: x["company_name"]).alias("sample"))
+    many = names.groupBy("provider", "company_slug").agg(F.count("*").alias("companies")).where(F.col("companies") > threshold)
+    # A ranking keeps three names of a board; no board's names are gathered.
+    turn = F.row_number().over(Window.partitionBy("provider", "company_slug").orderBy("first"))
+    three = names.withColumn("__n", turn).where("__n <= 3").groupBy("provider", "company_slug").agg(F.array_sort(F.collect_list(F.struct("__n", "first.company_name"))).alias("x"))
+    return many.join(three, ["provider", "company_slug"]).select("provider", "company_slug", "companies", F.col("x.company_name").alias("sample"))
 
 
-def issue_list(failures: DataFrame, limit: int = 220) -> DataFrame:
-    """Failed boards (slug, reason) by reason, the list of slugs cut at about `limit` characters with how many are left."""
-    grouped = failures.groupBy("reason").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("slug")).alias("slugs"))
+#: Characters after which a reason's slugs are no longer shown, and of the whole text at most.
+ISSUE_CHARS, ISSUES_CHARS = 220, 1000
+
+
+def issue_list(failures: DataFrame, limit: int = ISSUE_CHARS) -> DataFrame:
+    """Failed boards (slug, reason) by reason: n, and their slugs in order until `limit` characters are shown, `(+k)` for the rest."""
+    per = failures.groupBy("reason").agg(F.count("*").alias("n"))
+    # Slugs have a character at least, so so many of them fill the limit.
+    turn = F.row_number().over(Window.partitionBy("reason").orderBy("slug"))
+    first = failures.withColumn("__n", turn).where(F.col("__n") <= limit).groupBy("reason").agg(F.array_sort(F.collect_list(F.struct("__n", "slug"))).alias("x"))
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("kept"))
 
     def add(acc: Column, x: Column) -> Column:
-        longer = F.when(acc["text"] == "", x).otherwise(F.concat(acc["text"], F.lit(", "), x))
-        fits = F.length(longer) <= limit
-        return F.struct(F.when(fits, longer).otherwise(acc["text"]).alias("text"), (acc["kept"] + F.when(fits, 1).otherwise(0)).alias("kept"))
+        room = F.length(acc["text"]) < limit
+        longer = F.when(acc["kept"] == 0, x["slug"]).otherwise(F.concat(acc["text"], F.lit(", "), x["slug"]))
+        return F.struct(F.when(room, longer).otherwise(acc["text"]).alias("text"), (acc["kept"] + F.when(room, 1).otherwise(0)).alias("kept"))
+
+    rows = per.join(first, "reason").withColumn("cut", F.aggregate("x", start, add))
+    more = F.col("n") - F.col("cut.kept")
+    return rows.select("reason", "n", F.concat(F.col("cut.text"), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(")"))).otherwise("")).alias("slugs"))
+
 
-    cut = F.aggregate("slugs", start, add)
-    more = F.col("n") - cut["kept"]
-    return grouped.select("reason", "n", F.when(more > 0, F.concat(cut["text"], F.lit(" (+"), more.cast("string"), F.lit(")"))).otherwise(cut["text"]).alias("slugs"))
+def issue_text(failures: DataFrame, limit: int = ISSUES_CHARS) -> DataFrame:
+    """One row with the issues as lines, most frequent reason first, ISSUES_CHARS characters at most; `none` without failures."""
+    line = F.concat(F.lit("**"), F.col("reason"), F.lit(" ×"), F.col("n").cast("string"), F.lit("**: "), F.col("slugs"))
+    # A line has more than ten characters: a hundred of them fill the text.
+    lines = issue_list(failures).orderBy(F.desc("n"), "reason").limit(limit // 10).select((-F.col("n")).alias("k"), "reason", line.alias("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "reason", "line"))), lambda x: x["line"]), "\n")
+    shown = F.when(F.length("text") > limit, F.concat(F.substring("text", 1, limit - 1), F.lit("…"))).otherwise(F.col("text"))
+    return lines.agg(text.alias("text")).select(F.when(F.col("text") == "", "none").otherwise(shown).alias("text"))
 
 
 def progress(outcomes: DataFrame, companies: DataFrame, bucket: str = "provider") -> DataFrame:
@@ -172,23 +192,38 @@ def fresh_links(cache: DataFrame, now: Column, hours: int = 24) -> DataFrame:
 
 
 def mark_run_duplicates(decisions: DataFrame, key: str = "notify_key") -> DataFrame:
-    """H7: of roles with one identity the first (company, external_id) is notified, the rest are duplicates."""
+    """H7: of roles with one identity the first (company, external_id) is notified, the rest are duplicates.
+
+    Only what would be notified is ranked, by one map-side combined minimum per identity.
+    """
+    spot = ["company_name", "external_id", *[c for c in ("provider", "profile_id") if c in decisions.columns]]
     hot = F.col("decision").isin("green", "yellow")
-    turn = F.row_number().over(Window.partitionBy(key, hot).orderBy("company_name", "external_id"))
-    return decisions.withColumn("decision", F.when(hot & (turn > 1), "duplicate").otherwise(F.col("decision")))
+    first = decisions.where(hot).groupBy(F.col(key).alias("__key")).agg(F.min(F.struct(*spot)).alias("__first"))
+    joined = decisions.join(first, hot & decisions[key].eqNullSafe(first["__key"]), "left")
+    return joined.withColumn("decision", F.when(hot & (F.struct(*spot) > F.col("__first")), "duplicate").otherwise(F.col("decision"))).drop("__key", "__first")
+
 
+def interleave(df: DataFrame, group: str, order: str, buckets: int = 256) -> DataFrame:
+    """H8: round robin over groups in the order they first appear, as (turn, group_first). `order` is a number.
 
-def interleave(df: DataFrame, group: str, order: str) -> DataFrame:
-    """H8: round robin over groups in the order they first appear, as (turn, group_first)."""
+    Rows are ranked within stretches of the order, so a group that holds most rows is still ranked by many tasks.
+    """
+    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), [i / buckets for i in range(1, buckets)], buckets * 10).alias("q")).first()["q"] or []
+    bucket = F.size(F.filter(F.lit(sorted(set(cuts))) if cuts else F.array().cast("array<double>"), lambda e: e <= F.col(order)))
+    placed = df.withColumn("__bucket", bucket)
+    sizes = placed.groupBy(group, "__bucket").agg(F.count("*").alias("__n"), F.min(order).alias("__low"))
+    # A row per group and stretch.
     own = Window.partitionBy(group)
-    return df.withColumn("turn", F.row_number().over(own.orderBy(order))).withColumn("group_first", F.min(order).over(own)).orderBy("turn", "group_first")
+    before = sizes.select(group, "__bucket", (F.sum("__n").over(own.orderBy("__bucket")) - F.col("__n")).alias("__before"), F.min("__low").over(own).alias("group_first"))
+    rank = F.row_number().over(Window.partitionBy(group, "__bucket").orderBy(order))
+    return placed.withColumn("__rank", rank).join(before, [group, "__bucket"]).withColumn("turn", F.col("__before") + F.col("__rank")).select(*df.columns, "turn", "group_first").orderBy("turn", "group_first")
 
 
 def rotate_variants(pool: DataFrame, order: list[str], subjects: list[str], openers: list[str], offset: int = 0) -> DataFrame:
     """H9: subject and opener of the i-th row, counting on from what was drafted before."""
-    i = F.row_number().over(Window.orderBy(*order)) - 1 + offset
     pick = lambda items, k: F.element_at(F.array(*map(F.lit, items)), k.cast("int") + 1)
-    return pool.withColumn("__i", i).withColumn("subject", pick(subjects, F.pmod("__i", F.lit(len(subjects))))).withColumn("opener", pick(openers, F.pmod(F.floor(F.col("__i") / len(subjects)), F.lit(len(openers))))).drop("__i")
+    placed = with_position(pool, order, "__i").withColumn("__i", F.col("__i") + offset)
+    return placed.withColumn("subject", pick(subjects, F.pmod("__i", F.lit(len(subjects))))).withColumn("opener", pick(openers, F.pmod(F.floor(F.col("__i") / len(subjects)), F.lit(len(openers))))).drop("__i")
 
 
 def take_batch(pool: DataFrame, order: list[str], limit: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -205,15 +240,32 @@ def usage_rollup(usage: DataFrame) -> DataFrame:
 
 
 def diagnose_boards(postings: DataFrame, thin: int = 300) -> DataFrame:
-    """Per board what is missing, doubled or thin, and whether first, middle and last texts are one."""
-    own = Window.partitionBy("provider", "company_slug")
-    n, k = F.count("*").over(own), F.row_number().over(own.orderBy("external_id"))
-    sample = (k == 1) | (k == F.floor(n / 2) + 1) | (k == n)
-    rows = postings.withColumn("__sample", F.when(sample, F.md5(F.coalesce("jd_text", F.lit("")))))
+    """Per board what is missing, doubled or thin, and whether first, middle and last texts are one.
+
+    The three sample ids come from an aggregation over ids alone; texts are read once and never sorted.
+    """
+    board = ["provider", "company_slug"]
+    ids = postings.where("external_id IS NOT NULL").groupBy(*board, "external_id").agg(F.count("*").alias("k"))
+    middle = ids.groupBy(*board).agg(F.min("external_id").alias("first"), F.max("external_id").alias("last"), F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(*board).orderBy("external_id"))
+    half = ids.withColumn("__rank", rank).join(middle.select(*board, "n"), board).where(F.col("__rank") == F.floor(F.col("n") / 2) + 1).select(*board, F.col("external_id").alias("half"))
+    three = middle.join(half, board).select(*board, F.array("first", "half", "last").alias("__three"))
     jd = F.length(collapse_ws(F.coalesce("jd_text", F.lit(""))))
-    return rows.groupBy("provider", "company_slug").agg(
-        F.count("*").alias("n"), (F.count("external_id") - F.count_distinct("external_id")).alias("duplicate_ids"), F.count_if(F.coalesce("external_id", F.lit("")) == "").alias("missing_ids"),
+    chosen = F.array_contains(F.coalesce("__three", F.array().cast("array<string>")), F.coalesce("external_id", F.lit("")))
+    rows = postings.join(F.broadcast(three), board, "left") if _few(three) else postings.join(three, board, "left")
+    rows = rows.withColumn("__sample", F.when(chosen, F.md5(F.coalesce("jd_text", F.lit("")))))
+    counted = rows.groupBy(*board).agg(
+        F.count("*").alias("n"), F.count_if(F.coalesce("external_id", F.lit("")) == "").alias("missing_ids"), F.count("external_id").alias("__ids"),
         F.count_if(F.coalesce("job_title", F.lit("")) == "").alias("missing_titles"), F.count_if(F.col("location").isNull()).alias("null_locations"),
         F.count_if(jd == 0).alias("empty_jd"), F.count_if((jd > 0) & (jd < thin)).alias("thin_jd"), F.count_if(F.coalesce("jd_text", F.lit("")).rlike(r"<[a-zA-Z/]")).alias("html_residue"),
-        ((F.count("*") >= 3) & (F.count_distinct("__sample") == 1)).alias("identical_samples"),
+        F.min("__sample").alias("__least"), F.max("__sample").alias("__most"),
     )
+    once = middle.select(*board, F.col("n").alias("__distinct"))
+    identical = (F.col("n") >= 3) & F.coalesce(F.col("__least") == F.col("__most"), F.lit(False))
+    out = counted.join(once, counted["provider"].eqNullSafe(once["provider"]) & counted["company_slug"].eqNullSafe(once["company_slug"]), "left").drop(once["provider"], once["company_slug"])
+    return out.select(*board, "n", (F.col("__ids") - F.coalesce("__distinct", F.lit(0))).alias("duplicate_ids"), "missing_ids", "missing_titles", "null_locations", "empty_jd", "thin_jd", "html_residue", identical.alias("identical_samples"))
+
+
+def _few(boards: DataFrame, most: int = 100_000) -> bool:
+    """Whether a table has so few rows that it may be broadcast."""
+    return boards.limit(most + 1).count() <= most

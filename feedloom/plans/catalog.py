@@ -98,12 +98,20 @@ def _(v, t):
     return found.withColumn("sample", F.array_join("sample", "; "))
 
 
-@query("g10_issue_list")
+@query("g10_issue_list", """WITH f AS (SELECT DISTINCT company_slug AS slug, provider AS reason FROM v_board_runs WHERE status = 'error'), r AS (SELECT *, row_number() OVER w AS n, sum(length(slug)) OVER w - length(slug) + 2 * greatest(row_number() OVER w - 2, 0) AS before, count(*) OVER (PARTITION BY reason) AS k FROM f WINDOW w AS (PARTITION BY reason ORDER BY slug))
+    SELECT reason, k AS n, string_agg(slug, ', ' ORDER BY n) || CASE WHEN k > count(*) THEN ' (+' || (k - count(*)) || ')' ELSE '' END AS slugs FROM r WHERE before < 220 GROUP BY 1, 2""")
 def _(v, t):
     failed = v("v_board_runs").where("status = 'error'").select(F.col("company_slug").alias("slug"), "provider").distinct()
     return reports.issue_list(failed.withColumnRenamed("provider", "reason"))
 
 
+@query("g10_issue_text", """WITH f AS (SELECT DISTINCT company_slug AS slug, 'r' || CAST(split_part(company_slug, '-', 2) AS BIGINT) % 60 AS reason FROM v_board_runs WHERE status = 'error'),
+    l AS (SELECT reason, count(*) AS n, '**' || reason || ' ×' || count(*) || '**: ' || string_agg(slug, ', ' ORDER BY slug) AS line FROM f GROUP BY 1) SELECT CASE WHEN length(text) > 1000 THEN substr(text, 1, 999) || '…' ELSE text END AS text FROM (SELECT string_agg(line, chr(10) ORDER BY n DESC, reason) AS text FROM l)""")
+def _(v, t):
+    failed = v("v_board_runs").where("status = 'error'").select(F.col("company_slug").alias("slug")).distinct()
+    return reports.issue_text(failed.withColumn("reason", F.concat(F.lit("r"), (F.split_part("slug", F.lit("-"), F.lit(2)).cast("long") % 60).cast("string"))))
+
+
 @query("g11_progress", """SELECT provider, count(*) FILTER (s) AS scanned, count(*) AS total, CAST(floor(count(*) FILTER (s) * 100 / count(*)) AS BIGINT) AS percent
     FROM (SELECT provider, last_success_at IS NOT NULL AS s FROM v_companies) GROUP BY 1""")
 def _(v, t):
@@ -308,13 +316,8 @@ def _(v, t):
     return t("documents").select("doc_id", filters.is_junk_jd(F.col("text")).alias("junk"))
 
 
-@query("d7_stated_years", """SELECT id, CASE WHEN id % 7 = 4 AND o_custkey % 30 BETWEEN 1 AND 25 THEN CAST(o_custkey % 30 AS INT) WHEN id % 7 = 5 THEN 3 END AS years FROM v_texts WHERE id % 7 IN (3, 4, 6)""")
-def _(v, t):
-    return v("v_texts").where("id % 7 IN (3, 4, 6)").select("id", filters.stated_yoe_min(F.col("body")).alias("years"))
-
-
 # Ages stand beside the years of practice where id % 7 = 5: none counts.
-@query("d7_stated_years_whole", """SELECT id, CASE WHEN id % 7 = 4 AND o_custkey % 30 BETWEEN 1 AND 25 THEN CAST(o_custkey % 30 AS INT) END AS years FROM v_texts""")
+@query("d7_stated_years", """SELECT id, CASE WHEN id % 7 = 4 AND o_custkey % 30 BETWEEN 1 AND 25 THEN CAST(o_custkey % 30 AS INT) END AS years FROM v_texts""")
 def _(v, t):
     return v("v_texts").select("id", filters.stated_yoe_min(F.col("body")).alias("years"))
 
@@ -336,7 +339,13 @@ def _(v, t):
 # Scalar functions
 
 
-@query("c1_html_to_text")
+_TAGLESS = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', '', 'g'), '(?is)<style\\b.*?</style>', '', 'g'), '(?i)</(p|div|li|h[1-6]|br|tr|td)\\s*>|<br\\s*/?>', chr(10), 'g'), '<[^>]+>', '', 'g')"
+_PLAIN = _TAGLESS
+for _entity, _char in text.ENTITIES:
+    _PLAIN = f"replace({_PLAIN}, '{_entity}', '{_char}')" if _char != "'" else f"replace({_PLAIN}, '{_entity}', chr(39))"
+
+
+@query("c1_html_to_text", f"SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '[ \\t]+', ' ', 'g'), '\\n[ \\t]*\\n[ \\t]*\\n+', chr(10) || chr(10), 'g'), '^[\\s\\x{{00A0}}]+|[\\s\\x{{00A0}}]+$', '', 'g') AS body FROM pages")
 def _(v, t):
     return t("pages").select("page_id", text.html_to_text(F.col("html")).alias("body"))
 

@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from feedloom.functions import text
 from feedloom.operators import decide, normalise, outreach, reports, urls
 from feedloom.plans.catalog import EVENTS_NOW, ORDERS_NOW, PROFILE, QUERIES, ORACLES, query, ts
-from feedloom.plans.tables import table
+from feedloom.plans.tables import scratch, table
 from feedloom.streaming import feed
 
 # Contacts and outreach
 
 _NORM = "regexp_replace(trim(regexp_replace(regexp_replace(lower(company), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '( (pvt|ltd|inc))+$', '')"
 _PEOPLE = f"people AS (SELECT email, status, {_NORM} AS own, lower(c_mktsegment) AS label, c_custkey FROM v_recruiters)"
-_MATCH = f"{_PEOPLE}, matches AS (SELECT own AS company_norm, email, status, 1 AS tier FROM people WHERE c_custkey % 10 = 0 UNION ALL SELECT label, email, status, 3 FROM people)"
+_MATCH = f"{_PEOPLE}, matches AS (SELECT own AS company_norm, email, status, 1 AS tier FROM people UNION ALL SELECT label, email, status, 3 FROM people)"
 
 
 def _people(v):
@@ -25,9 +22,9 @@ def _people(v):
     return r.select("email", "status", text.normalize_company_name(F.col("company")).alias("company_norm"), F.array().cast("array<string>").alias("alt_names_norm"), "c_custkey", "c_mktsegment")
 
 
-def _matches(v, own="c_custkey % 10 = 0"):
+def _matches(v):
     p = _people(v)
-    groups = p.where(own).select("company_norm").union(p.select(F.lower("c_mktsegment"))).distinct()
+    groups = p.select("company_norm").union(p.select(F.lower("c_mktsegment"))).distinct()
     return outreach.match_contacts(groups, p)
 
 
@@ -40,11 +37,11 @@ _LAST = "last AS (SELECT 'c' || CAST(o_custkey AS VARCHAR) || '@' || lower(c_mkt
 _STATE = f"{_MATCH}, {_LAST}, states AS (SELECT m.*, last_drafted_at, CASE WHEN status = 'bounced' THEN 'bounced_contact' WHEN last_drafted_at > TIMESTAMP '{ORDERS_NOW}' - INTERVAL 30 DAY THEN 'cooldown' ELSE 'eligible' END AS state FROM matches m LEFT JOIN last USING (email))"
 
 
-def _states(v, t, own="c_custkey % 10 = 0"):
+def _states(v, t):
     drafts = t("orders").where("o_orderkey % 5 = 0").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
     email = F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("@"), F.lower("c_mktsegment"), F.lit(".example.com"))
     last = drafts.groupBy(email.alias("recruiter_email")).agg(F.max("o_orderdate").alias("last_drafted_at"))
-    return outreach.split_cooldown(_matches(v, own), last, ts(ORDERS_NOW))
+    return outreach.split_cooldown(_matches(v), last, ts(ORDERS_NOW))
 
 
 @query("i16_split_cooldown", f"WITH {_STATE} SELECT company_norm, email, state FROM states")
@@ -63,34 +60,6 @@ def _(v, t):
     return outreach.undrafted_reason(_states(v, t))
 
 
-# The same four with the own names of all recruiters.
-
-
-def _whole(sql):
-    return sql.replace(" WHERE c_custkey % 10 = 0", "")
-
-
-@query("f5_match_contacts_whole", _whole(f"WITH {_MATCH} SELECT * FROM matches"))
-def _(v, t):
-    return _matches(v, "true")
-
-
-@query("i16_split_cooldown_whole", _whole(f"WITH {_STATE} SELECT company_norm, email, state FROM states"))
-def _(v, t):
-    return _states(v, t, "true").select("company_norm", "email", "state")
-
-
-@query("h5_rank_contacts_whole", _whole(f"""WITH {_STATE} SELECT company_norm, email, row_number() OVER (PARTITION BY company_norm ORDER BY CASE WHEN status = 'verified' THEN 0 ELSE 1 END, last_drafted_at ASC NULLS FIRST, email) AS rank
-    FROM states WHERE state = 'eligible'"""))
-def _(v, t):
-    return outreach.rank_contacts(_states(v, t, "true").where("state = 'eligible'")).select("company_norm", "email", "rank")
-
-
-@query("g15_undrafted_reason_whole", _whole(f"""WITH {_STATE} SELECT company_norm, CASE WHEN bool_or(state = 'cooldown') THEN 'cooldown' ELSE 'bounced_contact' END AS reason FROM states GROUP BY 1 HAVING NOT bool_or(state = 'eligible')"""))
-def _(v, t):
-    return outreach.undrafted_reason(_states(v, t, "true"))
-
-
 @query("g13_group_by_company", f"""SELECT job_title AS company_norm, count(*) AS roles, min(external_id) AS first_id FROM v_postings WHERE profile_id = 'p0' GROUP BY 1""")
 def _(v, t):
     p = v("v_postings").where("profile_id = 'p0'").select(F.col("job_title").alias("company"), F.col("external_id").alias("job_title"), "job_url", F.lit("green").alias("severity"), "llm_confidence", F.col("external_id").alias("pos"))
@@ -98,7 +67,7 @@ def _(v, t):
 
 
 _OUT = """out AS (SELECT o_orderkey AS id, 'u' || CAST(o_custkey % 150 AS VARCHAR) AS recruiter_email, TIMESTAMP '2024-01-01' + to_days(CAST(o_orderkey % 30 AS INT)) AS drafted_at,
-    CASE WHEN o_orderkey % 2 = 0 THEN TIMESTAMP '2024-01-02' + to_days(CAST(o_orderkey % 30 AS INT)) END AS sent_at FROM orders WHERE o_orderkey % 4 < 2)"""
+    CASE WHEN o_orderkey % 2 = 0 THEN TIMESTAMP '2024-01-02' + to_days(CAST(o_orderkey % 30 AS INT)) END AS sent_at FROM orders)"""
 
 
 def _mail(t):
@@ -118,11 +87,6 @@ def _correlated(t, drafts):
 
 
 @query("f9_correlate_mail", _MAIL)
-def _(v, t):
-    return _correlated(t, t("orders").where("o_orderkey % 4 < 2"))
-
-
-@query("f9_correlate_mail_whole", _MAIL.replace(" WHERE o_orderkey % 4 < 2", ""))
 def _(v, t):
     return _correlated(t, t("orders"))
 
@@ -187,34 +151,72 @@ def _(v, t):
     return normalise.extract_jsonld(t("part").select(F.col("p_partkey").alias("page_id"), F.lit("u").alias("url"), html.alias("html"))).select("job_title", "location")
 
 
-@query("b16_extract_links")
+# Anchors of pages on their own host, and whether their words or their path speak of jobs.
+_ANCHOR = "(?is)<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']([^\"'']+)[\"''][^>]*>(.*?)</a>"
+_ANCHORS = f"""WITH a AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin, unnest(regexp_extract_all(html, '{_ANCHOR}', 1)) AS href, unnest(regexp_extract_all(html, '{_ANCHOR}', 2)) AS body FROM pages),
+    l AS (SELECT page_id, url, regexp_replace(CASE WHEN href LIKE '/%' THEN origin || href ELSE href END, '#.*$', '') AS link, trim(regexp_replace(regexp_replace(body, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS text FROM a WHERE href LIKE '/%' OR starts_with(href, origin || '/')),
+    links AS (SELECT *, regexp_replace(link, '^[a-z]+://[^/?#]*', '') AS after, rtrim(regexp_extract(link, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') <> rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') AS away FROM l)"""
+
+
+@query("b16_extract_links", f"""{_ANCHORS} SELECT page_id, link, min(text) AS text FROM links WHERE away AND length(text) BETWEEN 3 AND 200 AND (regexp_matches(lower(after), '{normalise._JOB_URL}') OR regexp_matches(text, '{normalise._ROLE_WORDS}')) GROUP BY 1, 2""")
 def _(v, t):
-    return normalise.extract_links(t("pages"))
+    return normalise.extract_links(t("pages")).select("page_id", "link", "text")
+
 
+_SAYS, _LEADS = ("(?i)(" + ")|(".join(x) + ")" for x in (normalise.OPENINGS_TEXT, normalise.OPENINGS_URL))
 
-@query("b17_openings_link")
+
+@query("b17_openings_link", f"""{_ANCHORS}, s AS (SELECT page_id, link, CASE WHEN regexp_matches(text, '{_SAYS}') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(after, '{_LEADS}') THEN 2 ELSE 0 END AS score FROM links WHERE away)
+    SELECT page_id, max(score) AS score FROM s WHERE score >= 2 GROUP BY 1""")
 def _(v, t):
-    return normalise.pick_openings_link(t("pages"))
+    return normalise.pick_openings_link(t("pages")).select("page_id", "score")
+
 
+_TEXT_OF = "trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<{0}\\b[^>]*>(.*?)</{0}\\s*>', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'))"
 
-@query("b18_title_hint")
+
+@query("b18_title_hint", f"""SELECT page_id, CASE WHEN length(h) BETWEEN 3 AND 200 THEN h WHEN t = '' THEN NULL WHEN trim(regexp_extract(t, '\\(([^)]+)\\)\\s*$', 1)) <> '' THEN trim(regexp_extract(t, '\\(([^)]+)\\)\\s*$', 1))
+    WHEN length(b) BETWEEN 3 AND 200 THEN b ELSE substr(t, 1, 200) END AS hint FROM (SELECT *, trim(regexp_extract(t, '^(.*?)\\s*(?:[|·•–—]|$)', 1)) AS b FROM (SELECT page_id, {_TEXT_OF.format('h1')} AS h, {_TEXT_OF.format('title')} AS t FROM pages))""")
 def _(v, t):
     return t("pages").select("page_id", normalise.title_hint(F.col("html")).alias("hint"))
 
 
-@query("b19_main_text")
+_BARE = "html"
+for _tag in ("script", "style", "noscript", "nav", "header", "footer", "aside", "form", "iframe"):
+    _BARE = f"regexp_replace({_BARE}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', '', 'g')"
+_WHOLE = f"coalesce(nullif(regexp_extract({_BARE}, '(?is)<main\\b[^>]*>(.*)</main\\s*>', 1), ''), nullif(regexp_extract({_BARE}, '(?is)<body\\b[^>]*>(.*?)(?:</body\\s*>|$)', 1), ''), {_BARE})"
+_DECODED = f"regexp_replace(regexp_replace({_WHOLE}, '(?i)<br\\s*/?>', chr(10), 'g'), '(?s)<!--.*?-->|<[^>]*>', '', 'g')"
+for _entity, _char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&apos;", "chr(39)"), ("&nbsp;", "' '"), ("&amp;", "'&'")):
+    _DECODED = f"replace({_DECODED}, '{_entity}', {_char})"
+_MAIN = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_DECODED}, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\n[ \\t]+', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query("b19_main_text", f"SELECT page_id, {_MAIN} AS body FROM pages")
 def _(v, t):
     return t("pages").select("page_id", normalise.main_text(F.col("html")).alias("body"))
 
 
-@query("b20_page_signals")
+_CAREERS = "(?i)\\b(careers?|jobs?|openings?|join us|work with us|vacanc(y|ies)|hiring)\\b"
+
+
+@query("b20_page_signals", f"""SELECT *, careers_title OR role_words OR has_jsonld AS looks_ok FROM (SELECT page_id, regexp_matches({_TEXT_OF.format('title')}, '{_CAREERS}') OR regexp_matches({_TEXT_OF.format('h1')}, '{_CAREERS}') OR regexp_matches({_TEXT_OF.format('h2')}, '{_CAREERS}') AS careers_title,
+    regexp_matches(substr({_MAIN}, 1, 4000), '{normalise._ROLE_WORDS}') AS role_words, regexp_matches(html, '(?i)JobPosting') AS has_jsonld FROM pages)""")
 def _(v, t):
     return normalise.page_signals(t("pages"))
 
 
-@query("b21_challenge", "SELECT page_id, CAST(NULL AS VARCHAR) AS evidence FROM pages WHERE lower(html) NOT LIKE '%captcha%' AND lower(html) NOT LIKE '%just a moment...%'")
+def _hit(mark):
+    quoted = mark.replace("'", "''")
+    return f"nullif(regexp_extract(html, '(?i)(?:{quoted})', 0), '')"
+
+
+_QUOTED = lambda mark: f"chr(34) || substr({_hit(mark)}, 1, 80) || chr(34)"
+_EVIDENCE = ", ".join([_QUOTED(x) for x in normalise.STRONG_MARKS] + [f"{_QUOTED(x)} || ' + ' || {_QUOTED(y)}" for x, y in normalise.PAIRED_MARKS])
+
+
+@query("b21_challenge", f"SELECT page_id, coalesce({_EVIDENCE}) AS evidence FROM pages")
 def _(v, t):
-    return t("pages").select("page_id", normalise.challenge_evidence(F.col("html"), alone=False).alias("evidence"))
+    return t("pages").select("page_id", normalise.challenge_evidence(F.col("html")).alias("evidence"))
 
 
 # Pages built from page_id: each strong mark, each pair, the first halves of pairs alone, and no mark; with the evidence due.
@@ -234,7 +236,7 @@ _DUE = " ".join(f"WHEN {i} THEN '{due}'" for i, (_, due) in enumerate(CHALLENGE_
 def _(v, t):
     bodies = F.array(*[F.lit(body) for body, _ in CHALLENGE_PAGES])
     built = F.concat(F.lit("<html>\n"), F.get(bodies, (F.col("page_id") % len(CHALLENGE_PAGES)).cast("int")), F.lit("\n</html>"))
-    return t("pages").select("page_id", normalise.challenge_evidence(built, alone=False).alias("evidence"))
+    return t("pages").select("page_id", normalise.challenge_evidence(built).alias("evidence"))
 
 
 # Gate and funnel
@@ -248,12 +250,17 @@ def _(v, t):
     return decide.parse_gate(rows).select(F.col("external_id").cast("long").alias("doc_id"), "match_score", "deal_breaker_severity", F.col("gate_error").isNull().alias("valid"))
 
 
-@query("e7_decide")
+@query("e7_decide", f"""WITH l AS (SELECT p.*, lower(company_slug) || '|' || lower(job_title) || '|' || coalesce(lower(location), '') AS key FROM v_postings p WHERE profile_id = 'p0'),
+    prior AS (SELECT DISTINCT lower(c.name) || '|' || lower(job_title) || '|' || coalesce(lower(location), '') AS key, true AS hit FROM v_postings p LEFT JOIN v_companies c ON c.provider = p.provider AND c.slug = p.company_slug WHERE notified_at >= TIMESTAMP '{ORDERS_NOW}' - INTERVAL 180 DAY AND profile_id = 'p0'),
+    j AS (SELECT l.*, hit IS NOT NULL AS before, discovered_at < TIMESTAMP '1996-01-01' AS known, least(1.0, CASE WHEN job_title LIKE '%ring%' THEN 0.9 ELSE 0 END + CASE WHEN job_title LIKE '%widget%' THEN 0.7 ELSE 0 END) AS score,
+      CASE WHEN location IS NULL THEN true WHEN lower(location) LIKE '%nation_9%' THEN false WHEN regexp_matches(lower(location), '\\b(nation_7|nation_8)\\b') THEN false ELSE lower(location) LIKE '%remote%' OR regexp_matches(lower(location), '\\b(nation_1|nation_2|nation_3)\\b') END AS placed FROM l LEFT JOIN prior USING (key)),
+    d AS (SELECT *, CASE WHEN NOT placed THEN 'location' WHEN known AND NOT coalesce(drop_stage IN ('no-jd', 'gate-error'), false) THEN 'known' WHEN before THEN 'prior-duplicate' WHEN regexp_matches(job_title, '^red|gear$') THEN 'title-deny' WHEN score < 0.65 THEN 'silent' ELSE 'yellow' END AS decision FROM j)
+    SELECT external_id, CASE WHEN decision = 'yellow' AND row_number() OVER (PARTITION BY key, decision ORDER BY company_slug, external_id, provider) > 1 THEN 'duplicate' ELSE decision END AS decision, CASE WHEN decision IN ('silent', 'yellow') THEN score::DOUBLE END AS match_score FROM d""")
 def _(v, t):
     p = v("v_postings")
     listing = p.where("profile_id = 'p0'").withColumn("company_name", F.col("company_slug")).withColumn("jd_text", F.concat(F.col("job_title"), F.lit(" work, 3 years")))
     keys = reports.prior_notify_keys(p, v("v_companies"), ts(ORDERS_NOW), "p0")
-    return decide.decide(listing, p.where("profile_id = 'p0' AND discovered_at < '1996-01-01'"), keys, PROFILE, decide.keyword_scorer({"ring": 0.9, "widget": 0.7}), ts(ORDERS_NOW))
+    return decide.decide(listing, p.where("profile_id = 'p0' AND discovered_at < '1996-01-01'"), keys, PROFILE, decide.keyword_scorer({"ring": 0.9, "widget": 0.7}), ts(ORDERS_NOW)).select("external_id", "decision", "match_score")
 
 
 # Streams
@@ -265,10 +272,15 @@ def _stream(spark, sf_dir):
 
 
 def _run_stats(spark, sf_dir):
+    root = scratch(spark, "stats")
     counts = feed.stream_stats(_stream(spark, sf_dir), "1 day", by="event_type")
-    name = f"stats_{uuid.uuid4().hex}"
-    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("start").cast("date").alias("day"), "event_type", "n")
+
+    def store(batch, _):
+        batch.write.mode("overwrite").parquet(f"{root}/out")
+
+    # Complete mode gives all windows, also the open ones; the last batch's table is the result.
+    counts.writeStream.foreachBatch(store).outputMode("complete").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(F.col("start").cast("date").alias("day"), "event_type", "n")
 
 
 QUERIES["i24_stream_stats"] = _run_stats
@@ -276,8 +288,7 @@ ORACLES["i24_stream_stats"] = "SELECT CAST(ts AS DATE) AS day, event_type, count
 
 
 def _run_dedup(spark, sf_dir):
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="feedloom-")
-    root = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = scratch(spark, "stream")
     keyed = _stream(spark, sf_dir).select("ts", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("notify_key"))
     query_ = feed.stream_dedup(keyed).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query_.awaitTermination()

@@ -60,6 +60,37 @@ VIEWS = {
     "v_usage": """
         SELECT 'm' || CAST(conv_id % 3 AS VARCHAR(20)) AS model, CAST(length(text) AS BIGINT) AS prompt_tokens, CASE WHEN turn % 2 = 0 THEN CAST(length(text) AS BIGINT) ELSE 0 END AS cached_tokens
         FROM {conversations} WHERE role = 'assistant'""",
+    # Registry rows as text; some are to be quarantined.
+    "v_registry": """
+        SELECT s_name AS name, CASE s_suppkey % 10 WHEN 3 THEN 'nope' ELSE 'https://jobs.example.com/' || CAST(s_suppkey AS VARCHAR(20)) END AS careers_url, lower(n_name) AS source, 'supplier-' || CAST(s_suppkey AS VARCHAR(20)) AS source_slug,
+          'api' AS parsing_strategy, CASE s_suppkey % 10 WHEN 4 THEN 'weird' ELSE 'active' END AS status, CAST(NULL AS VARCHAR(20)) AS reason, CAST(NULL AS VARCHAR(20)) AS discovered_via, CAST(NULL AS VARCHAR(20)) AS discovered_at,
+          'seen, "twice"' AS evidence, CASE WHEN s_suppkey % 10 IN (3, 8) THEN 'x' END AS tenant_url,
+          CASE s_suppkey % 10 WHEN 5 THEN '{{bad' WHEN 6 THEN '[1]' WHEN 7 THEN NULL ELSE '{{"k":"' || CAST(s_suppkey AS VARCHAR(20)) || '"}}' END AS api_meta, 'c' AS category, CAST(NULL AS VARCHAR(20)) AS employer_type
+        FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey""",
+    # Contact cells of a raw tab: two addresses and one that is none, alternative names; and a manual tab for some.
+    "v_contact_cells": """
+        SELECT c_custkey, 'C' || CAST(c_custkey AS VARCHAR(20)) || '@' || c_mktsegment || '.example.com / broken, alt' || CAST(c_custkey AS VARCHAR(20)) || '@x.example.com' AS emails, replace(c_name, '#', ' ') || ' Pvt. Ltd.' AS company,
+          CASE WHEN c_custkey % 5 = 0 THEN lower(c_mktsegment) || '; ' || lower(c_mktsegment) || ' Inc' ELSE '' END AS alt_names, 'Person ' || CAST(c_custkey AS VARCHAR(20)) AS contact_name
+        FROM {customer}""",
+    # Drafts with a life of their own: gone drafts, sent ones, bounces and verified ones by the mailbox of v_mailbox.
+    "v_drafts": """
+        SELECT o_orderkey AS id, 'p' || CAST(o_orderkey % 2 AS VARCHAR(20)) AS profile_id, 'u' || CAST(o_custkey % 150 AS VARCHAR(20)) AS recruiter_email, 'Company ' || CAST(o_custkey AS VARCHAR(20)) AS company_name,
+          CASE o_orderkey % 4 WHEN 0 THEN 'draft' WHEN 1 THEN 'sent' WHEN 2 THEN 'discarded' ELSE 'draft' END AS status, CAST('2024-01-01 00:00:00' AS TIMESTAMP) + CAST(o_orderkey % 29 AS INT) * INTERVAL '1' DAY AS drafted_at,
+          CASE WHEN o_orderkey % 4 = 1 THEN CAST('2024-01-01 12:00:00' AS TIMESTAMP) + CAST(o_orderkey % 30 AS INT) * INTERVAL '1' DAY END AS sent_at, CAST(NULL AS TIMESTAMP) AS verified_at, CAST(NULL AS VARCHAR(20)) AS message_id,
+          CAST(NULL AS VARCHAR(20)) AS failure_detail, CAST(NULL AS TIMESTAMP) AS last_checked_at, o_custkey % 10 AS run_id, CAST('2024-01-31' AS DATE) AS run_date, 'Role ' || CAST(o_orderkey AS VARCHAR(20)) AS title, o_orderkey % 3 = 0 AS green, CAST(o_custkey % 100 AS DOUBLE) / 100 AS score
+        FROM {orders}""",
+    "v_mailbox": """
+        SELECT 'm' || CAST(event_id AS VARCHAR(20)) AS message_id, CASE WHEN event_type = 'purchase' THEN 'sent' ELSE 'bounce' END AS folder, 'u' || CAST(user_id AS VARCHAR(20)) AS address, ts AS internal_date, 'b' || CAST(event_id AS VARCHAR(20)) AS snippet
+        FROM {events} WHERE event_type IN ('purchase', 'error')""",
+    # Campaign records, some of them not sent.
+    "v_blast": """
+        SELECT 'p' || CAST(c_nationkey % 5 AS VARCHAR(20)) AS profile_id, year(o_orderdate) - 1991 AS batch, 'u' || CAST(o_custkey % 150 AS VARCHAR(20)) AS email, c_name AS company, CASE WHEN o_orderkey % 13 = 0 THEN 'skipped_invalid' ELSE 'drafted' END AS status,
+          'a' || CAST(o_orderkey % 4 AS VARCHAR(20)) AS variant, CAST('2024-01-01 00:00:00' AS TIMESTAMP) + CAST(o_orderkey % 30 AS INT) * INTERVAL '1' DAY AS at, CASE WHEN o_orderkey % 6 = 0 THEN 'late' END AS note, o_orderkey
+        FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
+    # Board rows as they are crawled: some ids on several pages, some partitions crawled twice.
+    "v_listing": """
+        SELECT 'supplier-' || CAST(l_suppkey AS VARCHAR(20)) AS company_slug, 'g' AS provider, CAST(l_partkey % 40 AS VARCHAR(20)) AS external_id, CAST(l_linenumber AS INT) AS page, CAST(l_orderkey AS INT) AS pos, flag AS job_title, line AS jd_text
+        FROM (SELECT l_suppkey, l_partkey, l_linenumber, l_orderkey, min(l_returnflag) AS flag, min(l_linestatus) AS line FROM {lineitem} GROUP BY l_suppkey, l_partkey, l_linenumber, l_orderkey)""",
 }
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +20,7 @@ def read_csv_rows(spark: SparkSession, path: str, columns: list[str], header: bo
 
 def write_csv_rows(df: DataFrame, path: str) -> None:
     """A4."""
-    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
+    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def decode_registry(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,45 +104,56 @@ def _fs(spark: SparkSession, path: str):
 
 def _exists(spark: SparkSession, path: str) -> bool:
     fs, where = _fs(spark, path)
-    return fs.exists(where)
+    return bool(fs.globStatus(where)) if "*" in path else fs.exists(where)
 
 
 class Tables:
-    """Named tables as snapshots; a pointer file says which one is current.
+    """Named tables, each a folder of Parquet snapshots numbered in the order they were written; the last complete one counts.
 
-    A reader with a newer schema gets null for columns that an older snapshot lacks, or what backfill says.
+    A snapshot is complete when Spark has written its _SUCCESS file, so a reader never sees half of one, and a failed write
+    leaves the table as it was. A reader with a newer schema gets null for columns that an older snapshot lacks, or what
+    backfill says. KEEP snapshots stay for readers that began before.
     """
 
+    KEEP = 2
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/CURRENT"
-
-    def current(self, name: str) -> str | None:
-        if not _exists(self.spark, self._pointer(name)):
-            return None
-        return json.loads(self.spark.read.text(self._pointer(name)).first()[0])["snapshot"]
+    def snapshots(self, name: str) -> list[int]:
+        """Numbers of the complete snapshots."""
+        fs, folder = _fs(self.spark, f"{self.root}/{name}")
+        if not fs.exists(folder):
+            return []
+        found = [p.getPath().getName() for p in fs.listStatus(folder)]
+        return sorted(int(x[1:]) for x in found if x[1:].isdigit() and _exists(self.spark, f"{self.root}/{name}/{x}/_SUCCESS"))
 
     def read(self, name: str, schema: T.StructType, backfill: dict[str, Column] | None = None) -> DataFrame:
-        snapshot = self.current(name)
-        if snapshot is None:
+        held = self.snapshots(name)
+        if not held:
             return self.spark.createDataFrame([], schema)
-        df = self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{snapshot}")
+        df = self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v{held[-1]}")
         return df.withColumns({c: F.coalesce(F.col(c), x) for c, x in (backfill or {}).items()})
 
     def replace(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> None:
-        snapshot = f"v-{uuid.uuid4().hex}"
-        writer = df.write
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{name}/{snapshot}")
-        fs, pointer = _fs(self.spark, self._pointer(name))
-        out = fs.create(pointer, True)
-        out.write(bytearray(json.dumps({"snapshot": snapshot}).encode()))
-        out.close()
+        number = max(self.snapshots(name), default=0) + 1
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{name}/v{number}")
+        for old in self.snapshots(name)[: -self.KEEP]:
+            fs, folder = _fs(self.spark, f"{self.root}/{name}/v{old}")
+            fs.delete(folder, True)
 
     def publish(self, name: str, df: DataFrame, schema: T.StructType, force: bool = False, least: float = 0.5) -> None:
-        """Replace, unless the new table is empty or much smaller than the current one."""
-        new, old = df.count(), self.read(name, schema).count()
+        """Replace, unless the new table is empty or much smaller than the current one.
+
+        The new table is written once, beside the current one, and counted there.
+        """
+        old, number = self.read(name, schema).count(), max(self.snapshots(name), default=0) + 1
+        waiting = f"{self.root}/{name}/new-{number}"
+        df.write.mode("overwrite").parquet(waiting)
+        new = self.spark.read.schema(df.schema).parquet(waiting).count()
+        fs, folder = _fs(self.spark, waiting)
         if not force and (new == 0 or new < least * old):
+            fs.delete(folder, True)
             raise ValueError(f"{name}: refusing to replace {old} rows by {new}")
-        self.replace(name, df)
+        fs.rename(folder, _fs(self.spark, f"{self.root}/{name}/v{number}")[1])

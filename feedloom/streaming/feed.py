@@ -13,6 +13,13 @@ from feedloom.operators.lifecycle import BOARD, PK, first_per_key, insert_new, m
 from feedloom.sources.readers import Tables
 
 
+#: The postings table of the feed.
+POSTINGS = T.StructType([
+    *[T.StructField(c, T.StringType()) for c in ("provider", "company_slug", "external_id", "job_title", "job_url", "location")], T.StructField("is_remote", T.BooleanType()), T.StructField("jd_text", T.StringType()), T.StructField("posted_at", T.TimestampType()),
+    T.StructField("profile_id", T.StringType()), *[T.StructField(c, T.TimestampType()) for c in ("discovered_at", "last_seen_at", "removed_at")],
+])
+
+
 def stream_dedup(decisions: DataFrame, at: str = "ts", key: str = "notify_key", days: int = 180) -> DataFrame:
     """The first decision per role within the window; state older than the watermark goes."""
     return decisions.withWatermark(at, f"{days} days").dropDuplicatesWithinWatermark([key])

@@ -45,7 +45,7 @@ def test_pages(spark):
     pages = spark.createDataFrame([(1, "https://www.acme.example/careers", html)], "page_id long, url string, html string")
     assert [r["link"] for r in normalise.extract_links(pages).orderBy("pos").collect()] == ["https://www.acme.example/jobs/1", "https://www.acme.example/positions"]
     assert normalise.pick_openings_link(pages).first()["link"] == "https://www.acme.example/positions"
-    row = pages.select(normalise.title_hint(F.col("html")).alias("t"), normalise.main_text(F.col("html")).alias("m"), normalise.challenge_evidence(F.lit("x Just a moment... y")).alias("c"), normalise.challenge_evidence(F.col("html")).alias("n")).first()
+    row = pages.select(normalise.title_hint(F.col("html")).alias("t"), normalise.main_text(F.col("html")).alias("m"), normalise.challenge_evidence(F.lit("x Just a moment... Ray ID y")).alias("c"), normalise.challenge_evidence(F.col("html")).alias("n")).first()
     assert row["t"] == "Careers" and "menu" not in row["m"] and "one\ntwo" in row["m"] and "Just a moment" in row["c"] and row["n"] is None
     assert normalise.page_signals(pages).first()["careers_title"]
 
