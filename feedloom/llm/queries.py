@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from feedloom.llm import bpe, embedding_dedup, fingerprint, language, line_dedup, ngram_join, quality, secret_scan, source_mix, url_filter
+from feedloom.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -16,5 +17,3 @@ QUERIES = {
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-
-ORACLES: dict[str, str] = {}
