@@ -327,6 +327,16 @@ def _(v, t):
     return outreach.read_contacts(raw, manual).select("email", "source", "status", F.size("alt_names_norm").alias("alts"))
 
 
+@written("a6_blast_state", "SELECT profile_id, email, status, CAST(batch AS INT) AS batch FROM v_blast")
+def _(spark, v, t):
+    path = scratch(spark, "blast")
+    # A line holds the records of a thousand orders at most.
+    record = F.struct("email", "status", F.col("batch").cast("int").alias("batch"))
+    states = v("v_blast").groupBy("profile_id", F.floor(F.col("o_orderkey") / 1000).alias("k")).agg(F.to_json(F.struct(F.collect_list(record).alias("records"))).alias("value")).drop("k")
+    states.write.partitionBy("profile_id").text(path)
+    return readers.read_blast_state(spark, f"{path}/*", "email string, status string, batch int", lines=True)
+
+
 @written("a7_read_diag", "SELECT event_id, event_type FROM events WHERE event_id % 3 > 0")
 def _(spark, v, t):
     path = scratch(spark, "diag")
@@ -417,3 +427,32 @@ def _(spark, v, t):
 def _(v, t):
     return readers.project_blast_log(v("v_blast").withColumn("batch", F.col("batch").cast("long")))
 
+
+
+# Rules whose cases the tables above do not hold.
+
+_JDS = (("TBD.", True), ("Job description goes here", True), ("!!! --- %%", True), ("", False), ("Real work", False), (" Attached\n", True), ("n/a", True), ("Lorem ipsum dolor", True), ("TBD later today", False), ("Please enter the job description.", True))
+
+
+@query("d6_placeholders", f"SELECT p_partkey, p_partkey % {len(_JDS)} IN ({', '.join(str(i) for i, (_, junk) in enumerate(_JDS) if junk)}) AS junk FROM part")
+def _(v, t):
+    said = F.element_at(F.array(*[F.lit(x) for x, _ in _JDS]), (F.col("p_partkey") % len(_JDS)).cast("int") + 1)
+    return t("part").select("p_partkey", filters.is_junk_jd(said).alias("junk"))
+
+
+@query("e4_verdict_reason", """SELECT doc_id, CASE WHEN deal_breaker_severity = 'hard' THEN coalesce(deal_breaker_hit, 'hard-deal-breaker') WHEN match_score < 0.65 AND regexp_matches(job_title, 'src1') AND NOT coalesce(yoe_min >= 6, false) THEN 'priority-title, borderline score (' || printf('%.2f', match_score) || ')'
+    WHEN match_score < 0.65 THEN 'score-too-low (' || printf('%.2f', match_score) || ')' WHEN yoe_min >= 6 THEN 'needs ' || CAST(yoe_min AS INT) || '+ years (hard cap 6)' WHEN deal_breaker_severity = 'soft' THEN 'soft: ' || coalesce(deal_breaker_hit, 'soft-deal-breaker') WHEN yoe_min IS NULL AND yoe_max IS NULL THEN 'yoe-unknown'
+    WHEN yoe_min > 4.5 THEN 'under-qualified (needs ' || CAST(yoe_min AS INT) || '+)' WHEN yoe_max < 4.5 THEN 'over-qualified (max ' || CAST(yoe_max AS INT) || ')' WHEN match_score >= 0.8 THEN reason ELSE 'borderline-score (' || printf('%.2f', match_score) || ')' END AS reason FROM v_gate""")
+def _(v, t):
+    return v("v_gate").select("doc_id", filters.classify_verdict(PROFILE)["reason"].alias("reason"))
+
+
+@query("f5_match_tiers", """SELECT 'firm ' || n AS company_norm, email, n % 3 + 1 AS tier FROM (SELECT c_custkey AS k, c_custkey % 40 AS n, CASE WHEN c_custkey % 3 = 2 THEN 'c' || c_custkey || '@firm' || (c_custkey % 40) || '.example.com' ELSE 'c' || c_custkey || '@x.example.com' END AS email FROM customer) WHERE k % 3 = n % 3""")
+def _(v, t):
+    k, firm = F.col("c_custkey"), F.concat(F.lit("firm "), (F.col("c_custkey") % 40).cast("string"))
+    rank = (k % 40) % 3
+    email = F.concat(F.lit("c"), k.cast("string"), F.when(k % 3 == 2, F.concat(F.lit("@"), F.replace(firm, F.lit(" "), F.lit("")), F.lit(".example.com"))).otherwise("@x.example.com"))
+    # Contacts by own name, by alternative name, by the label of their domain; a tier counts where no better one has a match.
+    people = t("customer").select(email.alias("email"), F.lit("verified").alias("status"), F.when((k % 3 == 0) & (rank == 0), firm).otherwise("zzz").alias("company_norm"), F.when((k % 3 == 1) & (rank < 2), F.array(F.lit("other"), firm)).otherwise(F.array().cast("array<string>")).alias("alt_names_norm"))
+    groups = t("customer").select(firm.alias("company_norm")).distinct()
+    return outreach.match_contacts(groups, people).select("company_norm", "email", F.col("tier").cast("long").alias("tier"))

@@ -61,10 +61,15 @@ def encode_registry(df: DataFrame) -> DataFrame:
     return df.select(*[F.coalesce(meta if c == "api_meta" else F.col(c).cast("string"), F.lit("")).alias(c) for c in REGISTRY_COLUMNS])
 
 
-def read_blast_state(spark: SparkSession, glob: str, record: str) -> DataFrame:
-    """Campaign records of all profiles; the file's name is the profile; a malformed file is an error."""
-    raw = spark.read.schema(f"records array<struct<{record}>>").option("mode", "FAILFAST").json(glob, multiLine=True)
-    return raw.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("profile_id"), F.explode("records").alias("r")).select("profile_id", "r.*").orderBy("profile_id")
+def read_blast_state(spark: SparkSession, glob: str, record: str, lines: bool = False) -> DataFrame:
+    """Campaign records of all profiles; a malformed file is an error.
+
+    The profile is the file's name (`p0.json`), or its folder's (`profile_id=p0`) where Spark wrote it; lines: a state per line.
+    """
+    raw = spark.read.schema(f"records array<struct<{record}>>").option("mode", "FAILFAST").json(glob, multiLine=not lines)
+    folder = F.regexp_extract(F.input_file_name(), r"/profile_id=([^/]+)/", 1)
+    profile = F.when(folder != "", folder).otherwise(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
+    return raw.select(profile.alias("profile_id"), F.explode("records").alias("r")).select("profile_id", "r.*").orderBy("profile_id")
 
 
 def read_diag(spark: SparkSession, path: str, schema: str) -> DataFrame:

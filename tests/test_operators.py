@@ -155,3 +155,47 @@ def test_html_boards(spark):
     board = HtmlBoard("ul.jobs li", "h3", "a@href", ".loc", "India", "^General", r"Role: (.*)", "data-id")
     got = sorted(tuple(r)[2:6] for r in normalize_html(pages, board).collect())
     assert got == [("7", "Analyst", "https://a.example/j/7", "Pune"), ("c/x/8", "Lead", "https://a.example/c/x/8?y=1", "India")]
+
+
+def test_news_that_repeat_a_key_multiply_nothing(spark):
+    from feedloom.operators import lifecycle
+
+    people = spark.createDataFrame([("a@x", "verified"), ("b@x", "bounced"), ("c@x", "unverified")], "email string, status string")
+    changes = spark.createDataFrame([("A@x", "bounced", 2), ("a@x", "verified", 1), ("b@x", "verified", 3), ("c@x", "verified", 1), ("c@x", "bounced", 0)], "email string, new_status string, at int")
+    assert sorted(map(tuple, lifecycle.set_recruiter_status(people, changes).collect())) == [("a@x", "bounced"), ("b@x", "bounced"), ("c@x", "verified")]
+    columns = "provider string, slug string, status string, consecutive_failures long, postings_seen_total long, zero_yield_streak long"
+    companies = spark.createDataFrame([("p", "s", "active", 2, 5, 1), ("p", "t", "active", 4, 5, 1)], columns)
+    outcomes = spark.createDataFrame([("p", "s", None, "boom", False), ("p", "s", 3, None, False), ("p", "t", None, "boom", False), ("p", "t", None, "boom", False)], "provider string, slug string, seen long, error string, transport_fault boolean")
+    assert sorted(tuple(r)[1:] for r in lifecycle.apply_outcomes(companies, outcomes, F.lit(ts(31))).collect()) == [("s", "active", 0, 8, 0), ("t", "broken", 5, 5, 1)]
+    pool = spark.createDataFrame([("a@Good.com",), ("b@bad.com",), ("c@none.com",)], "email string")
+    verdicts = spark.createDataFrame([("good.com", False), ("good.com", True), ("bad.com", False), ("bad.com", False)], "domain string, ok boolean")
+    assert sorted((r["email"], r["deliverable"]) for r in outreach.deliverable(pool, verdicts).collect()) == [("a@Good.com", True), ("b@bad.com", False), ("c@none.com", False)]
+
+
+def test_bounds_say_what_they_leave_out(spark):
+    urls = "".join(f"<loc>https://a.example/jobs/role-{i}</loc>" for i in range(7))
+    files = spark.createDataFrame([("p", "s", urls)], "provider string, slug string, body string")
+    assert [(r["cut"]) for r in normalise.normalize_sitemap(files, cap=5).collect()] == [2] * 5
+    assert normalise.normalize_sitemap(files, cap=None).count() == 7
+    listing = spark.createDataFrame([("p", "s", "1")], "provider string, company_slug string, external_id string")
+    site = spark.createDataFrame([("p", "s", str(i)) for i in range(1, 5)] + [("p", "t", "9")], listing.schema)
+    assert {r["company_slug"]: r["outcome"] for r in normalise.gap_report(listing, site, guard=3).collect()} == {"s": "too-many", "t": "filled"}
+    assert normalise.gap_fill(listing, site, guard=None).count() == 5
+
+
+def test_pay_statements(spark):
+    from feedloom.functions.filters import extract_salary
+
+    cases = {
+        "CTC: 12-18 LPA": (1_200_000, 1_800_000, "INR", "year"),
+        "₹12,00,000 - ₹15,00,000 per annum": (1_200_000, 1_500_000, "INR", "year"),
+        "Salary: $120k-$150k": (120_000, 150_000, "USD", "year"),
+        "pay is $25/hr": (52_000, 52_000, "USD", "hour"),
+        "1 - 1.5 Cr": (10_000_000, 15_000_000, "INR", "year"),
+        "Founded in 2024-2026": None,
+        "": None,
+        "7 people, 3 floors, 2-4 teams": None,
+    }
+    got = spark.createDataFrame([(k,) for k in cases], "body string").select("body", extract_salary(F.col("body")).alias("s")).collect()
+    for r in got:
+        assert (None if r["s"] is None else (r["s"]["annual_min"], r["s"]["annual_max"], r["s"]["currency"], r["s"]["period"])) == cases[r["body"]]
