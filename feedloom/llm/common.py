@@ -100,14 +100,14 @@ def id_fold(column: str, folds: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % F.lit(folds)
 
 
-#: Bits of a map of marked keys: eight per key between these bounds (32 MB). A fuller map lets more rows through and loses none.
-LEAST_BITS, MOST_BITS = 1 << 22, 1 << 28
+#: Bits of a map of marked keys: BITS_PER_KEY and more, between these bounds (32 MB). A fuller map lets more rows through and loses none.
+BITS_PER_KEY, LEAST_BITS, MOST_BITS = 64, 1 << 22, 1 << 28
 
 
 def bitmap_of(keys: DataFrame, key: str = "key", bits: int | None = None) -> np.ndarray:
     """One bit per 64-bit key of a saved table, by the key's low bits: at most bits / 64 rows reach the driver."""
     if bits is None:
-        bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * keys.count()).bit_length()))
+        bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_KEY * keys.count()).bit_length()))
     cells = keys.select(F.shiftright(F.col(key).bitwiseAND(F.lit(bits - 1)), 6).alias("cell"), F.expr(f"shiftleft(1L, cast({key} & 63 as int))").alias("bit"))
     got = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(bits // 64, dtype=np.int64)

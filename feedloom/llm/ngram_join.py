@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import bitmap_of, connected_components, in_bitmap, marked_rows, one_per_id, saved, spread_join
+from feedloom.llm.common import bitmap_of, connected_components, discard, in_bitmap, marked_rows, one_per_id, saved, spread_join
 from feedloom.llm.hashing import BASES, ByteWords, Powers, Sequence, mix, signed
 
 WIDTH, PERCENT = 4, 85
@@ -284,6 +284,8 @@ class _Join:
 
     def __init__(self, docs: DataFrame, id_col: str, text: str, width: int, percent: int):
         self.percent = percent
+        #: Tables that nothing reads once the next step is written.
+        self.done: list[DataFrame] = []
         id_type = docs.schema[id_col].dataType.simpleString()
         sets = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(_sets(width, percent), f"id {id_type}, size long, v binary, cover int, need int, counts binary, grams binary")
         #: One row per row of docs; `row` is a number of its own.
@@ -306,6 +308,7 @@ class _Join:
         # Rows that the bitmap lets through beside the leaders repeat their class's keys.
         shared = saved(self.keys(leaders, bitmap_of(counts)).distinct().join(self.classes.select("v", "id"), "v").drop("v"), "shared")
         met = saved(spread_join(shared, counts, ["key"], ["id"], counts=counts.select("key", (F.col("exact") + F.col("near")).alias("__rows"))), "met")
+        discard(shared, counts)
 
         one = F.max(F.when(F.col("kind") < 2, F.col("exact") - 1).otherwise(0))
         two = F.sum(F.when(F.col("kind") == 2, F.col("exact")).when(F.col("kind") == 1, F.col("near")).otherwise(0))
@@ -319,7 +322,10 @@ class _Join:
         probes = saved(probes, "probes")
         paid = probes.groupBy("key").agg(F.lit(True).alias("paid"))
         narrow = met.select("key", "id", "size")
-        rows = saved(spread_join(narrow, paid, ["key"], ["id"]).drop("paid").distinct(), "paid").join(probes.withColumn("probe", F.lit(True)), ["key", "id"], "left")
+        reached = saved(spread_join(narrow, paid, ["key"], ["id"]).drop("paid").distinct(), "paid")
+        discard(met)
+        self.done = [probes, reached]
+        rows = reached.join(probes.withColumn("probe", F.lit(True)), ["key", "id"], "left")
         rows = rows.select("key", "id", "size", F.coalesce("probe", F.lit(False)).alias("probe"))
         return rows.unionByName(self.uncovered())
 
@@ -348,6 +354,7 @@ class _Join:
     def components(self, rows: DataFrame) -> DataFrame:
         """id, component of the linked classes."""
         rows = saved(rows, "members")
+        discard(*self.done)
         spark = rows.sparkSession
         none = spark.createDataFrame([], "a long, b long")
         wanted = saved(self.classes.join(rows.select("id").distinct(), "id", "left_semi").select("id", F.col("lead").alias("row")), "wanted")
@@ -361,7 +368,8 @@ class _Join:
         pairs = spread_join(rows, leaders, ["key"], ["id"]).where((F.col("id") != F.col("leader.id")) & near)
         pairs = saved(pairs.select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct(), "candidates")
         room = spread_join(spread_join(pairs, side("a"), ["a"], ["b"], sized=pairs), side("b"), ["b"], ["a"], sized=pairs).where(_may_link(self.percent)("c_a", "c_b", F.col("n_a") + F.col("n_b")))
-        pairs = saved(room.select("a", "b"), "pairs")
+        candidates, pairs = pairs, saved(room.select("a", "b"), "pairs")
+        discard(candidates)
         # First one pair per member; the rest only where that left members apart.
         first = saved(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
         links, found = self.joined(none, spark.createDataFrame([], "id long, component long"), self.verify(first, known))
@@ -374,10 +382,12 @@ class _Join:
         tried = pairs
         for nearest in (True, False):
             tiles = saved(self.open_tiles(rows, found, known, nearest).join(tried, ["a", "b"], "left_anti"), "tiles")
+            discard(*self.done)
             if tiles.isEmpty():
                 continue
             links, found = self.joined(links, found, self.verify(tiles, known))
             tried = tried.union(tiles)
+        discard(known)
         return found
 
     def open_tiles(self, rows: DataFrame, found: DataFrame, known: DataFrame, nearest: bool) -> DataFrame:
@@ -387,13 +397,15 @@ class _Join:
         keys = per_home.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max("p").alias("p")).where("p AND all > most")
         blocks = lambda n: F.ceil(n / F.lit(BLOCK_ROWS)).cast("int")
         keys = saved(keys.select("key", "major", blocks(F.col("all") - F.col("most")).alias("minors"), blocks(F.col("all")).alias("alls")), "keys")
-        placed = saved(spread_join(placed, keys, ["key"], ["id"], counts=placed.groupBy("key").agg(F.count("*").alias("__rows"))), "open")
+        homes, placed = placed, saved(spread_join(placed, keys, ["key"], ["id"], counts=placed.groupBy("key").agg(F.count("*").alias("__rows"))), "open")
+        discard(homes)
         own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         cut = ["key", "id", "size", "probe", "component"]
         left = placed.where("component <> major").select(*cut, own("minors").alias("m"), every("alls").alias("e")).withColumn("side", F.lit(0))
         right = placed.select(*cut, own("alls").alias("e"), every("minors").alias("m")).select(*cut, "m", "e").withColumn("side", F.lit(1))
         sides = saved(left.unionByName(right).join(known.select("id", "counts"), "id").withColumn("tile", F.xxhash64("key", "m", "e")), "sides")
+        self.done = [keys, placed, sides]
         groups = max(1, sides.count() // GROUP_ROWS)
         out = sides.withColumn("pack", F.pmod("tile", F.lit(groups))).groupBy("pack").applyInArrow(_tiles(self.percent, nearest), "a long, b long")
         return out.distinct()
@@ -412,6 +424,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     found = join.components(join.members()).withColumnRenamed("component", "c")
     named = saved(join.classes.join(found, "id", "left").select("v", F.coalesce("c", "id").alias("c")), "named")
     rows = saved(spread_join(join.sets.select("id", "size", "v", "row"), named, ["v"], ["row"], "left").select("id", "size", F.when(F.col("id").isNotNull(), F.col("c")).alias("c")), "rows")
+    discard(join.sets, named)
     # An id of several texts ties their components, and its rows without words belong there.
     rows = one_per_id(rows)
     least = rows.where("c IS NOT NULL").groupBy("c").agg(F.min("id").alias("least"))
