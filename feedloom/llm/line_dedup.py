@@ -322,4 +322,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bit
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs, characters=True)
+    return dedup_lines(docs, characters=True).withColumn("first_docs", F.array_join("first_docs", ","))

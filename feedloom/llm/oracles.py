@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feedloom.llm import embedding_dedup, line_dedup, ngram_join, secret_scan
+from feedloom.llm import embedding_dedup, line_dedup, ngram_join, secret_scan, source_mix
 
 
 def _text(pattern: str) -> str:
@@ -64,12 +64,32 @@ def deduplicated_lines() -> str:
         nearest AS (SELECT body, min(place).doc AS doc FROM p GROUP BY 1),
         s AS (SELECT l.doc_id, l.i, l.line, CASE WHEN nearest.doc IS NOT NULL THEN nearest.doc WHEN {{'doc': l.doc_id, 'i': l.i}} > k.place THEN k.place.doc END AS first FROM l LEFT JOIN k ON k.words = l.words LEFT JOIN nearest ON nearest.body = k.body),
         g AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (first IS NULL), '') AS cleaned, count(first) AS n_removed, list_sort(list_distinct(list(first) FILTER (first IS NOT NULL))) AS firsts FROM s GROUP BY 1)
-        SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN CASE WHEN n_removed > 0 THEN cleaned ELSE d.text END END AS text, CAST(n_lines AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(firsts, []) AS first_docs FROM d LEFT JOIN g USING (doc_id)"""
+        SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN CASE WHEN n_removed > 0 THEN cleaned ELSE d.text END END AS text, CAST(n_lines AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(array_to_string(firsts, ','), '') AS first_docs FROM d LEFT JOIN g USING (doc_id)"""
+
+
+def mixed_sources() -> str:
+    """Shares by largest remainder, one period scheduled slot by slot, positions from the counts before a slot. Ids are unique."""
+    period, rows = source_mix.PERIOD, source_mix.BLOCK_ROWS
+    return f"""WITH RECURSIVE c AS (SELECT coalesce('=' || source, '-') AS s, count(*) AS n, sqrt(count(*)) AS w FROM documents GROUP BY 1),
+        x AS (SELECT *, greatest({period}, 10 * count(*) OVER ()) AS p, w / sum(w) OVER () * greatest({period}, 10 * count(*) OVER ()) AS exact FROM c),
+        f AS (SELECT *, greatest(1, floor(exact)::BIGINT) AS low, row_number() OVER (ORDER BY floor(exact) - exact, s) AS turn FROM x),
+        g AS (SELECT *, low + CASE WHEN turn <= p - sum(low) OVER () THEN 1 ELSE 0 END AS share FROM f),
+        h AS (SELECT s, n, p, CASE WHEN row_number() OVER (ORDER BY share DESC, s) = 1 THEN share - greatest(0, sum(share) OVER () - p) ELSE share END::BIGINT AS share FROM g),
+        par AS (SELECT list(share ORDER BY s) AS a, list(n ORDER BY s) AS n, sum(share)::BIGINT AS p, list(s ORDER BY s) AS names FROM h),
+        sched AS (SELECT -1::BIGINT AS slot, [0::BIGINT for z in a] AS done, [0::BIGINT for z in a] AS before, 0::BIGINT AS pick FROM par
+          UNION ALL SELECT slot + 1, [done[i] + CASE WHEN i = pick THEN 1 ELSE 0 END for i in range(1, len(done) + 1)], done, pick FROM (SELECT slot, done,
+            list_sort([{{'d': ((done[i] + 1) * p + a[i] - 1) // a[i], 'i': i}} for i in range(1, len(a) + 1) if done[i] < a[i] AND done[i] * p // a[i] <= slot + 1])[1].i AS pick FROM sched, par WHERE slot + 1 < p)),
+        t AS (SELECT slot, pick, before, before[pick] AS turn FROM sched WHERE slot >= 0),
+        d AS (SELECT doc_id, source, coalesce('=' || source, '-') AS s, row_number() OVER (PARTITION BY source ORDER BY sha256('=' || doc_id)) - 1 AS rank FROM documents),
+        b AS (SELECT d.*, list_position(names, s) AS pick, a, n, p, rank // {rows} AS block FROM d, par),
+        e AS (SELECT *, block // a[pick] AS cycle, block % a[pick] AS turn FROM b)
+        SELECT doc_id, source, rank AS mix_source_rank, block AS mix_block, cycle * p + slot AS mix_slot, CAST(list_sum([least((cycle * a[j] + before[j]) * {rows}, n[j]) for j in range(1, len(a) + 1)]) + rank % {rows} AS BIGINT) AS mix_position FROM e JOIN t USING (pick, turn)"""
 
 
 ORACLES = {
     "op1_secret_scan": secret_spans(),
     "op4_ngram_join": ngram_components(),
     "op5_embedding_dedup": embedding_components(),
+    "op7_source_mix": mixed_sources(),
     "op10_line_dedup": deduplicated_lines(),
 }
