@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import bitmap_of, connected_components, discard, in_bitmap, marked_rows, one_per_id, saved, spread_join
+from feedloom.llm.common import bitmap_of, connected_components, discard, in_bitmap, marked_rows, one_per_id, saved, small_batches, spread_join
 from feedloom.llm.hashing import BASES, ByteWords, Powers, Sequence, mix, signed
 
 WIDTH, PERCENT = 4, 85
@@ -420,8 +420,9 @@ class _Join:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles (long), component_id: the smallest id reachable by links, itself included; a row per row of docs."""
-    join = _Join(docs, id_col, text, width, percent)
-    found = join.components(join.members()).withColumnRenamed("component", "c")
+    with small_batches(docs.sparkSession):
+        join = _Join(docs, id_col, text, width, percent)
+        found = join.components(join.members()).withColumnRenamed("component", "c")
     named = saved(join.classes.join(found, "id", "left").select("v", F.coalesce("c", "id").alias("c")), "named")
     rows = saved(spread_join(join.sets.select("id", "size", "v", "row"), named, ["v"], ["row"], "left").select("id", "size", F.when(F.col("id").isNotNull(), F.col("c")).alias("c")), "rows")
     discard(join.sets, named)
