@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feedloom.llm import embedding_dedup, line_dedup, ngram_join, secret_scan, source_mix
+from feedloom.llm import chat_format, embedding_dedup, hard_negatives, line_dedup, ngram_join, secret_scan, source_mix
 
 
 def _text(pattern: str) -> str:
@@ -86,10 +86,35 @@ def mixed_sources() -> str:
         SELECT doc_id, source, rank AS mix_source_rank, block AS mix_block, cycle * p + slot AS mix_slot, CAST(list_sum([least((cycle * a[j] + before[j]) * {rows}, n[j]) for j in range(1, len(a) + 1)]) + rank % {rows} AS BIGINT) AS mix_position FROM e JOIN t USING (pick, turn)"""
 
 
+def mined_negatives(low: int = hard_negatives.LOW, high: int = hard_negatives.HIGH, k: int = hard_negatives.K) -> str:
+    """Every anchor against every row; sums of whole numbers are exact in double precision."""
+    return f"""WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor({hard_negatives.SCALE} * CAST(y AS DOUBLE)) for y in embedding] AS x FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([y for y in embedding if y IS NULL OR NOT isfinite(y)]) = 0),
+        s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id AND len(a.x) = len(b.x)),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {k})
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND {low} * positive_score <= {high} * score AND score <= positive_score QUALIFY rank <= {k}"""
+
+
+def formatted_chats() -> str:
+    """Turns in order; control strings have no overlap, so each is broken by a replacement of its own."""
+    escaped = "replace({}, chr(92), chr(92) || chr(92))"
+    for c in chat_format.TEMPLATE.controls:
+        escaped = f"replace({escaped}, '{c}', '{c[0]}' || chr(92) || '{c[1:]}')"
+    marks = len(chat_format.TEMPLATE.begin + chat_format.TEMPLATE.middle + chat_format.TEMPLATE.end)
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    return f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' {order}) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum({marks} + length({escaped.format('role')}) + length({escaped.format('text')})) AS BIGINT) AS formatted_chars FROM t GROUP BY 1"""
+
+
 ORACLES = {
     "op1_secret_scan": secret_spans(),
     "op4_ngram_join": ngram_components(),
     "op5_embedding_dedup": embedding_components(),
     "op7_source_mix": mixed_sources(),
     "op10_line_dedup": deduplicated_lines(),
+    "op11_hard_negatives": mined_negatives(),
+    "op13_chat_format": formatted_chats(),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from feedloom.llm import bpe, embedding_dedup, fingerprint, language, line_dedup, ngram_join, quality, secret_scan, source_mix, token_alignment, url_filter
+from feedloom.llm import bpe, chat_format, embedding_dedup, fingerprint, hard_negatives, language, line_dedup, ngram_join, quality, secret_scan, source_mix, token_alignment, url_filter
 from feedloom.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {
@@ -16,5 +16,7 @@ QUERIES = {
     "op8_fingerprint": fingerprint.op8_fingerprint,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_token_alignment": token_alignment.op12_token_alignment,
+    "op13_chat_format": chat_format.op13_chat_format,
 }
