@@ -222,32 +222,6 @@ def _(v, t):
 
 # Streams
 
-#: Of each board (region) three snapshots: parts that are listed in the first, in all, and in the last; one snapshot comes late.
-_SNAPSHOTS = "p_partkey % 4 <> 3 AS first, p_partkey % 4 <> 0 AS last"
-
-
-@written("i22_stream_feed", f"""SELECT 'part-' || p_partkey AS external_id, CASE WHEN first THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-01-03' END AS discovered_at, CASE WHEN last THEN TIMESTAMP '2024-01-03' ELSE TIMESTAMP '2024-01-01' END AS last_seen_at, CASE WHEN NOT last THEN TIMESTAMP '2024-01-03' END AS removed_at
-    FROM (SELECT p_partkey, {_SNAPSHOTS} FROM part)""")
-def _(spark, v, t):
-    root = scratch(spark, "feed")
-    spec = normalise.JsonSpec("jobs array<struct<id:string,title:string>>", "jobs", {"external_id": "item.id", "job_title": "item.title", "job_url": "concat('https://a.example.com/', item.id)"})
-    board = F.concat(F.lit("size-"), F.col("p_size").cast("string"), F.lit("-"), F.floor(F.col("p_partkey") / 1000).cast("string"))
-    jobs = lambda where: F.to_json(F.struct(F.collect_list(F.when(F.expr(where), F.struct(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("title")))).alias("jobs")))
-
-    def arrive(day: int, where: str, turn: int) -> None:
-        rows = t("part").groupBy(board.alias("slug")).agg(jobs(where).alias("body"))
-        payload = rows.select(F.lit("g").alias("provider"), "slug", F.lit(1).alias("page"), ts(f"2024-01-0{day} 00:00:00").alias("fetched_at"), F.lit(None).cast("long").alias("reported_total"), F.lit("json").alias("kind"), "body")
-        payload.write.json(f"{root}/in/turn={turn}")
-
-    tables = readers.Tables(spark, f"{root}/tables")
-    # Three arrivals; the third is older than what the feed has seen, and changes nothing.
-    for turn, (day, where) in enumerate(((1, "p_partkey % 4 <> 3"), (3, "p_partkey % 4 <> 0"), (2, "p_partkey % 4 = 1"))):
-        arrive(day, where, turn)
-        stream = readers.stream_payloads(spark, f"{root}/in/*")
-        feed.stream_feed(stream, lambda raw: normalise.normalize_json(raw, spec), tables, feed.POSTINGS, "p0", f"{root}/state").awaitTermination()
-    return tables.read("postings", feed.POSTINGS).select("external_id", "discovered_at", "last_seen_at", "removed_at")
-
-
 @written("i8_stream_failures", "SELECT CAST(ts AS DATE) AS day, 'user-' || user_id AS company_slug, count(*) AS fetches, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY 1, 2")
 def _(spark, v, t):
     root = scratch(spark, "failures")

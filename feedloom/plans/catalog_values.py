@@ -358,32 +358,30 @@ def _(spark, v, t):
     return readers.read_payloads(spark, path).select("provider", "slug", "page", F.md5("body").alias("body"))
 
 
-def _company_schema(df, *more):
-    return T.StructType([*df.schema.fields, *[T.StructField(c, T.StringType()) for c in more]])
-
-
 @written("a9_table_store", "SELECT slug, CASE WHEN status = 'active' THEN 'seen' ELSE status END AS status, 'none' AS owner FROM v_companies")
 def _(spark, v, t):
-    store, rows = readers.Tables(spark, scratch(spark, "store")), v("v_companies").select("provider", "slug", "status")
-    schema = _company_schema(rows, "owner")
-    store.replace("companies", rows)
-    held = store.read("companies", schema)
-    store.replace("companies", held.drop("owner").withColumn("status", F.when(F.col("status") == "active", "seen").otherwise(F.col("status"))), ["provider"])
-    return store.read("companies", schema, {"owner": F.lit("none")}).select("slug", "status", "owner")
+    path, rows = scratch(spark, "store"), v("v_companies").select("slug", "status", "provider")
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("owner", T.StringType())])
+    readers.write_table(rows, path, ("provider",))
+    # One column is younger than the files, and only the providers with a change are written again.
+    held = readers.read_table(spark, path, schema, "provider string")
+    some = held.join(held.where("status = 'active'").select("provider").distinct(), "provider").withColumn("status", F.when(F.col("status") == "active", "seen").otherwise(F.col("status")))
+    readers.publish(some, path, ("provider",), least=0.0)
+    return readers.read_table(spark, path, schema, "provider string", {"owner": F.lit("none")}).select("slug", "status", "owner")
 
 
 @written("a13_guarded_publish", "SELECT slug, status, true AS refused FROM v_companies WHERE status <> 'denied'")
 def _(spark, v, t):
-    store, rows = readers.Tables(spark, scratch(spark, "publish")), v("v_companies").select("provider", "slug", "status")
-    schema, refused = _company_schema(rows), 0
-    store.publish("companies", rows, schema)
-    store.publish("companies", rows.where("status <> 'denied'"), schema)
+    path, rows = scratch(spark, "publish"), v("v_companies").select("provider", "slug", "status")
+    readers.publish(rows, path)
+    readers.publish(rows.where("status <> 'denied'"), path)
+    refused = 0
     for worse in (rows.limit(0), rows.where("status = 'dormant'")):
         try:
-            store.publish("companies", worse, schema)
+            readers.publish(worse, path)
         except ValueError:
             refused += 1
-    return store.read("companies", schema).select("slug", "status", F.lit(refused == 2).alias("refused"))
+    return readers.read_table(spark, path, rows.schema).select("slug", "status", F.lit(refused == 2).alias("refused"))
 
 
 def _with_roles(v):

@@ -50,7 +50,7 @@ def read_registry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 def read_registry_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A2: a JSON array of entries; no file gives no rows, a malformed one is an error."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema).withColumn("source_kind", F.lit("cache"))
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path, multiLine=True).withColumn("source_kind", F.lit("cache"))
 
@@ -107,58 +107,42 @@ def _fs(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, which may hold *, is there."""
     fs, where = _fs(spark, path)
     return bool(fs.globStatus(where)) if "*" in path else fs.exists(where)
 
 
-class Tables:
-    """Named tables, each a folder of Parquet snapshots numbered in the order they were written; the last complete one counts.
+def remove(spark: SparkSession, path: str) -> None:
+    fs, where = _fs(spark, path)
+    fs.delete(where, True)
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType, partitions: str = "", backfill: dict[str, Column] | None = None) -> DataFrame:
+    """A Parquet folder as a table of this schema; a folder that is not there is an empty table.
 
-    A snapshot is complete when Spark has written its _SUCCESS file, so a reader never sees half of one, and a failed write
-    leaves the table as it was. A reader with a newer schema gets null for columns that an older snapshot lacks, or what
-    backfill says. KEEP snapshots stay for readers that began before.
+    Columns that older files lack are null, or what backfill says. partitions: DDL of the partition columns.
     """
+    schema = T.StructType([*schema, *(T.StructType.fromDDL(partitions) if partitions else [])])
+    df = spark.read.schema(schema).parquet(path) if exists(spark, f"{path}/*") else spark.createDataFrame([], schema)
+    return df.withColumns({c: F.coalesce(F.col(c), x) for c, x in (backfill or {}).items()})
+
+
+def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+    """Df in place of the table; with partitions, in place of those that df has rows of. df must not read the table itself."""
+    writer = df.write.mode("overwrite")
+    (writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by) if partition_by else writer).parquet(path)
+
 
-    KEEP = 2
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def snapshots(self, name: str) -> list[int]:
-        """Numbers of the complete snapshots."""
-        fs, folder = _fs(self.spark, f"{self.root}/{name}")
-        if not fs.exists(folder):
-            return []
-        found = [p.getPath().getName() for p in fs.listStatus(folder)]
-        return sorted(int(x[1:]) for x in found if x[1:].isdigit() and _exists(self.spark, f"{self.root}/{name}/{x}/_SUCCESS"))
-
-    def read(self, name: str, schema: T.StructType, backfill: dict[str, Column] | None = None) -> DataFrame:
-        held = self.snapshots(name)
-        if not held:
-            return self.spark.createDataFrame([], schema)
-        df = self.spark.read.schema(schema).parquet(f"{self.root}/{name}/v{held[-1]}")
-        return df.withColumns({c: F.coalesce(F.col(c), x) for c, x in (backfill or {}).items()})
-
-    def replace(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> None:
-        number = max(self.snapshots(name), default=0) + 1
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{name}/v{number}")
-        for old in self.snapshots(name)[: -self.KEEP]:
-            fs, folder = _fs(self.spark, f"{self.root}/{name}/v{old}")
-            fs.delete(folder, True)
-
-    def publish(self, name: str, df: DataFrame, schema: T.StructType, force: bool = False, least: float = 0.5) -> None:
-        """Replace, unless the new table is empty or much smaller than the current one.
-
-        The new table is written once, beside the current one, and counted there.
-        """
-        old, number = self.read(name, schema).count(), max(self.snapshots(name), default=0) + 1
-        waiting = f"{self.root}/{name}/new-{number}"
-        df.write.mode("overwrite").parquet(waiting)
-        new = self.spark.read.schema(df.schema).parquet(waiting).count()
-        fs, folder = _fs(self.spark, waiting)
+def publish(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), force: bool = False, least: float = 0.5) -> None:
+    """write_table, unless df is empty or much smaller than the table. df may read the table: it is written beside it first."""
+    spark, beside = df.sparkSession, f"{path}.new"
+    df.write.mode("overwrite").parquet(beside)
+    waiting = spark.read.schema(df.schema).parquet(beside)
+    new, old = waiting.count(), spark.read.parquet(path).count() if exists(spark, f"{path}/*") else 0
+    try:
         if not force and (new == 0 or new < least * old):
-            fs.delete(folder, True)
-            raise ValueError(f"{name}: refusing to replace {old} rows by {new}")
-        fs.rename(folder, _fs(self.spark, f"{self.root}/{name}/v{number}")[1])
+            raise ValueError(f"{path}: refusing to replace {old} rows by {new}")
+        write_table(waiting, path, partition_by)
+    finally:
+        remove(spark, beside)

@@ -71,15 +71,21 @@ def test_registry(spark):
 
 
 def test_tables(spark, tmp_path):
-    store = readers.Tables(spark, str(tmp_path))
+    path = f"{tmp_path}/t"
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType())])
-    assert store.read("t", schema).count() == 0
-    store.replace("t", spark.createDataFrame([(1,), (2,), (3,)], "a long"))
-    assert {r["b"] for r in store.read("t", schema, {"b": F.lit("new")}).collect()} == {"new"}
+    assert readers.read_table(spark, path, schema).count() == 0
+    readers.write_table(spark.createDataFrame([(1,), (2,), (3,)], "a long"), path)
+    assert {r["b"] for r in readers.read_table(spark, path, schema, backfill={"b": F.lit("new")}).collect()} == {"new"}
     with pytest.raises(ValueError, match="refusing"):
-        store.publish("t", spark.createDataFrame([(1, "x")], schema), schema)
-    store.publish("t", spark.createDataFrame([(1, "x")], schema), schema, force=True)
-    assert store.read("t", schema).count() == 1
+        readers.publish(spark.createDataFrame([(1, "x")], schema), path)
+    assert readers.read_table(spark, path, schema).count() == 3
+    readers.publish(spark.createDataFrame([(1, "x")], schema), path, force=True)
+    assert readers.read_table(spark, path, schema).count() == 1
+    # A table may be made from itself, and only partitions with rows are replaced.
+    readers.write_table(spark.createDataFrame([(1, "x"), (2, "y")], schema), f"{path}2", ("b",))
+    held = readers.read_table(spark, f"{path}2", T.StructType(schema.fields[:1]), "b string")
+    readers.publish(held.where("b = 'x'").selectExpr("a + 10 AS a", "b"), f"{path}2", ("b",))
+    assert sorted(map(tuple, spark.read.parquet(f"{path}2").select("a", "b").collect())) == [(2, "y"), (11, "x")]
 
 
 def test_outreach_plan(spark):
