@@ -54,6 +54,13 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
+def site_of(url: Column) -> Column:
+    """The lower-cased host with its port, unless that is the scheme's own."""
+    site = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]+)", 1))
+    usual = (F.lower(url).startswith("https:") & site.endswith(":443")) | (F.lower(url).startswith("http:") & site.endswith(":80"))
+    return F.when(usual, F.regexp_replace(site, r":\d+$", "")).otherwise(site)
+
+
 def resolve_job_urls(df: DataFrame, url: str, rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
     """Df with provider, slug_hint, external_id and hint of its urls; null where no shape fits."""
     host = host_of(F.col(url))
@@ -68,21 +75,52 @@ def resolve_job_urls(df: DataFrame, url: str, rules: tuple[UrlRule, ...] = RULES
     return df.withColumn("__x", F.coalesce(*map(found, rules))).select(*df.columns, "__x.provider", "__x.slug_hint", "__x.external_id", "__x.hint")
 
 
-def _suffixes(host: Column) -> Column:
-    """The host and all its parent domains of two labels or more."""
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+#: Length of the grams of a containment join; needles that are shorter are looked up by a gram of their own length.
+GRAM = 4
+
+
+def _grams(text: Column, n: int) -> Column:
+    """Distinct stretches of n characters."""
+    starts = F.sequence(F.lit(1), F.char_length(text) - n + 1)
+    return F.when(F.char_length(text) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str, gram: int = GRAM) -> DataFrame:
+    """Pairs (text, needle), each once, in which the text holds the needle: an inverted index of grams in place of all pairs.
+
+    A text that holds a needle holds all of its grams, so the needle is looked up by the one that fewest texts have. Needles of
+    fewer characters than `gram` are grams themselves. The candidates are verified. Empty needles and nulls are in nothing.
+    """
+    whole = texts.select(F.col(text).alias("text")).where("text IS NOT NULL").distinct()
+    asked = needles.select(F.col(needle).alias("needle")).where("needle <> ''").distinct()
+    sizes = [n for n in range(1, gram)]
+    short = {r[0] for r in asked.where(F.char_length("needle") < gram).select(F.char_length("needle")).distinct().collect()}
+    lengths = [n for n in sizes if n in short] + [gram]
+    index = whole.select("text", F.explode(F.flatten(F.array(*[_grams(F.col("text"), n) for n in lengths]))).alias("gram"))
+    own = F.when(F.char_length("needle") < gram, F.array("needle")).otherwise(_grams(F.col("needle"), gram))
+    keys = asked.select("needle", F.explode(own).alias("gram"))
+    # Only grams that are asked for are counted.
+    counts = index.join(keys.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = keys.join(counts, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
+    probes = rarest.where("g.n > 0").select("needle", F.col("g.gram").alias("gram"))
+    return index.join(probes, "gram").where(F.contains("text", "needle")).select("text", "needle")
 
 
 def find_companies(resolved: DataFrame, companies: DataFrame, url: str = "url") -> DataFrame:
-    """companies of resolved urls by (provider, slug), else those whose careers page lies on the url's host or below it."""
-    key = companies.select("provider", "slug", "name", "careers_url")
-    named = resolved.select(url, F.col("provider").alias("__p"), F.col("slug_hint").alias("__s"))
+    """companies of resolved urls by (provider, slug), else those whose careers page or tenant url holds the url's host.
+
+    A text that is no url is looked up by its slug hint. Hosts that many companies share find none.
+    """
+    tenant = F.col("tenant_url") if "tenant_url" in companies.columns else F.lit(None).cast("string")
+    key = companies.select("provider", "slug", "name", "careers_url", tenant.alias("tenant_url"))
+    named = resolved.select(url, F.col("provider").alias("__p"), F.col("slug_hint").alias("__s")).distinct()
     exact = named.join(key, (F.col("__p") == key["provider"]) & (F.col("__s") == key["slug"])).select(url, "provider", "slug", "name")
-    rest = named.join(exact.select(url).distinct(), url, "left_anti").withColumn("__host", host_of(F.col(url))).where(~F.col("__host").isin(*SHARED_HOSTS))
-    spread = key.withColumn("__own", F.explode(_suffixes(host_of(F.col("careers_url")))))
-    by_host = rest.join(spread, rest["__host"] == spread["__own"]).where(F.col("__p").isNull() | (F.col("__p") == F.col("provider"))).select(url, "provider", "slug", "name")
-    return exact.union(by_host)
+    host = site_of(F.col(url))
+    rest = named.join(exact.select(url).distinct(), url, "left_anti").withColumn("__host", F.coalesce(F.when(host != "", host), "__s")).where(~F.col("__host").isin(*SHARED_HOSTS))
+    places = key.select("provider", "slug", "name", F.explode(F.array_distinct(F.array(F.lower("careers_url"), F.lower("tenant_url")))).alias("__text"))
+    pairs = contains_join(places, "__text", rest, "__host")
+    by_host = rest.join(pairs.withColumnsRenamed({"text": "__text", "needle": "__host"}), "__host").join(places, "__text").where(F.col("__p").isNull() | (F.col("__p") == F.col("provider")))
+    return exact.union(by_host.select(url, "provider", "slug", "name").distinct())
 
 
 def find_postings(resolved: DataFrame, postings: DataFrame, profile_id: str, url: str = "url") -> DataFrame:

@@ -20,6 +20,20 @@ def _number(column="slug"):
 
 # Joins
 
+_SITE = "lower(regexp_extract({}, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]+)', 1))"
+#: Careers pages and tenants that lie on the sites of pages, or only name them.
+_PLACES = """SELECT s_suppkey, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'workday' ELSE 'html' END AS provider, CASE WHEN a.url IS NULL OR s_suppkey % 5 = 0 THEN 'https://none.test/' ELSE 'https://go.test/?to=' || upper(a.url) END AS careers_url, CASE WHEN s_suppkey % 4 > 0 THEN 'x' || b.url END AS tenant_url
+    FROM {supplier} LEFT JOIN {pages} a ON a.page_id = s_suppkey LEFT JOIN {pages} b ON b.page_id = s_suppkey * 2"""
+
+
+@query("f7_host_containment", f"WITH c AS ({_PLACES.format(supplier='supplier', pages='pages')}), p AS (SELECT page_id, {_SITE.format('url')} AS host FROM pages) SELECT page_id, s_suppkey FROM p JOIN c ON host <> '' AND (contains(lower(careers_url), host) OR contains(lower(tenant_url), host))")
+def _(v, t):
+    pages = t("pages").select("page_id", "url")
+    companies = pages.sparkSession.sql(_PLACES, supplier=t("supplier"), pages=pages).withColumn("slug", F.col("s_suppkey").cast("string"))
+    asked = pages.select(F.concat("url", F.lit(" "), F.col("page_id").cast("string")).alias("url"), F.lit(None).cast("string").alias("provider"), F.lit(None).cast("string").alias("slug_hint"))
+    found = urls.find_companies(asked, companies)
+    return found.select(F.element_at(F.split("url", " "), -1).cast("long").alias("page_id"), F.col("slug").cast("long").alias("s_suppkey"))
+
 
 @query("f6_lookup_contacts", "SELECT DISTINCT recruiter_email AS email, u.status FROM v_drafts JOIN (SELECT 'u' || c_custkey AS email, status, c_custkey FROM v_recruiters) u ON u.email = recruiter_email WHERE c_custkey % 4 > 0")
 def _(v, t):

@@ -9,7 +9,7 @@ from feedloom.plans.catalog import PROFILE, ts
 from feedloom.plans.catalog_values import written
 from feedloom.plans.tables import scratch
 from feedloom.sources import readers
-from feedloom.streaming import feed, health
+from feedloom.streaming import feed, health, mail
 
 #: Outcomes of boards (users) by event; boards begin in different states.
 _OUTCOMES = """SELECT 'p' AS provider, 'user-' || CAST(user_id AS STRING) AS slug, ts AS happened, event_id AS seq,
@@ -95,3 +95,26 @@ def _(spark, v, t):
     SELECT company_slug, run_at, count(*) FILTER (now AND NOT before) AS added, count(*) FILTER (before AND NOT now) AS removed, count(*) FILTER (now AND before) AS unchanged FROM s GROUP BY 1, 2""")
 def _(spark, v, t):
     return _fed(spark, t).read(spark, "runs").select("company_slug", "run_at", "added", "removed", "unchanged")
+
+
+# Drafts and the mailbox, each a stream of its own.
+_WITHIN = "address = recruiter_email AND internal_date > drafted_at AND internal_date <= drafted_at + INTERVAL '14' DAY"
+
+
+@written("f9_stream_mail", f"""WITH m AS (SELECT id, max(CASE WHEN folder = 'sent' THEN {{'t': internal_date, 'id': v_mailbox.message_id}} END) AS s, max(CASE WHEN folder = 'bounce' THEN {{'t': internal_date, 'id': v_mailbox.message_id, 'x': snippet}} END) AS b FROM v_drafts LEFT JOIN v_mailbox ON {_WITHIN} GROUP BY 1)
+    SELECT id, s.t AS sent_at, s.id AS message_id, CASE WHEN b.t > s.t THEN b.t END AS bounced_at, CASE WHEN b.t > s.t THEN b.x END AS failure_detail, CASE WHEN s.t IS NULL THEN 'discarded' WHEN b.t > s.t THEN 'bounced' ELSE 'verified' END AS status FROM m""")
+def _(spark, v, t):
+    root = scratch(spark, "mail")
+    drafts = v("v_drafts").select("id", "recruiter_email", F.col("drafted_at").cast("timestamp").alias("drafted_at"))
+    mailbox = v("v_mailbox").select("message_id", "folder", "address", F.col("internal_date").cast("timestamp").alias("internal_date"), "snippet")
+    tenth = lambda c: F.floor(F.dayofmonth(c) / 11).cast("int")
+    drafts.withColumn("n", tenth("drafted_at")).write.partitionBy("n").parquet(f"{root}/drafts")
+    mailbox.withColumn("n", tenth("internal_date")).write.partitionBy("n").parquet(f"{root}/mailbox")
+    # A last draft and a last message, long after all others, end what is open.
+    end = spark.range(1).select(ts("2024-06-01").alias("at"))
+    end.select(F.lit(-1).cast("long").alias("id"), F.lit("end").alias("recruiter_email"), F.col("at").alias("drafted_at")).write.parquet(f"{root}/drafts/n=9")
+    end.select(F.lit("end").alias("message_id"), F.lit("sent").alias("folder"), F.lit("end").alias("address"), F.col("at").alias("internal_date"), F.lit("").alias("snippet")).write.parquet(f"{root}/mailbox/n=9")
+    for n in ("0", "[0-1]", "[0-2]", "*"):
+        read = lambda what, df: spark.readStream.schema(df.schema).parquet(f"{root}/{what}/n={n}")  # noqa: E731, B023
+        mail.follow_drafts(read("drafts", drafts), read("mailbox", mailbox)).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").where("id >= 0").drop("drafted_at")

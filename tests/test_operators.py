@@ -2,13 +2,14 @@
 
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedloom.functions.filters import Profile
-from feedloom.operators import decide, normalise, outreach
+from feedloom.operators import decide, normalise, outreach, urls
 from feedloom.sources import readers
 
 
@@ -128,7 +129,6 @@ def test_catalog_names():
 
 
 def test_job_urls(spark):
-    from feedloom.operators import urls
 
     uuid = "0f8fad5b-d9cb-469f-a165-70867728950e"
     cases = {
@@ -205,3 +205,23 @@ def test_pay_statements(spark):
     got = spark.createDataFrame([(k,) for k in cases], "body string").select("body", extract_salary(F.col("body")).alias("s")).collect()
     for r in got:
         assert (None if r["s"] is None else (r["s"]["annual_min"], r["s"]["annual_max"], r["s"]["currency"], r["s"]["period"])) == cases[r["body"]]
+
+
+def test_containment_join_is_whole(spark):
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("ab.é") for _ in range(n))
+    texts = [word(rng.randrange(0, 14)) for _ in range(200)] + [None, "", "aaaa" * 10]
+    needles = [word(rng.randrange(1, 8)) for _ in range(80)] + [None, "", "zzzzz", "aaaa", "a"]
+    one = spark.createDataFrame([(x,) for x in texts * 2], "t string")
+    other = spark.createDataFrame([(x,) for x in needles * 2], "n string")
+    got = urls.contains_join(one, "t", other, "n")
+    assert sorted(map(tuple, got.collect())) == sorted((t, n) for t in {x for x in texts if x is not None} for n in {x for x in needles if x} if n in t)
+    assert "Cartesian" not in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert urls.contains_join(one.limit(0), "t", other, "n").count() == 0
+
+
+def test_companies_by_the_host_that_their_pages_hold(spark):
+    companies = spark.createDataFrame([("g", "acme", "Acme", "https://jobs.acme.com/x", None), ("w", "tenant", "T", "https://none", "https://TENANT.wd1.example.com/a"), ("g", "port", "P", "http://local.test:8080/", None), ("h", "query", "Q", "https://x.test/?u=jobs.acme.com", None)], "provider string, slug string, name string, careers_url string, tenant_url string")
+    asked = [("https://jobs.acme.com/1", None, None), ("https://JOBS.acme.com:443/2", "g", "other"), ("http://local.test:8080/3", None, None), ("https://tenant.wd1.example.com/4", "w", None), ("https://jobs.lever.co/5", "lever", "zzz"), ("no url", None, "acme.com"), ("https://x/6", "g", "acme"), ("https://jobs.acme.com/1", None, None), ("https://wd1/7", None, None)]
+    found = urls.find_companies(spark.createDataFrame(asked, "url string, provider string, slug_hint string"), companies)
+    assert sorted((r["url"][-1], r["slug"]) for r in found.collect()) == [("1", "acme"), ("1", "query"), ("2", "acme"), ("3", "port"), ("4", "tenant"), ("6", "acme"), ("7", "tenant"), ("l", "acme"), ("l", "query")]

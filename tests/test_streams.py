@@ -14,7 +14,7 @@ from feedloom.functions import filters
 from feedloom.operators import decide, normalise
 from feedloom.plans.tables import scratch
 from feedloom.sources import readers
-from feedloom.streaming import feed, health
+from feedloom.streaming import feed, health, mail
 
 START = datetime(2024, 3, 1)
 OUTCOMES = "provider string, slug string, at timestamp, seq long, seen long, error string, transport_fault boolean"
@@ -192,3 +192,37 @@ def test_only_buckets_that_boards_arrive_for_are_written(spark):
     assert len(where(before)) > 8 and len(where(p for p in after if after[p] != before.get(p))) == 1
     assert len([p for p in before if before[p] == after.get(p)]) >= len(before) * 3 // 4
     assert own.read(spark, "postings").count() == 41
+
+
+# Drafts and the mailbox
+
+
+def test_drafts_meet_their_mail_and_state_goes(spark):
+    rng, root = random.Random(4), scratch(spark, "mail-test")
+    hour = timedelta(hours=1)
+    drafts = [(i, rng.choice("abc") if i < 55 else f"q{i}", START + rng.randrange(0, 30 * 24) * hour) for i in range(60)]
+    box = [(f"m{i}", rng.choice(["sent", "sent", "bounce", "other"]), rng.choice("abcd"), START + rng.randrange(0, 40 * 24) * hour, f"s{i}") for i in range(120)]
+    # Mail at the draft's own time does not follow it; mail exactly 14 days later does, an hour later does not.
+    drafts += [(100 + k, f"edge{k}", START + 48 * hour) for k in range(3)]
+    box += [(f"e{k}", "sent", f"edge{k}", START + 48 * hour + k * 14 * 24 * hour + (k == 2) * hour * (1 - 14 * 24), "") for k in range(3)] + [("e9", "sent", "edge2", START + 49 * hour + 14 * 24 * hour, "")]
+    end = START + timedelta(days=90)
+    order = sorted([(d[2], 0, d) for d in drafts] + [(m[3], 1, m) for m in box], key=lambda x: x[0])
+    for n in range(3):
+        part = order[n * len(order) // 3 : (n + 1) * len(order) // 3]
+        last = n == 2
+        spark.createDataFrame([x for _, k, x in part if k == 0] + [(-1, "end", end)] * last, "id long, recruiter_email string, drafted_at timestamp").coalesce(1).write.parquet(f"{root}/drafts/n={n}")
+        spark.createDataFrame([x for _, k, x in part if k == 1] + [("end", "sent", "end", end, "")] * last, mail.MAIL).coalesce(1).write.parquet(f"{root}/mail/n={n}")
+        streams = (spark.readStream.schema(s).parquet(f"{root}/{d}/*") for d, s in (("drafts", "id long, recruiter_email string, drafted_at timestamp"), ("mail", mail.MAIL)))
+        query = mail.follow_drafts(*streams).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    want = []
+    for i, to, at in drafts:
+        near = [m for m in box if m[2] == to and at < m[3] <= at + timedelta(days=14)]
+        sent = max(((m[3], m[0]) for m in near if m[1] == "sent"), default=None)
+        bounce = max(((m[3], m[0], m[4]) for m in near if m[1] == "bounce"), default=None)
+        bad = sent and bounce and bounce[0] > sent[0]
+        want.append((i, at, *(sent or (None, None)), bounce[0] if bad else None, bounce[2] if bad else None, "discarded" if not sent else "bounced" if bad else "verified"))
+    got = sorted(map(tuple, spark.read.parquet(f"{root}/out").where("id >= 0").select("id", "drafted_at", "sent_at", "message_id", "bounced_at", "failure_detail", "status").collect()))
+    assert got == sorted(want)
+    # What is left are the two rows that ended the streams.
+    assert sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"]) <= 4
