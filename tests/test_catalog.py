@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from feedloom.plans import catalog, catalog_more, catalog_pages, catalog_state, catalog_streams, catalog_values  # noqa: F401
+from feedloom.plans import catalog, catalog_more, catalog_pages, catalog_profiles, catalog_state, catalog_streams, catalog_values  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
