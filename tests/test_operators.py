@@ -225,3 +225,80 @@ def test_companies_by_the_host_that_their_pages_hold(spark):
     asked = [("https://jobs.acme.com/1", None, None), ("https://JOBS.acme.com:443/2", "g", "other"), ("http://local.test:8080/3", None, None), ("https://tenant.wd1.example.com/4", "w", None), ("https://jobs.lever.co/5", "lever", "zzz"), ("no url", None, "acme.com"), ("https://x/6", "g", "acme"), ("https://jobs.acme.com/1", None, None), ("https://wd1/7", None, None)]
     found = urls.find_companies(spark.createDataFrame(asked, "url string, provider string, slug_hint string"), companies)
     assert sorted((r["url"][-1], r["slug"]) for r in found.collect()) == [("1", "acme"), ("1", "query"), ("2", "acme"), ("3", "port"), ("4", "tenant"), ("6", "acme"), ("7", "tenant"), ("l", "acme"), ("l", "query")]
+
+
+def scanned(text, marker, opening):
+    """The bracketed literal behind a marker, character by character."""
+    at = text.find(marker)
+    start = text.find(opening, at + len(marker)) if at >= 0 else -1
+    if start < 0:
+        return None
+    depth, quote, i = 0, "", start
+    while i < len(text):
+        c = text[i]
+        if quote:
+            i += c == "\\"
+            quote = "" if c == quote else quote
+        elif c in "'\"`":
+            quote = c
+        elif c in (opening, {"[": "]", "{": "}"}[opening]):
+            depth += 1 if c == opening else -1
+            if not depth:
+                return text[start : i + 1]
+        i += 1
+    return None
+
+
+def test_literals_end_where_their_brackets_close(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["[", "]", "{", "}", '"', "'", "`", "\\", "a", "é😀", "\n", "jobs=", '"x"', '"]"', "'\\''"]) for _ in range(rng.randrange(0, 40))) for _ in range(600)]
+    texts += [None, "", "jobs=", "jobs=[" + '"\\"]"' * 3000 + "]", "jobs=" + "[" * 2000 + "]" * 2000, "jobs=['" + "x" * 50000 + "']"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string").select("t", *[normalise.balanced(F.col("t"), "jobs=", o).alias(n) for o, n in (("[", "a"), ("{", "b"))])
+    rows = df.collect()
+    assert sum(r["a"] is not None for r in rows) > 20
+    for r in rows:
+        assert (r["a"], r["b"]) == tuple(scanned(r["t"] or "", "jobs=", o) for o in "[{"), r["t"]
+
+
+def job_postings(v):
+    if isinstance(v, list):
+        return [n for x in v for n in job_postings(x)]
+    if not isinstance(v, dict):
+        return []
+    kind = v.get("@type")
+    own = [v] if kind == "JobPosting" or (isinstance(kind, list) and "JobPosting" in kind) else []
+    return own + [n for k in ("@graph", "itemListElement", "item", "mainEntity", "mainEntityOfPage") if k in v for n in job_postings(v[k])]
+
+
+def test_nodes_at_any_depth_in_their_order(spark):
+    rng = random.Random(3)
+    number = iter(range(100000))
+
+    def value(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return rng.choice(["JobPosting", 1, None, True, {"@type": "JobPosting", "title": f"t{next(number)}"}])
+        if rng.random() < 0.4:
+            return [value(depth - 1) for _ in range(rng.randrange(0, 4))]
+        out = {k: value(depth - 1) for k in rng.sample(["@graph", "item", "mainEntity", "itemListElement", "mainEntityOfPage", "other"], rng.randrange(0, 4))}
+        return out | ({"@type": rng.choice(["JobPosting", ["x", "JobPosting"], "Page", ["Page"]]), "title": f"t{next(number)}"} if rng.random() < 0.6 else {})
+
+    values = [value(rng.randrange(1, 14)) for _ in range(60)] + [json.loads("[" * 11 + json.dumps({"item": {"@type": "JobPosting", "title": "deep"}}) + "]" * 11)]
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)] + [(900, "{broken"), (901, None)], "id long, body string").select("id", F.try_parse_json("body").alias("v"))
+    got = {}
+    for r in normalise.job_nodes(df).select("id", "path", F.try_variant_get("node", "$.title", "string").alias("t")).collect():
+        got.setdefault(r["id"], []).append((r["path"], r["t"]))
+    assert {i: [t for _, t in sorted(x)] for i, x in got.items()} == {i: [n["title"] for n in ns] for i, v in enumerate(values) if (ns := job_postings(v))}
+
+
+def test_places_of_nodes(spark):
+    node = {"@type": "JobPosting", "title": " A ", "url": 5, "jobLocation": [{"address": {"addressLocality": " Pune ", "addressCountry": {"name": "India"}}}, {"name": "Goa"}, "x", {"address": {}}, {"address": {"addressRegion": "MH", "addressCountry": "IN"}}], "jobLocationType": ["TELECOMMUTE"], "datePosted": ""}
+    pages = [(1, "u1", json.dumps([node, {"@type": "JobPosting", "title": 7}, {"@type": "JobPosting", "title": "B", "jobLocation": {"name": "Y"}}])), (2, "u2", json.dumps({"@type": "JobPosting", "title": "C", "jobLocationType": "TELECOMMUTE", "applicantLocationRequirements": [{"name": "India"}], "description": "<p>text</p>"}))]
+    html = spark.createDataFrame([(i, u, f'<script type="application/ld+json">{b}</script>') for i, u, b in pages], "page_id long, url string, html string")
+    assert sorted((r["job_title"], r["job_url"], r["location"], r["posted"]) for r in normalise.extract_jsonld(html).collect()) == [("A", "u1", "Pune, India; Goa; MH, IN; Remote", None), ("B", "u1", "Y", None), ("C", "u2", "Remote", None)]
+    told = {r["job_url"]: (r["title"], r["text"], r["place"], r["remote"]) for r in normalise.read_details(html).collect()}
+    assert told == {"u1": ("A", None, "Pune, India; Goa; MH, IN; Remote", True), "u2": ("C", "text", "Remote - India", True)}
+    plan = normalise.read_details(html)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+    grouped = '<script id="__NEXT_DATA__">{"jobs": {"a": [{"title": "One"}], "b": [{"title": "Two"}], "c": 5}}</script>'
+    island = spark.createDataFrame([("p", "s", 1, grouped)], "provider string, slug string, page int, html string")
+    assert sorted(r["job_title"] for r in normalise.normalize_island(island, "jobs", "title").collect()) == ["One", "Two"]
