@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import bitmap_of, in_bitmap, saved, set_aside, spread_join
-from feedloom.llm.hashing import BASES, ByteWords, Powers, Sequence, mix, signed
+from feedloom.llm.hashing import BASES, ByteWords, Powers, Sequence, mix, signed, stretch_ids
 
 EXACT_WORDS, NEAR_WORDS, NEAR_CHARS = 1, 10, 10
 #: Keeps the keys of characters apart from those of words.
@@ -69,7 +69,7 @@ class _Lines:
     """Hashes of many texts' lines at once."""
 
     def __init__(self, characters: bool) -> None:
-        self.words, self.powers, self.characters = ByteWords(), [Powers(b) for b in BASES], characters
+        self.words, self.powers, self.characters = ByteWords(), Powers(BASES[1]), characters
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Text, number, both hashes and keys of each line that counts; keys are 0 where a line is short."""
@@ -83,10 +83,8 @@ class _Lines:
         at = np.flatnonzero(sizes >= EXACT_WORDS)
         n, b = sizes[at], ends[at]
         a = b - n
-        first, second = (Sequence(values, p) for p in self.powers)
-        length = n.astype(np.uint64)
-        ids = np.stack([mix(first.stretch(a, b) + length), mix(second.stretch(a, b) ^ (length << np.uint64(32)))], axis=1)
-        shared = _halves(second, a, b, NEAR_WORDS)
+        ids = stretch_ids(values, a, b)
+        shared = _halves(Sequence(values, self.powers), a, b, NEAR_WORDS)
         if self.characters:
             shared = np.concatenate([shared, self._of_characters(whole, at, n)], axis=1)
         else:
@@ -100,7 +98,7 @@ class _Lines:
             lines = whole.split(b"\n")
             bodies = [_spaced(lines[i]) for i in at[few].tolist()]
             ends = np.cumsum([len(x) for x in bodies])
-            found = _halves(Sequence(_char_values("".join(bodies)), self.powers[1]), np.concatenate([[0], ends[:-1]]), ends, NEAR_CHARS)
+            found = _halves(Sequence(_char_values("".join(bodies)), self.powers), np.concatenate([[0], ends[:-1]]), ends, NEAR_CHARS)
             keys[few] = np.where(found != 0, mix(found ^ CHARS), np.uint64(0))
         return keys
 

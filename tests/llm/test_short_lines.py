@@ -2,7 +2,11 @@
 
 import random
 
-from feedloom.llm import line_dedup
+import numpy as np
+import pytest
+
+from feedloom.llm import line_dedup, ngram_join
+from feedloom.llm.hashing import ByteWords, stretch_ids
 
 
 def brute(rows):
@@ -60,3 +64,31 @@ def test_pipeline_drops_documents_of_short_repeats_only(spark):
 
     docs = spark.createDataFrame([(1, "All rights reserved.\nsome more", 30), (2, "All rights reserved.\n", 21)], "doc_id long, text string, n_chars long")
     assert [r["doc_id"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()] == [1]
+
+
+def thue_morse(n, a, b):
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return [a if x == 0 else b for x in bits]
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_and_lines_that_sums_of_powers_mistake_for_one_another(spark, n):
+    one, other = thue_morse(n, "a", "b"), thue_morse(n, "b", "a")
+    rows = [(1, "".join(one)), (2, "".join(other)), (3, " ".join(one)), (4, " ".join(other)), (5, "".join(one))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, characters=True).collect()}
+    assert {k: v for k, v in texts.items() if k < 5} == dict(rows[:4]) and texts[5] == ""
+    words = docs.where("doc_id IN (1, 2, 5)")
+    assert sorted((r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(words).collect()) == [(1, 1), (2, 2), (5, 1)]
+
+
+def test_hashes_of_words_tell_lengths_and_bytes_apart():
+
+
+    words = [b"a" * n for n in range(1, 40)] + [b"a" * n + b"\x00" for n in range(1, 20)] + [b"x", "é".encode(), b"ax" * 8, b"xa" * 8]
+    found, starts = ByteWords().of(b" ".join(words) + b"\n")
+    again, _ = ByteWords().of(b"zz " + b"\t".join(words))
+    assert len(set(found.tolist())) == len(words) == len(starts) and (again[1:] == found).all()
+    assert ByteWords().of(b"")[0].size == 0 and ByteWords().of(b" \n")[0].size == 0
+    ids = stretch_ids(found, np.array([0, 1, 0, 3]), np.array([2, 3, 2, 3]))
+    assert (ids[0] == ids[2]).all() and len({tuple(x) for x in ids.tolist()}) == 3
