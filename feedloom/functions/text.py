@@ -136,7 +136,7 @@ def split_emails(cell: Column) -> Column:
 
 def is_no_reply(c: Column) -> Column:
     """C15."""
-    return F.coalesce(c.rlike(r"(?i)^(no-?reply|do-?not-?reply|donotreply|mailer-daemon)@"), F.lit(False))
+    return F.coalesce(c.rlike(r"(?i)^(no-?reply|do-?not-?reply|donotreply)@"), F.lit(False))
 
 
 def notify_key(company: Column, title: Column, location: Column) -> Column:
@@ -152,8 +152,8 @@ def first_name(c: Column) -> Column:
 
 def company_for_mention(c: Column) -> Column:
     """C17: the name where it reads well in a sentence, else null."""
-    name = F.btrim(c)
-    return F.when(F.length(name).between(3, 60) & ~name.rlike(r"(?i)^(\(|(a|an|the)\s)") & name.rlike(r"\p{L}") & (F.lower(name) != "unknown"), name)
+    name = F.btrim(F.split_part(c, F.lit("|"), F.lit(1)))
+    return F.when(F.length(name).between(3, 60) & ~name.rlike(r"(?i)^(\(|(a|an|the)\s)") & name.rlike("[a-zA-Z]") & ~name.rlike("(?i)unknown"), name)
 
 
 def role_summary(titles: Column) -> Column:
@@ -193,11 +193,11 @@ def url_path_text(url: Column) -> Column:
 
 def title_from_url(url: Column) -> Column:
     """A title from the last segment of a path, `(position)` where nothing is left."""
-    path = F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), r"/+$", "")
+    path = F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.when(url.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), F.lit("")).otherwise(url)), r"/+$", "")
     last = F.element_at(F.split(path, "/"), -1)
-    plain = F.regexp_replace(F.coalesce(F.try_url_decode(last), last), r"\.[A-Za-z]{2,5}$", "")
-    words = collapse_ws(F.regexp_replace(F.regexp_replace(plain, r"[-_+]+", " "), r"\b\d{4,}\b", " "))
-    return F.when(words == "", F.lit("(position)")).otherwise(F.substring(F.initcap(words), 1, 140))
+    plain = F.regexp_replace(F.coalesce(F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))), last), r"(?i)\.(html|aspx|php)$", "")
+    words = collapse_ws(F.regexp_replace(F.regexp_replace(plain, r"[-_]+", " "), r"\b\d{4,}\b", " "))
+    return F.when(words == "", F.lit("(position)")).otherwise(F.btrim(F.substring(F.initcap(words), 1, 140)))
 
 
 def title_from_sitemap_url(url: Column) -> Column:
@@ -239,26 +239,34 @@ def location_hierarchy(full: Column, short: Column) -> Column:
     """Parts of a `>` chain, first spelling of each kept; the short form stands first where it adds something."""
     parts = F.filter(F.transform(F.split(F.coalesce(full, F.lit("")), ">"), lambda x: F.btrim(x)), lambda x: x != "")
     unique = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.array_append(acc, x)))
-    own = F.btrim(F.coalesce(short, F.lit("")))
-    adds = (own != "") & ~F.exists(unique, lambda y: F.lower(y) == F.lower(own))
-    joined = F.array_join(F.when(adds, F.concat(F.array(own), unique)).otherwise(unique), ", ")
+    own = F.filter(F.transform(F.split(F.coalesce(short, F.lit("")), ">"), lambda x: F.btrim(x)), lambda x: x != "")
+    adds = F.exists(own, lambda x: ~F.exists(unique, lambda y: F.lower(y) == F.lower(x)))
+    joined = F.array_join(F.when(adds, F.concat(F.array(F.array_join(own, ", ")), unique)).otherwise(unique), ", ")
     return F.when(joined != "", joined)
 
 
 def location_from_text(jd: Column) -> Column:
-    """What follows `Location:` on a line, up to 60 characters."""
-    found = F.btrim(F.regexp_extract(jd, r"(?im)\blocation\s*:\s*([^\n]{1,60})", 1))
+    """What follows `Location:`, up to 60 characters, a line's end, a tag, comma, semicolon or bar."""
+    found = F.btrim(F.regexp_extract(jd, r"(?i)\blocation\s*:\s*([^\n<,;|]{2,60})", 1))
     return F.when(found != "", found)
 
 
 def folded(c: Column) -> Column:
     """Lower case without the accents of Latin letters."""
-    return F.translate(F.lower(c), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    return F.translate(F.lower(c), "àáâãäåāăąçćčďèéêëēėęěğìíîïīįłñńňòóôõöōőøřśşšťùúûüūůűýÿźżž", "aaaaaaaaacccdeeeeeeeegiiiiiilnnnoooooooorssstuuuuuuuyyzzz")
 
 
-def is_place_in_region(c: Column, country: str, iso: str, places: list[str], guards: list[str]) -> Column:
-    """The country as a word, its ISO code at an end, or a known place unless a guard word stands beside it."""
-    text = folded(c)
-    word = lambda items: r"\b(?:" + "|".join(items) + r")\b" if items else r"(?!)"
-    exact = text.rlike(word([country.lower()])) | c.rlike(rf"^{iso}[-, ]|[-, ]{iso}$")
-    return F.coalesce(exact | (text.rlike(word(places)) & ~text.rlike(word(guards)) & ~c.rlike(r"\b\d{5}\b")), F.lit(False))
+# Codes of North American regions; those that also are codes of other places are left out.
+REGION_CODES = (
+    "AL|AK|AZ|AR|CA|CO|CT|DE|FL|GA|HI|ID|IL|IA|KS|KY|LA|ME|MD|MA|MI|MN|MS|MO|MT|NE|NV|NH|NJ|NM|NY|NC|ND|OH|OK|OR|PA|RI|SC|SD|TX|UT|VT|VA|WA|WV|WI|WY|ON|BC|AB|QC|MB|NS|NB|PE"
+)
+
+
+def is_place_in_region(c: Column, country: str, iso: str, places: list[str], guards: list[str], codes: str = REGION_CODES) -> Column:
+    """The country as a word, its ISO code as a segment, or a known place that no guard word, region code or ZIP code belies."""
+    plain = F.concat(F.lit(" "), F.btrim(F.regexp_replace(folded(c), "[^a-z0-9]+", " ")), F.lit(" "))
+    word = lambda items: r" (?:" + "|".join(items) + r") " if items else r"(?!)"
+    named = F.exists(F.split(F.lower(c), r"[,\-\s.()/|;_]+"), lambda x: x == country.lower())
+    coded = c.rlike(rf"(?i)^\s*{iso}\b") | c.rlike(rf"\b{iso}\s*$|[-,(]\s*{iso}\b")
+    away = c.rlike(r"\b[A-Z]{2}\s+\d{5}\b") | c.rlike(rf",\s*(?:{codes})\b|\s(?:{codes})\s*$")
+    return F.coalesce(named | coded | (~away & plain.rlike(word(places)) & ~plain.rlike(word(guards))), F.lit(False))

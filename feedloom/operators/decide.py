@@ -7,6 +7,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from feedloom.functions.filters import Profile, check_location, check_title, classify_verdict, is_junk_jd, late_location, stated_yoe_min
 from feedloom.functions.text import compile_template, notify_key
@@ -29,16 +32,21 @@ def parse_gate(responses: DataFrame) -> DataFrame:
     """Responses (PK, raw) to gate columns; hit and severity made coherent, a reason found, bad ones flagged gate_error."""
     v = F.try_parse_json("raw")
     text = lambda k: F.try_variant_get(v, f"$.{k}", "string")
-    blank = lambda c: F.when(~c.isin("", "none", "null"), c)
-    hit, severity = blank(text("dealBreakerHit")), blank(text("dealBreakerSeverity"))
+    kind = lambda k: F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant"))
+    is_text, is_number = lambda k: kind(k) == "STRING", lambda k: kind(k).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)")
+    blank = lambda k: F.when(~(is_text(k) & text(k).isin("", "none", "null")) & (kind(k) != "VOID"), text(k))
+    hit, severity = blank("dealBreakerHit"), blank("dealBreakerSeverity")
     score = F.try_variant_get(v, "$.matchScore", "double")
-    numeric = F.schema_of_variant(F.try_variant_get(v, "$.matchScore", "variant")).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)")
-    analysis = text("analysis")
-    reason = F.coalesce(F.when(text("reason") != "", text("reason")), F.when(analysis != "", F.substring(analysis, 1, 200)), F.concat(F.lit("auto: matchScore "), F.coalesce(F.format_string("%.2f", score), F.lit("?"))))
+    said = lambda k: F.when(is_text(k) & (text(k) != ""), text(k))
+    number = F.when(is_number("matchScore"), score)
+    reason = F.coalesce(said("reason"), F.substring(said("analysis"), 1, 200), F.concat(F.lit("auto: matchScore "), F.coalesce(F.format_string("%.2f", number), F.lit("?"))))
     coherent = F.when(hit.isNotNull(), F.coalesce(severity, F.lit("soft")))
-    valid = F.coalesce(numeric & score.between(0, 1), F.lit(False)) & F.coalesce(coherent.isin("hard", "soft"), F.lit(True))
+    valid = F.coalesce(number.between(0, 1), F.lit(False)) & F.coalesce(coherent.isin("hard", "soft"), F.lit(True))
+    # What is there must be of its kind: texts are no numbers, and numbers no texts.
+    valid = valid & (hit.isNull() | is_text("dealBreakerHit")) & (coherent.isNull() | severity.isNull() | is_text("dealBreakerSeverity")) & F.coalesce(is_text("analysis"), F.lit(True))
     for part in ("skillsMatch", "domainFit", "seniorityFit", "roleTypeMatch"):
-        valid = valid & F.coalesce(F.try_variant_get(v, f"$.{part}", "double").between(0, 1), F.lit(True))
+        valid = valid & (kind(part).isNull() | (is_number(part) & F.coalesce(F.try_variant_get(v, f"$.{part}", "double").between(0, 1), F.lit(False))))
+    valid = F.coalesce(valid, F.lit(False))
     keep = lambda c: F.when(valid, c)
     return responses.select(*PK, keep(score).alias("match_score"), keep(hit).alias("deal_breaker_hit"), keep(coherent).alias("deal_breaker_severity"), keep(reason).alias("reason"), F.when(~valid, "gate output failed schema validation").alias("gate_error"))
 
@@ -55,6 +63,60 @@ def score(df: DataFrame, fn: Scorer, schema: str = GATE) -> DataFrame:
     return df.mapInPandas(fn, schema)
 
 
+#: GATE with the posting's place among its partition's rows, as a table function returns it.
+SCORED = T.StructType([
+    *[T.StructField(c, T.StringType()) for c in PK], T.StructField("match_score", T.DoubleType()), *[T.StructField(c, T.StringType()) for c in ("deal_breaker_hit", "deal_breaker_severity", "reason")],
+    T.StructField("yoe_min", T.DoubleType()), T.StructField("yoe_max", T.DoubleType()), T.StructField("gate_error", T.StringType()), T.StructField("nth", T.LongType()),
+])
+
+
+def scoring_function(fn: Scorer, rows: int = 1000, most: int | None = None):
+    """A scorer as a table function for SQL, to be registered by spark.udtf.register(name, scoring_function(...)).
+
+        SELECT * FROM score(TABLE(postings) PARTITION BY (provider, company_slug) ORDER BY external_id)
+
+    It takes any table that has PK, job_title and jd_text, and says so when one of them is missing. Postings of a partition go to
+    the scorer in their order, `rows` at a time, and no batch mixes partitions; beyond `most` of a partition they are not
+    scored, and say why.
+    """
+
+    class Score:
+        @staticmethod
+        def analyze(postings: AnalyzeArgument) -> AnalyzeResult:
+            if not postings.isTable:
+                raise ValueError("a table of postings is asked for")
+            if missing := sorted({*PK, "job_title", "jd_text"} - set(postings.dataType.names)):
+                raise ValueError(f"postings lack {', '.join(missing)}")
+            return AnalyzeResult(schema=SCORED)
+
+        def __init__(self):
+            self.waiting, self.seen = [], 0
+
+        def eval(self, row):
+            self.seen += 1
+            if most is not None and self.seen > most:
+                yield *(row[c] for c in PK), None, None, None, None, None, None, f"beyond the first {most}", self.seen
+                return
+            self.waiting.append(row.asDict())
+            if len(self.waiting) >= rows:
+                yield from self.scored()
+
+        def terminate(self):
+            yield from self.scored()
+
+        def scored(self):
+            if self.waiting:
+                asked, self.waiting = pd.DataFrame(self.waiting), []
+                # The scorer may give rows in another order, or fewer.
+                at = {tuple(k): i for i, k in enumerate(asked[PK].itertuples(index=False, name=None), min(self.seen, most or self.seen) - len(asked) + 1)}
+                for told in fn(iter([asked])):
+                    told = told.astype(object).where(told.notna(), None)
+                    for r in told[[f.name for f in SCORED][:-1]].itertuples(index=False, name=None):
+                        yield *r, at[r[:3]]
+
+    return udtf(Score)
+
+
 def keyword_scorer(words: dict[str, float]) -> Scorer:
     """E5: a deterministic scorer for tests: the weights of the words that a description holds, 1 at most."""
 

@@ -119,25 +119,27 @@ def upsert_companies(companies: DataFrame, registry: DataFrame, trustworthy: boo
 
 
 def apply_outcomes(companies: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
-    """I8: health from outcomes (provider, slug, seen, error, transport_fault); a transport fault changes nothing.
+    """I8: health from outcomes (provider, slug, seen, error, transport_fault); a transport fault counts as no failure, and is told.
 
+    Five failures in a row break a board, whatever its status was.
     Of a board's outcomes one counts: a success before a failure, the one that saw most (resolve_outcomes() settles passes).
     """
     once = first_per_key(outcomes, COMPANY, F.col("error").asc_nulls_first(), F.col("seen").desc_nulls_last(), F.col("transport_fault").desc_nulls_last())
     joined = companies.join(once.select(*COMPANY, "seen", "error", "transport_fault"), COMPANY, "left")
     done = F.col("seen").isNotNull() & F.col("error").isNull()
-    failed = F.col("error").isNotNull() & ~F.coalesce("transport_fault", F.lit(False))
+    tried = F.col("error").isNotNull()
+    failed = tried & ~F.coalesce("transport_fault", F.lit(False))
     some = done & (F.col("seen") > 0)
     failures = F.col("consecutive_failures") + 1
     changes = {
-        "last_fetched_at": F.when(done | failed, now).otherwise(F.col("last_fetched_at")),
+        "last_fetched_at": F.when(done | tried, now).otherwise(F.col("last_fetched_at")),
         "last_success_at": F.when(done, now).otherwise(F.col("last_success_at")),
-        "last_error": F.when(failed, F.substring("error", 1, 500)).when(~done, F.col("last_error")),
+        "last_error": F.when(tried, F.substring("error", 1, 500)).when(~done, F.col("last_error")),
         "consecutive_failures": F.when(done, 0).when(failed, failures).otherwise(F.col("consecutive_failures")),
         "postings_seen_total": F.col("postings_seen_total") + F.when(done, F.col("seen")).otherwise(0),
         "zero_yield_streak": F.when(some, 0).when(done, F.col("zero_yield_streak") + 1).otherwise(F.col("zero_yield_streak")),
         "url_suspect": F.when(some, False).otherwise(F.col("url_suspect")),
-        "status": F.when(some & (F.col("status") == "dormant"), "active").when(failed & (failures >= 5) & (F.col("status") == "active"), "broken").otherwise(F.col("status")),
+        "status": F.when(some & (F.col("status") == "dormant"), "active").when(failed & (failures >= 5), "broken").otherwise(F.col("status")),
     }
     return joined.withColumns({c: x for c, x in changes.items() if c in companies.columns}).select(*companies.columns)
 

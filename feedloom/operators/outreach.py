@@ -17,8 +17,8 @@ def group_by_company(postings: DataFrame) -> DataFrame:
 
 
 def top_role(roles: Column) -> Column:
-    """Green over yellow, then the higher score, the first on ties."""
-    ranked = F.transform(roles, lambda r, i: F.struct(F.when(r["severity"] == "green", 0).otherwise(1).alias("a"), (-F.coalesce(r["score"], F.lit(0.0))).alias("b"), i.alias("c"), r.alias("role")))
+    """Green over yellow, then the higher score, none being less than any, the first on ties."""
+    ranked = F.transform(roles, lambda r, i: F.struct(F.when(r["severity"] == "green", 0).otherwise(1).alias("a"), (-F.coalesce(r["score"], F.lit(float("-inf")))).alias("b"), i.alias("c"), r.alias("role")))
     return F.array_min(ranked)["role"]
 
 
@@ -156,9 +156,15 @@ def read_contacts(raw: DataFrame, manual: DataFrame) -> DataFrame:
 
 
 def campaign_pool(contacts: DataFrame, records: DataFrame, profile_id: str) -> DataFrame:
-    """Valid addresses that are not no-reply, each once, not yet written to."""
-    fresh = contacts.where(valid_email(F.col("email")) & ~is_no_reply(F.col("email")))
-    return first_per_key(fresh, ["email"], "company").join(records.where(F.col("profile_id") == profile_id).select("email"), "email", "left_anti")
+    """Valid addresses that are not no-reply, each once, not yet written to.
+
+    A cell may hold several addresses; of rows with the same address the first by pos counts, where there is one, else by company.
+    """
+    each = contacts.select("*", F.posexplode(split_emails(F.col("email"))).alias("__at", "__email"))
+    fresh = each.drop("email").withColumnRenamed("__email", "email").where(~is_no_reply(F.col("email")))
+    order = ["pos", "__at"] if "pos" in contacts.columns else ["company", "__at"]
+    first = first_per_key(fresh, ["email"], *order).select(*contacts.columns)
+    return first.join(records.where(F.col("profile_id") == profile_id).select(F.lower("email").alias("email")), "email", "left_anti")
 
 
 def deliverable(pool: DataFrame, verdicts: DataFrame) -> DataFrame:

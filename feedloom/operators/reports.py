@@ -97,6 +97,31 @@ def aggregator_warnings(listing: DataFrame, threshold: int = 10) -> DataFrame:
     return many.join(three, ["provider", "company_slug"]).select("provider", "company_slug", "companies", F.col("x.company_name").alias("sample"))
 
 
+#: Registers of a sketch, as a power of two, and how far beside the threshold an estimate is not trusted (several times its error).
+SKETCH_SIZE, SKETCH_DOUBT = 12, 0.2
+
+
+def company_sketches(listing: DataFrame, day: str) -> DataFrame:
+    """A sketch of a board's company names per day (provider, company_slug, day, names): small, mergeable, to be kept."""
+    named = listing.where(F.trim("company_name") != "")
+    return named.groupBy("provider", "company_slug", F.col(day).alias("day")).agg(F.hll_sketch_agg(F.lower("company_name"), F.lit(SKETCH_SIZE)).alias("names"))
+
+
+def sketched_warnings(sketches: DataFrame, listing: DataFrame, threshold: int = 10) -> DataFrame:
+    """Boards (provider, company_slug, companies, exact) that list more companies than the threshold over the days of the sketches.
+
+    Sketches of a board are merged, whatever the number of its rows. Boards whose estimate lies near the threshold are counted
+    exactly, so the verdicts are those of the exact count; listing holds the rows behind the sketches.
+    """
+    key = ["provider", "company_slug"]
+    merged = sketches.groupBy(*key).agg(F.hll_sketch_estimate(F.hll_union_agg("names")).alias("about"))
+    near = merged.where(F.col("about").between(threshold * (1 - SKETCH_DOUBT), threshold * (1 + SKETCH_DOUBT) + 1))
+    sure = merged.where(F.col("about") > threshold * (1 + SKETCH_DOUBT) + 1).select(*key, F.col("about").alias("companies"), F.lit(False).alias("exact"))
+    rows = listing.where(F.trim("company_name") != "").join(near.select(*key), key, "left_semi")
+    counted = rows.groupBy(*key).agg(F.count_distinct(F.lower("company_name")).alias("companies")).where(F.col("companies") > threshold)
+    return sure.unionByName(counted.withColumn("exact", F.lit(True)))
+
+
 #: Characters after which a reason's slugs are no longer shown, and of the whole text at most.
 ISSUE_CHARS, ISSUES_CHARS = 220, 1000
 

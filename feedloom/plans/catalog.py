@@ -265,13 +265,14 @@ def _(v, t):
 
 @query("i8_apply_outcomes", """SELECT provider, slug, CASE WHEN k = 0 THEN 0 WHEN k = 1 THEN consecutive_failures + 1 ELSE consecutive_failures END AS consecutive_failures,
     CASE WHEN k = 0 AND seen > 0 THEN 0 WHEN k = 0 THEN zero_yield_streak + 1 ELSE zero_yield_streak END AS zero_yield_streak, postings_seen_total + CASE WHEN k = 0 THEN seen ELSE 0 END AS postings_seen_total,
-    CASE WHEN k = 0 AND seen > 0 AND status = 'dormant' THEN 'active' WHEN k = 1 AND consecutive_failures + 1 >= 5 AND status = 'active' THEN 'broken' ELSE status END AS status
+    CASE WHEN k = 0 AND seen > 0 AND status = 'dormant' THEN 'active' WHEN k = 1 AND consecutive_failures + 1 >= 5 THEN 'broken' ELSE status END AS status,
+    CASE WHEN k = 3 THEN last_error WHEN k > 0 THEN 'boom' END AS last_error, CASE WHEN k = 3 THEN last_fetched_at ELSE TIMESTAMP '2024-01-31' END AS last_fetched_at
     FROM (SELECT *, postings_seen_total % 4 AS k, consecutive_failures AS seen FROM v_companies)""")
 def _(v, t):
     c = v("v_companies")
     k = F.col("postings_seen_total") % 4
     outcomes = c.where(k < 3).select("provider", "slug", F.when(k == 0, F.col("consecutive_failures")).alias("seen"), F.when(k > 0, "boom").alias("error"), (k == 2).alias("transport_fault"))
-    return lifecycle.apply_outcomes(c, outcomes, ts(EVENTS_NOW)).select("provider", "slug", "consecutive_failures", "zero_yield_streak", "postings_seen_total", "status")
+    return lifecycle.apply_outcomes(c, outcomes, ts(EVENTS_NOW)).select("provider", "slug", "consecutive_failures", "zero_yield_streak", "postings_seen_total", "status", "last_error", "last_fetched_at")
 
 
 @query("i9_dormancy", "SELECT slug, CASE WHEN status = 'active' AND parsing_strategy <> 'api' AND zero_yield_streak >= 1 THEN 'dormant' ELSE status END AS status FROM v_companies")

@@ -33,12 +33,12 @@ def _(v, t):
     return _matches(v)
 
 
-_LAST = "last AS (SELECT 'c' || CAST(o_custkey AS VARCHAR) || '@' || lower(c_mktsegment) || '.example.com' AS email, max(o_orderdate) AS last_drafted_at FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 = 0 GROUP BY 1)"
+_LAST = "last AS (SELECT 'c' || CAST(o_custkey AS VARCHAR) || '@' || lower(c_mktsegment) || '.example.com' AS email, max(o_orderdate) AS last_drafted_at FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)"
 _STATE = f"{_MATCH}, {_LAST}, states AS (SELECT m.*, last_drafted_at, CASE WHEN status = 'bounced' THEN 'bounced_contact' WHEN last_drafted_at > TIMESTAMP '{ORDERS_NOW}' - INTERVAL 30 DAY THEN 'cooldown' ELSE 'eligible' END AS state FROM matches m LEFT JOIN last USING (email))"
 
 
 def _states(v, t):
-    drafts = t("orders").where("o_orderkey % 5 = 0").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    drafts = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
     email = F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit("@"), F.lower("c_mktsegment"), F.lit(".example.com"))
     last = drafts.groupBy(email.alias("recruiter_email")).agg(F.max("o_orderdate").alias("last_drafted_at"))
     return outreach.split_cooldown(_matches(v), last, ts(ORDERS_NOW))
@@ -96,10 +96,14 @@ def _(v, t):
     return outreach.latest_message(_mail(t))
 
 
-@query("d12_campaign_pool", "SELECT email FROM v_recruiters WHERE email NOT IN (SELECT email FROM v_recruiters WHERE c_custkey % 3 = 0)")
+@query("d12_campaign_pool", """WITH e AS (SELECT c_custkey, company, unnest([email, 'x' || c_custkey % 40 || '@y.example.com', 'mailer-daemon@z' || c_custkey % 9 || '.example.com']) AS email FROM v_recruiters)
+    SELECT email, min(c_custkey) AS first FROM e WHERE email NOT IN (SELECT email FROM v_recruiters WHERE c_custkey % 3 = 0) GROUP BY 1""")
 def _(v, t):
+    number = F.col("c_custkey")
+    cell = F.concat(F.upper("email"), F.lit(" / x"), (number % 40).cast("string"), F.lit("@y.example.com, nobody, No-Reply@y.example.com/mailer-daemon@z"), (number % 9).cast("string"), F.lit(".example.com"))
     r = v("v_recruiters").select("email", "company", "c_custkey")
-    return outreach.campaign_pool(r, r.where("c_custkey % 3 = 0").withColumn("profile_id", F.lit("p0")), "p0").select("email")
+    pool = outreach.campaign_pool(r.select(cell.alias("email"), "company", number.alias("pos")), r.where("c_custkey % 3 = 0").withColumn("profile_id", F.lit("p0")), "p0")
+    return pool.select("email", F.col("pos").alias("first"))
 
 
 @query("d13_deliverable", "SELECT email, c_mktsegment IN ('BUILDING', 'MACHINERY') AS deliverable FROM v_recruiters")
@@ -136,12 +140,15 @@ def _(v, t):
     return normalise.normalize_island(pages, "props.jobs", "title").select("company_slug", "external_id")
 
 
-@query("b4_normalize_sitemap", "SELECT 'jobs.example.com/jobs/' || replace(p_name, ' ', '-') || '-' || CAST(p_partkey + 10000 AS VARCHAR) AS external_id FROM part WHERE p_partkey % 3 > 0")
+@query("b4_normalize_sitemap", "SELECT 'jobs.example.com/' || CASE p_partkey % 12 WHEN 1 THEN 'jobs/' WHEN 2 THEN 'en/Careers/' WHEN 3 THEN 'vacancies/' WHEN 4 THEN 'x/' END || replace(p_name, ' ', '-') || '-' || CAST(p_partkey + 10000 AS VARCHAR) AS external_id FROM part WHERE p_partkey % 12 BETWEEN 1 AND 4")
 def _(v, t):
-    folder = F.when(F.col("p_partkey") % 3 > 0, "jobs").otherwise("about")
-    loc = F.concat(F.lit("<url><loc>https://jobs.example.com/"), folder, F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), (F.col("p_partkey") + 10000).cast("string"), F.lit("</loc></url>"))
+    # Folders of roles; ids in the query; what is no role: other folders and queries, navigation, files.
+    folders = ("about/", "jobs/", "en/Careers/", "vacancies/", "x/", "y/", "roles/", "jobs/category/", "search/jobs/", "jobs/", "jobs/", "jobsite/")
+    ends = ("", "", "/", "#top", "?a=1&requisitionId=7", "?req=5", "", "", "", ".pdf", ".woff2", "")
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("p_partkey") % 12).cast("int") + 1)
+    loc = F.concat(F.lit("<url><loc>https://jobs.example.com/"), pick(folders), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), (F.col("p_partkey") + 10000).cast("string"), F.replace(pick(ends), F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
     files = t("part").groupBy(F.floor(F.col("p_partkey") / 100).alias("f")).agg(F.array_join(F.collect_list(loc), "").alias("body")).select(F.lit("s").alias("provider"), F.col("f").cast("string").alias("slug"), "body")
-    return normalise.normalize_sitemap(files).select("external_id")
+    return normalise.normalize_sitemap(files).select(F.regexp_replace("external_id", "/$", "").alias("external_id"))
 
 
 @query("b6_extract_jsonld", "SELECT DISTINCT p_name AS job_title, p_brand AS location FROM part")
@@ -196,11 +203,16 @@ def _(v, t):
     return t("pages").select("page_id", normalise.main_text(F.col("html")).alias("body"))
 
 
-_CAREERS = "(?i)\\b(careers?|jobs?|openings?|join us|work with us|vacanc(y|ies)|hiring)\\b"
+_CAREERS = "(?i)\\b(careers?|jobs?|openings?|positions?|vacanc|hiring|join\\s+(us|our\\s+team)|work\\s+with\\s+us|opportunit)"
 
 
-@query("b20_page_signals", f"""SELECT *, careers_title OR role_words OR has_jsonld AS looks_ok FROM (SELECT page_id, regexp_matches({_TEXT_OF.format('title')}, '{_CAREERS}') OR regexp_matches({_TEXT_OF.format('h1')}, '{_CAREERS}') OR regexp_matches({_TEXT_OF.format('h2')}, '{_CAREERS}') AS careers_title,
-    regexp_matches(substr({_MAIN}, 1, 4000), '{normalise._ROLE_WORDS}') AS role_words, regexp_matches(html, '(?i)JobPosting') AS has_jsonld FROM pages)""")
+_CLEAN = "trim(regexp_replace(regexp_replace({}, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'))"
+_HEADS = _CLEAN.format("array_to_string(regexp_extract_all(html, '(?is)<h[12]\\b[^>]*>(.*?)</h[12]\\s*>', 1), ' ')")
+_BODY_TEXT = _CLEAN.format("CASE WHEN regexp_matches(html, '(?i)<body\\b') THEN regexp_extract(html, '(?is)<body\\b[^>]*>(.*?)(?:</body\\s*>|\\z)', 1) ELSE html END")
+
+
+@query("b20_page_signals", f"""SELECT *, careers_title OR role_words OR has_jsonld AS looks_ok FROM (SELECT page_id, regexp_matches({_TEXT_OF.format('title')}, '{_CAREERS}') OR regexp_matches({_HEADS}, '{_CAREERS}') AS careers_title,
+    regexp_matches(substr({_BODY_TEXT}, 1, 4000), '{normalise._ROLE_WORDS}') AS role_words, false AS redirected_to_root, contains(html, 'ld+json') AND contains(html, 'JobPosting') AS has_jsonld FROM pages)""")
 def _(v, t):
     return normalise.page_signals(t("pages"))
 
@@ -242,12 +254,18 @@ def _(v, t):
 # Gate and funnel
 
 
-@query("e2_parse_gate", """SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN (doc_id % 100) / 100.0 END::DOUBLE AS match_score, CASE WHEN doc_id % 5 > 0 AND doc_id % 3 = 0 THEN 'soft' END AS deal_breaker_severity, doc_id % 5 > 0 AS valid FROM documents""")
+@query("e2_parse_gate", """SELECT doc_id, CASE WHEN ok THEN (doc_id % 100) / 100.0 END::DOUBLE AS match_score, CASE WHEN ok AND doc_id % 3 = 0 THEN 'soft' END AS deal_breaker_severity, ok AS valid, CASE WHEN ok THEN CASE doc_id % 4 WHEN 0 THEN 'auto: matchScore ' || printf('%.2f', doc_id % 100 / 100.0) WHEN 1 THEN 'why' ELSE repeat('y', 200) END END AS reason
+    FROM (SELECT doc_id, doc_id % 5 > 0 AND doc_id % 7 NOT IN (1, 2, 3) AND NOT (doc_id % 11 = 1 AND doc_id % 3 = 0) AS ok FROM documents)""")
 def _(v, t):
-    score = F.format_string("%.2f", (F.col("doc_id") % 100) / 100)
-    raw = F.when(F.col("doc_id") % 5 == 0, "{broken").otherwise(F.concat(F.lit('{"matchScore": '), score, F.lit(', "dealBreakerHit": "'), F.when(F.col("doc_id") % 3 == 0, "travel").otherwise("none"), F.lit('"}')))
-    rows = t("documents").select(F.lit("p").alias("provider"), F.col("doc_id").cast("string").alias("external_id"), F.lit("u").alias("profile_id"), raw.alias("raw"))
-    return decide.parse_gate(rows).select(F.col("external_id").cast("long").alias("doc_id"), "match_score", "deal_breaker_severity", F.col("gate_error").isNull().alias("valid"))
+    n = F.col("doc_id")
+    score = F.format_string("%.2f", (n % 100) / 100)
+    # A part that is text, or out of bounds, or null fails the response, as does a hit that is no text.
+    part = F.element_at(F.array(F.lit(""), F.lit(', "skillsMatch": "0.5"'), F.lit(', "domainFit": 1.5'), F.lit(', "roleTypeMatch": null'), F.lit(', "seniorityFit": 1'), F.lit(', "other": "x"'), F.lit(', "skillsMatch": 0')), (n % 7).cast("int") + 1)
+    hit = F.when(n % 3 > 0, F.element_at(F.array(F.lit('"none"'), F.lit("null"), F.lit('""')), (n % 2).cast("int") + 1)).otherwise(F.when(n % 11 == 1, F.lit("true")).otherwise('"travel"'))
+    why = F.when(n % 4 == 0, F.lit(', "reason": 7')).when(n % 4 == 1, ', "reason": "why"').otherwise(F.concat(F.lit(', "reason": "", "analysis": "'), F.repeat(F.lit("y"), F.lit(300)), F.lit('"')))
+    raw = F.when(n % 5 == 0, "{broken").otherwise(F.concat(F.lit('{"matchScore": '), score, F.lit(', "dealBreakerHit": '), hit, part, why, F.lit("}")))
+    rows = t("documents").select(F.lit("p").alias("provider"), n.cast("string").alias("external_id"), F.lit("u").alias("profile_id"), raw.alias("raw"))
+    return decide.parse_gate(rows).select(F.col("external_id").cast("long").alias("doc_id"), "match_score", "deal_breaker_severity", F.col("gate_error").isNull().alias("valid"), "reason")
 
 
 @query("e7_decide", f"""WITH l AS (SELECT p.*, lower(company_slug) || '|' || lower(job_title) || '|' || coalesce(lower(location), '') AS key FROM v_postings p WHERE profile_id = 'p0'),

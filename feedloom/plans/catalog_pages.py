@@ -166,11 +166,16 @@ def _(v, t):
     return t("pages").where(heading | (F.col("page_id") % 2 == 1)).select("page_id", normalise.title_hint(html).alias("hint"))
 
 
-@query("b20_signals", """SELECT page_id, page_id % 4 = 0 AS careers_title, page_id % 4 = 1 AS role_words, page_id % 4 = 2 AS has_jsonld, page_id % 4 < 3 AS looks_ok FROM pages""")
+@query("b20_signals", """SELECT page_id, page_id % 6 IN (0, 4) AS careers_title, page_id % 6 = 1 AS role_words, page_id % 5 = 0 AS redirected_to_root, page_id % 6 = 2 AS has_jsonld, page_id % 6 IN (0, 1, 2, 4) AS looks_ok FROM pages""")
 def _(v, t):
-    k = F.col("page_id") % 4
-    html = F.when(k == 0, "<html><title>Careers at Acme</title><body><p>text</p></body></html>").when(k == 1, "<html><title>Acme</title><body><p>We seek an Analyst</p></body></html>").when(k == 2, '<html><title>Acme</title><script type="application/ld+json">{"@type": "JobPosting"}</script><body>x</body></html>').otherwise("<html><title>Acme</title><body><nav>Jobs</nav><p>text</p></body></html>")
-    return normalise.page_signals(t("pages").select("page_id", "url", html.alias("html")))
+    k = F.col("page_id") % 6
+    html = (
+        F.when(k == 0, "<html><title>Open positions at Acme</title><body><p>text</p></body></html>").when(k == 1, "<html><title>Acme</title><body><p>We seek an Analyst</p></body></html>")
+        .when(k == 2, '<html><title>Acme</title><script type="application/ld+json">{"@graph": [{"@type": "JobPosting", "title": "X"}]}</script><body>x</body></html>').when(k == 3, '<html><title>Acme</title><script type="application/ld+json">{"@type": "JobPosting"}</script><body>JobPosting</body></html>')
+        .when(k == 4, "<html><title>Acme</title><body><h1>Hello</h1><h2>About</h2><h2>Join  our\n<b>team</b></h2></body></html>").otherwise("<html><title>Acme</title><body><nav>Jobs</nav><p>text</p></body></html>")
+    )
+    url = F.when(F.col("page_id") % 5 == 0, "https://a.example.com/").otherwise("https://a.example.com/jobs")
+    return normalise.page_signals(t("pages").select("page_id", url.alias("url"), F.lit("https://a.example.com/careers/").alias("requested_url"), html.alias("html")))
 
 
 @query("b22_shortlist", "SELECT p_partkey, 'u' || p_partkey AS link, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'anchor ' || p_brand END AS title FROM part WHERE p_partkey % 3 > 0")
@@ -182,36 +187,46 @@ def _(v, t):
     return normalise.reconcile_shortlist(picks.union(picks.withColumn("title", F.lit("again")).withColumn("pos", F.lit(1))), twice).select(F.col("page_id").alias("p_partkey"), "link", "title")
 
 
-@query("b23_text_jobs", "SELECT p_partkey, p_name AS title, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS location FROM part WHERE p_partkey % 4 > 0")
+@query("b23_text_jobs", "SELECT p_partkey, CASE WHEN p_partkey % 8 = 1 THEN 'About us' ELSE p_name END AS title, CASE p_partkey % 7 WHEN 0 THEN p_brand WHEN 1 THEN 'N/A' END AS location FROM part WHERE p_partkey % 8 > 0 AND p_partkey % 8 < 5")
 def _(v, t):
-    title = F.when(F.col("p_partkey") % 4 == 0, "Learn more").otherwise(F.concat(F.lit(" "), F.replace("p_name", F.lit(" "), F.lit(" \n ")), F.lit(" ")))
-    place = F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).otherwise(F.element_at(F.array(F.lit("N/A"), F.lit(" - "), F.lit("")), (F.col("p_partkey") % 3).cast("int") + 1))
+    pick = lambda n, *xs: F.element_at(F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs]), (F.col("p_partkey") % n).cast("int") + 1)
+    name = F.concat(F.lit(" "), F.replace("p_name", F.lit(" "), F.lit(" \n ")), F.lit(" "))
+    title = pick(8, "Apply for this Job", "About us", name, name, name, "Page 12", "ab", "view  role")
+    place = pick(7, F.col("p_brand"), "N/A", "", "Full-time", "Posted 3 days ago", "14 days ago", "On-site")
     jobs = t("part").select(F.col("p_partkey").alias("page_id"), title.alias("title"), place.alias("location"), F.lit(0).alias("pos"))
     again = jobs.withColumn("title", F.upper("title")).withColumn("pos", F.lit(1))
     return normalise.clean_text_jobs(jobs.union(again)).select(F.col("page_id").alias("p_partkey"), "title", "location")
 
 
-@query("b24_foreign_links", "SELECT p_partkey FROM part WHERE p_partkey % 3 <> 1")
+@query("b24_foreign_links", "SELECT p_partkey FROM part WHERE NOT (p_partkey % 2 = 0 AND p_partkey % 6 IN (2, 4))")
 def _(v, t):
-    link = F.element_at(F.array(F.lit("https://dir.example.com/acme/jobs/1"), F.lit("https://www.dir.example.com/other/jobs/1"), F.lit("https://else.example.com/other")), (F.col("p_partkey") % 3).cast("int") + 1)
-    return normalise.drop_foreign_links(t("part").select("p_partkey", F.lit("https://dir.example.com/acme").alias("url"), link.alias("link"))).select("p_partkey")
+    links = ("https://www.ycombinator.com/companies/acme/jobs/1", "https://acme.example.com/jobs/1", "https://ycombinator.com/companies/other/jobs/1", "https://news.ycombinator.com/companies/other", "https://www.ycombinator.com/companies/other", "https://www.ycombinator.com/jobs/other")
+    link = F.element_at(F.array(*map(F.lit, links)), (F.col("p_partkey") % 6).cast("int") + 1)
+    # An ordinary company's own page keeps all of its links.
+    own = F.when(F.col("p_partkey") % 2 == 0, "https://www.ycombinator.com/companies/acme").otherwise("https://acme.example.com/careers")
+    return normalise.drop_foreign_links(t("part").select("p_partkey", own.alias("url"), link.alias("link"))).select("p_partkey")
 
 
-@query("b25_external_ids", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'jobs/' || p_partkey || '?id=7' WHEN 1 THEN 'x/' || p_partkey ELSE replace(p_name, ' ', '-') END AS external_id FROM part")
+@query("b25_external_ids", """SELECT p_partkey, CASE p_partkey % 12 WHEN 0 THEN '/jobs/' || p_partkey || '?id=7&ref=q' WHEN 1 THEN '/x/' || p_partkey WHEN 2 THEN '/list?job=' || p_partkey WHEN 3 THEN '/apply-form?source=a&src=b&n=' || p_partkey WHEN 4 THEN '/job/' || p_partkey WHEN 5 THEN '/https://b.example.com/y/' || p_partkey
+    ELSE replace(p_name, ' ', '-') END AS external_id FROM part""")
 def _(v, t):
     number = F.col("p_partkey").cast("string")
-    urls = F.array(F.concat(F.lit("https://a.example.com/jobs/"), number, F.lit("?utm_source=z&id=7&ref=q#top")), F.concat(F.lit("https://a.example.com/https://b.example.com/x/"), number, F.lit("/")), F.lit("mailto:x@example.com"), F.lit("https://a.example.com/list"), F.lit("https://a.example.com/apply-form?x=1"))
-    url = F.element_at(urls, (F.col("p_partkey") % 5).cast("int") + 1)
-    found = normalise.board_external_id(url, F.col("p_name"), F.lit("https://a.example.com/list"))
-    return t("part").select("p_partkey", F.replace(found, F.lit("?&"), F.lit("?")).alias("external_id"))
+    urls = F.array(
+        F.concat(F.lit("https://a.example.com/jobs/"), number, F.lit("?utm_source=z&id=7&trk=1&ref=q&REFID=k&gclid=2#top")), F.concat(F.lit("https://a.example.com/jobshttps://b.example.com/x/"), number, F.lit("/")), F.concat(F.lit("https://a.example.com/list?job="), number),
+        F.concat(F.lit("https://a.example.com/apply-form?source=a&src=b&n="), number), F.concat(F.lit("https://a.example.com/job/"), number, F.lit("/?trackingId=1")), F.concat(F.lit("https://a.example.com/https://b.example.com/y/"), number),
+        F.lit("mailto:x@example.com"), F.lit("https://a.example.com/list/?utm_medium=x#a"), F.lit("https://a.example.com"), F.concat(F.lit("https://www.forms.gle/"), number), F.concat(F.lit("https://acme.typeform.com/to/"), number), F.concat(F.lit("https://airtable.com/app12/shr"), number),
+    )
+    url = F.element_at(urls, (F.col("p_partkey") % 12).cast("int") + 1)
+    return t("part").select("p_partkey", normalise.board_external_id(url, F.col("p_name"), F.lit("https://a.example.com/list")).alias("external_id"))
 
 
-@query("b26_locations", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Pune, India' WHEN 1 THEN p_brand || ', India' WHEN 2 THEN 'Goa, INDIA' END AS place FROM part")
+@query("b26_locations", """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'Pune, India' WHEN 1 THEN '3 Locations, India' WHEN 2 THEN 'Goa, INDIA' WHEN 3 THEN p_brand || ', India' WHEN 4 THEN 'Indiana, India' WHEN 6 THEN p_brand END AS place FROM part""")
 def _(v, t):
-    k = F.col("p_partkey") % 4
-    said = F.when(k == 0, "Pune").when(k == 1, "3 Locations").when(k == 2, "Goa, INDIA")
-    bullets = F.when(k == 1, F.array(F.lit("JR-12345"), F.lit("Full time"), F.col("p_brand"))).otherwise(F.array(F.lit("R_99881"), F.lit("Permanent")))
-    return t("part").select("p_partkey", normalise.fix_location(said, F.lit("India"), bullets).alias("place"))
+    k = F.col("p_partkey") % 8
+    said = F.element_at(F.array(F.lit("Pune"), F.lit("3 Locations"), F.lit("Goa, INDIA"), F.lit(None), F.lit("Indiana"), F.lit("12 locations"), F.lit(None), F.lit(None)), k.cast("int") + 1)
+    bullets = F.when(k == 7, F.array(F.lit("R_99881"), F.lit("Permanent"), F.lit("40 hrs/week"), F.lit(" "))).otherwise(F.array(F.lit("REQ-12345"), F.lit("own-7"), F.lit("Full time"), F.lit("37.5 hrs per week"), F.concat(F.lit(" "), "p_brand")))
+    country = F.when(k < 5, "India")
+    return t("part").select("p_partkey", normalise.fix_location(said, country, bullets, F.array(F.lit("own-7"))).alias("place"))
 
 
 # Vendors

@@ -172,15 +172,14 @@ def _(v, t):
 
 # The plan: companies are c_mktsegment and c_custkey buckets; contacts match by exact name.
 _PLAN = f"""WITH roles AS (SELECT o_orderkey AS pos, 'firm ' || (o_custkey % 40) AS firm, CASE o_orderkey % 3 WHEN 0 THEN 'green' WHEN 1 THEN 'yellow' ELSE 'silent' END AS severity FROM orders),
-    firms AS (SELECT firm, min(pos) AS first_pos, count(*) AS roles FROM roles WHERE severity <> 'silent' GROUP BY 1), people AS (SELECT 'c' || c_custkey || '@x.example.com' AS email, 'firm ' || (c_custkey % 50) AS firm, status, c_custkey FROM v_recruiters WHERE c_custkey % 50 <> 7),
+    firms AS (SELECT firm, min(pos) AS first_pos, count(*) AS roles FROM roles WHERE severity <> 'silent' GROUP BY 1), people AS (SELECT 'c' || c_custkey || '@x.example.com' AS email, 'firm ' || (c_custkey % 50) AS firm, status, c_custkey FROM v_recruiters),
     last AS (SELECT email, TIMESTAMP '{ORDERS_NOW}' - to_days(CAST(c_custkey % 60 AS INT)) AS drafted FROM people WHERE c_custkey % 2 = 0),
     m AS (SELECT f.firm, first_pos, p.email, p.status, drafted, CASE WHEN p.status = 'bounced' THEN 'bounced_contact' WHEN drafted > TIMESTAMP '{ORDERS_NOW}' - INTERVAL 30 DAY THEN 'cooldown' ELSE 'eligible' END AS state FROM firms f JOIN people p ON p.firm = f.firm LEFT JOIN last l ON l.email = p.email)"""
 
 
 def _plan(v, t):
     postings = t("orders").select(F.concat(F.lit("Firm "), (F.col("o_custkey") % 40).cast("string"), F.lit(" Ltd")).alias("company"), F.concat(F.lit("Role "), F.col("o_orderkey").cast("string")).alias("job_title"), F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("job_url"), F.element_at(F.array(F.lit("green"), F.lit("yellow"), F.lit("silent")), (F.col("o_orderkey") % 3).cast("int") + 1).alias("severity"), F.lit(0.9).alias("llm_confidence"), F.col("o_orderkey").alias("pos"))
-    # One contact in fifty has another company's name as an alternative: none here.
-    people = v("v_recruiters").where("c_custkey % 50 <> 7").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@x.example.com")).alias("email"), "status", F.concat(F.lit("firm "), (F.col("c_custkey") % 50).cast("string")).alias("company_norm"), F.array().cast("array<string>").alias("alt_names_norm"), "c_custkey")
+    people = v("v_recruiters").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@x.example.com")).alias("email"), "status", F.concat(F.lit("firm "), (F.col("c_custkey") % 50).cast("string")).alias("company_norm"), F.array().cast("array<string>").alias("alt_names_norm"), "c_custkey")
     last = people.where("c_custkey % 2 = 0").select(F.col("email").alias("recruiter_email"), F.expr(f"timestamp'{ORDERS_NOW}' - make_interval(0, 0, 0, cast(c_custkey % 60 as int))").alias("last_drafted_at"))
     return outreach.plan_outreach(postings, people, last, "Hi {{name}}, {{company}}: {{roles}}", ts(ORDERS_NOW))
 

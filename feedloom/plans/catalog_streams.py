@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedloom.operators import decide, normalise
-from feedloom.plans.catalog import PROFILE, ts
+from feedloom.operators import decide, normalise, reports
+from feedloom.plans.catalog import PROFILE, query, ts
 from feedloom.plans.catalog_values import written
 from feedloom.plans.tables import scratch
 from feedloom.sources import readers
+from feedloom.sources.payload_source import PayloadSource
 from feedloom.streaming import feed, health, mail
 
 #: Outcomes of boards (users) by event; boards begin in different states.
@@ -118,3 +119,48 @@ def _(spark, v, t):
         read = lambda what, df: spark.readStream.schema(df.schema).parquet(f"{root}/{what}/n={n}")  # noqa: E731, B023
         mail.follow_drafts(read("drafts", drafts), read("mailbox", mailbox)).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{root}/out").where("id >= 0").drop("drafted_at")
+
+
+# Sketches, the scorer in SQL, payloads as a source
+
+
+@written("g9_sketched_guard", "SELECT provider, company_slug FROM v_postings GROUP BY 1, 2 HAVING count(DISTINCT lower(job_title)) > 10")
+def _(spark, v, t):
+    listing = v("v_postings").select("provider", "company_slug", F.col("job_title").alias("company_name"), F.to_date("discovered_at").alias("day"))
+    path = f"{scratch(spark, 'sketches')}/days"
+    # Years arrive one after the other; each adds its sketches to those that are there.
+    years = sorted(r[0] for r in listing.select(F.year("day")).distinct().collect())
+    for year in years:
+        readers.write_table(reports.company_sketches(listing.where(F.year("day") == year), "day").withColumn("year", F.lit(year)), path, ("year",))
+    sketches = spark.read.parquet(path)
+    return reports.sketched_warnings(sketches, listing).select("provider", "company_slug")
+
+
+@query("j3_table_function", """SELECT provider, external_id, profile_id, least(1.0, CASE WHEN job_title LIKE '%ring%' THEN 0.9 ELSE 0 END + CASE WHEN job_title LIKE '%widget%' THEN 0.7 ELSE 0 END)::DOUBLE AS match_score, row_number() OVER (PARTITION BY provider, company_slug ORDER BY external_id, profile_id) AS nth FROM v_postings""")
+def _(v, t):
+    postings = v("v_postings").withColumn("jd_text", F.lit(""))
+    spark = postings.sparkSession
+    spark.udtf.register("feedloom_score", decide.scoring_function(decide.keyword_scorer({"ring": 0.9, "widget": 0.7})))
+    return spark.sql("SELECT provider, external_id, profile_id, match_score, nth FROM feedloom_score(TABLE({rows}) PARTITION BY (provider, company_slug) ORDER BY (external_id, profile_id))", rows=postings)
+
+
+_FILES = "SELECT 'p' || p_size % 5 AS provider, 'size ' || p_size AS slug, p_partkey AS page, 'kind' AS kind, p_name AS body FROM part"
+
+
+@written("a8_payload_source", f"SELECT provider, slug, page, body, count(*) AS arrivals FROM ({_FILES} UNION ALL {_FILES} WHERE p_size % 5 IN (1, 3)) GROUP BY ALL")
+def _(spark, v, t):
+    root = scratch(spark, "boards")
+    rows = t("part").select(F.concat(F.lit("p"), (F.col("p_size") % 5).cast("string")).alias("provider"), F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("slug"), F.col("p_partkey").cast("int").alias("page"), F.lit("kind").alias("kind"), F.col("p_name").alias("body"))
+    rows.write.partitionBy("provider", "slug").json(f"{root}/in")
+    spark.dataSource.register(PayloadSource)
+    before = spark.conf.get("spark.sql.python.filterPushdown.enabled", None)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        # The stream takes all boards; the batch read is left to two providers by the source itself.
+        spark.readStream.format("board_payloads").load(f"{root}/in").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+        some = spark.read.format("board_payloads").load(f"{root}/in").where("provider IN ('p1', 'p3')")
+        some.write.parquet(f"{root}/some")
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled") if before is None else spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
+    both = spark.read.parquet(f"{root}/out").unionByName(spark.read.parquet(f"{root}/some"))
+    return both.groupBy("provider", "slug", "page", "body").agg(F.count("*").alias("arrivals"))

@@ -66,28 +66,31 @@ def _(v, t):
     return t("supplier").select("s_suppkey", F.explode(text.slug_variants(F.concat(F.lit("The "), "s_name", F.lit(" Ltd.")))).alias("slug"))
 
 
-@query("c12_titles", """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '(position)' ELSE array_to_string([upper(w[1]) || w[2:] for w in string_split(p_name, ' ')], ' ') END AS title,
-    array_to_string([upper(w[1]) || lower(w[2:]) for w in string_split(p_name, ' ')], ' ') AS sitemap_title FROM part""")
+@query("c12_titles", """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '(position)' WHEN 1 THEN cap || ' Node.js' WHEN 2 THEN cap || ' C+' ELSE cap END AS title, cap AS sitemap_title FROM (SELECT *, array_to_string([upper(w[1]) || lower(w[2:]) for w in string_split(p_name, ' ')], ' ') AS cap FROM part)""")
 def _(v, t):
     name = F.replace("p_name", F.lit(" "), F.lit("-"))
-    last = F.when(F.col("p_partkey") % 5 == 0, F.lit("12345")).otherwise(F.concat(name, F.lit("-987654.html")))
+    ends = F.array(F.lit(""), F.lit("-node.js"), F.lit("-c+"), F.lit("-987654.HTML"), F.lit("_987654.aspx"))
+    k = F.col("p_partkey") % 5
+    last = F.when(k == 0, F.lit("12345")).otherwise(F.concat(name, F.element_at(ends, k.cast("int") + 1)))
     url = F.concat(F.lit("https://a.example.com/jobs/"), last)
     site = F.concat(F.lit("https://a.example.com/job/"), name, F.lit("/"), F.col("p_partkey").cast("string"), F.lit("/"))
     return t("part").select("p_partkey", text.title_from_url(url).alias("title"), text.title_from_sitemap_url(site).alias("sitemap_title"))
 
 
-@query("c15_emails", """SELECT c_custkey, email, email LIKE 'no-reply@%' AS no_reply FROM (SELECT c_custkey, unnest(['c' || c_custkey || '@x.example.com', CASE WHEN c_custkey % 3 = 0 THEN 'no-reply@y.example.com' END]) AS email FROM customer) WHERE email IS NOT NULL""")
+@query("c15_emails", """SELECT c_custkey, email, email LIKE 'no-reply@%' AS no_reply FROM (SELECT c_custkey, unnest(['c' || c_custkey || '@x.example.com', CASE WHEN c_custkey % 3 = 0 THEN 'no-reply@y.example.com' WHEN c_custkey % 3 = 1 THEN 'mailer-daemon@y.example.com' END]) AS email FROM customer) WHERE email IS NOT NULL""")
 def _(v, t):
-    cell = F.concat(F.lit(" C"), F.col("c_custkey").cast("string"), F.lit("@X.example.com / nobody, "), F.when(F.col("c_custkey") % 3 == 0, "No-Reply@y.example.com").otherwise("two@@z.com"))
+    k = F.col("c_custkey") % 3
+    cell = F.concat(F.lit(" C"), F.col("c_custkey").cast("string"), F.lit("@X.example.com / nobody, "), F.when(k == 0, "No-Reply@y.example.com").when(k == 1, "Mailer-Daemon@y.example.com").otherwise("two@@z.com"))
     return t("customer").select("c_custkey", F.explode(text.split_emails(cell)).alias("email")).withColumn("no_reply", text.is_no_reply(F.col("email")))
 
 
-@query("c17_mentions", """SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'there' ELSE 'Ann' || c_custkey END AS first, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE c_name END AS mention,
+@query("c17_mentions", """SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'there' ELSE 'Ann' || c_custkey END AS first, CASE WHEN c_custkey % 9 IN (3, 4, 5) THEN c_name WHEN c_custkey % 9 = 6 THEN 'NEC 日本' END AS mention,
     CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'A' ELSE 'A and 2 more' END AS roles FROM customer""")
 def _(v, t):
     number = F.col("c_custkey").cast("string")
     name = F.when(F.col("c_custkey") % 4 == 0, " ").otherwise(F.concat(F.lit("  Ann"), number, F.lit(" Lee")))
-    company = F.element_at(F.array(F.lit("Unknown"), F.concat(F.lit("The "), "c_name"), F.lit("12"), F.col("c_name"), F.concat("c_name", F.lit(" "))), (F.col("c_custkey") % 5).cast("int") + 1)
+    names = F.array(F.lit("Unknown"), F.concat(F.lit("The "), "c_name"), F.lit("12"), F.col("c_name"), F.concat("c_name", F.lit(" ")), F.concat("c_name", F.lit(" | Jobs | More")), F.lit("NEC 日本"), F.lit("An unknown firm of Pune"), F.lit("日本電気"))
+    company = F.element_at(names, (F.col("c_custkey") % 9).cast("int") + 1)
     titles = F.slice(F.array(F.lit("A"), F.lit("B"), F.lit("C")), 1, F.element_at(F.array(F.lit(0), F.lit(1), F.lit(3)), (F.col("c_custkey") % 3).cast("int") + 1))
     return t("customer").select("c_custkey", text.first_name(name).alias("first"), text.company_for_mention(company).alias("mention"), text.role_summary(titles).alias("roles"))
 
@@ -138,26 +141,27 @@ def _(v, t):
     return v("v_drafts").select("id", text.parse_roles(raw).alias("r")).select("id", F.size("r").alias("n"), F.get("r", F.lit(0))["title"].alias("title"))
 
 
-@query("c27_hierarchy", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN n_name || ', India' ELSE 'Site ' || s_suppkey || ', India, ' || n_name END AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+@query("c27_hierarchy", "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN n_name || ', India' WHEN 1 THEN 'Site ' || s_suppkey || ', India, ' || n_name WHEN 2 THEN n_name || ', India' ELSE 'India, Site ' || s_suppkey || ', India, ' || n_name END AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def _(v, t):
     rows = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    even = F.col("s_suppkey") % 2 == 0
-    full = F.when(even, F.concat("n_name", F.lit(" > India >  > INDIA"))).otherwise(F.concat(F.lit("India > "), "n_name", F.lit(">india")))
-    short = F.when(even, F.lower("n_name")).otherwise(F.concat(F.lit("Site "), F.col("s_suppkey").cast("string")))
+    k, site = F.col("s_suppkey") % 4, F.concat(F.lit("Site "), F.col("s_suppkey").cast("string"))
+    full = F.when(k % 2 == 0, F.concat("n_name", F.lit(" > India >  > INDIA"))).otherwise(F.concat(F.lit("India > "), "n_name", F.lit(">india")))
+    short = F.when(k == 0, F.lower("n_name")).when(k == 1, site).when(k == 2, F.concat(F.lit("INDIA > "), F.lower("n_name"))).otherwise(F.concat(F.lit("India>"), site))
     return rows.select("s_suppkey", text.location_hierarchy(full, short).alias("place"))
 
 
-@query("c28_location_line", "SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN p_brand || ', ' || p_type END AS place FROM part")
+@query("c28_location_line", "SELECT p_partkey, CASE WHEN p_partkey % 6 > 0 THEN p_brand END AS place FROM part")
 def _(v, t):
-    jd = F.concat(F.lit("About us\n"), F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit("LOCATION :  "), "p_brand", F.lit(", "), "p_type", F.lit(" "))).otherwise("allocation of things"), F.lit("\nmore"))
+    ends = F.array(F.lit(""), F.concat(F.lit(", "), "p_type"), F.lit("<br>more"), F.lit("; more"), F.lit(" | more"), F.lit("\nmore"))
+    jd = F.concat(F.lit("About us\n"), F.when(F.col("p_partkey") % 6 > 0, F.concat(F.lit("LOCATION :  "), "p_brand", F.element_at(ends, (F.col("p_partkey") % 6).cast("int") + 1))).otherwise("allocation of things"), F.lit("\nmore"))
     return t("part").select("p_partkey", text.location_from_text(jd).alias("place"))
 
 
-@query("c29_region", "SELECT s_suppkey, s_suppkey % 6 IN (0, 1, 2) AS inside FROM supplier")
+@query("c29_region", "SELECT s_suppkey, s_suppkey % 13 < 7 AS inside FROM supplier")
 def _(v, t):
-    cases = ("Bengalūru, INDIA", "IN-KA", "São Pune", "Pune, Texas", "Pune 75001", "Paris")
-    said = F.concat(F.element_at(F.array(*map(F.lit, cases)), (F.col("s_suppkey") % 6).cast("int") + 1), F.lit(""))
-    return t("supplier").select("s_suppkey", text.is_place_in_region(said, "India", "IN", ["pune"], ["texas"]).alias("inside"))
+    cases = ("Bengalūru, INDIA", "IND-KA", "São Pune", "Pune 75001", "Site (IND)", "Indiana/india", "Greater Pune", "Pune, Texas", "Pune, TX", "Pune, OH 75001", "Indianapolis", "Punexx", "US PA IND 324")
+    said = F.element_at(F.array(*map(F.lit, cases)), (F.col("s_suppkey") % 13).cast("int") + 1)
+    return t("supplier").select("s_suppkey", text.is_place_in_region(said, "India", "IND", ["pune"], ["texas"]).alias("inside"))
 
 
 # Filters
@@ -403,9 +407,13 @@ def _(v, t):
     return outreach.project_sent(_with_roles(v)).select("id", "check_after")
 
 
-@query("g14_top_role", f"SELECT id, {_TOP.format('title', "title || ' b'")} AS title FROM v_drafts")
+@query("g14_top_role", "SELECT id, CASE WHEN id % 5 = 0 THEN CASE WHEN green THEN title ELSE title || ' c' END WHEN green OR score >= 0.5 THEN title ELSE title || ' b' END AS title FROM v_drafts")
 def _(v, t):
-    return _with_roles(v).select("id", outreach.top_role(F.col("roles"))["title"].alias("title"))
+    # No score is less than any, also than one below zero.
+    role = lambda title, severity, score: F.struct(title.alias("title"), F.lit("u").alias("jobUrl"), severity.alias("severity"), score.alias("score"))
+    third = F.array(role(F.col("title"), F.when(F.col("green"), "green").otherwise("yellow"), F.lit(None).cast("double")), role(F.concat("title", F.lit(" c")), F.lit("yellow"), F.lit(-1.0)))
+    roles = F.when(F.col("id") % 5 == 0, third).otherwise(F.col("roles"))
+    return _with_roles(v).withColumn("roles", roles).select("id", outreach.top_role(F.col("roles"))["title"].alias("title"))
 
 
 @query("i14_discarded_roles", "SELECT run_id, company_name AS company, unnest([title, title || ' b']) AS job_title, 'draft_discarded' AS reason FROM v_drafts WHERE status = 'discarded'")

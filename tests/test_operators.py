@@ -173,6 +173,9 @@ def test_news_that_repeat_a_key_multiply_nothing(spark):
     companies = spark.createDataFrame([("p", "s", "active", 2, 5, 1), ("p", "t", "active", 4, 5, 1)], columns)
     outcomes = spark.createDataFrame([("p", "s", None, "boom", False), ("p", "s", 3, None, False), ("p", "t", None, "boom", False), ("p", "t", None, "boom", False)], "provider string, slug string, seen long, error string, transport_fault boolean")
     assert sorted(tuple(r)[1:] for r in lifecycle.apply_outcomes(companies, outcomes, F.lit(ts(31))).collect()) == [("s", "active", 0, 8, 0), ("t", "broken", 5, 5, 1)]
+    parked = spark.createDataFrame([("p", "s", "dormant", 4, ts(1), "old"), ("p", "t", "active", 4, ts(1), "old")], "provider string, slug string, status string, consecutive_failures long, last_fetched_at timestamp, last_error string")
+    news = spark.createDataFrame([("p", "s", None, "boom", False), ("p", "t", None, "down", True)], outcomes.schema)
+    assert sorted(tuple(r)[1:] for r in lifecycle.apply_outcomes(parked, news, F.lit(ts(31))).collect()) == [("s", "broken", 5, ts(31), "boom"), ("t", "active", 4, ts(31), "down")]
     pool = spark.createDataFrame([("a@Good.com",), ("b@bad.com",), ("c@none.com",)], "email string")
     verdicts = spark.createDataFrame([("good.com", False), ("good.com", True), ("bad.com", False), ("bad.com", False)], "domain string, ok boolean")
     assert sorted((r["email"], r["deliverable"]) for r in outreach.deliverable(pool, verdicts).collect()) == [("a@Good.com", True), ("b@bad.com", False), ("c@none.com", False)]
@@ -185,8 +188,13 @@ def test_bounds_say_what_they_leave_out(spark):
     assert normalise.normalize_sitemap(files, cap=None).count() == 7
     listing = spark.createDataFrame([("p", "s", "1")], "provider string, company_slug string, external_id string")
     site = spark.createDataFrame([("p", "s", str(i)) for i in range(1, 5)] + [("p", "t", "9")], listing.schema)
-    assert {r["company_slug"]: r["outcome"] for r in normalise.gap_report(listing, site, guard=3).collect()} == {"s": "too-many", "t": "filled"}
+    assert {r["company_slug"]: r["outcome"] for r in normalise.gap_report(listing, site, guard=2).collect()} == {"s": "truncated", "t": "filled"}
     assert normalise.gap_fill(listing, site, guard=None).count() == 5
+    # Beyond the guard the first ids are added, in the sitemap's order; listed rows take the sitemap's url.
+    placed = spark.createDataFrame([("p", "s", str(i), 9 - i, f"new/{i}") for i in range(1, 6)], "provider string, company_slug string, external_id string, pos int, job_url string")
+    told = spark.createDataFrame([("p", "s", "1", "old/1"), ("p", "s", "7", "https://x/job/a/7-en_US/"), ("p", "z", "7", "https://x/job/a/7-en_US/")], "provider string, company_slug string, external_id string, job_url string")
+    got = sorted((r["company_slug"], r["external_id"], r["job_url"]) for r in normalise.gap_fill(told, placed, guard=2).collect())
+    assert got == [("s", "1", "new/1"), ("s", "4", "new/4"), ("s", "5", "new/5"), ("s", "7", "https://x/job/a/7/"), ("z", "7", "https://x/job/a/7-en_US/")]
 
 
 def test_pay_statements(spark):
@@ -302,3 +310,15 @@ def test_places_of_nodes(spark):
     grouped = '<script id="__NEXT_DATA__">{"jobs": {"a": [{"title": "One"}], "b": [{"title": "Two"}], "c": 5}}</script>'
     island = spark.createDataFrame([("p", "s", 1, grouped)], "provider string, slug string, page int, html string")
     assert sorted(r["job_title"] for r in normalise.normalize_island(island, "jobs", "title").collect()) == ["One", "Two"]
+
+
+def test_noise_slugs_as_a_table(spark, monkeypatch):
+    from feedloom.functions import filters
+
+    df = spark.createDataFrame([("Koo", "K"), ("own", "O"), ("x-services", "X"), (None, "N"), ("y", "Bad Ltd")], "slug string, name string")
+    noise = spark.createDataFrame([("koo", "defunct"), ("KOO", "another"), ("own", "table"), (None, "x"), ("y", None)], "slug string, reason string")
+    profile = Profile(noise_slugs={"own": "mine"}, slug_fragments=("-services",), name_patterns=("^Bad",))
+    for rows in (100_000, 0):
+        monkeypatch.setattr(filters, "NOISE_ROWS", rows)
+        got = {r["name"]: r["deny_reason"] for r in filters.denied_company(df, profile, noise=noise).collect()}
+        assert got == {"K": "noise:another", "O": "noise:mine", "X": "services-slug:-services", "N": None, "Bad Ltd": "services-name:^Bad"}

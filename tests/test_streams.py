@@ -11,9 +11,10 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from feedloom.functions import filters
-from feedloom.operators import decide, normalise
+from feedloom.operators import decide, normalise, reports
 from feedloom.plans.tables import scratch
 from feedloom.sources import readers
+from feedloom.sources.payload_source import PayloadSource
 from feedloom.streaming import feed, health, mail
 
 START = datetime(2024, 3, 1)
@@ -226,3 +227,59 @@ def test_drafts_meet_their_mail_and_state_goes(spark):
     assert got == sorted(want)
     # What is left are the two rows that ended the streams.
     assert sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"]) <= 4
+
+
+# Payloads as a source
+
+
+def test_payload_source_reads_boards_and_only_new_files(spark):
+    root = scratch(spark, "payload-test")
+    spark.dataSource.register(PayloadSource)
+
+    def arrive(turn, boards):
+        rows = [(p, s, turn, START + timedelta(days=turn), None, "json", f"é {turn} {p}{s}\nx") for p, s in boards]
+        spark.createDataFrame(rows, readers.PAYLOAD.replace(": ", " ")).coalesce(1).write.mode("append").partitionBy("provider", "slug").json(f"{root}/in")
+
+    def stream():
+        spark.readStream.format("board_payloads").load(f"{root}/in").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+        return sorted((r["provider"], r["slug"], r["page"]) for r in spark.read.parquet(f"{root}/out").collect())
+
+    arrive(1, [("a", "x y"), ("a", "z"), ("b", "q/é")])
+    assert stream() == [("a", "x y", 1), ("a", "z", 1), ("b", "q/é", 1)]
+    arrive(2, [("a", "z"), ("c", "new")])
+    assert stream() == [("a", "x y", 1), ("a", "z", 1), ("a", "z", 2), ("b", "q/é", 1), ("c", "new", 2)] == stream()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        whole = lambda: spark.read.format("board_payloads").load(f"{root}/in")
+        got = {tuple(r) for r in whole().where("provider = 'b'").collect()}
+        assert got == {("b", "q/é", 1, START + timedelta(days=1), None, "json", "é 1 bq/é\nx")}
+        # A partition per board that is asked for; a filter on another column stays with Spark.
+        parts = lambda df: df.rdd.getNumPartitions()
+        assert [parts(whole()), parts(whole().where("provider = 'a'")), parts(whole().where("slug IN ('z', 'new')")), parts(whole().where("provider = 'a' AND slug = 'z' AND page = 2"))] == [4, 2, 2, 1]
+        assert whole().where("slug IN ('z', 'new')").count() == 3 and whole().where("provider = 'a' AND slug = 'z' AND page = 2").count() == 1 and whole().where("provider = 'none'").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_scorer_as_a_table_function(spark):
+    columns = "provider string, external_id string, profile_id string, job_title string, jd_text string, more int"
+    rows = [("p" if i < 7 else "q", f"{i:02d}", "u", "spark" if i % 2 else "x", None, i) for i in range(9)]
+    spark.createDataFrame(rows, columns).createOrReplaceTempView("asked")
+    spark.udtf.register("score_two", decide.scoring_function(decide.keyword_scorer({"spark": 0.9}), rows=2, most=5))
+    got = spark.sql("SELECT * FROM score_two(TABLE(asked) PARTITION BY provider ORDER BY external_id DESC)").collect()
+    want = {}
+    for i in range(9):
+        n = 7 - i if i < 7 else 9 - i
+        want[f"{i:02d}"] = (n, None, "beyond the first 5") if n > 5 else (n, 0.9 if i % 2 else 0.0, None)
+    assert {r["external_id"]: (r["nth"], r["match_score"], r["gate_error"]) for r in got} == want
+    with pytest.raises(Exception, match="lack jd_text"):
+        spark.sql("SELECT * FROM score_two(TABLE(SELECT provider, external_id, profile_id, job_title FROM asked))").collect()
+
+
+def test_sketches_give_the_exact_verdicts(spark):
+    rows = [("p", f"b{n}", f"Name {i % n}{' ' * (i % 2)}".strip() if i % 2 else f"NAME {i % n}", i % 4) for n in (1, 8, 9, 10, 11, 12, 13, 40, 3000) for i in range(2 * n + 2)] + [("p", "blank", " ", 0), ("p", "blank", None, 0)]
+    listing = spark.createDataFrame(rows, "provider string, company_slug string, company_name string, day int")
+    sketches = reports.company_sketches(listing, "day")
+    got = {r["company_slug"]: (r["companies"], r["exact"]) for r in reports.sketched_warnings(sketches, listing).collect()}
+    assert set(got) == {r["company_slug"] for r in reports.aggregator_warnings(listing.withColumn("external_id", F.lit("x"))).collect()} == {"b11", "b12", "b13", "b40", "b3000"}
+    assert got["b11"] == (11, True) and not got["b3000"][1] and abs(got["b3000"][0] - 3000) < 300
