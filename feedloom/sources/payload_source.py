@@ -73,8 +73,9 @@ class _Folders:
                 if files:
                     yield provider, slug, files
 
-    def rows(self, board: Board) -> Iterator[tuple]:
-        for path in board.files:
+    def rows(self, board: Board | None) -> Iterator[tuple]:
+        """The rows of a board; Spark reads None where there is no board at all."""
+        for path in board.files if board else ():
             with self.fs.open_input_stream(path) as f:
                 rest = b""
                 while block := f.read(1 << 20):
