@@ -200,17 +200,25 @@ def log_run(runs: DataFrame, summary: DataFrame) -> DataFrame:
     return runs.unionByName(numbered, allowMissingColumns=True)
 
 
+#: Rows that the cuts of a text column come from.
+CUT_SAMPLE = 10_000
+
+
 def with_position(df: DataFrame, order: list[str], name: str, buckets: int = 256) -> DataFrame:
     """df with its position from 0 in the order of columns; rows equal in all of them are numbered by their other columns.
 
-    Rows are ranked within buckets of the first column (quantiles, numbers and times) or its first characters (text), and a
-    bucket starts where those before it end, so no task ranks the whole table.
+    Rows are ranked within buckets of the first column, and a bucket starts where those before it end, so no task ranks the whole
+    table. Buckets are cut at quantiles: of numbers and times approximate ones, of text those of CUT_SAMPLE rows (the cuts only
+    decide speed).
     """
     first = F.col(order[0])
     rest = [c for c in df.columns if c not in order and df.schema[c].dataType.typeName() not in ("map", "variant")]
     kind = df.schema[order[0]].dataType.typeName()
     if kind == "string":
-        bucket = F.substring(F.coalesce(first, F.lit("")), 1, 12)
+        known = df.where(first.isNotNull())
+        sample = sorted((r[0] for r in known.orderBy(F.xxhash64(*order, *rest)).select(first.alias("x")).limit(CUT_SAMPLE).collect()), key=str.encode)
+        cuts = sorted({sample[i * len(sample) // buckets] for i in range(1, buckets)}, key=lambda x: x.encode()) if sample else []
+        bucket = F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<string>"), lambda e: e <= first))
     else:
         number = F.unix_date(first).cast("double") if kind == "date" else (first.cast("timestamp") if kind.startswith("timestamp") else first).cast("double")
         cuts = df.agg(F.percentile_approx(number, [i / buckets for i in range(1, buckets)], buckets * 10).alias("q")).first()["q"] or []

@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.functions.text import compile_template, domain_label, first_name, is_no_reply, normalize_company_name, role_summary, split_emails, valid_email
+from feedloom.functions.text import compile_template, domain_label, first_name, is_no_reply, normalize_company_name, split_emails, valid_email
 from feedloom.operators.lifecycle import first_per_key
 
 
 def group_by_company(postings: DataFrame) -> DataFrame:
-    """Postings (company, job_title, job_url, severity, llm_confidence, pos) by normalised company, roles in order."""
-    role = F.struct("pos", F.col("job_title").alias("title"), F.col("job_url").alias("jobUrl"), "severity", F.col("llm_confidence").alias("score"))
-    grouped = postings.groupBy(normalize_company_name(F.col("company")).alias("company_norm")).agg(F.min_by("company", "pos").alias("company"), F.min("pos").alias("first_pos"), F.array_sort(F.collect_list(role)).alias("roles"))
-    return grouped.withColumn("roles", F.transform("roles", lambda r: r.dropFields("pos")))
+    """Postings (company, job_title, job_url, severity, llm_confidence, pos) by normalised company: company, first_pos, roles (how many), first_title, top.
+
+    The roles themselves are not gathered, as a staffing firm may have very many; they stay rows (roles_of).
+    """
+    role = F.struct(F.col("job_title").alias("title"), F.col("job_url").alias("jobUrl"), "severity", F.col("llm_confidence").alias("score"))
+    best = F.struct(F.when(F.col("severity") == "green", 0).otherwise(1), -F.coalesce("llm_confidence", F.lit(float("-inf"))), "pos")
+    return postings.groupBy(normalize_company_name(F.col("company")).alias("company_norm")).agg(F.min_by("company", "pos").alias("company"), F.min("pos").alias("first_pos"), F.count("*").alias("roles"), F.min_by("job_title", "pos").alias("first_title"), F.min_by(role, best).alias("top"))
+
+
+def roles_of(postings: DataFrame, companies: DataFrame) -> DataFrame:
+    """The roles of companies (company_norm and others), a row each, in the order of pos."""
+    named = postings.withColumn("company_norm", normalize_company_name(F.col("company"))).drop("company")
+    return named.select("company_norm", "pos", F.struct(F.col("job_title").alias("title"), F.col("job_url").alias("jobUrl"), "severity", F.col("llm_confidence").alias("score")).alias("role")).join(companies, "company_norm")
 
 
 def top_role(roles: Column) -> Column:
@@ -67,15 +76,17 @@ def draftable(postings: DataFrame, severities: tuple[str, ...] = ("green", "yell
 
 def plan_outreach(postings: DataFrame, recruiters: DataFrame, last_drafted: DataFrame, template: str, now: Column, severities: tuple[str, ...] = ("green", "yellow")) -> tuple[DataFrame, DataFrame]:
     """(drafts: one per contact, with the message; undrafted: a row per role with a reason)."""
-    groups = group_by_company(draftable(postings, severities))
+    wanted = draftable(postings, severities)
+    groups = group_by_company(wanted)
     matches = split_cooldown(match_contacts(groups, recruiters), last_drafted, now)
     ranked = rank_contacts(matches.where("state = 'eligible'")).join(groups, "company_norm")
     plan = one_draft_per_contact(ranked)
-    body = compile_template(template, company=F.col("company"), roles=role_summary(F.col("roles.title")), name=first_name(F.split("email", "@")[0]))
-    plan = plan.select("email", "company", "company_norm", "rank", "roles", top_role(F.col("roles")).alias("top"), body.alias("body"))
-    reasons = groups.select("company_norm", "company", "roles").join(matches.where("state = 'eligible'").select("company_norm").distinct(), "company_norm", "left_anti")
+    roles = F.when(F.col("roles") == 1, F.col("first_title")).otherwise(F.concat("first_title", F.lit(" and "), (F.col("roles") - 1).cast("string"), F.lit(" more")))
+    body = compile_template(template, company=F.col("company"), roles=roles, name=first_name(F.split("email", "@")[0]))
+    plan = plan.select("email", "company", "company_norm", "rank", "roles", "top", body.alias("body"))
+    reasons = groups.select("company_norm", "company").join(matches.where("state = 'eligible'").select("company_norm").distinct(), "company_norm", "left_anti")
     reasons = reasons.join(undrafted_reason(matches), "company_norm", "left").withColumn("reason", F.coalesce("reason", F.lit("no_contact")))
-    return plan, reasons.select("company", F.explode("roles").alias("role"), "reason").select("company", F.col("role.title").alias("job_title"), F.col("role.jobUrl").alias("job_url"), F.col("role.severity").alias("severity"), "reason")
+    return plan, roles_of(wanted, reasons).select("company", F.col("role.title").alias("job_title"), F.col("role.jobUrl").alias("job_url"), F.col("role.severity").alias("severity"), "reason")
 
 
 def latest_message(mail: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def _(v, t):
 @query("g13_group_by_company", f"""SELECT job_title AS company_norm, count(*) AS roles, min(external_id) AS first_id FROM v_postings WHERE profile_id = 'p0' GROUP BY 1""")
 def _(v, t):
     p = v("v_postings").where("profile_id = 'p0'").select(F.col("job_title").alias("company"), F.col("external_id").alias("job_title"), "job_url", F.lit("green").alias("severity"), "llm_confidence", F.col("external_id").alias("pos"))
-    return outreach.group_by_company(p).select("company_norm", F.size("roles").cast("long").alias("roles"), F.col("roles")[0]["title"].alias("first_id"))
+    return outreach.group_by_company(p).select("company_norm", "roles", F.col("first_title").alias("first_id"))
 
 
 _OUT = """out AS (SELECT o_orderkey AS id, 'u' || CAST(o_custkey % 150 AS VARCHAR) AS recruiter_email, TIMESTAMP '2024-01-01' + to_days(CAST(o_orderkey % 30 AS INT)) AS drafted_at,

@@ -322,3 +322,24 @@ def test_noise_slugs_as_a_table(spark, monkeypatch):
         monkeypatch.setattr(filters, "NOISE_ROWS", rows)
         got = {r["name"]: r["deny_reason"] for r in filters.denied_company(df, profile, noise=noise).collect()}
         assert got == {"K": "noise:another", "O": "noise:mine", "X": "services-slug:-services", "N": None, "Bad Ltd": "services-name:^Bad"}
+
+
+def test_positions_by_text_in_even_buckets(spark):
+    from feedloom.operators.lifecycle import with_position
+
+    rng = random.Random(5)
+    # Texts that begin alike, nulls, and one that a third of all rows share.
+    rows = [(f"company-with-a-long-name-{rng.randrange(500)}" if i % 3 else "company-with-a-long-name-7", i) for i in range(900)] + [(None, 1000), (None, 1001), ("é", 1), ("", 2)]
+    df = spark.createDataFrame(rows, "name string, n int").repartition(5)
+    order = sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1]))
+    places = sorted((r["at"], r["name"], r["n"]) for r in with_position(df, ["name", "n"], "at").collect())
+    assert places == [(i, *r) for i, r in enumerate(order)]
+    assert with_position(df.limit(0), ["name"], "at").count() == 0 and with_position(df.where("name IS NULL"), ["name", "n"], "at").count() == 2
+
+
+def test_company_groups_keep_counts_and_the_top_role(spark):
+    rows = [("Acme Ltd", "A", "u1", "yellow", None, 1), ("ACME", "B", "u2", "yellow", -0.5, 2), ("acme", "C", "u3", "green", None, 3), ("Acme", "D", "u4", "green", None, 4), ("Z", "E", "u5", "yellow", None, 5)]
+    df = spark.createDataFrame(rows, "company string, job_title string, job_url string, severity string, llm_confidence double, pos int")
+    got = {r["company_norm"]: (r["company"], r["first_pos"], r["roles"], r["first_title"], r["top"]["title"]) for r in outreach.group_by_company(df).collect()}
+    assert got == {"acme": ("Acme Ltd", 1, 4, "A", "C"), "z": ("Z", 5, 1, "E", "E")}
+    assert sorted((r["pos"], r["role"]["title"]) for r in outreach.roles_of(df, spark.createDataFrame([("acme",)], "company_norm string")).collect()) == [(1, "A"), (2, "B"), (3, "C"), (4, "D")]
