@@ -264,31 +264,50 @@ def usage_rollup(usage: DataFrame) -> DataFrame:
     return rolled.withColumn("cached_pct", F.coalesce(pct, F.lit(0))).withColumn("low_hit", (F.col("calls") >= 50) & (F.col("cached_pct") < 50))
 
 
-def diagnose_boards(postings: DataFrame, thin: int = 300) -> DataFrame:
-    """Per board what is missing, doubled or thin, and whether first, middle and last texts are one.
+# Words of pages that stand where a description should, tags that are left of markup, sizes at which vendors cut pages.
+_ERROR_PAGE = r"(?i)access denied|request unsuccessful|are you a human|captcha|enable javascript|page not found|error 404|session expired|temporarily unavailable|pardon our interruption"
+_TAG = r"(?i)</?[a-z][a-z0-9-]*[\s/>]"
+PAGE_SIZES = (10, 20, 25, 30, 50, 100)
 
-    The three sample ids come from an aggregation over ids alone; texts are read once and never sorted.
+
+def diagnose_boards(postings: DataFrame, thin: int = 300, region: str | None = None, page_sizes: tuple[int, ...] = PAGE_SIZES) -> DataFrame:
+    """Per board what is missing, doubled, thin, left of markup, an error page or the title again, and whether first, middle and last texts are one.
+
+    The samples are taken, by id, of what is in the region (a pattern of places), remote or without a place, where a board has
+    such postings. round_count: as many postings as a page has, or whole hundreds from 200 on, so that pages may be missing. The
+    three sample ids come from an aggregation over ids alone; texts are read once and never sorted.
     """
     board = ["provider", "company_slug"]
-    ids = postings.where("external_id IS NOT NULL").groupBy(*board, "external_id").agg(F.count("*").alias("k"))
+    absent = {c: t for c, t in (("job_url", "string"), ("posted_at", "timestamp"), ("is_remote", "boolean")) if c not in postings.columns}
+    postings = postings.withColumns({c: F.lit(None).cast(t) for c, t in absent.items()})
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    here = F.coalesce(F.col("location").rlike(region), F.lit(False)) if region else F.lit(False)
+    near = here | blank("location") | F.coalesce("is_remote", F.lit(False))
+    pool = postings.where("external_id <> ''").groupBy(*board, "external_id").agg(F.bool_or(near).alias("near"))
+    ids = pool.withColumn("__any", F.bool_or("near").over(Window.partitionBy(*board))).where("near OR NOT __any")
     middle = ids.groupBy(*board).agg(F.min("external_id").alias("first"), F.max("external_id").alias("last"), F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy(*board).orderBy("external_id"))
     half = ids.withColumn("__rank", rank).join(middle.select(*board, "n"), board).where(F.col("__rank") == F.floor(F.col("n") / 2) + 1).select(*board, F.col("external_id").alias("half"))
     three = middle.join(half, board).select(*board, F.array("first", "half", "last").alias("__three"))
-    jd = F.length(collapse_ws(F.coalesce("jd_text", F.lit(""))))
-    chosen = F.array_contains(F.coalesce("__three", F.array().cast("array<string>")), F.coalesce("external_id", F.lit("")))
+    text = F.trim(F.coalesce("jd_text", F.lit("")))
+    jd = F.length(text)
+    chosen = F.array_contains(F.coalesce("__three", F.array().cast("array<string>")), F.coalesce("external_id", F.lit(""))) & (jd > 0)
     rows = postings.join(F.broadcast(three), board, "left") if _few(three) else postings.join(three, board, "left")
-    rows = rows.withColumn("__sample", F.when(chosen, F.md5(F.coalesce("jd_text", F.lit("")))))
+    rows = rows.withColumn("__sample", F.when(chosen, F.md5(text)))
+    tags = F.size(F.regexp_extract_all("jd_text", F.lit(_TAG), F.lit(0)))
     counted = rows.groupBy(*board).agg(
-        F.count("*").alias("n"), F.count_if(F.coalesce("external_id", F.lit("")) == "").alias("missing_ids"), F.count("external_id").alias("__ids"),
-        F.count_if(F.coalesce("job_title", F.lit("")) == "").alias("missing_titles"), F.count_if(F.col("location").isNull()).alias("null_locations"),
-        F.count_if(jd == 0).alias("empty_jd"), F.count_if((jd > 0) & (jd < thin)).alias("thin_jd"), F.count_if(F.coalesce("jd_text", F.lit("")).rlike(r"<[a-zA-Z/]")).alias("html_residue"),
-        F.min("__sample").alias("__least"), F.max("__sample").alias("__most"),
+        F.count("*").alias("n"), F.count_if(F.coalesce("external_id", F.lit("")) == "").alias("missing_ids"), F.count(F.nullif("external_id", F.lit(""))).alias("__ids"), F.count_if(F.coalesce("job_url", F.lit("")) == "").alias("missing_urls"),
+        F.count_if(blank("job_title")).alias("missing_titles"), F.count_if(F.coalesce("location", F.lit("")) == "").alias("null_locations"), F.count_if(F.col("posted_at").isNull()).alias("null_dates"), F.count_if(here).alias("in_region"),
+        F.count_if(jd == 0).alias("empty_jd"), F.count_if((jd > 0) & (jd < thin)).alias("thin_jd"), F.count_if(F.coalesce(tags, F.lit(0)) > 3).alias("html_residue"),
+        F.count_if(F.substring(text, 1, 600).rlike(_ERROR_PAGE)).alias("error_pages"), F.count_if((jd > 0) & (F.lower(text) == F.lower(F.trim("job_title")))).alias("title_only"),
+        F.min("__sample").alias("__least"), F.max("__sample").alias("__most"), F.count_distinct(F.when(F.col("__sample").isNotNull(), F.col("external_id"))).alias("__samples"),
     )
-    once = middle.select(*board, F.col("n").alias("__distinct"))
-    identical = (F.col("n") >= 3) & F.coalesce(F.col("__least") == F.col("__most"), F.lit(False))
+    once = postings.where("external_id <> ''").groupBy(*board).agg(F.count_distinct("external_id").alias("__distinct"))
+    identical = (F.col("__samples") >= 2) & F.coalesce(F.col("__least") == F.col("__most"), F.lit(False))
+    round_count = F.col("n").isin(*page_sizes) | ((F.col("n") >= 200) & (F.col("n") % 100 == 0))
     out = counted.join(once, counted["provider"].eqNullSafe(once["provider"]) & counted["company_slug"].eqNullSafe(once["company_slug"]), "left").drop(once["provider"], once["company_slug"])
-    return out.select(*board, "n", (F.col("__ids") - F.coalesce("__distinct", F.lit(0))).alias("duplicate_ids"), "missing_ids", "missing_titles", "null_locations", "empty_jd", "thin_jd", "html_residue", identical.alias("identical_samples"))
+    counts = ("missing_ids", "missing_urls", "missing_titles", "null_locations", "null_dates", "in_region", "empty_jd", "thin_jd", "html_residue", "error_pages", "title_only")
+    return out.select(*board, "n", (F.col("__ids") - F.coalesce("__distinct", F.lit(0))).alias("duplicate_ids"), *counts, round_count.alias("round_count"), identical.alias("identical_samples"))
 
 
 def _few(boards: DataFrame, most: int = 100_000) -> bool:

@@ -181,11 +181,20 @@ def _(v, t):
     return reports.fetchable_companies(v("v_companies"), ts(EVENTS_NOW)).select("provider", "slug")
 
 
-@query("b27_diagnose_boards", """SELECT source AS provider, lang AS company_slug, count(*) AS n, count(*) FILTER (length(text) = 0) AS empty_jd, count(*) FILTER (length(text) > 0 AND length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) < 300) AS thin_jd
-    FROM documents GROUP BY 1, 2""")
+_DIAG = """SELECT source AS provider, lang AS company_slug, CASE WHEN doc_id % 50 = 0 THEN '' ELSE CAST(doc_id % 400 AS STRING) END AS external_id, CASE WHEN doc_id % 31 = 0 THEN ' ' ELSE 'Data ' || lang END AS job_title, CASE WHEN doc_id % 13 > 0 THEN 'u' END AS job_url,
+    CASE WHEN doc_id % 7 = 0 THEN 'Pune, India' WHEN doc_id % 7 > 2 THEN 'Paris' END AS location, CASE WHEN doc_id % 11 > 0 THEN TIMESTAMP '2024-01-01 00:00:00' END AS posted_at, doc_id % 5 = 0 AS is_remote,
+    CASE doc_id % 17 WHEN 1 THEN ' DATA ' || upper(lang) || ' ' WHEN 2 THEN '<p>a</p><br/><b>' || text WHEN 3 THEN 'Access  denied? Error 404' WHEN 4 THEN ' ' ELSE text END AS jd_text FROM {documents}"""
+
+
+@query("b27_diagnose_boards", f"""WITH d AS ({_DIAG.format(documents="documents")}), t AS (SELECT *, trim(coalesce(jd_text, '')) AS jd FROM d)
+    SELECT provider, company_slug, count(*) AS n, count(*) FILTER (external_id <> '') - count(DISTINCT external_id) FILTER (external_id <> '') AS duplicate_ids, count(*) FILTER (external_id = '') AS missing_ids, count(*) FILTER (job_url IS NULL) AS missing_urls, count(*) FILTER (trim(job_title) = '') AS missing_titles,
+      count(*) FILTER (location IS NULL) AS null_locations, count(*) FILTER (posted_at IS NULL) AS null_dates, count(*) FILTER (coalesce(location LIKE '%India%', false)) AS in_region, count(*) FILTER (jd = '') AS empty_jd, count(*) FILTER (length(jd) BETWEEN 1 AND 299) AS thin_jd,
+      count(*) FILTER (len(regexp_extract_all(jd, '(?i)</?[a-z][a-z0-9-]*[\\s/>]')) > 3) AS html_residue, count(*) FILTER (regexp_matches(substr(jd, 1, 600), '(?i)access denied|error 404|page not found|captcha|session expired')) AS error_pages,
+      count(*) FILTER (jd <> '' AND lower(jd) = lower(trim(job_title))) AS title_only, count(*) IN (10, 20, 25, 30, 50, 100) OR (count(*) >= 200 AND count(*) % 100 = 0) AS round_count FROM t GROUP BY 1, 2""")
 def _(v, t):
-    d = t("documents").select(F.col("source").alias("provider"), F.col("lang").alias("company_slug"), F.col("doc_id").cast("string").alias("external_id"), F.lit("x").alias("job_title"), F.lit("y").alias("location"), F.col("text").alias("jd_text"))
-    return reports.diagnose_boards(d).select("provider", "company_slug", "n", "empty_jd", "thin_jd")
+    documents = t("documents")
+    rows = documents.sparkSession.sql(_DIAG, documents=documents)
+    return reports.diagnose_boards(rows, region=r"\bIndia\b").drop("identical_samples")
 
 
 # Joins

@@ -343,3 +343,20 @@ def test_company_groups_keep_counts_and_the_top_role(spark):
     got = {r["company_norm"]: (r["company"], r["first_pos"], r["roles"], r["first_title"], r["top"]["title"]) for r in outreach.group_by_company(df).collect()}
     assert got == {"acme": ("Acme Ltd", 1, 4, "A", "C"), "z": ("Z", 5, 1, "E", "E")}
     assert sorted((r["pos"], r["role"]["title"]) for r in outreach.roles_of(df, spark.createDataFrame([("acme",)], "company_norm string")).collect()) == [(1, "A"), (2, "B"), (3, "C"), (4, "D")]
+
+
+def test_diagnostics_of_boards(spark):
+    from feedloom.operators import reports
+
+    columns = "provider string, company_slug string, external_id string, job_title string, job_url string, location string, is_remote boolean, posted_at timestamp, jd_text string"
+    same = [("p", "same", str(i), "T", "u", "Paris", False, None, "one text" if i in (0, 4, 8) else f"text {i}") for i in range(9)]
+    # Of a board with something in the region only that is sampled.
+    some = [("p", "some", str(i), "T", "u", "Pune, India" if i < 3 else "Paris", False, None, "one" if i < 3 else f"t{i}") for i in range(9)]
+    rest = [("p", "rest", None, "T", None, None, None, ts(1), None), ("p", "rest", "", " ", "", "", True, None, " t "), ("p", "rest", "1", "Title", "u", "x", False, None, " TITLE "), ("p", "rest", "1", "t", "u", "x", None, None, "<a >b</a ><br/><i >x")]
+    round_ = [("p", "round", str(i), "t", "u", "x", False, ts(1), "captcha" if i == 3 else "x" * 400) for i in range(30)]
+    got = {r["company_slug"]: r for r in reports.diagnose_boards(spark.createDataFrame(same + some + rest + round_, columns), region=r"\bIndia\b").collect()}
+    assert got["same"]["identical_samples"] and got["some"]["identical_samples"] and not got["rest"]["identical_samples"] and got["some"]["in_region"] == 3
+    want = {"n": 4, "duplicate_ids": 1, "missing_ids": 2, "missing_urls": 2, "missing_titles": 1, "null_locations": 2, "null_dates": 3, "empty_jd": 1, "thin_jd": 3, "html_residue": 1, "error_pages": 0, "title_only": 1, "round_count": False}
+    assert {k: got["rest"][k] for k in want} == want
+    assert got["round"]["round_count"] and got["round"]["error_pages"] == 1
+    assert reports.diagnose_boards(spark.createDataFrame([], columns)).count() == 0
