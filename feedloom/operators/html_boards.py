@@ -1,19 +1,25 @@
-"""B2: HTML boards read by selectors. Pages are parsed in batches; one page is all that a task holds at a time."""
+"""B2: HTML boards read by selectors, as array functions over a page's tags: no page leaves the JVM.
+
+A page falls into tags and what stands between them; a fold over these finds the elements that a selector fits, each from its
+start tag to the end tag that balances it. Of elements that fit inside one another the outermost count. An element that
+nothing closes reaches to the end of what it stands in.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
-from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.text import collapse_ws, decode_attr_entities
 from feedloom.operators.lifecycle import first_per_key
+from feedloom.operators.normalise import board_external_id
 
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_VOID = "area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr"
+#: A comment, a script or style with its content, a tag, or what stands between tags.
+_TOKENS = r"(?is)<!--.*?-->|<(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>|<[^>]*>|[^<]+|<"
 
 
 @dataclass(frozen=True)
@@ -31,108 +37,91 @@ class HtmlBoard:
     jd: str | None = None
 
 
-class _Node:
-    def __init__(self, tag: str, attrs: dict[str, str], parent: _Node | None):
-        self.tag, self.attrs, self.parent, self.parts = tag, attrs, parent, []
-
-    def text(self) -> str:
-        return "".join(p if isinstance(p, str) else p.text() for p in self.parts)
-
-    def below(self) -> Iterator[_Node]:
-        for p in self.parts:
-            if isinstance(p, _Node):
-                yield p
-                yield from p.below()
-
-
-class _Tree(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node("", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        node = _Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.parts.append(node)
-        if tag not in _VOID:
-            self.at = node
-
-    def handle_endtag(self, tag):
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
-
-    def handle_data(self, data):
-        if self.at.tag not in ("script", "style"):
-            self.at.parts.append(data)
-
-
-def _fits(node: _Node, simple: str) -> bool:
-    tag = re.match(r"[\w-]*", simple)[0]
-    if tag and node.tag != tag.lower():
-        return False
-    for kind, name in re.findall(r"([.#])([\w-]+)", re.sub(r"\[[^\]]*\]", "", simple)):
-        if (kind == "#" and node.attrs.get("id") != name) or (kind == "." and name not in node.attrs.get("class", "").split()):
-            return False
-    return all(k in node.attrs and (not v or node.attrs[k] == v) for k, v in re.findall(r"\[([\w-]+)(?:=[\"']?([^\"'\]]*)[\"']?)?\]", simple))
-
-
-def select(root: _Node, selector: str) -> list[_Node]:
-    """Nodes below root that fit, in document order."""
-    *above, last = selector.split()
-    out = []
-    for node in root.below():
-        if not _fits(node, last):
-            continue
-        wanted, up = list(above), node.parent
-        while wanted and up is not None and up is not root:
-            if _fits(up, wanted[-1]):
-                wanted.pop()
-            up = up.parent
-        if not wanted:
-            out.append(node)
-    return out
-
-
-def _field(node: _Node, spec: str | None) -> str | None:
+def _start_pattern(simple: str) -> str:
+    """The start tags that a simple selector fits."""
+    tag = re.match(r"[\w-]*", simple)[0] or r"[a-zA-Z][\w-]*"
+    names = re.findall(r"([.#])([\w-]+)", re.sub(r"\[[^\]]*\]", "", simple))
+    looks = [rf"(?=[^>]*\sclass\s*=\s*(?:\"[^\">]*(?<![\w-]){n}(?![\w-])|'[^'>]*(?<![\w-]){n}(?![\w-])|{n}[\s>]))" if k == "." else rf"(?=[^>]*\sid\s*=\s*[\"']?{n}[\"'\s>])" for k, n in names]
+    for k, v in re.findall(r"\[([\w-]+)(?:=[\"']?([^\"'\]]*)[\"']?)?\]", simple):
+        looks.append(rf"(?=[^>]*\s{k}\s*=\s*[\"']?{re.escape(v)}[\"'\s>])" if v else rf"(?=[^>]*\s{k}[\s=>])")
+    return rf"(?is)^<{tag}(?=[\s>/]){''.join(looks)}"
+
+
+def _elements(html: Column, simple: str) -> Column:
+    """The outermost elements that a simple selector fits, in order, as text."""
+    tokens = F.regexp_extract_all(html, F.lit(_TOKENS), F.lit(0))
+    spans = F.array().cast("array<struct<at:int,size:int>>")
+    begin = F.struct(F.lit("").alias("tag"), F.lit(0).alias("depth"), F.lit(0).alias("start"), F.lit(0).alias("at"), spans.alias("spans"))
+    span = lambda at, end: F.struct(at.alias("at"), (end - at).alias("size"))
+
+    def step(s: Column, token: Column) -> Column:
+        end = s["at"] + F.char_length(token)
+        name = F.lower(F.regexp_extract(token, r"^</?([a-zA-Z][\w-]*)", 1))
+        alone = token.rlike(rf"(?is)^<(?:{_VOID})\b|/>$|^<(?:script|style)\b.*</")
+        moved = lambda tag, depth, start, found: F.struct(tag.alias("tag"), depth.alias("depth"), start.alias("start"), end.alias("at"), found.alias("spans"))
+        fits = (s["tag"] == "") & token.rlike(_start_pattern(simple))
+        depth = s["depth"] + F.when((name != s["tag"]) | alone, 0).when(token.startswith("</"), -1).otherwise(1)
+        closed = (s["tag"] != "") & (depth == 0)
+        return (
+            F.when(fits & alone, moved(F.lit(""), F.lit(0), F.lit(0), F.array_append(s["spans"], span(s["at"], end)))).when(fits, moved(name, F.lit(1), s["at"], s["spans"]))
+            .when(closed, moved(F.lit(""), F.lit(0), F.lit(0), F.array_append(s["spans"], span(s["start"], end)))).when(s["tag"] != "", moved(s["tag"], depth, s["start"], s["spans"]))
+            .otherwise(moved(F.lit(""), F.lit(0), F.lit(0), s["spans"]))
+        )
+
+    found = F.aggregate(tokens, begin, step, lambda s: F.when(s["tag"] != "", F.array_append(s["spans"], span(s["start"], s["at"]))).otherwise(s["spans"]))
+    return F.transform(found, lambda x: F.substring(html, x["at"] + 1, x["size"]))
+
+
+def select(html: Column, selector: str) -> Column:
+    """The elements that a selector fits, in order, as text."""
+    # Below the first level the elements' own tags are left out: what fits must lie inside.
+    below = lambda simple: lambda h: _elements(F.regexp_replace(h, r"^<[^>]*>", ""), simple)
+    first, *rest = selector.split()
+    found = _elements(html, first)
+    for simple in rest:
+        found = F.flatten(F.transform(found, below(simple)))
+    return found
+
+
+def _plain(html: Column) -> Column:
+    """Text of an element: no scripts, no tags, entities decoded."""
+    return decode_attr_entities(F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", ""), r"<[^>]*>", ""))
+
+
+def _attribute(element: Column, name: str) -> Column:
+    tag = F.regexp_extract(element, r"^<[^>]*>", 0)
+    value = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", 1)
+    value = F.concat(value, *[F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", i) for i in (2, 3)])
+    return decode_attr_entities(value)
+
+
+def _field(item: Column, spec: str | None) -> Column:
+    """The text, or the attribute, of the first element that fits; the item itself where it fits."""
     if not spec:
-        return None
+        return F.lit(None).cast("string")
     selector, _, attribute = spec.partition("@")
-    found = select(node, selector) if selector else [node]
-    if not found and selector and _fits(node, selector):
-        found = [node]
-    text = (found[0].attrs.get(attribute) if attribute else found[0].text()) if found else None
-    return " ".join(text.split()) or None if text else None
-
-
-def read_board(html: str, board: HtmlBoard) -> list[tuple[str, str | None, str | None, str | None, str | None]]:
-    """(title, link, location, id, description) of each item of a page."""
-    tree = _Tree()
-    tree.feed(html)
-    jd = "\n\n".join(n.text().strip() for n in select(tree.root, board.jd)) if board.jd else None
-    out = []
-    for item in select(tree.root, board.item):
-        title = _field(item, board.title)
-        if title and board.capture_title:
-            got = re.search(board.capture_title, title)
-            title = got[1].strip() if got else title
-        if title and not (board.exclude_title and re.search(board.exclude_title, title)):
-            out.append((title, _field(item, board.link), _field(item, board.location) or board.fixed_location, item.attrs.get(board.id_attribute or "") or None, jd))
-    return out
+    # What lies inside the item, without its own tag.
+    inside = F.regexp_replace(item, r"^<[^>]*>", "")
+    found = F.get(select(inside, selector), F.lit(0)) if selector else item
+    if selector:
+        found = F.coalesce(found, F.when(item.rlike(_start_pattern(selector.split()[-1])), item))
+    return F.nullif(collapse_ws(_attribute(found, attribute) if attribute else _plain(found)), F.lit(""))
 
 
 def normalize_html(pages: DataFrame, board: HtmlBoard) -> DataFrame:
     """B2: pages (provider, slug, page, url, html) to postings; links are made absolute, repeats within a board dropped."""
-    from feedloom.functions.text import kebab_case
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(p, s, n, u, i, *x) for p, s, n, u, h in zip(b["provider"], b["slug"], b["page"], b["url"], b["html"], strict=True) for i, x in enumerate(read_board(h or "", board))]
-            yield pd.DataFrame(out, columns=["provider", "company_slug", "page", "url", "pos", "job_title", "link", "location", "own_id", "jd_text"])
-
-    found = pages.select("provider", "slug", "page", "url", "html").mapInPandas(rows, "provider string, company_slug string, page int, url string, pos int, job_title string, link string, location string, own_id string, jd_text string")
+    html = F.coalesce("html", F.lit(""))
+    jd = F.array_join(F.transform(select(html, board.jd), lambda x: F.btrim(_plain(x))), "\n\n") if board.jd else F.lit(None).cast("string")
+    items = pages.select("provider", F.col("slug").alias("company_slug"), "page", "url", jd.alias("jd_text"), F.posexplode(select(html, board.item)).alias("pos", "item"))
+    item = F.col("item")
+    own = F.nullif(_attribute(item, board.id_attribute), F.lit("")) if board.id_attribute else F.lit(None).cast("string")
+    found = items.select("provider", "company_slug", "page", "url", "pos", "jd_text", _field(item, board.title).alias("job_title"), _field(item, board.link).alias("link"), F.coalesce(_field(item, board.location), F.lit(board.fixed_location).cast("string")).alias("location"), own.alias("own_id"))
+    if board.capture_title:
+        found = found.withColumn("job_title", F.when(F.col("job_title").rlike(board.capture_title), F.btrim(F.regexp_extract("job_title", board.capture_title, 1))).otherwise(F.col("job_title")))
+    found = found.where("job_title <> ''")
+    if board.exclude_title:
+        found = found.where(~F.col("job_title").rlike(board.exclude_title))
     origin, folder = F.regexp_extract("url", r"^([a-z]+://[^/?#]+)", 1), F.regexp_extract("url", r"^([a-z]+://[^?#]*/)", 1)
     link = F.when(F.col("link").rlike("^[a-z]+:"), F.col("link")).when(F.col("link").startswith("/"), F.concat(origin, F.col("link"))).otherwise(F.concat(folder, F.col("link")))
-    named = found.withColumn("job_url", F.coalesce(link, "url")).withColumn("external_id", F.coalesce("own_id", F.when(F.col("link").isNotNull(), F.regexp_replace(F.regexp_replace(link, "^[a-z]+://[^/]+/?", ""), r"[?#].*$|/$", "")), kebab_case(F.col("job_title"))))
+    named = found.withColumn("job_url", F.coalesce(link, "url")).withColumn("external_id", F.coalesce("own_id", board_external_id(link, F.col("job_title"), F.col("url"))))
     return first_per_key(named, ["provider", "company_slug", "external_id"], "page", "pos").select("provider", "company_slug", "external_id", "job_title", "job_url", "location", "jd_text")

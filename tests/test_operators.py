@@ -160,7 +160,22 @@ def test_html_boards(spark):
     pages = spark.createDataFrame([("p", "s", 1, "https://a.example/c/list", html), ("p", "s", 2, "https://a.example/c/list", html)], "provider string, slug string, page int, url string, html string")
     board = HtmlBoard("ul.jobs li", "h3", "a@href", ".loc", "India", "^General", r"Role: (.*)", "data-id")
     got = sorted(tuple(r)[2:6] for r in normalize_html(pages, board).collect())
-    assert got == [("7", "Analyst", "https://a.example/j/7", "Pune"), ("c/x/8", "Lead", "https://a.example/c/x/8?y=1", "India")]
+    assert got == [("/c/x/8?y=1", "Lead", "https://a.example/c/x/8?y=1", "India"), ("7", "Analyst", "https://a.example/j/7", "Pune")]
+    plan = normalize_html(pages, board)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_elements_by_selector(spark):
+    from feedloom.operators.html_boards import _attribute, _field, select
+
+    html = """<!-- <div class="job">no</div> --><script>var x = '<div class="job">no</div>';</script><DIV Class='job wide' data-n="1"><div>in <b>ner</b></div>a&amp;b<img class=pic src=/x.png></DIV>
+    <div class="jobs">not</div><section id=s><div class="x job" data-n='2'><div class="job">nested</div><br>c</div></section><p class="job">p<div class="job" data-n=3>open"""
+    df = spark.createDataFrame([(html,), ("",), ("<",), ("text only",)], "html string")
+    got = {s: df.select(F.transform(select(F.col("html"), s), lambda x: F.struct(_attribute(x, "data-n").alias("n"), _field(x, "b").alias("b"), F.length(x).alias("size"))).alias("x")).first()["x"] for s in ("div.job", "#s div", ".job", "div[data-n=3]", "img", "section .job", "nav div", "div.job div")}
+    assert [r["n"] for r in got["div.job"]] == ["1", "2", "3"] and [r["b"] for r in got["div.job"]] == ["ner", None, None]
+    assert [r["n"] for r in got["#s div"]] == ["2"] and [r["n"] for r in got["section .job"]] == ["2"] and [r["n"] for r in got[".job"]] == ["1", "2", ""]
+    assert [r["n"] for r in got["div[data-n=3]"]] == ["3"] and len(got["img"]) == 1 and got["nav div"] == []
+    assert all(not r["x"] for r in df.where("html <> ''").select(F.transform(select(F.col("html"), "div.job"), lambda x: x).alias("x")).collect()[1:])
 
 
 def test_news_that_repeat_a_key_multiply_nothing(spark):
