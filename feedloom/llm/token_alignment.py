@@ -23,6 +23,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ BLOCK_CHARS, BLOCK_TEXTS = 6 << 20, 4096
 #: Characters of a text read at a time.
 PIECE = 1 << 20
 #: Distinct segments, and their characters, that a task keeps from block to block.
-KEPT_SEGMENTS, KEPT_CHARS = 200_000, 4 << 20
+KEPT_SEGMENTS, KEPT_CHARS = 600_000, 12 << 20
 #: Segments that are encoded at a time.
 ENCODED = 50_000
 #: Ids of A are below this, those of B below 1 << 16; a pair is one number.
@@ -94,7 +95,7 @@ class Tokenizers:
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum())), sizes
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
 
 
 class _Places(dict):
@@ -141,12 +142,13 @@ class Segments:
     def _align(self, new: list[str]) -> None:
         t = self.tokenizers
         ids_a, ids_b = t.of(new)
-        for i, s in enumerate(new):
-            whole_a, whole_b = (b"".join(map(x.__getitem__, ids)) for x, ids in ((t.bytes_a, ids_a[i]), (t.bytes_b, ids_b[i])))
-            if not whole_a == whole_b == s.encode():
-                self.wrong.add(len(self.groups) + i)
-                ids_a[i], ids_b[i] = [], []
         (a, n_a), (b, n_b) = _flat(ids_a), _flat(ids_b)
+        if not self._whole(new, (a, n_a), (b, n_b)):
+            for i, s in enumerate(new):
+                if not b"".join(map(t.bytes_a.__getitem__, ids_a[i])) == b"".join(map(t.bytes_b.__getitem__, ids_b[i])) == s.encode():
+                    self.wrong.add(len(self.groups) + i)
+                    ids_a[i], ids_b[i] = [], []
+            (a, n_a), (b, n_b) = _flat(ids_a), _flat(ids_b)
         end_a, end_b = np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
         ends = np.union1d(end_a, end_b)
         at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
@@ -168,6 +170,16 @@ class Segments:
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(links)])
         self.pairs = np.concatenate([self.pairs, a[at_a] << SHIFT | b[at_b]])
 
+    def _whole(self, new: list[str], *sides: tuple[np.ndarray, np.ndarray]) -> bool:
+        """Whether both tokenizers give back every segment byte for byte."""
+        data = [s.encode() for s in new]
+        ends, whole = np.cumsum([len(x) for x in data]), b"".join(data)
+        for (ids, sizes), lengths, tokens in zip(sides, self.lengths, (self.tokenizers.bytes_a, self.tokenizers.bytes_b), strict=True):
+            reached = np.concatenate([[0], np.cumsum(lengths[ids])])
+            if not (np.array_equal(reached[np.cumsum(sizes)], ends) and b"".join(map(tokens.__getitem__, ids.tolist())) == whole):
+                return False
+        return True
+
     def pairs_of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The linked pairs of the places in order, and how many each place has."""
         sizes = self.starts[places + 1] - self.starts[places]
