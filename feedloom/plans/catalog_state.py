@@ -170,16 +170,24 @@ def _(v, t):
     return outreach.promote_contacts(v("v_drafts").where("status = 'sent'"), people, people.where("c_custkey % 4 = 0")).select("email")
 
 
-# The plan: companies are c_mktsegment and c_custkey buckets; contacts match by exact name.
-_PLAN = f"""WITH roles AS (SELECT o_orderkey AS pos, 'firm ' || (o_custkey % 40) AS firm, CASE o_orderkey % 3 WHEN 0 THEN 'green' WHEN 1 THEN 'yellow' ELSE 'silent' END AS severity FROM orders),
-    firms AS (SELECT firm, min(pos) AS first_pos, count(*) AS roles FROM roles WHERE severity <> 'silent' GROUP BY 1), people AS (SELECT 'c' || c_custkey || '@x.example.com' AS email, 'firm ' || (c_custkey % 50) AS firm, status, c_custkey FROM v_recruiters),
+# The plan: contacts match companies by exact name. The drafts' companies are buckets of customers, the contacts' as well.
+def _plan_sql(company: str, employer: str) -> str:
+    return f"""WITH roles AS (SELECT o_orderkey AS pos, 'firm ' || ({company}) AS firm, CASE o_orderkey % 3 WHEN 0 THEN 'green' WHEN 1 THEN 'yellow' ELSE 'silent' END AS severity FROM orders),
+    firms AS (SELECT firm, min(pos) AS first_pos, count(*) AS roles FROM roles WHERE severity <> 'silent' GROUP BY 1), people AS (SELECT 'c' || c_custkey || '@x.example.com' AS email, 'firm ' || ({employer}) AS firm, status, c_custkey FROM v_recruiters),
     last AS (SELECT email, TIMESTAMP '{ORDERS_NOW}' - to_days(CAST(c_custkey % 60 AS INT)) AS drafted FROM people WHERE c_custkey % 2 = 0),
     m AS (SELECT f.firm, first_pos, p.email, p.status, drafted, CASE WHEN p.status = 'bounced' THEN 'bounced_contact' WHEN drafted > TIMESTAMP '{ORDERS_NOW}' - INTERVAL 30 DAY THEN 'cooldown' ELSE 'eligible' END AS state FROM firms f JOIN people p ON p.firm = f.firm LEFT JOIN last l ON l.email = p.email)"""
 
 
-def _plan(v, t):
-    postings = t("orders").select(F.concat(F.lit("Firm "), (F.col("o_custkey") % 40).cast("string"), F.lit(" Ltd")).alias("company"), F.concat(F.lit("Role "), F.col("o_orderkey").cast("string")).alias("job_title"), F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("job_url"), F.element_at(F.array(F.lit("green"), F.lit("yellow"), F.lit("silent")), (F.col("o_orderkey") % 3).cast("int") + 1).alias("severity"), F.lit(0.9).alias("llm_confidence"), F.col("o_orderkey").alias("pos"))
-    people = v("v_recruiters").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@x.example.com")).alias("email"), "status", F.concat(F.lit("firm "), (F.col("c_custkey") % 50).cast("string")).alias("company_norm"), F.array().cast("array<string>").alias("alt_names_norm"), "c_custkey")
+_PLAN = _plan_sql("o_custkey % 40", "c_custkey % 50")
+# In 40 buckets some contact is always eligible, so no role stays undrafted: here each customer is a company with its own
+# contact. Of those with 7 the contact works for the next one, so that no contact is left out and some companies have none.
+_EMPLOYER = "c_custkey + CASE WHEN c_custkey % 40 = 7 THEN 1 ELSE 0 END"
+_PLAN_BY_CUSTOMER = _plan_sql("o_custkey", _EMPLOYER)
+
+
+def _plan(v, t, company="o_custkey % 40", employer="c_custkey % 50"):
+    postings = t("orders").select(F.concat(F.lit("Firm "), F.expr(company).cast("string"), F.lit(" Ltd")).alias("company"), F.concat(F.lit("Role "), F.col("o_orderkey").cast("string")).alias("job_title"), F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("job_url"), F.element_at(F.array(F.lit("green"), F.lit("yellow"), F.lit("silent")), (F.col("o_orderkey") % 3).cast("int") + 1).alias("severity"), F.lit(0.9).alias("llm_confidence"), F.col("o_orderkey").alias("pos"))
+    people = v("v_recruiters").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@x.example.com")).alias("email"), "status", F.concat(F.lit("firm "), F.expr(employer).cast("string")).alias("company_norm"), F.array().cast("array<string>").alias("alt_names_norm"), "c_custkey")
     last = people.where("c_custkey % 2 = 0").select(F.col("email").alias("recruiter_email"), F.expr(f"timestamp'{ORDERS_NOW}' - make_interval(0, 0, 0, cast(c_custkey % 60 as int))").alias("last_drafted_at"))
     return outreach.plan_outreach(postings, people, last, "Hi {{name}}, {{company}}: {{roles}}", ts(ORDERS_NOW))
 
@@ -191,10 +199,10 @@ def _(v, t):
     return _plan(v, t)[0].select("email", "company_norm", "rank", F.col("top.title").alias("top"), "body")
 
 
-@query("i17_undrafted", f"""{_PLAN}, why AS (SELECT firms.firm, CASE WHEN count(m.firm) = 0 THEN 'no_contact' WHEN bool_or(state = 'cooldown') THEN 'cooldown' ELSE 'bounced_contact' END AS reason FROM firms LEFT JOIN m ON m.firm = firms.firm GROUP BY 1 HAVING NOT coalesce(bool_or(state = 'eligible'), false))
+@query("i17_undrafted", f"""{_PLAN_BY_CUSTOMER}, why AS (SELECT firms.firm, CASE WHEN count(m.firm) = 0 THEN 'no_contact' WHEN bool_or(state = 'cooldown') THEN 'cooldown' ELSE 'bounced_contact' END AS reason FROM firms LEFT JOIN m ON m.firm = firms.firm GROUP BY 1 HAVING NOT coalesce(bool_or(state = 'eligible'), false))
     SELECT 'Role ' || pos AS job_title, roles.severity, reason FROM roles JOIN why ON why.firm = roles.firm WHERE roles.severity <> 'silent'""")
 def _(v, t):
-    return _plan(v, t)[1].select("job_title", "severity", "reason")
+    return _plan(v, t, "o_custkey", _EMPLOYER)[1].select("job_title", "severity", "reason")
 
 
 @query("i19_sweep_bounces", f"""SELECT o_orderkey, CASE WHEN status = 'drafted' AND "at" >= TIMESTAMP '{EVENTS_NOW}' - INTERVAL 21 DAY AND last > "at" THEN 'bounced' ELSE status END AS status FROM v_blast LEFT JOIN (SELECT address, max(internal_date) AS last FROM v_mailbox WHERE folder = 'bounce' GROUP BY 1) ON address = email""")

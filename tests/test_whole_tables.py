@@ -33,3 +33,19 @@ def test_no_id_is_left_out(spark):
     assert len(years) == orders and all(y is None for k, y in years.items() if k % 7 == 5)
     assert catalog.QUERIES["f5_match_contacts"](spark, DATA).where("tier = 1").count() == people
     assert catalog.QUERIES["f9_correlate_mail"](spark, DATA).count() == orders
+
+
+def test_undrafted_tells_every_role_that_has_no_eligible_contact(spark):
+    data = "/root/testdata/sf0.01"
+    states = {}
+    for (k,) in spark.read.parquet(f"{data}/customer.parquet").select("c_custkey").collect():
+        state = "bounced_contact" if k % 6 == 1 else "cooldown" if k % 2 == 0 and k % 60 < 30 else "eligible"
+        states.setdefault(k + (k % 40 == 7), set()).add(state)
+    want = Counter()
+    for key, customer in spark.read.parquet(f"{data}/orders.parquet").select("o_orderkey", "o_custkey").collect():
+        found = states.get(customer, set())
+        if key % 3 < 2 and "eligible" not in found:
+            reason = "cooldown" if "cooldown" in found else "bounced_contact" if found else "no_contact"
+            want[f"Role {key}", ("green", "yellow")[key % 3], reason] += 1
+    assert {reason for _, _, reason in want} == {"no_contact", "cooldown", "bounced_contact"}
+    assert rows_of(catalog.QUERIES["i17_undrafted"](spark, data).collect()) == want
