@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import bitmap_of, in_bitmap, saved, set_aside, spread_join
+from feedloom.llm.common import bitmap_of, in_bitmap, saved, set_aside, small_batches, spread_join
 from feedloom.llm.hashing import BASES, ByteWords, Powers, Sequence, mix, signed, stretch_ids
 
 EXACT_WORDS, NEAR_WORDS, NEAR_CHARS = 1, 10, 10
@@ -303,7 +303,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", bit
     Columns of docs that bear the name of a result get `_in` behind it.
     """
     docs = set_aside(docs, RESULTS)
-    gone = removed_lines(docs, id_col, text, bits, characters)
+    # Every step in Python is written before this returns, so its workers hold few texts at a time.
+    with small_batches(docs.sparkSession):
+        gone = removed_lines(docs, id_col, text, bits, characters)
     per_doc = gone.groupBy(F.col("doc").alias("__doc"), F.col("tie").alias("__tie")).agg(F.collect_set("line").alias("__gone"), F.array_sort(F.collect_set("first_doc")).alias("__firsts"))
     keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     joined = keyed.join(per_doc, (F.col("__key") == F.col("__tie")) & F.col(id_col).eqNullSafe(F.col("__doc")), "left")

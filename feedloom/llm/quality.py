@@ -21,7 +21,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -183,9 +182,10 @@ def scored(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     """docs with score and predicted."""
     docs = set_aside(docs, ("score", "predicted"))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([model.margin(t) for t in texts], dtype=float)))
+    # One text of a batch at a time is a string.
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(model.score(np.fromiter((model.margin(t.as_py()) for t in texts), float, len(texts))))
 
     return docs.withColumn("score", score(F.col(text))).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 

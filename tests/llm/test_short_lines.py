@@ -92,3 +92,25 @@ def test_hashes_of_words_tell_lengths_and_bytes_apart():
     assert ByteWords().of(b"")[0].size == 0 and ByteWords().of(b" \n")[0].size == 0
     ids = stretch_ids(found, np.array([0, 1, 0, 3]), np.array([2, 3, 2, 3]))
     assert (ids[0] == ids[2]).all() and len({tuple(x) for x in ids.tolist()}) == 3
+
+
+def test_workers_of_the_line_dedup_get_few_texts_at_a_time(spark, monkeypatch):
+    scan = line_dedup._scan
+
+    def checked(characters):
+        read = scan(characters)
+
+        def few(batches):
+            def each():
+                for batch in batches:
+                    if batch.num_rows > 1000:
+                        raise ValueError(f"{batch.num_rows} texts in a batch")
+                    yield batch
+
+            return read(each())
+
+        return few
+
+    monkeypatch.setattr(line_dedup, "_scan", checked)
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "concat('one line for all\n', id, ' ', id * 7919) AS text")
+    assert line_dedup.dedup_lines(docs, characters=True).where("n_removed = 1").count() == 2999
