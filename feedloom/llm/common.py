@@ -81,22 +81,26 @@ def set_aside(df: DataFrame, results: Iterable[str]) -> DataFrame:
 KEY_ROWS, HOT_KEYS = 2000, 1000
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], how: str = "inner", counts: DataFrame | None = None, rows: int = KEY_ROWS, sized: DataFrame | None = None, total: int | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], how: str = "inner", counts: DataFrame | None = None, rows: int = KEY_ROWS, sized: DataFrame | None = None, total: int | None = None, most: int | None = None) -> DataFrame:
     """left joined with right, which has one row per key: keys that many rows of left share are dealt to several tasks.
 
     left must be saved, or sized be a saved table with as many rows of each key, or counts and total be given. The keys of more than a thousandth of its rows are HOT_KEYS at most, so their table may be broadcast; their
     row of right is repeated once per task. `by` deals the rows of a key. counts: (key, __rows), where the caller has them.
+    most: a bound of the rows of any key; where it is low enough nothing is counted.
     """
     sized = left if sized is None else sized
     n = sized.count() if total is None else total
     limit = max(rows, n // HOT_KEYS)
-    if n <= limit:
+    if n <= limit or (most is not None and most <= limit):
         return left.join(right, on, how)
     if counts is None:
         counts = sized.groupBy(*on).agg(F.count("*").alias("__rows"))
-    hot = saved(counts.where(F.col("__rows") > limit).select(*on, F.ceil(F.col("__rows") / F.lit(limit)).cast("int").alias("__parts")), "hot")
-    if hot.isEmpty():
+    hot = counts.where(F.col("__rows") > limit).select(*on, F.ceil(F.col("__rows") / F.lit(limit)).cast("int").alias("__parts"))
+    # So few keys that one query may bring them here: most often there are none, and nothing need be written and read.
+    found = hot.collect()
+    if not found:
         return left.join(right, on, how)
+    hot = left.sparkSession.createDataFrame(found, hot.schema)
     salt = F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(*by), F.col("__parts"))).otherwise(0).cast("int")
     dealt = left.join(F.broadcast(hot), on, "left").withColumn("__salt", salt).drop("__parts")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))
@@ -158,11 +162,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     left = saved(edges.distinct(), "edges")
     ends = left.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     labels = saved(ends.select("id", F.col("id").alias("root")), "labels")
+    every = labels.count()
     turn = 0
     while True:
         proper = left.where("a <> b")
-        if proper.isEmpty():
-            break
         priority = F.lit(0) if turn % 2 == 0 else None
 
         def rank(c: str, priority=priority, turn=turn) -> Column:
@@ -171,22 +174,27 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = proper.union(proper.select("b", "a"))
         nearest = both.groupBy("a").agg(F.min(rank("b")).alias("n"), F.count("*").alias("degree"))
         step = saved(nearest.select(F.col("a").alias("v"), F.least("n", rank("a"))["id"].alias("p"), "degree"), "step")
+        # One query says how many vertices and edges are left and how large the largest hub is; the round's joins count no more.
+        vertices, halves, hub = step.agg(F.count("*"), F.sum("degree"), F.max("degree")).first()
+        if not vertices:
+            break
         further = step.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        followed = spread_join(step, further, ["p"], ["v"], "left")
+        # A vertex is pointed at by its neighbours and itself alone.
+        followed = spread_join(step, further, ["p"], ["v"], "left", total=vertices, most=hub + 1)
         point = saved(followed.select("v", F.coalesce("pp", "p").alias("p"), "degree"), "point")
         of_a, of_b = (point.select(F.col("v").alias(c), F.col("p").alias(f"p{c}")) for c in "ab")
         degrees = lambda c: point.select(F.col("v").alias(c), F.col("degree").alias("__rows"))
-        half = saved(spread_join(proper, of_a, ["a"], ["b"], counts=degrees("a")), "half")
-        redrawn = spread_join(half, of_b, ["b"], ["a"], counts=degrees("b")).where("pa <> pb")
+        half = spread_join(proper, of_a, ["a"], ["b"], counts=degrees("a"), total=halves // 2, most=hub)
+        redrawn = spread_join(half, of_b, ["b"], ["a"], counts=degrees("b"), total=halves // 2, most=hub).where("pa <> pb")
         redrawn = saved(redrawn.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
-        moved = spread_join(labels, point.select(F.col("v").alias("root"), "p"), ["root"], ["id"], "left")
+        moved = spread_join(labels, point.select(F.col("v").alias("root"), "p"), ["root"], ["id"], "left", total=every)
         moved = saved(moved.select("id", F.coalesce("p", "root").alias("root")), "labels")
-        discard(left, labels, step, half, point)
+        discard(left, labels, step, point)
         left, labels = redrawn, moved
         turn += 1
-    discard(left)
+    discard(left, step)
     smallest = labels.groupBy("root").agg(F.min("id").alias("component"))
-    return spread_join(labels, smallest, ["root"], ["id"]).select("id", "component")
+    return spread_join(labels, smallest, ["root"], ["id"], total=every).select("id", "component")
 
 
 def one_per_id(rows: DataFrame) -> DataFrame:

@@ -348,7 +348,8 @@ class _Join:
     def verify(self, pairs: DataFrame, known: DataFrame) -> DataFrame:
         """Of saved pairs a, b those that are linked."""
         side = lambda c: known.select(F.col("id").alias(c), F.col("grams").alias(f"g{c}"))
-        both = spread_join(spread_join(pairs, side("a"), ["a"], ["b"], sized=pairs), side("b"), ["b"], ["a"], sized=pairs)
+        n = pairs.count()
+        both = spread_join(spread_join(pairs, side("a"), ["a"], ["b"], sized=pairs, total=n), side("b"), ["b"], ["a"], sized=pairs, total=n)
         return both.where(_linked(self.percent)("ga", "gb")).select("a", "b")
 
     def components(self, rows: DataFrame) -> DataFrame:
@@ -367,7 +368,8 @@ class _Join:
         near = (F.least("size", "leader.size") * 100 >= F.greatest("size", "leader.size") * self.percent) & (F.col("probe") | F.col("leader.probe"))
         pairs = spread_join(rows, leaders, ["key"], ["id"]).where((F.col("id") != F.col("leader.id")) & near)
         pairs = saved(pairs.select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct(), "candidates")
-        room = spread_join(spread_join(pairs, side("a"), ["a"], ["b"], sized=pairs), side("b"), ["b"], ["a"], sized=pairs).where(_may_link(self.percent)("c_a", "c_b", F.col("n_a") + F.col("n_b")))
+        n = pairs.count()
+        room = spread_join(spread_join(pairs, side("a"), ["a"], ["b"], sized=pairs, total=n), side("b"), ["b"], ["a"], sized=pairs, total=n).where(_may_link(self.percent)("c_a", "c_b", F.col("n_a") + F.col("n_b")))
         candidates, pairs = pairs, saved(room.select("a", "b"), "pairs")
         discard(candidates)
         # First one pair per member; the rest only where that left members apart.
@@ -375,7 +377,8 @@ class _Join:
         links, found = self.joined(none, spark.createDataFrame([], "id long, component long"), self.verify(first, known))
         of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
         rest = pairs.join(first, ["a", "b"], "left_anti")
-        rest = spread_join(spread_join(rest, of("a"), ["a"], ["b"], "left", sized=pairs), of("b"), ["b"], ["a"], "left", sized=pairs)
+        n = pairs.count()
+        rest = spread_join(spread_join(rest, of("a"), ["a"], ["b"], "left", sized=pairs, total=n), of("b"), ["b"], ["a"], "left", sized=pairs, total=n)
         rest = saved(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
         links, found = self.joined(links, found, self.verify(rest, known))
         # What a leader left apart joins by the closest of its key first, so that few pairs are left for the last step, all of them.

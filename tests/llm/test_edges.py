@@ -125,3 +125,22 @@ def test_many_rows_of_one_key_are_dealt_to_tasks(spark):
     right = spark.range(1000).selectExpr("id AS k", "id * 2 AS y")
     got = common.spread_join(left, right, ["k"], ["x"], rows=50)
     assert "__parts" not in got.columns and sorted(map(tuple, got.collect())) == sorted((1 if i < 700 else i, i, 2 if i < 700 else 2 * i) for i in range(1000))
+
+
+def test_components_without_hubs_look_for_none(spark, monkeypatch):
+    """A round writes four tables and asks one question: the driver keeps the threads and plans of each query for a while."""
+    saved, written = common.saved, []
+    monkeypatch.setattr(common, "saved", lambda df, name: written.append(name) or saved(df, name))
+    edges = spark.range(6000).where("id % 3 > 0").selectExpr("id - 1 AS a", "id AS b")
+    got = {tuple(r) for r in common.connected_components(edges).collect()}
+    assert got == {(i, i - i % 3) for i in range(6000)}
+    rounds = written.count("point")
+    assert rounds >= 1 and len(written) == 4 * rounds + 3 and set(written) == {"edges", "labels", "step", "point"}
+
+
+def test_components_of_large_hubs(spark):
+    star = spark.range(1, 9000).selectExpr("0L AS a", "id AS b")
+    second = spark.range(1, 5000).selectExpr("10000L + id AS a", "10000L AS b")
+    tail = spark.range(20000, 20100).selectExpr("id AS a", "id + 1 AS b")
+    got = {tuple(r) for r in common.connected_components(star.union(second).union(tail)).collect()}
+    assert got == {(i, 0) for i in range(9000)} | {(10000 + i, 10000) for i in range(5000)} | {(i, 20000) for i in range(20000, 20101)}
