@@ -162,51 +162,53 @@ def _variants(characters: bool, marked: np.ndarray | None = None):
     return lambda batches: _neighbours(batches, characters, marked)
 
 
-def _deletions(values: np.ndarray, powers: Powers, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and kinds of a line by its units, for pairs of which the longer has `least` units or more."""
-    n = len(values)
-    line = Sequence(values, powers)
-    itself = mix(line.sums[n:] + (np.uint64(n) << np.uint64(20)))
-    if n < least:
-        few = itself[: int(n + 1 >= least)]
-        return few, np.full(len(few), 2, np.int8)
-    rest = line.sums[:n] + (line.sums[n] - line.sums[1:]) * line.down[1]
-    replaced = mix(mix(rest + np.uint64(n)) + np.arange(n).astype(np.uint64) + np.uint64(1))
-    return np.concatenate([replaced, mix(rest + (np.uint64(n - 1) << np.uint64(20))), itself]), np.repeat(np.array([0, 1, 2], np.int8), [n, n, 1])
+def _deletions(values: np.ndarray, a: np.ndarray, b: np.ndarray, powers: Powers, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Lines, keys and kinds of many lines at once, [a, b) of the units each, for pairs of which the longer has `least` units or more."""
+    line, n = Sequence(values, powers), b - a
+    few = np.flatnonzero(n + 1 >= least)
+    yield few, mix(line.stretch(a[few], b[few]) + (n[few].astype(np.uint64) << np.uint64(20))), np.full(len(few), 2, np.int8)
+    full = np.flatnonzero(n >= least)
+    ends = np.cumsum(n[full])
+    # A unit of the lines that count at a time; a line of very many units is told in pieces.
+    for x in range(0, int(n[full].sum()), GROUP_CHARS):
+        unit = np.arange(x, min(x + GROUP_CHARS, ends[-1]))
+        who = np.searchsorted(ends, unit, side="right")
+        place = unit - (ends - n[full])[who]
+        who = full[who]
+        start, size = a[who], n[who].astype(np.uint64)
+        at = start + place
+        rest = (line.sums[at] - line.sums[start] + (line.sums[b[who]] - line.sums[at + 1]) * line.down[1]) * line.down[start]
+        yield who, mix(mix(rest + size) + place.astype(np.uint64) + np.uint64(1)), np.zeros(len(who), np.int8)
+        yield who, mix(rest + ((size - np.uint64(1)) << np.uint64(20))), np.ones(len(who), np.int8)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], characters: bool, marked: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     words, powers = ByteWords(), Powers(BASES[0])
     for batch in batches:
-        keys, kinds, rows, total = [], [], [], 0
-        for i, body in enumerate(batch.column(2).to_pylist()):
-            data = body.encode("utf-8", "surrogatepass")
-            values, _ = words.of(data)
-            found = [_deletions(values, powers, NEAR_WORDS)]
-            if characters and len(values) < NEAR_WORDS:
-                key, kind = _deletions(_char_values(_spaced(data)), powers, NEAR_CHARS)
-                found.append((mix(key ^ CHARS), kind))
-            for key, kind in found:
-                keys.append(key)
-                kinds.append(kind)
-                rows.append(np.full(len(key), i))
-                total += len(key)
-            if total >= 500_000:
-                yield from _told(batch, rows, keys, kinds, marked)
-                keys, kinds, rows, total = [], [], [], 0
-        if rows:
-            yield from _told(batch, rows, keys, kinds, marked)
-
-
-def _told(batch: pa.RecordBatch, rows: list[np.ndarray], keys: list[np.ndarray], kinds: list[np.ndarray], marked: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    who, key, kind = np.concatenate(rows), np.concatenate(keys), np.concatenate(kinds)
+        for start, bodies in _groups(batch.column(2).to_pylist()):
+            data = [x.encode("utf-8", "surrogatepass") for x in bodies]
+            # A line holds no line break, so the words of all lines are found in one go.
+            values, firsts = words.of(b"\n".join(data))
+            after = np.cumsum([len(x) + 1 for x in data])
+            ends = np.searchsorted(firsts, after)
+            sizes = np.diff(ends, prepend=0)
+            for who, key, kind in _deletions(values, ends - sizes, ends, powers, NEAR_WORDS):
+                yield from _told(batch, who + start, key, kind, marked)
+            few = np.flatnonzero(sizes < NEAR_WORDS)
+            if characters and len(few):
+                spaced = [_spaced(data[i]) for i in few.tolist()]
+                ends = np.cumsum([len(x) for x in spaced])
+                for who, key, kind in _deletions(_char_values("".join(spaced)), np.concatenate([[0], ends[:-1]]), ends, powers, NEAR_CHARS):
+                    yield from _told(batch, few[who] + start, mix(key ^ CHARS), kind, marked)
+
+
+def _told(batch: pa.RecordBatch, who: np.ndarray, key: np.ndarray, kind: np.ndarray, marked: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     if marked is not None:
         keep = in_bitmap(marked, key)
         who, key, kind = who[keep], key[keep], kind[keep]
-    who = pa.array(who)
-    for a in range(0, len(key), 50_000):
-        part = who.slice(a, 50_000)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(part), batch.column(1).take(part), pa.array(kind[a : a + 50_000]), pa.array(signed(key[a : a + 50_000]))], names=["h1", "h2", "kind", "key"])
+    for x in range(0, len(key), 50_000):
+        part = pa.array(who[x : x + 50_000])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(part), batch.column(1).take(part), pa.array(kind[x : x + 50_000]), pa.array(signed(key[x : x + 50_000]))], names=["h1", "h2", "kind", "key"])
 
 
 def within_one_edit(a: list | str, b: list | str) -> bool:

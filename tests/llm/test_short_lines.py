@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from feedloom.llm import line_dedup, ngram_join
-from feedloom.llm.hashing import ByteWords, stretch_ids
+from feedloom.llm.hashing import ByteWords, Sequence, stretch_ids
 
 
 def brute(rows):
@@ -114,3 +115,23 @@ def test_workers_of_the_line_dedup_get_few_texts_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "_scan", checked)
     docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "concat('one line for all\n', id, ' ', id * 7919) AS text")
     assert line_dedup.dedup_lines(docs, characters=True).where("n_removed = 1").count() == 2999
+
+
+def test_deletion_variants_are_hashed_for_many_lines_at_once(monkeypatch):
+    rng = random.Random(5)
+    lines = ["".join(rng.choice("ab é漢") for _ in range(rng.randrange(1, 40))) + "x" for _ in range(400)]
+    lines += [" ".join(rng.choice(["ab", "é", "漢字", "a"]) for _ in range(n)) for n in range(1, 40)] + ["春眠不覺曉處處聞啼鳥夜來風雨聲" * 40, "a b " * 300]
+    made = []
+    monkeypatch.setattr(line_dedup, "Sequence", lambda *args: made.append(args) or Sequence(*args))
+
+    def variants(numbers):
+        rows = pa.array(numbers, pa.int64())
+        batch = pa.RecordBatch.from_arrays([rows, rows, pa.array([lines[i] for i in numbers])], names=["h1", "h2", "body"])
+        return sorted(tuple(r.values()) for out in line_dedup._variants(True)(iter([batch])) for r in out.to_pylist())
+
+    together = variants(range(len(lines)))
+    # Words and characters, for the one group of lines that this batch is.
+    assert len(made) == 2
+    assert together == sorted(row for i in range(len(lines)) for row in variants([i]))
+    monkeypatch.setattr(line_dedup, "GROUP_CHARS", 100)
+    assert variants(range(len(lines))) == together
