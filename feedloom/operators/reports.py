@@ -144,11 +144,14 @@ def issue_list(failures: DataFrame, limit: int = ISSUE_CHARS) -> DataFrame:
     return rows.select("reason", "n", F.concat(F.col("cut.text"), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(")"))).otherwise("")).alias("slugs"))
 
 
-def issue_text(failures: DataFrame, limit: int = ISSUES_CHARS) -> DataFrame:
-    """One row with the issues as lines, most frequent reason first, ISSUES_CHARS characters at most; `none` without failures."""
+def issue_text(failures: DataFrame, limit: int = ISSUES_CHARS, shown: int = ISSUE_CHARS) -> DataFrame:
+    """One row with the issues as lines, most frequent reason first, `limit` characters at most; `none` without failures.
+
+    shown: characters of a reason's slugs (see issue_list); at `limit` or more no line is cut but by the end of the text.
+    """
     line = F.concat(F.lit("**"), F.col("reason"), F.lit(" ×"), F.col("n").cast("string"), F.lit("**: "), F.col("slugs"))
     # A line has more than ten characters: a hundred of them fill the text.
-    lines = issue_list(failures).orderBy(F.desc("n"), "reason").limit(limit // 10).select((-F.col("n")).alias("k"), "reason", line.alias("line"))
+    lines = issue_list(failures, shown).orderBy(F.desc("n"), "reason").limit(limit // 10).select((-F.col("n")).alias("k"), "reason", line.alias("line"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "reason", "line"))), lambda x: x["line"]), "\n")
     shown = F.when(F.length("text") > limit, F.concat(F.substring("text", 1, limit - 1), F.lit("…"))).otherwise(F.col("text"))
     return lines.agg(text.alias("text")).select(F.when(F.col("text") == "", "none").otherwise(shown).alias("text"))

@@ -49,3 +49,14 @@ def test_undrafted_tells_every_role_that_has_no_eligible_contact(spark):
             want[f"Role {key}", ("green", "yellow")[key % 3], reason] += 1
     assert {reason for _, _, reason in want} == {"no_contact", "cooldown", "bounced_contact"}
     assert rows_of(catalog.QUERIES["i17_undrafted"](spark, data).collect()) == want
+
+
+@pytest.mark.parametrize("users", [range(0), range(0, 4000, 60), range(1500), range(0, 60000, 60), [u for u in range(600) if u % 60 < 3]])
+def test_issue_text_lists_all_slugs_of_a_reason(spark, tmp_path, users):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    rows = " UNION ALL ".join(f"SELECT {k}::BIGINT AS event_id, u::BIGINT AS user_id, TIMESTAMP '2024-01-01' AS ts, '{kind}' AS event_type, 1.0::DOUBLE AS value FROM (SELECT unnest({list(users)}::BIGINT[]) AS u)" for k, kind in enumerate(("error", "error", "view")))
+    con.execute(f"COPY ({rows} UNION ALL SELECT 9, 7, TIMESTAMP '2024-01-01', 'view', 1.0) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    want = con.execute(catalog.ORACLES["g10_issue_text"]).fetchall()
+    assert [tuple(r) for r in catalog.QUERIES["g10_issue_text"](spark, str(tmp_path)).collect()] == want
