@@ -30,9 +30,9 @@ _PLACES = """SELECT s_suppkey, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN
 def _(v, t):
     pages = t("pages").select("page_id", "url")
     companies = pages.sparkSession.sql(_PLACES, supplier=t("supplier"), pages=pages).withColumn("slug", F.col("s_suppkey").cast("string"))
-    asked = pages.select(F.concat("url", F.lit(" "), F.col("page_id").cast("string")).alias("url"), F.lit(None).cast("string").alias("provider"), F.lit(None).cast("string").alias("slug_hint"))
-    found = urls.find_companies(asked, companies)
-    return found.select(F.element_at(F.split("url", " "), -1).cast("long").alias("page_id"), F.col("slug").cast("long").alias("s_suppkey"))
+    asked = pages.select("page_id", "url", F.lit(None).cast("string").alias("provider"), F.lit(None).cast("string").alias("slug_hint"))
+    found = urls.find_companies(asked, companies, keep=("page_id",))
+    return found.select("page_id", F.col("slug").cast("long").alias("s_suppkey"))
 
 
 @query("f6_lookup_contacts", "SELECT DISTINCT recruiter_email AS email, u.status FROM v_drafts JOIN (SELECT 'u' || c_custkey AS email, status, c_custkey FROM v_recruiters) u ON u.email = recruiter_email WHERE c_custkey % 4 > 0")

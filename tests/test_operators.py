@@ -250,6 +250,49 @@ def test_companies_by_the_host_that_their_pages_hold(spark):
     assert sorted((r["url"][-1], r["slug"]) for r in found.collect()) == [("1", "acme"), ("1", "query"), ("2", "acme"), ("3", "port"), ("4", "tenant"), ("6", "acme"), ("7", "tenant"), ("l", "acme"), ("l", "query")]
 
 
+def rows_dealt(plan):
+    """Rows that the exchanges of an executed plan wrote."""
+    if plan.nodeName().startswith("AdaptiveSparkPlan"):
+        return rows_dealt(plan.executedPlan())
+    if "QueryStage" in plan.nodeName():
+        return rows_dealt(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if plan.nodeName() == "Exchange" else 0
+    return own + sum(rows_dealt(plan.children().apply(i)) for i in range(plan.children().size()) if plan.nodeName() != "ReusedExchange")
+
+
+def test_urls_and_companies_of_one_host_are_not_dealt_as_pairs(spark):
+    asked = spark.range(400).selectExpr("'https://jobs.acme.test/' || id AS url", "CAST(NULL AS STRING) AS provider", "CAST(NULL AS STRING) AS slug_hint")
+    companies = spark.range(300).selectExpr("'g' AS provider", "CAST(id AS STRING) AS slug", "'x' AS name", "'https://jobs.acme.test/' || id AS careers_url", "CAST(NULL AS STRING) AS tenant_url")
+    found = urls.find_companies(asked, companies)
+    assert len(found.collect()) == 400 * 300
+    assert 0 < rows_dealt(found._jdf.queryExecution().executedPlan()) < 20_000
+
+
+@pytest.mark.parametrize("blocks, probes", [(2000, 20_000), (3, 2), (1, 0)])
+def test_companies_of_many_urls_equal_a_plain_search(spark, monkeypatch, blocks, probes):
+    monkeypatch.setattr(urls, "BLOCK_ROWS", blocks, raising=False)
+    monkeypatch.setattr(urls, "PROBES", probes, raising=False)
+    rng = random.Random(5)
+    hosts = ["a.test", "b.a.test", "c.test", "x", "jobs.lever.co", "none.test"]
+    asked = [(rng.choice([None, "", *[f"https://{h}/{k}" for h in hosts for k in range(3)], "free text", "more"]), rng.choice([None, "g", "w"]), rng.choice([None, "s1", "s2", "a.test", "c.test", "x"])) for _ in range(150)]
+    link = lambda: rng.choice([None, "", "https://A.test/", "https://b.a.test/?c.test", "https://c.test/x", "https://q/"])
+    companies = [(rng.choice(["g", "w"]), f"s{rng.randrange(30)}", rng.choice(["N", "M"]), link(), link()) for _ in range(60)]
+    want = set()
+    equal = {}
+    for u, p, s in asked:
+        equal.setdefault(u, set()).update((c[0], c[1], c[2]) for c in companies if p is not None and (p, s) == (c[0], c[1]))
+    for u, p, s in asked:
+        host = u.split("//")[1].split("/")[0] if u and "//" in u else s
+        want |= {(u, *c) for c in equal[u]}
+        if (u is None or not equal[u]) and host and host not in urls.SHARED_HOSTS:
+            want |= {(u, *c[:3]) for c in companies if p in (None, c[0]) and any(host in (x or "").lower() for x in c[3:])}
+    found = urls.find_companies(spark.createDataFrame(asked, "url string, provider string, slug_hint string"), spark.createDataFrame(companies, "provider string, slug string, name string, careers_url string, tenant_url string"))
+    rows = [tuple(r) for r in found.collect()]
+    assert set(rows) == want and len(want) > 100
+    exact = {(u, *c) for u, cs in equal.items() for c in cs}
+    assert len([r for r in rows if r not in exact]) == len(want - exact)
+
+
 def scanned(text, marker, opening):
     """The bracketed literal behind a marker, character by character."""
     at = text.find(marker)
